@@ -52,7 +52,7 @@ def seeded_row_number(
         *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)],
         F.col("_slice").alias("_oslice"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(whole).alias("_size"),
+        F.sum("_n").over(whole).alias("_gsize"),
     )
     on = F.col("_slice") == F.col("_oslice")
     for i, c in enumerate(by):
@@ -64,8 +64,8 @@ def seeded_row_number(
         .withColumn(name, F.col("_offset") + F.col("_in"))
     )
     if size_name:
-        out = out.withColumn(size_name, F.col("_size"))
-    return out.drop("_key", "_slice", "_in", "_oslice", "_offset", "_size", *[f"_g{i}" for i in range(len(by))])
+        out = out.withColumn(size_name, F.col("_gsize"))
+    return out.drop("_key", "_slice", "_in", "_oslice", "_offset", "_gsize", *[f"_g{i}" for i in range(len(by))])
 
 
 def quantile_bounds(df: DataFrame, value: str, ranges: int = RANGES) -> Column:
