@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievecrest.functions.vectors import let
+
 
 def clamp(p: Column, eps: float = 1e-6) -> Column:
     return F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps))
@@ -48,14 +50,23 @@ def threshold_label(p: Column, t: Column | float) -> Column:
     return (p >= t).cast("int")
 
 
+def _shifted_exps(logits: Column) -> Column:
+    return let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(logits: Column, index: int | None = None) -> Column:
     """Softmax of an array of logits (max-shifted); one entry when ``index`` is given."""
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda a, x: a + x)
-    if index is not None:
-        return F.element_at(exps, index + 1) / total
-    return F.transform(exps, lambda x: x / total)
+
+    def finish(exps: Column) -> Column:
+        if index is not None:
+            return F.element_at(exps, index + 1) / _total(exps)
+        return let(_total(exps), lambda total: F.transform(exps, lambda x: x / total))
+
+    return let(_shifted_exps(logits), finish)
 
 
 def argmax(values: Column) -> Column:
@@ -64,9 +75,8 @@ def argmax(values: Column) -> Column:
 
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    total = F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-    return F.transform(logits, lambda x: x - top - F.log(total))
+    shift = F.array_max(logits) + F.log(_total(_shifted_exps(logits)))
+    return let(shift, lambda by: F.transform(logits, lambda x: x - by))
 
 
 def smoothed_target(label: Column, classes: int = 2, smoothing: float = 0.0) -> Column:

@@ -132,3 +132,72 @@ SQL = {
 
 def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(SQL[n] for n in names)
+
+
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    """``pixels`` as 8x8 three-channel rows of the image source (data is BGR)."""
+    rgb = pixels(spark, folder)
+    for k, c in enumerate("rgb"):
+        rgb = rgb.withColumn(c, F.concat(F.slice("px", k + 1, 64 - k), F.slice("px", 1, k)) if k else F.col("px"))
+    from sievecrest.functions.hashing import gray_bytes
+
+    bgr = F.flatten(F.transform(F.arrays_zip("b", "g", "r"), lambda s: F.array(s["b"], s["g"], s["r"])))
+    return rgb.withColumn("data", gray_bytes(bgr)).select(
+        "id", "label", "px", "r", "g", "b",
+        F.struct(
+            F.concat(F.lit("mem:"), F.col("id").cast("string")).alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"),
+            F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), "data",
+        ).alias("image"),
+    )
+
+
+def hash_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``pixels`` with exact and slightly changed copies, their hashes and low-resolution vectors."""
+    from sievecrest.functions import hashing as H
+    from sievecrest.functions.vectors import zscore
+
+    base = pixels(spark, folder).select("id", "px", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k"))
+    base = base.where("k = 0 OR (k = 1 AND id % 3 = 0) OR (k = 2 AND id % 2 = 0) OR (k = 3 AND id % 5 = 0)")
+    at = F.col("id") % 64
+    changed = F.transform(
+        "px", lambda x, i: F.when((F.col("k") >= 2) & ((i == at) | ((F.col("k") == 3) & (i == 63 - at))), F.least(x + 9, F.lit(255))).otherwise(x)
+    )
+    rows = base.withColumn("px", changed).withColumn("idx", F.col("id") * 4 + F.col("k"))
+    wide = F.concat("px", F.slice("px", 1, 8))
+    return rows.select(
+        "idx",
+        H.average_hash(F.col("px")).alias("ahash"),
+        H.difference_hash(wide).alias("dhash"),
+        H.bits_to_long(F.transform("px", lambda x: x >= 128)).alias("phash"),
+        H.color_hash(F.col("px"), F.reverse("px"), F.col("px")).alias("chash"),
+        F.sha2(F.array_join("px", ","), 256).alias("digest"),
+        zscore(F.col("px").cast("array<double>")).alias("feature"),
+    )
+
+
+def _packed(bits: str) -> str:
+    """SQL: list of booleans -> signed 64-bit value, first bit highest."""
+    v = f"list_reduce(list_transform({bits}, lambda zz: zz::HUGEINT), lambda p, q: p*2+q)"
+    return f"(CASE WHEN {v} >= 9223372036854775808::HUGEINT THEN {v}-18446744073709551616::HUGEINT ELSE {v} END)::BIGINT"
+
+
+SQL["images"] = """images AS (SELECT id, label, px, px AS r, list_concat(px[2:], px[:1]) AS g, list_concat(px[3:], px[:2]) AS b FROM pixels)"""
+SQL["hash_rows"] = f"""hr0 AS (SELECT id, k, px FROM pixels, range(0,4) r(k) WHERE k=0 OR (k=1 AND id%3=0) OR (k=2 AND id%2=0) OR (k=3 AND id%5=0)),
+  hr1 AS (SELECT id*4+k AS idx, list_transform(px, lambda x, i: CASE WHEN k>=2 AND (i-1=id%64 OR (k=3 AND i-1=63-id%64)) THEN least(x+9,255) ELSE x END) AS px FROM hr0),
+  hr2 AS (SELECT *, list_avg(px) AS m, list_concat(px, px[:8]) AS wd, list_transform(px, lambda x, i: (x//64)*16+(px[65-i]//64)*4+x//64) AS code FROM hr1),
+  hash_rows AS MATERIALIZED (SELECT idx, {_packed('list_transform(px, lambda x: x>=m)')} AS ahash,
+   {_packed('list_transform(range(0,64), lambda i: wd[(i//8)*9+i%8+2] >= wd[(i//8)*9+i%8+1])')} AS dhash,
+   {_packed('list_transform(px, lambda x: x>=128)')} AS phash,
+   {_packed('list_transform(range(0,64), lambda c: len(list_filter(code, lambda y: y=c))>=1)')} AS chash,
+   sha256(array_to_string(px, ',')) AS digest,
+   list_transform(px, lambda x: (x-m)/(CASE WHEN list_stddev_pop(px)>1e-6 THEN list_stddev_pop(px) ELSE 1 END)) AS feature FROM hr2)"""
+SQL["hash_matches"] = """ch AS MATERIALIZED (SELECT *, list_transform([48,32,16,0], lambda s: ((phash::HUGEINT + CASE WHEN phash<0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // (2::HUGEINT**s)::HUGEINT % 65536)::INT) AS pc,
+    list_transform([48,32,16,0], lambda s: ((dhash::HUGEINT + CASE WHEN dhash<0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // (2::HUGEINT**s)::HUGEINT % 65536)::INT) AS dc FROM hash_rows),
+  pr AS (SELECT a.idx AS later_idx, b.idx AS earlier_idx, a.digest=b.digest AS same, bit_count(xor(a.phash,b.phash)) AS p, bit_count(xor(a.dhash,b.dhash)) AS d,
+    bit_count(xor(a.ahash,b.ahash)) AS ah, bit_count(xor(a.chash,b.chash)) AS c, 1-list_inner_product(a.feature,b.feature)/64 AS corr,
+    CASE WHEN list_contains(b.pc,a.pc[1]) THEN 0 WHEN list_contains(b.pc,a.pc[2]) THEN 1 WHEN list_contains(b.pc,a.pc[3]) THEN 2 WHEN list_contains(b.pc,a.pc[4]) THEN 3
+         WHEN list_contains(b.dc,a.dc[1]) THEN 4 WHEN list_contains(b.dc,a.dc[2]) THEN 5 WHEN list_contains(b.dc,a.dc[3]) THEN 6 WHEN list_contains(b.dc,a.dc[4]) THEN 7 END AS ord
+    FROM ch a JOIN ch b ON a.idx>b.idx),
+  hash_matches AS MATERIALIZED (SELECT later_idx, earlier_idx, same, ord, CASE WHEN p<=4 AND d<=4 AND corr<=0.08 THEN concat('near_duplicate_phash=',p,';dhash=',d,';corr_dist=',printf('%.4f',round(corr,9)+0e0))
+    ELSE concat('near_duplicate_hash_combo=phash:',p,',dhash:',d,',ahash:',ah,',color:',c,';corr_dist=',printf('%.4f',round(corr,9)+0e0)) END AS reason
+    FROM pr WHERE ord IS NOT NULL AND ((p<=4 AND d<=4 AND corr<=0.08) OR (p<=8 AND d<=8 AND ah<=8 AND c<=10 AND corr<=0.04)))"""
