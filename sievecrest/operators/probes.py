@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_a
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievecrest.functions.scores import clamp, sigmoid
 from sievecrest.operators.clusters import standardise
@@ -121,7 +122,7 @@ def auc(df: DataFrame, prob: str = "prob_pos", label: str = "label") -> float:
 def batch_score(df: DataFrame, make_predict_fn: Callable, vector: str = "embedding", name: str = "prob_pos", batch_size: int = 1024) -> DataFrame:
     """Score vectors in Arrow batches with a model each Python worker loads once."""
     dims = df.select(F.size(vector)).first()[0]
-    fn = predict_batch_udf(make_predict_fn, return_type="double", batch_size=batch_size, input_tensor_shapes=[[dims]])
+    fn = predict_batch_udf(make_predict_fn, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[[dims]])
     return df.withColumn(name, fn(F.col(vector)))
 
 
