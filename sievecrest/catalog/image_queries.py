@@ -12,6 +12,7 @@ from sievecrest.operators import dedup as D
 from sievecrest.operators import images as I
 from sievecrest.plans import views as V
 from sievecrest.plans.views import _packed, with_views
+from sievecrest.session import cut_lineage
 
 PX = with_views("pixels")
 BOX = """bx AS (SELECT id, px, w, h, list_min(list_transform(hits, lambda i: i%w)) AS x1, list_min(list_transform(hits, lambda i: i//w)) AS y1,
@@ -231,7 +232,7 @@ def _(spark, d):
 
 @query("near_duplicate_pairs", f"{HM} SELECT later_idx, earlier_idx, ord, reason FROM hash_matches")
 def _(spark, d):
-    rows = V.hash_rows(spark, d)
+    rows = cut_lineage(V.hash_rows(spark, d))
     return D.matched_pairs(D.hash_pairs(rows, rows), rows)
 
 

@@ -28,7 +28,7 @@ def average_hash(px: Column) -> Column:
 def difference_hash(px: Column, width: int = 9, height: int = 8) -> Column:
     """Bit set where a pixel is at least its left neighbour, on a 9x8 grid."""
     steps = F.array(*[F.lit(r * width + c + 1) for r in range(height) for c in range(width - 1)])
-    return bits_to_long(F.transform(steps, lambda i: F.element_at(px, i + 1) >= F.element_at(px, i)))
+    return let(px, lambda p: bits_to_long(F.transform(steps, lambda i: F.element_at(p, i + 1) >= F.element_at(p, i))))
 
 
 def color_hash(r: Column, g: Column, b: Column, bins: int = 4) -> Column:

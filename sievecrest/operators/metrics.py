@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievecrest.functions.scores import clamp
-from sievecrest.operators.ordering import average_rank, running_totals
+from sievecrest.operators.ordering import average_ranks, running_totals
 
 
 def f1_from_counts(tp: Column, fp: Column, fn: Column) -> Column:
@@ -82,53 +82,57 @@ def score_cells(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -
     )
 
 
+DEFAULT_CUTS = (0.0, 0.5, 1.0)
+
+
 def threshold_sweep(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """F1 at every candidate threshold: all distinct scores and 0, 0.5, 1.
+    """F1 of calling everything at or above each distinct score, from descending running totals.
 
-    One pass over distinct scores with descending running totals instead of a rescan a threshold.
+    One pass over distinct scores instead of a rescan a threshold. ``_at`` holds the rows at or above
+    each default cut, which is all a cut between two scores needs.
     """
     by = list(by)
-    extra = (
-        cells.groupBy(*by)
-        .agg(F.lit(1).alias("_one"))
-        .select(*by, F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).alias("score"))
-        .select(*by, "score", *[F.lit(0).cast("bigint").alias(c) for c in ("n", "pos", "neg")])
-    )
-    candidates = (
-        cells.select(*by, "score", "n", "pos", "neg")
-        .unionByName(extra)
-        .groupBy(*by, "score")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "pos", "neg")])
-    )
-    swept = running_totals(candidates, "score", ["n", "pos", "neg"], by=by)
-    whole = cells.groupBy(*by).agg(F.sum("pos").alias("_all_pos"))
+    swept = running_totals(cells, "score", ["n", "pos", "neg"], by=by)
+    above = F.array(*[F.coalesce(F.sum(F.when(F.col("score") >= c, F.col("n"))), F.lit(0)) for c in DEFAULT_CUTS])
+    whole = cells.groupBy(*by).agg(F.sum("pos").alias("_all_pos"), above.alias("_at"))
     if by:
-        swept = swept.join(whole, list(by))
+        swept = swept.join(whole, by)
     else:
-        swept = swept.withColumn("_all_pos", F.coalesce(whole.scalar(), F.lit(0)))
-    return swept.withColumn(
-        "f1", f1_from_counts(F.col("cum_pos"), F.col("cum_neg"), F.col("_all_pos") - F.col("cum_pos"))
-    ).drop("_all_pos")
+        packed = whole.select(F.struct("_all_pos", "_at")).scalar()
+        swept = swept.withColumn("_w", packed).select(*swept.columns, "_w.*")
+    f1 = f1_from_counts(F.col("cum_pos"), F.col("cum_neg"), F.col("_all_pos") - F.col("cum_pos"))
+    return swept.withColumn("f1", f1).drop("_all_pos")
+
+
+def best_from_cells(cells: DataFrame, by: Sequence[str] = (), start: float = float("-inf")) -> DataFrame:
+    """``best_threshold`` on (by, score, n, pos, neg) cells."""
+    swept = threshold_sweep(cells, by)
+    top = F.max(F.struct(F.col("f1"), (-F.col("score")).alias("nt"), F.col("cum_n"), F.col("_at")))
+    best = swept.groupBy(*by).agg(top.alias("_b"))
+    f1 = F.col("_b.f1")
+    score = -F.col("_b.nt") + 0.0
+    # A default cut at or below the score with no row in between calls the same rows: the lower one wins.
+    cuts = [
+        F.when((F.lit(c) <= score) & (F.get("_b._at", F.lit(i)) == F.col("_b.cum_n")), F.lit(c)) for i, c in enumerate(DEFAULT_CUTS)
+    ]
+    t = F.least(score, *cuts)
+    if start >= 0:
+        keep = f1 > start
+        return best.select(
+            *by, F.when(keep, t).otherwise(0.5).alias("threshold"), F.when(keep, f1).otherwise(start).alias("best_f1")
+        )
+    return best.select(*by, t.alias("threshold"), f1.alias("best_f1"))
 
 
 def best_threshold(
     df: DataFrame, score: str, label: str, by: Sequence[str] = (), start: float = float("-inf")
 ) -> DataFrame:
-    """Smallest threshold with the highest F1.
+    """Smallest threshold with the highest F1 among all scores and 0, 0.5 and 1.
 
     ``start`` is the F1 a candidate must beat before the default of 0.5 is replaced: with ``0`` a
     group where nothing scores keeps 0.5, with a negative start the smallest candidate wins.
     """
-    swept = threshold_sweep(score_cells(df, score, label, by), by)
-    best = swept.groupBy(*by).agg(F.max(F.struct(F.col("f1"), (-F.col("score")).alias("nt"))).alias("_b"))
-    f1 = F.col("_b.f1")
-    t = -F.col("_b.nt")
-    if start >= 0:
-        keep = f1 > start
-        return best.select(
-            *by, F.when(keep, t).otherwise(0.5).alias("threshold"), F.when(keep, f1).otherwise(start).alias("best_f1")
-        )
-    return best.select(*by, (t + 0.0).alias("threshold"), f1.alias("best_f1"))
+    return best_from_cells(score_cells(df, score, label, by), by, start)
 
 
 def grid_positive_counts(
@@ -284,7 +288,7 @@ def rank_correlation(df: DataFrame, key: str, metric: str, truth: str) -> DataFr
         .agg(F.min(F.struct(F.col(metric).alias("m"), F.col(truth).alias("t"))).alias("_s"))
         .select(key, F.col("_s.m").alias("_m"), F.col("_s.t").alias("_t"))
     )
-    ranked = average_rank(average_rank(rows, "_m", "_rm"), "_t", "_rt")
+    ranked = average_ranks(rows, {"_m": "_rm", "_t": "_rt"})
     return ranked.agg(
         F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, F.corr("_rm", "_rt")).alias("rank_corr")
     )

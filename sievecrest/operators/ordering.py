@@ -70,8 +70,8 @@ def seeded_row_number(
 
 def quantile_bounds(df: DataFrame, value: str, ranges: int = RANGES) -> Column:
     """Scalar subquery: ``ranges - 1`` ascending cut points of a numeric column."""
-    points = [i / ranges for i in range(1, ranges)]
-    return df.agg(F.percentile_approx(F.col(value).cast("double"), points, 10000).alias("_bounds")).scalar()
+    points = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
+    return df.agg(F.expr(f"percentile_approx(CAST(`{value}` AS DOUBLE), array({points}), 10000)")).scalar()
 
 
 def range_index(value: Column, bounds: Column, ranges: int = RANGES) -> Column:
@@ -102,32 +102,28 @@ def running_totals(
     on its own and shifted by the totals of the ranges before it (at most ``RANGES`` rows a group).
     """
     by = list(by)
-    ranged = cells.withColumn("_bounds", quantile_bounds(cells, value)).withColumn(
-        "_range", F.coalesce(range_index(F.col(value).cast("double"), F.col("_bounds")), F.lit(0))
+    names = [f"_g{i}" for i in range(len(by))]
+    bounded = cells.select("*", quantile_bounds(cells, value).alias("_bounds"))
+    ranged = bounded.select(
+        *cells.columns, F.coalesce(range_index(F.col(value).cast("double"), F.col("_bounds")), F.lit(0)).alias("_range")
     )
-    ranged = ranged.drop("_bounds")
     order = F.col("_range").desc() if descending else F.col("_range").asc()
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(t).alias(f"_s{i}") for i, t in enumerate(totals)])
     shifts = per_range.select(
-        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)],
+        *[F.col(c).alias(n) for c, n in zip(by, names)],
         F.col("_range").alias("_orange"),
         *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(totals))],
     )
     on = F.col("_range") == F.col("_orange")
-    for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    for c, n in zip(by, names):
+        on = on & F.col(c).eqNullSafe(F.col(n))
     value_order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
     inside = Window.partitionBy(*by, "_range").orderBy(value_order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged
-    for i, t in enumerate(totals):
-        out = out.withColumn(f"_w{i}", F.sum(t).over(inside))
-    out = out.join(shifts, on)
-    for i, t in enumerate(totals):
-        out = out.withColumn(prefix + t, F.col(f"_w{i}") + F.col(f"_o{i}"))
-    drop = ["_range", "_orange"] + [f"_g{i}" for i in range(len(by))]
-    drop += [f"_w{i}" for i in range(len(totals))] + [f"_o{i}" for i in range(len(totals))]
-    return out.drop(*drop)
+    summed = ranged.select("*", *[F.sum(t).over(inside).alias(f"_w{i}") for i, t in enumerate(totals)])
+    return summed.join(shifts, on).select(
+        *cells.columns, *[(F.col(f"_w{i}") + F.col(f"_o{i}")).alias(prefix + t) for i, t in enumerate(totals)]
+    )
 
 
 def global_row_number(
@@ -169,26 +165,28 @@ def global_row_number(
     )
 
 
-def average_rank(df: DataFrame, value: str, name: str = "avg_rank", pct: bool = False, ascending: bool = True) -> DataFrame:
-    """Tie-averaged rank with NULLs last (all NULLs tie), optionally divided by the row count.
+def average_ranks(df: DataFrame, ranks: dict[str, str], pct: bool = False, ascending: bool = True) -> DataFrame:
+    """Tie-averaged ranks of several columns (value -> rank name), NULLs last, optionally over the row count.
 
-    Ranks belong to values, so they are computed on the distinct values and joined back.
+    Ranks belong to values: each column's distinct values are ranked from the input itself, so no
+    rank is computed on top of another one's joins, and then joined back.
     """
-    cells = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    known = cells.where(F.col(value).isNotNull())
-    ranked = running_totals(known, value, ["_c"], descending=not ascending)
-    ranked = ranked.select(
-        F.col(value).alias("_v"), (F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2).alias("_r")
-    )
-    size = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count(value).alias("known"))).scalar()
-    out = df.join(ranked, df[value] == F.col("_v"), "left").withColumn("_size", size)
-    last = (F.col("_size.known") + 1 + F.col("_size.n")) / 2
-    rank = F.coalesce(F.col("_r"), last)
-    if pct:
-        rank = rank / F.col("_size.n")
-    return out.withColumn(name, rank).drop("_v", "_r", "_size")
-
-
-def ordered_list(items: Column, cap: int, sep: str = ",") -> Column:
-    """Join an already bounded list of strings in sorted order."""
-    return F.array_join(F.slice(F.array_sort(items), 1, cap), sep)
+    values = list(ranks)
+    size = df.agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.count(v).alias(f"k{i}") for i, v in enumerate(values)])).scalar()
+    out = df.withColumn("_size", size)
+    for i, v in enumerate(values):
+        cells = df.where(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias("_c"))
+        ranked = running_totals(cells, v, ["_c"], descending=not ascending).select(
+            F.col(v).alias(f"_v{i}"), (F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2).alias(f"_r{i}")
+        )
+        out = out.join(ranked, F.col(v) == F.col(f"_v{i}"), "left")
+    picked = []
+    for i, v in enumerate(values):
+        rank = F.coalesce(F.col(f"_r{i}"), (F.col(f"_size.k{i}") + 1 + F.col("_size.n")) / 2)
+        picked.append((rank / F.col("_size.n") if pct else rank).alias(ranks[v]))
+    return out.select(*df.columns, *picked)
+
+
+def average_rank(df: DataFrame, value: str, name: str = "avg_rank", pct: bool = False, ascending: bool = True) -> DataFrame:
+    """``average_ranks`` of one column."""
+    return average_ranks(df, {value: name}, pct, ascending)

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievecrest.operators.metrics import best_threshold, f1_at
+from sievecrest.operators.metrics import best_from_cells, f1_from_counts, score_cells
 
 
 def pool_instances(ids: DataFrame, instances: DataFrame, key: str = "id", prob: str = "prob") -> DataFrame:
@@ -97,7 +97,7 @@ def ensemble_search(
     """F1 at 0.5, best F1 and threshold of the mean probability of every model combination.
 
     Each row first gathers its few model probabilities into a map (one shuffle by id); combinations
-    are then scored from that map without joining the probabilities again.
+    are scored from that map and combined map-side into score cells, from which every figure comes.
     """
     combos = combination_table(probs.select(model), model, low, high).select("ensemble", "n_models", "members")
     packed = combos.agg(F.collect_list(F.struct("ensemble", "n_models", "members")).alias("c")).scalar()
@@ -111,7 +111,14 @@ def ensemble_search(
         (total / F.col("_c.n_models")).alias("prob_pos"),
     )
     by = [dataset, "ensemble", "n_models"]
-    base = scored.groupBy(*by).agg(F.avg("prob_pos").alias("prob_mean"))
-    at_half = f1_at(scored, "prob_pos", label, 0.5, by).select(*by, F.col("f1").alias("f1_at_0_5"))
-    best = best_threshold(scored, "prob_pos", label, by).withColumnRenamed("threshold", "best_threshold")
-    return base.join(at_half, by).join(best, by)
+    cells = score_cells(scored, "prob_pos", label, by)
+    at = F.col("score") >= 0.5
+
+    def at_half(called, c: str):
+        return F.coalesce(F.sum(F.when(called, F.col(c))), F.lit(0))
+
+    base = cells.groupBy(*by).agg(
+        (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("prob_mean"),
+        f1_from_counts(at_half(at, "pos"), at_half(at, "neg"), at_half(~at, "pos")).alias("f1_at_0_5"),
+    )
+    return base.join(best_from_cells(cells, by).withColumnRenamed("threshold", "best_threshold"), by)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievecrest.functions import risk as R
 from sievecrest.operators.filters import matched_rules
 from sievecrest.operators.metrics import grouped_rank_correlation
-from sievecrest.operators.ordering import average_rank, global_row_number
+from sievecrest.operators.ordering import average_ranks, global_row_number
 
 
 def consensus_scores(
@@ -19,8 +19,7 @@ def consensus_scores(
 
     ``risk_high_is_bad`` gives the highest risk the strongest signal; False turns the ranks round.
     """
-    ranked = average_rank(df, risk, "_rr", pct=True)
-    ranked = average_rank(ranked, verifier, "_rv", pct=True)
+    ranked = average_ranks(df, {risk: "_rr", verifier: "_rv"}, pct=True)
     rr, rv = F.col("_rr"), F.col("_rv")
     if not risk_high_is_bad:
         rr, rv = 1.0 - rr, 1.0 - rv

@@ -113,15 +113,22 @@ def read_json_sidecar(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-LEDGER = "commit string, primary_metric double, secondary_metric string, runtime_or_cost string, status string, description string"
+# The ledger's columns.
+LEDGER_COLUMNS = ("commit", "primary_metric", "secondary_metric", "runtime_or_cost", "status", "description")
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated run ledger; a malformed row is kept with its text in ``_corrupt``."""
-    return (
-        spark.read.option("header", True).option("sep", "\t").option("mode", "PERMISSIVE").option("quote", "")
-        .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", CORRUPT).schema(f"{LEDGER}, {CORRUPT} string").csv(path)
+    """Tab-separated run ledger; a row with a wrong field count or metric keeps its text in ``_corrupt``.
+
+    Checked on the raw line: the CSV reader only validates columns a query asks for.
+    """
+    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("\t".join(LEDGER_COLUMNS)))
+    parts = lines.select("value", F.split("value", "\t").alias("_f"))
+    fields = {c: F.try_element_at("_f", F.lit(i + 1)) for i, c in enumerate(LEDGER_COLUMNS)}
+    metric = fields["primary_metric"].try_cast("double")
+    broken = (F.size("_f") != len(LEDGER_COLUMNS)) | (metric.isNull() & (F.coalesce(fields["primary_metric"], F.lit("")) != ""))
+    return parts.select(
+        *[(metric if c == "primary_metric" else e).alias(c) for c, e in fields.items()], F.when(broken, F.col("value")).alias(CORRUPT)
     )
 
 
