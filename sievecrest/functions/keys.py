@@ -39,7 +39,8 @@ def first_number(value: Column) -> Column:
 
 
 def normalize_id(value: Column) -> Column:
-    return F.format_string("%06d.jpg", id_number(value))
+    number = id_number(value)
+    return F.when(number.isNotNull(), F.format_string("%06d.jpg", number))
 
 
 def extract_number(value: Column) -> Column:
