@@ -337,11 +337,10 @@ def _(spark, d):
     SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY metric DESC, model) AS rn FROM r) WHERE rn<=2""",
 )
 def _(spark, d):
-    from pyspark.sql import Window
+    from sievecrest.operators.ordering import top_per_group
 
     runs = V.scored_long(spark, d).groupBy("model", (F.col("grp") % 3).alias("dataset")).agg(F.round(F.avg("prob"), 6).alias("metric"))
-    w = Window.partitionBy("dataset").orderBy(F.desc("metric"), "model")
-    return runs.withColumn("rn", F.row_number().over(w)).where("rn <= 2").drop("rn")
+    return top_per_group(runs, ["dataset"], [F.desc("metric"), F.asc("model")], 2, "model").drop("rank")
 
 
 @query(

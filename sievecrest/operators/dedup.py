@@ -71,14 +71,16 @@ HASHES = ("idx", "ahash", "dhash", "phash", "chash")
 
 
 def hash_pairs(
-    later: DataFrame, earlier: DataFrame, strict: int = 4, loose: int = 8, positional: bool = False, hot_rows: int = HOT_KEY_ROWS
+    later: DataFrame, earlier: DataFrame, strict: int = 4, loose: int = 8, positional: bool = False, hot_rows: int = HOT_KEY_ROWS,
+    ordered: bool = True,
 ) -> DataFrame:
     """(later_idx, earlier_idx, ord): pairs that share a chunk and pass the hash part of a match rule.
 
     A chunk held by more than ``hot_rows`` rows is not joined on alone. Both rules need the two
     hashes within ``loose`` bits of each other, so two matching rows agree on one of ``loose + 1``
     slices of the *other* hash; hot chunks are joined on (chunk, slice), which cuts the group without
-    losing a pair. Every pair comes out once, at its first shared key.
+    losing a pair. Every pair comes out once, at its first shared key. ``ordered=False`` also pairs a
+    left row with right rows that come after it.
     """
     keys_of = _chunk_tables("phash", "dhash")
     cols = list(HASHES)
@@ -107,8 +109,9 @@ def hash_pairs(
         F.zip_with(pieces(F.col("a.dhash"), parts), pieces(F.col("b.dhash"), parts), lambda x, y: x == y),
     ).otherwise(F.zip_with(pieces(F.col("a.phash"), parts), pieces(F.col("b.phash"), parts), lambda x, y: x == y))
     first_slice = (F.col("a._s.no") == -1) | (F.array_position(equal, True) == F.col("a._s.no") + 1)
+    in_order = F.col("a.idx") > F.col("b.idx") if ordered else F.col("a.idx") != F.col("b.idx")
     return (
-        a.join(b, (F.col("a._k") == F.col("b._k")) & (F.col("a._s") == F.col("b._s")) & (F.col("a.idx") > F.col("b.idx")))
+        a.join(b, (F.col("a._k") == F.col("b._k")) & (F.col("a._s") == F.col("b._s")) & in_order)
         .where(hamming_match("a", "b", strict, loose) & first_key & first_slice)
         .select(F.col("a.idx").alias("later_idx"), F.col("b.idx").alias("earlier_idx"), order.alias("ord"))
     )
@@ -220,13 +223,16 @@ def deduplicate(
     # A copy of a kept row is an exact duplicate; a copy of a dropped row is dropped by the same match.
     state = tagged.select("idx", "digest", "_first").join(gone.withColumnRenamed("idx", "_first"), "_first", "left")
     state = state.withColumn("_gone", F.coalesce("_gone", F.lit(False)))
-    kept_ids = state.where((F.col("idx") == F.col("_first")) & ~F.col("_gone")).select("idx")
-    lost_ids = state.where(F.col("_gone")).select("idx")
-    kept_rows, lost_rows = base.join(kept_ids, "idx", "left_semi"), base.join(lost_ids, "idx", "left_semi")
-    pairs = hash_pairs(lost_rows, kept_rows, strict, loose, positional, hot_rows)
+    is_first = F.col("idx") == F.col("_first")
+    kept_rows = base.join(state.where(is_first & ~F.col("_gone")).select("idx"), "idx", "left_semi")
+    lost_firsts = base.join(state.where(is_first & F.col("_gone")).select("idx"), "idx", "left_semi")
+    # Compare each dropped image once; its copies then pick among its matches those before them.
+    pairs = hash_pairs(lost_firsts, kept_rows, strict, loose, positional, hot_rows, ordered=False)
+    matches = matched_pairs(pairs, base, strict, loose).withColumnRenamed("later_idx", "_first")
     first = (
-        matched_pairs(pairs, base, strict, loose)
-        .groupBy(F.col("later_idx").alias("idx"))
+        state.where(F.col("_gone")).select("idx", "_first").join(matches, "_first")
+        .where(F.col("earlier_idx") < F.col("idx"))
+        .groupBy("idx")
         .agg(F.min_by(F.struct("earlier_idx", "reason"), F.struct("ord", "earlier_idx")).alias("_m"))
     )
     out = state.join(first, "idx", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievecrest.functions.scores import bayes_prior_correct
 from sievecrest.operators.metrics import best_threshold, f1_from_counts
+from sievecrest.operators.ordering import running_max
 
 
 def running_best(df: DataFrame, epoch: str = "epoch", score: str = "val_f1", patience: int | None = None, run: str | None = None) -> DataFrame:
@@ -70,10 +71,11 @@ def parse_settings(text: Column) -> Column:
 
 def ledger_progress(df: DataFrame, order: str, metric: str, group: str) -> DataFrame:
     """Running best of a metric in entry order within each group of runs."""
-    upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    past = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("best_so_far", F.max(metric).over(upto)).withColumn(
-        "improved", F.coalesce(F.col(metric) > F.max(metric).over(past), F.lit(True))
+    seen = running_max(df, order, metric, [group], "_before")
+    return seen.select(
+        *df.columns,
+        F.greatest(metric, "_before").alias("best_so_far"),
+        F.coalesce(F.col(metric) > F.col("_before"), F.lit(True)).alias("improved"),
     )
 
 

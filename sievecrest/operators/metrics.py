@@ -94,11 +94,11 @@ def threshold_sweep(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     swept = running_totals(cells, "score", ["n", "pos", "neg"], by=by)
     above = F.array(*[F.coalesce(F.sum(F.when(F.col("score") >= c, F.col("n"))), F.lit(0)) for c in DEFAULT_CUTS])
-    whole = cells.groupBy(*by).agg(F.sum("pos").alias("_all_pos"), above.alias("_at"))
+    whole = cells.groupBy(*by).agg(F.sum("pos").alias("_all_pos"), F.sum("n").alias("_all"), above.alias("_at"))
     if by:
         swept = swept.join(whole, by)
     else:
-        packed = whole.select(F.struct("_all_pos", "_at")).scalar()
+        packed = whole.select(F.struct("_all_pos", "_all", "_at")).scalar()
         swept = swept.withColumn("_w", packed).select(*swept.columns, "_w.*")
     f1 = f1_from_counts(F.col("cum_pos"), F.col("cum_neg"), F.col("_all_pos") - F.col("cum_pos"))
     return swept.withColumn("f1", f1).drop("_all_pos")
@@ -106,16 +106,8 @@ def threshold_sweep(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def best_from_cells(cells: DataFrame, by: Sequence[str] = (), start: float = float("-inf")) -> DataFrame:
     """``best_threshold`` on (by, score, n, pos, neg) cells."""
-    swept = threshold_sweep(cells, by)
-    top = F.max(F.struct(F.col("f1"), (-F.col("score")).alias("nt"), F.col("cum_n"), F.col("_at")))
-    best = swept.groupBy(*by).agg(top.alias("_b"))
-    f1 = F.col("_b.f1")
-    score = -F.col("_b.nt") + 0.0
-    # A default cut at or below the score with no row in between calls the same rows: the lower one wins.
-    cuts = [
-        F.when((F.lit(c) <= score) & (F.get("_b._at", F.lit(i)) == F.col("_b.cum_n")), F.lit(c)) for i, c in enumerate(DEFAULT_CUTS)
-    ]
-    t = F.least(score, *cuts)
+    best = threshold_sweep(cells, by).groupBy(*by).agg(_best_cut())
+    f1, t = F.col("_b.f1"), _cut_threshold()
     if start >= 0:
         keep = f1 > start
         return best.select(
@@ -124,6 +116,24 @@ def best_from_cells(cells: DataFrame, by: Sequence[str] = (), start: float = flo
     return best.select(*by, t.alias("threshold"), f1.alias("best_f1"))
 
 
+def _best_cut() -> Column:
+    """Highest F1 of a sweep; the lowest score among ties."""
+    return F.max(F.struct(F.col("f1"), (-F.col("score")).alias("nt"), F.col("cum_n"), F.col("_at"))).alias("_b")
+
+
+def _cut_threshold() -> Column:
+    """Threshold of ``_best_cut``.
+
+    A default cut at or below the score with no row in between calls the same rows, and the lower
+    one wins.
+    """
+    score = -F.col("_b.nt") + 0.0
+    cuts = [
+        F.when((F.lit(c) <= score) & (F.get("_b._at", F.lit(i)) == F.col("_b.cum_n")), F.lit(c)) for i, c in enumerate(DEFAULT_CUTS)
+    ]
+    return F.least(score, *cuts)
+
+
 def best_threshold(
     df: DataFrame, score: str, label: str, by: Sequence[str] = (), start: float = float("-inf")
 ) -> DataFrame:
@@ -229,26 +239,42 @@ def exact_percentiles(
 
 
 def eval_summary(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
-    """F1 at 0.5, best F1 and threshold, counts and score moments for every run and dataset."""
+    """F1 at 0.5, best F1 and threshold, counts and score moments for every run and dataset.
+
+    Rows combine into score cells in one scan; every figure comes from one sweep over the cells.
+    """
     by = list(by)
-    called = F.col(score) >= 0.5
-    base = df.groupBy(*by).agg(
-        F.count_if(called & (F.col(label) == 1)).alias("_tp"),
-        F.count_if(called & (F.col(label) == 0)).alias("_fp"),
-        F.count_if(~called & (F.col(label) == 1)).alias("_fn"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col(label) == 1).alias("pos_true"),
-        F.count_if(called).alias("pos_pred_at_0_5"),
-        F.avg(score).alias("prob_mean"),
-        F.stddev_pop(score).alias("prob_std"),
+    swept = threshold_sweep(score_cells(df, score, label, by), by)
+    s, n = F.col("score"), F.col("n")
+    called = s >= 0.5
+
+    def total(c: str, when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+
+    # ascending position of a cell's first row = rows below it
+    first, last = F.col("_all") - F.col("cum_n"), F.col("_all") - F.col("cum_n") + n
+    low, high = F.floor((F.col("_all") - 1) / 2), F.ceil((F.col("_all") - 1) / 2)
+    out = swept.groupBy(*by).agg(
+        _best_cut(),
+        F.sum("n").alias("n"),
+        F.sum("pos").alias("pos_true"),
+        total("n", called).alias("pos_pred_at_0_5"),
+        total("pos", called).alias("_tp"),
+        total("neg", called).alias("_fp"),
+        total("pos", ~called).alias("_fn"),
+        (F.sum(s * n) / F.sum("n")).alias("prob_mean"),
+        (F.sum(s * s * n) / F.sum("n")).alias("_sq"),
+        F.max(F.when((first <= low) & (low < last), s)).alias("_lo"),
+        F.max(F.when((first <= high) & (high < last), s)).alias("_hi"),
     )
-    best = best_threshold(df, score, label, by).select(*by, "best_f1", F.col("threshold").alias("best_threshold"))
-    median = exact_percentiles(df, score, [0.5], by, ["prob_median"])
-    return (
-        base.withColumn("f1_at_0_5", f1_from_counts(F.col("_tp"), F.col("_fp"), F.col("_fn")))
-        .drop("_tp", "_fp", "_fn")
-        .join(best, by)
-        .join(median, by)
+    return out.select(
+        *by, "n", "pos_true", "pos_pred_at_0_5",
+        f1_from_counts(F.col("_tp"), F.col("_fp"), F.col("_fn")).alias("f1_at_0_5"),
+        F.col("_b.f1").alias("best_f1"),
+        _cut_threshold().alias("best_threshold"),
+        "prob_mean",
+        ((F.col("_lo") + F.col("_hi")) / 2.0).alias("prob_median"),
+        F.sqrt(F.greatest(F.col("_sq") - F.col("prob_mean") * F.col("prob_mean"), F.lit(0.0))).alias("prob_std"),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,7 +120,6 @@ def approx_knn(
 ) -> DataFrame:
     """LSH neighbours above a similarity: random projections on unit vectors, ``cos = 1 - d^2 / 2``."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
 
     def unit(df, name):
         return df.select(F.col(id_col).alias(name), array_to_vector(l2_normalise(F.col(vector))).alias("v"))
@@ -143,8 +144,8 @@ def with_ref_columns(edges: DataFrame, refs: DataFrame, cols: Sequence[str], id_
 
 def centroid_similarity(df: DataFrame, anchors: DataFrame, id_col: str = "sample_id", vector: str = "embedding") -> DataFrame:
     """Cosine of each row to the normalised mean of the (already normalised) anchor vectors."""
-    flat = anchors.select(F.posexplode(vector).alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m"))
-    centre = flat.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("c")).scalar()
+    mean = Summarizer.mean(array_to_vector(F.col(vector)))
+    centre = anchors.agg(vector_to_array(mean)).scalar()
     out = df.withColumn("_c", centre)
     sim = dot(F.col(vector), F.col("_c")) / (
         F.greatest(norm(F.col(vector)), F.lit(1e-8)) * F.greatest(norm(F.col("_c")), F.lit(1e-8))

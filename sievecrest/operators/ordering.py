@@ -126,6 +126,51 @@ def running_totals(
     )
 
 
+def running_max(
+    df: DataFrame, order: str, value: str, by: Sequence[str] = (), name: str = "best_before", ranges: int = RANGES
+) -> DataFrame:
+    """Largest ``value`` of the rows before each row, in (unique, numeric) ``order`` inside ``by``.
+
+    Cut into even ranges of the order like ``running_totals``, so a group that holds a third of the
+    rows is not one window.
+    """
+    by = list(by)
+    names = [f"_g{i}" for i in range(len(by))]
+    bounded = df.select("*", quantile_bounds(df, order, ranges).alias("_bounds"))
+    ranged = bounded.select(
+        *df.columns, F.coalesce(range_index(F.col(order).cast("double"), F.col("_bounds"), ranges), F.lit(0)).alias("_range")
+    )
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    peaks = ranged.groupBy(*by, "_range").agg(F.max(value).alias("_m")).select(
+        *[F.col(c).alias(n) for c, n in zip(by, names)], F.col("_range").alias("_orange"), F.max("_m").over(before).alias("_earlier")
+    )
+    on = F.col("_range") == F.col("_orange")
+    for c, n in zip(by, names):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = ranged.select("*", F.max(value).over(inside).alias("_here"))
+    return seen.join(peaks, on).select(*df.columns, F.greatest("_here", "_earlier").alias(name))
+
+
+GROUP_LIMIT = 1000  # largest n for which Spark itself cuts a ranked group before its shuffle
+
+
+def top_per_group(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, id_col: str, name: str = "rank", salts: int = 256
+) -> DataFrame:
+    """First ``n`` rows per group with their rank.
+
+    Small ``n``: Spark limits every group map-side. Larger ``n``: groups are first cut to ``n`` inside
+    hash salts of the id, so no task ever sorts a whole hot group.
+    """
+    rows = df
+    if n > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(id_col), F.lit(salts))
+        part = Window.partitionBy(*by, "_salt").orderBy(*order)
+        rows = df.withColumn("_salt", salt).withColumn("_pre", F.row_number().over(part)).where(F.col("_pre") <= n).drop("_salt", "_pre")
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)
+
+
 def global_row_number(
     df: DataFrame, order: Sequence[Column], name: str = "rn", by: Sequence[str] = (), parts: int | None = None
 ) -> DataFrame:

@@ -22,12 +22,9 @@ def plain_text(html: Column) -> Column:
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, pos, text, href): every anchor with its absolute address."""
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(1))
-    texts = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(2))
-    flat = pages.select(key, F.col(url).alias("_base"), F.posexplode(F.arrays_zip(hrefs.alias("h"), texts.alias("t"))).alias("pos", "_l"))
-    return flat.select(
-        key, "pos", plain_text(F.col("_l.t")).alias("text"), resolve_url(F.col("_base"), F.replace(F.col("_l.h"), F.lit("&amp;"), F.lit("&"))).alias("href")
-    )
+    found = pages.select(key, F.col(url).alias("_base"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(0))).alias("pos", "_a"))
+    href = F.replace(F.regexp_extract("_a", ANCHOR, 1), F.lit("&amp;"), F.lit("&"))
+    return found.select(key, "pos", plain_text(F.regexp_extract("_a", ANCHOR, 2)).alias("text"), resolve_url(F.col("_base"), href).alias("href"))
 
 
 def _attribute(tag: Column, name: str) -> Column:

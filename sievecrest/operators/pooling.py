@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +31,11 @@ def mean_over(df: DataFrame, keys: Sequence[str], prob: str = "prob") -> DataFra
 def pool_vectors(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     """Element-wise mean of equal-length vectors per key.
 
-    Grouped by (key, position): positions of a hot key spread over tasks and combine map-side; only
-    one vector's worth of values is gathered per key at the end.
+    The summarizer keeps one running mean a key and task, so hot keys combine map-side and no
+    (row, position) pair is ever shuffled.
     """
-    flat = df.select(key, F.posexplode(vector).alias("_p", "_x"))
-    means = flat.groupBy(key, "_p").agg(F.avg("_x").alias("_m"))
-    packed = F.array_sort(F.collect_list(F.struct("_p", "_m")))
-    return means.groupBy(key).agg(F.transform(packed, lambda s: s["_m"]).alias(vector))
+    mean = Summarizer.mean(array_to_vector(F.col(vector)))
+    return df.groupBy(key).agg(vector_to_array(mean).alias(vector))
 
 
 def bag_probabilities(df: DataFrame, models: int, key: str = "id", prob: str = "prob", threshold: float = 0.5) -> DataFrame:

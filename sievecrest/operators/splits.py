@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievecrest.operators.ordering import seeded_key, seeded_row_number
+from sievecrest.operators.ordering import seeded_key, seeded_row_number, top_per_group
 
 
 def _ratio(value: float, what: str) -> None:
@@ -103,11 +103,8 @@ def fold_label_distribution(folds: DataFrame, label: str, k: int, fold: str = "f
     """
     cells = folds.groupBy(fold, label).agg(F.count(F.lit(1)).alias("n"))
     spread = fold_roles(cells, k, fold)
-    spread.createOrReplaceTempView("_fold_cells")
-    return spread.sparkSession.sql(
-        f"""SELECT `{fold}`, role, `{label}`, sum(n) AS n, grouping(`{label}`) = 1 AS is_total FROM _fold_cells
-            GROUP BY GROUPING SETS ((`{fold}`, role, `{label}`), (`{fold}`, role))"""
-    )
+    totals = spread.groupingSets([[F.col(fold), F.col("role"), F.col(label)], [F.col(fold), F.col("role")]], fold, "role", label)
+    return totals.agg(F.sum("n").alias("n"), (F.grouping(label) == 1).alias("is_total"))
 
 
 def rebalance_to_ratio(df: DataFrame, id_col: str, label: str, ratio: float, seed: int) -> DataFrame:
@@ -139,12 +136,12 @@ def stratified_take(df: DataFrame, id_col: str, label: str, score: str, n: int)
     """Best ``max(1, n // labels)`` rows a label, then the best leftovers up to ``n``.
 
     Only the best ``n`` rows of a label can ever be taken, so each label is first cut to ``n``
-    (a limit the window applies before its shuffle); everything after works on labels x n rows.
+    before any shuffle of the group; everything after works on labels x n rows.
     """
     order = [F.col(score).desc(), F.col(id_col).asc()]
     known = df.where(F.col(label).isNotNull())
     labels = df.agg(F.greatest(F.lit(1), F.count_distinct(label))).scalar()
-    top = known.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("_rn") <= n)
+    top = top_per_group(known, [label], order, n, id_col, "_rn")
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) / labels))
     top = top.withColumn("_quota", quota).withColumn("_lead", (F.col("_rn") <= F.col("_quota")).cast("int"))
     lead = top.agg(F.sum("_lead")).scalar()
@@ -169,8 +166,7 @@ def cluster_stratified_take(
     n_clusters = spread.agg(F.count(F.lit(1))).scalar()
     quota = F.greatest(F.lit(4), F.floor(F.lit(n) / F.greatest(F.lit(1), F.least(n_clusters, F.lit(12)))))
     cap = max(4, n)
-    by_label = Window.partitionBy(cluster, label).orderBy(*order)
-    top = known.withColumn("_rn", F.row_number().over(by_label)).where(F.col("_rn") <= cap)
+    top = top_per_group(known, [cluster, label], order, cap, id_col, "_rn")
     top = top.join(spread, cluster).withColumn("_q", quota)
     per_label = F.greatest(F.lit(1), F.floor(F.col("_q") / F.greatest(F.lit(1), F.col("_labels"))))
     top = top.withColumn("_lead", (F.col("_rn") <= per_label).cast("int"))
