@@ -332,3 +332,28 @@ def _(spark, d):
 )
 def _(spark, d):
     return rnd(PR.protocol_priors(_protocol(spark, d)))
+
+
+@query(
+    "probes_against_baseline",
+    f"""{LONG}, {V.SQL['baseline']}, j AS (SELECT model, id, prob, (prob>=0.5)::INT AS l FROM scored_long WHERE (id+substr(model,2)::INT)%7<>0),
+    f AS (SELECT m.model, b.label AS b, j.l, j.prob, coalesce(j.l, b.label) AS c FROM baseline b CROSS JOIN (SELECT DISTINCT model FROM scored_long) m LEFT JOIN j ON j.model=m.model AND j.id=b.id)
+    SELECT model, count(l) AS scored, count(*) FILTER (l=1) AS scored_positives, round(avg(prob),6) AS prob_mean, count(*) FILTER (b<>c) AS diff_vs_baseline, count(*) FILTER (b=1 AND c=0) AS baseline_pos_to_neg,
+    count(*) FILTER (b=0 AND c=1) AS baseline_neg_to_pos, count(*)-count(l) AS filled, count(*) FILTER (c=1) AS positives FROM f GROUP BY model""",
+)
+def _(spark, d):
+    scored = V.scored_long(spark, d).where((F.col("id") + F.substring("model", 2, 1).cast("int")) % 7 != 0)
+    return rnd(LD.probes_against_baseline(scored.withColumnRenamed("prob", "prob_pos"), V.baseline(spark, d), "model"))
+
+
+@query(
+    "sorted_run_report",
+    """SELECT o_orderkey AS run, o_orderpriority AS priority, m AS metric FROM (SELECT *, CASE WHEN o_orderkey%7<>0 THEN o_totalprice END AS m FROM orders) ORDER BY o_orderpriority, m DESC NULLS LAST, o_orderkey LIMIT 500""",
+)
+def _(spark, d):
+    from sievecrest.operators.ordering import sorted_rows
+
+    o = V.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("metric")
+    )
+    return sorted_rows(o, [("priority", "asc"), ("metric", "desc"), ("run", "asc")], 500)

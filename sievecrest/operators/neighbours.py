@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievecrest.functions.vectors import dot, l2_normalise, norm
+from sievecrest.operators.ordering import top_per_group
 
 CELL_ROWS = 16384
 
@@ -118,22 +119,33 @@ def approx_knn(
     queries: DataFrame, refs: DataFrame, k: int, min_sim: float, id_col: str = "sample_id", vector: str = "embedding",
     tables: int = 6, bucket: float = 1.0, seed: int = 11,
 ) -> DataFrame:
-    """LSH neighbours above a similarity: random projections on unit vectors, ``cos = 1 - d^2 / 2``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    """LSH neighbours above a similarity: random projections on unit vectors, ``cos = 1 - d^2 / 2``.
 
-    def unit(df, name):
-        return df.select(F.col(id_col).alias(name), array_to_vector(l2_normalise(F.col(vector))).alias("v"))
+    Copies are settled before the similarity join. Equal references tie and rank by id, so a vector
+    needs only its ``k`` smallest ids; equal queries share one answer. The join therefore sees each
+    distinct vector once and a group of copies never multiplies with another.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
 
-    left, right = unit(queries, "query_id"), unit(refs, "ref_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(right)
-    joined = model.approxSimilarityJoin(left, right, math.sqrt(2.0 * (1.0 - min_sim)), "d")
-    edges = joined.select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.ref_id").alias("ref_id"),
-        (1.0 - F.col("d") * F.col("d") / 2.0).alias("cosine_sim"),
+    q = queries.select(F.col(id_col).alias("query_id"), l2_normalise(F.col(vector)).alias("u"))
+    r = refs.select(F.col(id_col).alias("ref_id"), l2_normalise(F.col(vector)).alias("u"))
+    q_first = q.groupBy("u").agg(F.min("query_id").alias("q_rep"))
+    r_ids = top_per_group(r, ["u"], [F.col("ref_id").asc()], k, "ref_id", "_copy")
+    r_first = r_ids.where(F.col("_copy") == 1).select(F.col("ref_id").alias("r_rep"), "u")
+    left = q_first.select("q_rep", array_to_vector("u").alias("v"))
+    right = r_first.select("r_rep", array_to_vector("u").alias("v"))
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed)
+    joined = lsh.fit(right).approxSimilarityJoin(left, right, math.sqrt(2.0 * (1.0 - min_sim)), "d")
+    pairs = joined.select(
+        F.col("datasetA.q_rep").alias("q_rep"), F.col("datasetB.r_rep").alias("r_rep"), (1.0 - F.col("d") * F.col("d") / 2.0).alias("cosine_sim")
+    )
+    pairs = top_per_group(pairs, ["q_rep"], [F.col("cosine_sim").desc(), F.col("r_rep").asc()], k, "r_rep", "_near").drop("_near")
+    copies = r_ids.join(r_first, "u").select("r_rep", "ref_id")
+    best = top_per_group(
+        pairs.join(copies, "r_rep"), ["q_rep"], [F.col("cosine_sim").desc(), F.col("ref_id").asc()], k, "ref_id", "rank"
     )
-    best = Window.partitionBy("query_id").orderBy(F.col("cosine_sim").desc(), F.col("ref_id"))
-    return edges.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "ref_id", "cosine_sim")
+    owners = q.join(q_first, "u").select("query_id", "q_rep")
+    return owners.join(best, "q_rep").select("query_id", "rank", "ref_id", "cosine_sim")
 
 
 def with_ref_columns(edges: DataFrame, refs: DataFrame, cols: Sequence[str], id_col: str = "sample_id") -> DataFrame:

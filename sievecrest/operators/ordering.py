@@ -235,3 +235,10 @@ def average_ranks(df: DataFrame, ranks: dict[str, str], pct: bool = False, ascen
 def average_rank(df: DataFrame, value: str, name: str = "avg_rank", pct: bool = False, ascending: bool = True) -> DataFrame:
     """``average_ranks`` of one column."""
     return average_ranks(df, {value: name}, pct, ascending)
+
+
+def sorted_rows(df: DataFrame, spec: Sequence[tuple[str, str]], limit: int | None = None) -> DataFrame:
+    """Sort by (column, 'asc' or 'desc') pairs with NULLs last; with a limit it is a distributed top-n."""
+    order = [F.col(c).asc_nulls_last() if d == "asc" else F.col(c).desc_nulls_last() for c, d in spec]
+    out = df.orderBy(*order)
+    return out.limit(limit) if limit is not None else out

@@ -45,3 +45,25 @@ def zeroed_candidates(current: DataFrame, selections: DataFrame, names: Sequence
     return fanned.join(hits, [name, id_col], "left").select(
         name, id_col, F.when(F.col("_hit"), 0).otherwise(F.col("label")).alias("label")
     )
+
+
+def probes_against_baseline(scored: DataFrame, baseline: DataFrame, setting: str = "C", prob: str = "prob_pos", threshold: float = 0.5) -> DataFrame:
+    """Per probe setting: rows scored and filled, positives, mean probability and flips.
+
+    Rows a probe did not score keep the baseline label, so they never differ: everything but the
+    fill count comes from the scored rows, and the baseline is not repeated per setting.
+    """
+    base = baseline.select("id", F.col("label").alias("_b"))
+    whole = base.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_b") == 1).alias("pos"))).scalar()
+    joined = scored.select("id", setting, prob).join(base, "id").withColumn("_l", (F.col(prob) >= threshold).cast("int"))
+    per = joined.groupBy(setting).agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.count_if(F.col("_l") == 1).alias("scored_positives"),
+        F.avg(prob).alias("prob_mean"),
+        F.count_if(F.col("_l") != F.col("_b")).alias("diff_vs_baseline"),
+        F.count_if((F.col("_b") == 1) & (F.col("_l") == 0)).alias("baseline_pos_to_neg"),
+        F.count_if((F.col("_b") == 0) & (F.col("_l") == 1)).alias("baseline_neg_to_pos"),
+    )
+    out = per.withColumn("_w", whole).withColumn("filled", F.col("_w.n") - F.col("scored"))
+    positives = F.col("_w.pos") - F.col("baseline_pos_to_neg") + F.col("baseline_neg_to_pos")
+    return out.withColumn("positives", positives).drop("_w")

@@ -77,3 +77,28 @@ def test_parse_folds():
     assert S.parse_folds("3, 1,3", 3) == [1, 3]
     with pytest.raises(ValueError):
         S.parse_folds("4", 3)
+
+
+def test_large_top_per_group_uses_salts_and_stays_exact(spark):
+    from sievecrest.operators.ordering import running_max, top_per_group
+
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5).alias("g"), (F.col("id") * 7919 % 6007).alias("s"))
+    got = top_per_group(df, ["g"], [F.col("s").desc(), F.col("id").asc()], 1500, "id").toPandas()
+    for g, part in df.toPandas().groupby("g"):
+        want = part.sort_values(["s", "id"], ascending=[False, True])["id"].head(1500).tolist()
+        assert got[got.g == g].sort_values("rank")["id"].tolist() == want
+    seen = running_max(df, "id", "s", ["g"]).toPandas().sort_values("id")
+    for _, part in seen.groupby("g"):
+        want = part["s"].cummax().shift()
+        assert part["best_before"].iloc[1:].tolist() == want.iloc[1:].tolist() and part["best_before"].isna().iloc[0]
+
+
+def test_argument_checks(spark):
+    from sievecrest.operators import checks as C
+
+    with pytest.raises(ValueError, match="missing required"):
+        C.require_columns(frame(spark), ["id", "nope"])
+    with pytest.raises(ValueError):
+        C.require_range("x", 1.0, 0.0, 1.0, open_ends=True)
+    with pytest.raises(Exception, match="bad label"):
+        C.fail_unless(frame(spark), F.col("label") == 0, "bad label").collect()
