@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievecrest.functions.scores import clamp
 from sievecrest.operators.ordering import average_ranks, running_totals
+from sievecrest.session import cut_lineage
 
 
 def f1_from_counts(tp: Column, fp: Column, fn: Column) -> Column:
@@ -88,7 +89,8 @@ DEFAULT_CUTS = (0.0, 0.5, 1.0)
 def threshold_sweep(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """F1 of calling everything at or above each distinct score, from descending running totals.
 
-    One pass over distinct scores instead of a rescan a threshold. ``_at`` holds the rows at or above
+    One pass over distinct scores instead of a rescan a threshold. Callers hand in written cells: the
+    bounds, the range totals and the sweep all read them. ``_at`` holds the rows at or above
     each default cut, which is all a cut between two scores needs.
     """
     by = list(by)
@@ -142,7 +144,7 @@ def best_threshold(
     ``start`` is the F1 a candidate must beat before the default of 0.5 is replaced: with ``0`` a
     group where nothing scores keeps 0.5, with a negative start the smallest candidate wins.
     """
-    return best_from_cells(score_cells(df, score, label, by), by, start)
+    return best_from_cells(cut_lineage(score_cells(df, score, label, by)), by, start)
 
 
 def grid_positive_counts(
@@ -211,6 +213,7 @@ def exact_percentiles(
     by = list(by)
     names = list(names or [f"p{int(round(p * 100))}" for p in points])
     cells = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cells = cut_lineage(cells)
     cum = running_totals(cells, "_v", ["_n"], by=by, descending=False)
     sizes = cells.groupBy(*by).agg(F.sum("_n").alias("_size"))
     if by:
@@ -244,7 +247,7 @@ def eval_summary(df: DataFrame, score: str, label: str, by: Sequence[str]) -> Da
     Rows combine into score cells in one scan; every figure comes from one sweep over the cells.
     """
     by = list(by)
-    swept = threshold_sweep(score_cells(df, score, label, by), by)
+    swept = threshold_sweep(cut_lineage(score_cells(df, score, label, by)), by)
     s, n = F.col("score"), F.col("n")
     called = s >= 0.5
 

@@ -7,7 +7,7 @@ Three ways, by what the order is made of:
 * value order with totals (``running_totals``): rows collapse to distinct values first, then
   quantile bounds from a sketch cut the values into even ranges;
 * row order with ties (``global_row_number``): Spark's range partitioner over the full sort key,
-  checkpointed once so that both readers of the layout see the same one.
+  written once so that both readers of the layout see the same one.
 """
 
 from __future__ import annotations
@@ -177,7 +177,7 @@ def global_row_number(
     """Unique 1-based ranks in ``order`` (inside ``by``) over a range-partitioned layout.
 
     The range key is the whole sort key, ties included, so one value shared by a third of the rows
-    is spread over many partitions. The layout is checkpointed: partition counts and rows must
+    is spread over many partitions. The layout is written once: partition counts and rows must
     come from the same one.
     """
     by = list(by)
@@ -220,7 +220,7 @@ def average_ranks(df: DataFrame, ranks: dict[str, str], pct: bool = False, ascen
     size = df.agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.count(v).alias(f"k{i}") for i, v in enumerate(values)])).scalar()
     out = df.withColumn("_size", size)
     for i, v in enumerate(values):
-        cells = df.where(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias("_c"))
+        cells = cut_lineage(df.where(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias("_c")))
         ranked = running_totals(cells, v, ["_c"], descending=not ascending).select(
             F.col(v).alias(f"_v{i}"), (F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2).alias(f"_r{i}")
         )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievecrest.operators.metrics import best_from_cells, f1_from_counts, score_cells
+from sievecrest.session import cut_lineage
 
 
 def pool_instances(ids: DataFrame, instances: DataFrame, key: str = "id", prob: str = "prob") -> DataFrame:
@@ -111,7 +112,7 @@ def ensemble_search(
         (total / F.col("_c.n_models")).alias("prob_pos"),
     )
     by = [dataset, "ensemble", "n_models"]
-    cells = score_cells(scored, "prob_pos", label, by)
+    cells = cut_lineage(score_cells(scored, "prob_pos", label, by))
     at = F.col("score") >= 0.5
 
     def at_half(called, c: str):
