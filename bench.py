@@ -3,7 +3,7 @@
 BENCH_SF_DIR   tables to read   (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores      (default 8)
 BENCH_ONLY     comma list of query names, or ``all`` for every registered query
-BENCH_REPEAT   timed runs after one warm-up run; the median counts (default 3)
+BENCH_REPEAT   timed runs after one warm-up run; the median counts (default 2)
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = os.environ.get("BENCH_ONLY", "")
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     queries, _ = load()
     names = list(queries) if only == "all" else [n for n in only.split(",") if n] or HEADLINE
     spark = build_session("bench", cpus, **{"spark.ui.showConsoleProgress": "false"})

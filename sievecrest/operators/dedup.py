@@ -177,7 +177,7 @@ def resolve_first_wins(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         gone = live.join(kept.withColumnRenamed("idx", "earlier_idx"), "earlier_idx", "left_semi").select(
             F.col("later_idx").alias("idx")
         ).distinct()
-        gone = cut_lineage(gone)
+        # one written table a round: the rows dropped in it stay a cheap function of its edges
         dropped = gone if dropped is None else dropped.unionByName(gone)
         decided = gone.unionByName(kept)
         live = cut_lineage(
@@ -189,7 +189,7 @@ def resolve_first_wins(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         raise RuntimeError("first-wins resolution did not settle")
     if dropped is None:
         return edges.select(F.col("later_idx").alias("idx")).limit(0)
-    return dropped
+    return cut_lineage(dropped)
 
 
 def deduplicate(
@@ -202,8 +202,8 @@ def deduplicate(
     """
     base = cut_lineage(df.select(*HASHES, "digest", "feature"))
     firsts = exact_duplicates(base).select("digest", F.col("first_idx").alias("_first"))
-    tagged = base.join(firsts, "digest")
-    reps = tagged.where(F.col("idx") == F.col("_first")).drop("_first")
+    tagged = cut_lineage(base.select("idx", "digest").join(firsts, "digest"))
+    reps = base.join(tagged.where(F.col("idx") == F.col("_first")).select("idx"), "idx", "left_semi")
     keys = reps.select(F.explode(_chunk_tables("phash", "dhash")).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
     open_rows, dropped = reps, []
     if not positional and keys.where(F.col("n") > hot_rows).limit(1).count():
@@ -221,8 +221,8 @@ def deduplicate(
         gone = gone.unionByName(more)
     gone = gone.distinct().withColumn("_gone", F.lit(True))
     # A copy of a kept row is an exact duplicate; a copy of a dropped row is dropped by the same match.
-    state = tagged.select("idx", "digest", "_first").join(gone.withColumnRenamed("idx", "_first"), "_first", "left")
-    state = state.withColumn("_gone", F.coalesce("_gone", F.lit(False)))
+    state = tagged.join(gone.withColumnRenamed("idx", "_first"), "_first", "left")
+    state = cut_lineage(state.withColumn("_gone", F.coalesce("_gone", F.lit(False))))
     is_first = F.col("idx") == F.col("_first")
     kept_rows = base.join(state.where(is_first & ~F.col("_gone")).select("idx"), "idx", "left_semi")
     lost_firsts = base.join(state.where(is_first & F.col("_gone")).select("idx"), "idx", "left_semi")

@@ -363,14 +363,18 @@ def weighted_loss(df: DataFrame, loss: Column, hit: Column, weight: Column | Non
     )
 
 
-def temperature_nll(df: DataFrame, score: str, label: str, grid: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def temperature_nll(
+    df: DataFrame, score: str, label: str, grid: Sequence[float], by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
     """Mean NLL of temperature-scaled probabilities at every grid temperature, in one scan."""
-    x = F.log(clamp(F.col(score), 1e-7) / (1.0 - clamp(F.col(score), 1e-7)))
+    p = clamp(F.col(score), 1e-7)
+    logits = df.withColumn("_x", F.log(p / (1.0 - p)))
+    w = F.col(weight) if weight else F.lit(1)
     terms = []
     for i, t in enumerate(grid):
-        p = clamp(1.0 / (1.0 + F.exp(-(x / F.lit(float(t))))), 1e-7)
-        terms.append(F.avg(-F.log(F.when(F.col(label) == 1, p).otherwise(1.0 - p))).alias(f"_{i}"))
-    wide = df.groupBy(*by).agg(*terms)
+        q = clamp(1.0 / (1.0 + F.exp(-(F.col("_x") / F.lit(float(t))))), 1e-7)
+        terms.append((F.sum(-F.log(F.when(F.col(label) == 1, q).otherwise(1.0 - q)) * w) / F.sum(w)).alias(f"_{i}"))
+    wide = logits.groupBy(*by).agg(*terms)
     pairs = F.array(
         *[F.struct(F.lit(float(t)).alias("temperature"), F.col(f"_{i}").alias("nll")) for i, t in enumerate(grid)]
     )
@@ -378,11 +382,15 @@ def temperature_nll(df: DataFrame, score: str, label: str, grid: Sequence[float]
 
 
 def fit_temperature(df: DataFrame, score: str, label: str, low: float = 0.1, high: float = 10.0, rounds: int = 4, points: int = 25) -> float:
-    """Temperature with the lowest NLL on [low, high]: grid scans that narrow around the best point."""
+    """Temperature with the lowest NLL on [low, high]: grids that narrow around the best point.
+
+    The rows are scanned once, into (score, label) counts; the grids run on those.
+    """
+    cells = cut_lineage(df.groupBy(score, label).agg(F.count(F.lit(1)).alias("_n")))
     for _ in range(rounds):
         step = (high - low) / (points - 1)
         grid = [low + i * step for i in range(points)]
-        best = temperature_nll(df, score, label, grid).agg(F.min(F.struct("nll", "temperature")).alias("b")).first()
-        at = best["b"]["temperature"]
+        nll = temperature_nll(cells, score, label, grid, weight="_n")
+        at = nll.agg(F.min(F.struct("nll", "temperature")).alias("b")).first()["b"]["temperature"]
         low, high = max(low, at - step), min(high, at + step)
     return float(at)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from sievecrest.functions.vectors import dot, l2_normalise, norm
 from sievecrest.operators.ordering import top_per_group
+from sievecrest.session import cut_lineage
 
 CELL_ROWS = 16384
 
@@ -130,7 +131,7 @@ def approx_knn(
     q = queries.select(F.col(id_col).alias("query_id"), l2_normalise(F.col(vector)).alias("u"))
     r = refs.select(F.col(id_col).alias("ref_id"), l2_normalise(F.col(vector)).alias("u"))
     q_first = q.groupBy("u").agg(F.min("query_id").alias("q_rep"))
-    r_ids = top_per_group(r, ["u"], [F.col("ref_id").asc()], k, "ref_id", "_copy")
+    r_ids = cut_lineage(top_per_group(r, ["u"], [F.col("ref_id").asc()], k, "ref_id", "_copy"))
     r_first = r_ids.where(F.col("_copy") == 1).select(F.col("ref_id").alias("r_rep"), "u")
     left = q_first.select("q_rep", array_to_vector("u").alias("v"))
     right = r_first.select("r_rep", array_to_vector("u").alias("v"))

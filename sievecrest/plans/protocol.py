@@ -10,6 +10,7 @@ from sievecrest.operators import splits as SP
 from sievecrest.operators.filters import pseudo_labels, skip_ids
 from sievecrest.operators.labels import with_label_index
 from sievecrest.operators.metrics import class_priors
+from sievecrest.session import cut_lineage
 
 
 def split_protocol(
@@ -36,14 +37,15 @@ def split_protocol(
     Order of steps: skip listed ids, index labels, sample, keep masked rows, add or group-split the
     extra source, choose the validation rows (extra split, train split or a given table), add pseudo
     labels, split validation into search and selection, rebalance both. Roles: train,
-    threshold_search, model_select. ``extra`` carries id, label and group.
+    threshold_search, model_select. ``extra`` carries id, label and group. Each ranked step reads its
+    input twice, so a step's narrow (id, label) result is written before the next one ranks it.
     """
     base = K.require_columns(labels, ["id", "label"]).select(F.col("id").cast("string").alias("id"), "label")
     if skips is not None:
         base = skip_ids(base, skips.select(F.col("id").cast("string").alias("id")))
     base = with_label_index(base, "label")
     if sample_ratio < 1.0:
-        base = SP.sample_fraction(base, "id", sample_ratio, seed)
+        base = cut_lineage(SP.sample_fraction(base, "id", sample_ratio, seed))
     if masked is not None:
         base = base.join(masked.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
     train = base.withColumn("sample_weight", F.lit(1.0)).withColumn("source", F.lit("train"))
@@ -56,11 +58,12 @@ def split_protocol(
                 more = SP.stratified_group_split(more, "label_idx", "group", extra_val_ratio, seed + 11)
             else:
                 more = SP.stratified_split(more, "id", "label_idx", extra_val_ratio, seed + 11)
+            more = cut_lineage(more)
             held = more.where("role = 'val'").drop("role", "group")
             more = more.where("role = 'train'").drop("role")
         train = train.unionByName(more.drop("group"))
     if val_ratio > 0.0:
-        parts = SP.stratified_split(train, "id", "label_idx", val_ratio, seed + 3)
+        parts = cut_lineage(SP.stratified_split(train, "id", "label_idx", val_ratio, seed + 3))
         train, held = parts.where("role = 'train'").drop("role"), parts.where("role = 'val'").drop("role")
     if extra_val_ratio <= 0.0 and pseudo is not None:
         rows = pseudo_labels(pseudo, pseudo_threshold).select(
@@ -71,7 +74,7 @@ def split_protocol(
         if val is None:
             raise ValueError("no validation rows: give val, val_ratio or extra_val_ratio")
         held = val.select(F.col("id").cast("string").alias("id"), "label", F.col("label").alias("label_idx"), F.lit(1.0).alias("sample_weight"), F.lit("val").alias("source"))
-    parts = SP.stratified_subsplit(held, "id", "label_idx", search_ratio, seed + 7)
+    parts = cut_lineage(SP.stratified_subsplit(held, "id", "label_idx", search_ratio, seed + 7))
     search = parts.where("role = 'threshold_search'")
     select = parts.where("role = 'model_select'")
     if target_ratio is not None:

@@ -22,8 +22,8 @@ def test_like_scores(
     """Every row with its cluster, cluster test share, anchor similarities and test-like score.
 
     Standardise and project on the fit sources, normalise, then compare with the test anchors by
-    exact neighbours, by the anchor centroid and by cluster. The normalised features and the scored
-    rows are the two tables several consumers read, so each is written once.
+    exact neighbours, by the anchor centroid and by cluster. The normalised features, the placed rows
+    and the scored rows are each read by several consumers, so each is written once.
     """
     fit = manifest.where(F.col("source").isin(*fit_sources))
     moved = C.standardise(manifest, fit)
@@ -34,7 +34,7 @@ def test_like_scores(
         anchors = anchors.where(~F.col("is_not_stone"))
     like = N.test_likeness(N.cosine_knn(features, anchors, top_k), top_k).withColumnRenamed("query_id", "sample_id")
     placed = C.kmeans_labels(features, features.where(F.col("source").isin(*fit_sources)), clusters)
-    placed = N.centroid_similarity(placed, anchors).drop("embedding").join(like, "sample_id")
+    placed = cut_lineage(N.centroid_similarity(placed, anchors).drop("embedding").join(like, "sample_id"))
     share = C.cluster_summary(placed, sources).select("cluster", F.col("test_fraction").alias("cluster_test_fraction"))
     scored = placed.join(share, "cluster").withColumn(
         "test_like_score", R.test_like_score(F.col("topk_mean"), F.col("centroid_cos"), F.col("cluster_test_fraction"))
