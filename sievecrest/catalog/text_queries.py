@@ -107,7 +107,7 @@ def _(spark, d):
         f"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({c},'(?s)<[^>]*>','','g'),'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&#39;',''''),'&nbsp;',' '),'&amp;','&'),'\\s+',' ','g')) AS {c}"
         for c in ("t", "h1", "h2", "b")
     )
-    + """ FROM c) SELECT page_id, t AS title, CASE WHEN h1<>'' THEN h1 ELSE h2 END AS heading, md5(left(b,8000)) AS body FROM p""",
+    + """ FROM c) SELECT page_id, t AS title, CASE WHEN h1<>'' THEN h1 ELSE h2 END AS heading, md5(b) AS body FROM p""",
 )
 def _(spark, d):
     return PG.page_heads(V.table(spark, d, "pages")).select("page_id", "title", "heading", F.md5("text").alias("body"))

@@ -18,6 +18,7 @@ from sievecrest.operators.ordering import top_per_group
 from sievecrest.session import cut_lineage
 
 CELL_ROWS = 16384
+MAX_TASKS = 20000
 
 
 def _grid(n_queries: int, n_refs: int, cell_rows: int, parallelism: int) -> tuple[int, int]:
@@ -102,6 +103,10 @@ def cosine_knn(
             T.StructField("sim", T.DoubleType()),
         ]
     )
+    # One task a cell (or a few): an explicit count keeps AQE from merging cells that are small in
+    # bytes but heavy in arithmetic.
+    tasks = min(rows * cols, MAX_TASKS)
+    q, r = q.repartition(tasks, "gr", "gc"), r.repartition(tasks, "gr", "gc")
     parts = q.groupBy("gr", "gc").cogroup(r.groupBy("gr", "gc")).applyInPandas(_cell_top_k(k, qtype), schema)
     if cols == 1:
         best = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("ref_id"))

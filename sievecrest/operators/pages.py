@@ -42,20 +42,18 @@ def page_images(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     return out.where(F.col("src").isNotNull())
 
 
-def page_heads(pages: DataFrame, key: str = "page_id", html: str = "html", text_chars: int = 8000) -> DataFrame:
-    """Title, first heading (h1, else h2) and the first characters of the body text.
-
-    The cut is the stored summary's length, not an input limit: the whole page is parsed.
-    """
+def page_heads(pages: DataFrame, key: str = "page_id", html: str = "html", text_chars: int | None = None) -> DataFrame:
+    """Title, first heading (h1, else h2) and the body text; ``text_chars`` shortens the stored text only."""
     h = F.col(html)
     title = plain_text(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))
     h1 = plain_text(F.regexp_extract(h, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
     h2 = plain_text(F.regexp_extract(h, r"(?is)<h2[^>]*>(.*?)</h2>", 1))
     body = F.regexp_replace(F.regexp_extract(h, r"(?is)<body[^>]*>(.*)</body>", 1), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
     body = F.regexp_replace(body, r"(?s)<!--.*?-->", "")
-    return pages.select(
-        key, title.alias("title"), F.when(h1 != "", h1).otherwise(h2).alias("heading"), F.left(plain_text(body), F.lit(text_chars)).alias("text")
-    )
+    text = plain_text(body)
+    if text_chars is not None:
+        text = F.left(text, F.lit(text_chars))
+    return pages.select(key, title.alias("title"), F.when(h1 != "", h1).otherwise(h2).alias("heading"), text.alias("text"))
 
 
 def classify_links(links: DataFrame, rules: dict[str, str], key: str = "page_id") -> DataFrame:

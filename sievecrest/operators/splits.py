@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievecrest.operators.ordering import seeded_key, seeded_row_number, top_per_group
+from sievecrest.session import cut_lineage
 
 
 def _ratio(value: float, what: str) -> None:
@@ -136,12 +137,12 @@ def stratified_take(df: DataFrame, id_col: str, label: str, score: str, n: int)
     """Best ``max(1, n // labels)`` rows a label, then the best leftovers up to ``n``.
 
     Only the best ``n`` rows of a label can ever be taken, so each label is first cut to ``n``
-    before any shuffle of the group; everything after works on labels x n rows.
+    before any shuffle of the group; everything after works on labels x n written rows.
     """
     order = [F.col(score).desc(), F.col(id_col).asc()]
     known = df.where(F.col(label).isNotNull())
     labels = df.agg(F.greatest(F.lit(1), F.count_distinct(label))).scalar()
-    top = top_per_group(known, [label], order, n, id_col, "_rn")
+    top = cut_lineage(top_per_group(known, [label], order, n, id_col, "_rn"))
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) / labels))
     top = top.withColumn("_quota", quota).withColumn("_lead", (F.col("_rn") <= F.col("_quota")).cast("int"))
     lead = top.agg(F.sum("_lead")).scalar()
@@ -174,7 +175,7 @@ def cluster_stratified_take(
     fill = Window.partitionBy(cluster).orderBy(F.col("_lead").desc(), *order)
     leads = F.sum("_lead").over(Window.partitionBy(cluster))
     taken = top.withColumn("_pos", F.row_number().over(fill)).withColumn("_leads", leads)
-    taken = taken.where(F.col("_pos") <= F.greatest(F.col("_leads"), F.col("_q")))
+    taken = cut_lineage(taken.where(F.col("_pos") <= F.greatest(F.col("_leads"), F.col("_q"))))
     # visiting order of clusters: a table of one row per cluster
     visit = taken.groupBy(cluster).agg(F.max("_frac").alias("_frac"), F.count(F.lit(1)).alias("_got"))
     seq = Window.orderBy(F.col("_frac").desc(), F.col(cluster).asc())
