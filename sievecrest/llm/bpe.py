@@ -19,6 +19,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -115,8 +116,9 @@ def replay_merges(words: list[bytes], table: MergeTable) -> list[np.ndarray]:
     enter(np.flatnonzero(after >= 0))
     while queue:
         rank = heapq.heappop(queue)
-        at = np.unique(np.concatenate(index.pop(rank)))
-        at = at[pair[at] == rank]
+        at = np.concatenate(index.pop(rank))
+        at = np.sort(at[pair[at] == rank])
+        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
         if not len(at):
             continue
         # In a chain of overlapping pairs take every second, from the left.
@@ -132,7 +134,7 @@ def replay_merges(words: list[bytes], table: MergeTable) -> list[np.ndarray]:
         pair[gone] = pair[at] = _NONE
         after[at] = beyond
         before[beyond[beyond >= 0]] = at[beyond >= 0]
-        touched = np.unique(np.concatenate([at[beyond >= 0], before[at][before[at] >= 0]]))
+        touched = np.concatenate([at[beyond >= 0], before[at][before[at] >= 0]])
         if len(touched):
             enter(touched)
             low = touched[pair[touched] < rank]
@@ -154,16 +156,15 @@ class CorpusEncoder:
         self.table = MergeTable(ranks)
         self.find = regex.compile(pattern).findall
 
-    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
-        """For every text the ids of its chunks, in order; equal chunks share one array."""
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[np.ndarray]]:
+        """The chunk numbers of every text, and the ids of every distinct chunk."""
         chunk_of: dict[str, int] = {}
-        texts_in_chunks = [[chunk_of.setdefault(c, len(chunk_of)) for c in _BREAK.split(t)] if t else [] for t in texts]
+        number = chunk_of.setdefault
+        texts_in_chunks = [[number(c, len(chunk_of)) for c in _BREAK.split(t)] if t else [] for t in texts]
         word_of: dict[str, int] = {}
         chunks = [[word_of.setdefault(w, len(word_of)) for w in self.find(c)] for c in chunk_of]
         ids = replay_merges([w.encode("utf-8", "surrogatepass") for w in word_of], self.table)
-        none = np.zeros(0, np.int32)
-        of_chunk = [ids[c[0]] if len(c) == 1 else np.concatenate([ids[w] for w in c] or [none]) for c in chunks]
-        return [[of_chunk[c] for c in t] for t in texts_in_chunks]
+        return texts_in_chunks, [ids[c[0]] if len(c) == 1 else np.concatenate([ids[w] for w in c]) for c in chunks]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.table.tokens.__getitem__, ids.tolist()))
@@ -205,29 +206,19 @@ def round_trip_digests(df: DataFrame, id_col: str, text_col: str, path: str, pat
     return _encoded(df, id_col, text_col, path, pattern, schema, _digest_columns)
 
 
-def _ids_column(coder: CorpusEncoder, encoded: list[list[np.ndarray]]) -> list[pa.Array]:
-    return [pa.array([np.concatenate(e) if e else [] for e in encoded], pa.list_(pa.int32()))]
+def _ids_column(coder: CorpusEncoder, texts: list[list[int]], chunks: list[np.ndarray]) -> list[pa.Array]:
+    none = np.zeros(0, np.int32)
+    return [pa.array([np.concatenate([none, *(chunks[c] for c in t)]) for t in texts], pa.list_(pa.int32()))]
 
 
-def _digest_columns(coder: CorpusEncoder, encoded: list[list[np.ndarray]]) -> list[pa.Array]:
-    import hashlib
-
-    said: dict[int, tuple[bytes, bytes]] = {}  # of a shared array: decimal ids, decoded bytes
-    counts, ids_sha, decoded_sha = [], [], []
-    for chunks in encoded:
-        digits, plain = hashlib.sha256(), hashlib.sha256()
-        parts = []
-        for ids in chunks:
-            key = id(ids)
-            if key not in said:
-                said[key] = " ".join(map(str, ids.tolist())).encode(), coder.decode(ids)
-            parts.append(said[key])
-        digits.update(b" ".join(p[0] for p in parts))
-        plain.update(b"".join(p[1] for p in parts))
-        counts.append(sum(map(len, chunks)))
-        ids_sha.append(digits.hexdigest())
-        decoded_sha.append(plain.hexdigest())
-    return [pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+def _digest_columns(coder: CorpusEncoder, texts: list[list[int]], chunks: list[np.ndarray]) -> list[pa.Array]:
+    digits = [" ".join(map(str, ids.tolist())).encode() for ids in chunks]
+    plain = [coder.decode(ids) for ids in chunks]
+    sizes = np.array([len(ids) for ids in chunks], np.int64)
+    counts = [int(sizes[t].sum()) if t else 0 for t in texts]
+    said = [hashlib.sha256(b" ".join(map(digits.__getitem__, t))).hexdigest() for t in texts]
+    decoded = [hashlib.sha256(b"".join(map(plain.__getitem__, t))).hexdigest() for t in texts]
+    return [pa.array(counts, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())]
 
 
 def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str, schema: str, columns) -> DataFrame:
@@ -238,7 +229,7 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
         for ids, texts in _buffers(batches):
-            made = columns(coder, coder.encode(texts))
+            made = columns(coder, *coder.encode(texts))
             yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i in ids], ids[0].type), *made], names)
 
     return rows.mapInArrow(work, f"doc_id {id_type}, {schema}")

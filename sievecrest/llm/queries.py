@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecrest.llm import langid, packing, rules, sharding, simhash, vocab
+from sievecrest.llm import bpe, fingerprints, langid, packing, ppm, rules, sharding, simhash, vocab
 from sievecrest.llm.common import read_table
 from sievecrest.session import scratch_path
 
@@ -34,6 +34,11 @@ def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return ppm.score_texts(docs, "doc_id", "text", ppm.held_out(F.col("doc_id")))
+
+
 def document_tokenizer():
     """Ids of byte_bpe_50k.json: its rank file with its one special token."""
     return vocab.rank_file_tokenizer(
@@ -50,6 +55,10 @@ def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_report(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 def op8_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -62,12 +71,21 @@ def op9_bloom_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.training_row(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip_digests(docs, "doc_id", "text", ranks, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": op1_virtual_slots,
+    "op2_ppm_scores": op2_ppm_scores,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_rule_cascade": op4_rule_cascade,
+    "op5_bottom_k": op5_bottom_k,
     "op8_anchor_simhash": op8_anchor_simhash,
     "op9_bloom_language_id": op9_bloom_language_id,
+    "op10_merge_replay": op10_merge_replay,
 }
 
 ORACLE: dict[str, str] = {
