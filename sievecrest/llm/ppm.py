@@ -2,9 +2,9 @@
 
 The model is a trie of byte contexts of up to ``ORDER`` bytes with the counts of the byte that
 followed, learned from the training texts. A byte is predicted in the longest context seen; if it
-never followed there, the escape probability (method C: distinct followers over occurrences plus
-distinct followers) is paid and the next shorter context predicts it, with every byte the longer
-context knew left out. Below order 0 all bytes not yet seen are equally likely.
+never followed there, the escape probability (method D: half the distinct followers over the
+occurrences; a follower seen c times keeps c - 1/2) is paid and the next shorter context predicts it,
+with every byte the longer context knew left out. Below order 0 all bytes not yet seen are equally likely.
 
 The probability of a byte depends on it and the ``ORDER`` bytes before it alone, so a text's score is
 a sum over its windows of ``ORDER + 1`` bytes, and the trie lives in tables: a level per order, keyed
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from sievecrest.llm.common import segments, small_batches, text_bytes
 from sievecrest.session import cut_lineage
 
-ORDER = 5
+ORDER = 6
 START, END = b"\xfe", b"\xff"
 SYMBOLS = 255  # all bytes but the start byte
 HEAD = 1 << 20
@@ -122,6 +122,11 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], l
         yield docs, out
 
 
+def follows(count: Column, n: Column) -> Column:
+    """Probability of a byte that followed ``count`` of ``n`` times."""
+    return (2 * count - 1) / (2 * n)
+
+
 def _suffix(key: Column, n_bytes: int) -> Column:
     return key.bitwiseAND(F.lit((1 << (8 * n_bytes)) - 1).cast("long"))
 
@@ -147,7 +152,7 @@ def window_scores(counts: DataFrame) -> DataFrame:
     contexts[ORDER] = cut_lineage(contexts[ORDER])
     top = contexts[ORDER].select(F.col("ctx"), "n", "q")
     seen = windows.where("trained > 0").withColumn("ctx", F.shiftright("key", 8)).join(top, "ctx")
-    seen = seen.select("key", "found", F.log10(F.col("trained") / (F.col("n") + F.col("q"))).alias("value"))
+    seen = seen.select("key", "found", F.log10(follows(F.col("trained"), F.col("n"))).alias("value"))
 
     rest = windows.where("trained = 0").select("key", "found")
     for k in range(ORDER, -1, -1):
@@ -164,8 +169,8 @@ def window_scores(counts: DataFrame) -> DataFrame:
             n = n - F.coalesce(above["low"], F.lit(0))
             q = q - F.coalesce(above["q"], F.lit(0))
         hit = F.col(f"c{k}") if k < ORDER else F.lit(None).cast("long")
-        step = F.when(done | here.isNull(), 0.0).when(hit.isNotNull(), F.log10(hit / (n + q)))
-        value = value + step.when(q > 0, F.log10(q / (n + q))).otherwise(0.0)
+        step = F.when(done | here.isNull(), 0.0).when(hit.isNotNull(), F.log10(follows(hit, n)))
+        value = value + step.when(q > 0, F.log10(q / (2 * n))).otherwise(0.0)
         done = done | hit.isNotNull()
     symbols = F.lit(SYMBOLS) - F.coalesce(F.col("ctx0.q"), F.lit(0))
     value = value + F.when(done, 0.0).otherwise(-F.log10(F.greatest(symbols, F.lit(1))))
