@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecrest.llm import bpe, fingerprints, langid, packing, ppm, rules, sharding, simhash, vocab
+from sievecrest.llm import bpe, fingerprints, langid, licenses, packing, ppm, rules, sharding, simhash, vocab, wrappers
 from sievecrest.llm.common import read_table
 from sievecrest.session import scratch_path
 
@@ -59,6 +59,14 @@ def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def op7_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_main_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "url", "html")
+
+
 def op8_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -83,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_rule_cascade": op4_rule_cascade,
     "op5_bottom_k": op5_bottom_k,
+    "op6_license_scan": op6_license_scan,
+    "op7_wrapper_text": op7_wrapper_text,
     "op8_anchor_simhash": op8_anchor_simhash,
     "op9_bloom_language_id": op9_bloom_language_id,
     "op10_merge_replay": op10_merge_replay,
