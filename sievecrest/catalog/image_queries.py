@@ -194,7 +194,7 @@ def _(spark, d):
 
 @query("image_stats_features")
 def _(spark, d):
-    out = I.stats_features(V.images(spark, d), ("id",), size=32)
+    out = I.stats_features(V.images(spark, d), ("id",))
     return out.select("id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 

@@ -218,9 +218,10 @@ def _(spark, d):
 
 @query(
     "probability_histogram",
-    f"""{with_views('scored')}, b AS (SELECT label, least(floor(prob_pos/(1e0/50)),49)::INT AS bin FROM scored)
-    SELECT label, bin, count(*) AS count, round(count(*)/((sum(count(*)) OVER (PARTITION BY label))*(1e0/50)),6) AS density
-    FROM b GROUP BY label, bin""",
+    f"""{with_views('scored')}, b AS (SELECT label, len(list_filter(range(1,50), lambda i: i/50e0<=prob_pos))::INT AS bin FROM scored),
+    e AS (SELECT * FROM (SELECT DISTINCT label FROM scored), (SELECT unnest(range(50))::INT AS bin))
+    SELECT label, e.bin, count(b.bin) AS count, round(count(b.bin)/((sum(count(b.bin)) OVER (PARTITION BY label))*(1e0/50)),6) AS density
+    FROM e LEFT JOIN b USING (label, bin) GROUP BY label, e.bin""",
 )
 def _(spark, d):
     return rounded(M.histogram(V.scored(spark, d), "prob_pos", ["label"]), "density")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievecrest.catalog.base import query
+from sievecrest.functions.risk import candidate_filter
 from sievecrest.functions.vectors import l2_normalise, norm
 from sievecrest.operators import neighbours as N
 from sievecrest.plans import views as V
@@ -58,10 +59,23 @@ def _(spark, d):
     return rnd(N.cosine_knn(m.where("source = 'test'"), m.where("label IS NOT NULL"), 20))
 
 
-@query("approx_cosine_knn")
+@query(
+    "approx_cosine_knn",
+    f"""{with_views("manifest")}, q AS (SELECT sample_id AS id, embedding::DOUBLE[] AS v FROM manifest WHERE source='test'),
+    r AS (SELECT sample_id AS id, embedding::DOUBLE[] AS v FROM manifest WHERE label IS NOT NULL UNION ALL SELECT id+1000000, v FROM q
+      UNION ALL SELECT id+2000000, list_transform(v, lambda x, i: x*(1+0.1e0*(i%3))) FROM q),
+    s AS (SELECT q.id AS query_id, r.id AS ref_id, list_dot_product(q.v,r.v)/(sqrt(list_dot_product(q.v,q.v))*sqrt(list_dot_product(r.v,r.v))) AS sim FROM q, r)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(sim,9) DESC, ref_id))::INT AS rank, ref_id, round(sim,6) AS cosine_sim FROM s WHERE sim>=0.95e0
+    QUALIFY rank<=10""",
+)
 def _(spark, d):
+    """Exact and slightly bent copies of every query among the references: all of them must be found."""
     m = V.manifest(spark, d)
-    return N.approx_knn(m.where("source = 'test'"), m.where("label IS NOT NULL"), 10, 0.2)
+    q, r = m.where("source = 'test'").select("sample_id", "embedding"), m.where("label IS NOT NULL").select("sample_id", "embedding")
+    bent = F.transform("embedding", lambda x, i: x * (1 + 0.1 * ((i + 1) % 3)))
+    copies = q.withColumn("sample_id", F.col("sample_id") + 1000000)
+    near = q.select((F.col("sample_id") + 2000000).alias("sample_id"), bent.alias("embedding"))
+    return rnd(N.approx_knn(q, r.unionByName(copies).unionByName(near), 10, 0.95))
 
 
 EVIDENCE_COLS = ", ".join(
@@ -97,30 +111,30 @@ def _(spark, d):
 
 @query(
     "audit_candidates",
-    f"""{CONFLICT_EDGES}, {CONFLICT_SQL}, k AS (SELECT query_id AS sample_id, query_label AS label, conflict_score, top10_test_frac,
-      CASE WHEN top10_test_frac>=0.2 AND top10_same_label_frac>=0.8 AND conflict_score<=2 AND top1_sim>=0.2 THEN 'strict' WHEN top10_test_frac>=0.1 AND top10_same_label_frac>=0.4 AND conflict_score<=3 AND top1_sim>=0.2 THEN 'medium' END AS kind FROM conf)
-    SELECT sample_id, label, conflict_score, round(0.25e0+0.75e0*top10_test_frac,6) AS sample_weight FROM k WHERE top10_test_frac>=0.1 AND conflict_score<=4""",
+    f"""{CONFLICT_EDGES}, {CONFLICT_SQL}, k AS (SELECT * FROM conf WHERE top10_test_frac>=0.1 AND top10_same_label_frac>=0.3 AND conflict_score<=3 AND top1_sim>=0.25)
+    SELECT query_id AS sample_id, query_label AS label, conflict_score, round(0.25e0+0.75e0*top10_test_frac,6) AS sample_weight FROM k""",
 )
 def _(spark, d):
     from sievecrest.plans.manifests import audit_candidates
 
     conf = rnd(N.label_conflicts(conflict_edges(spark, d), ["train", "myval", "test"]))
-    flag = (F.col("top10_test_frac") >= 0.1) & (F.col("conflict_score") <= 4)
+    args = [F.col(c) for c in ("top10_test_frac", "top10_same_label_frac", "conflict_score", "top1_sim")]
+    flag = candidate_filter((0.1, 0.3, 3.0, 0.25), *args)
     return rnd(audit_candidates(conf, flag))
 
 
 @query(
     "named_candidate_filters",
-    f"""{CONFLICT_EDGES}, {CONFLICT_SQL} SELECT count(*) FILTER (top10_test_frac>=0.2 AND top10_same_label_frac>=0.8 AND conflict_score<=2 AND top1_sim>=0.75) AS strict,
-     count(*) FILTER (top10_test_frac>=0.1 AND top10_same_label_frac>=0.7 AND conflict_score<=3 AND top1_sim>=0.7) AS medium,
-     count(*) FILTER (top10_test_frac>=0.2 AND conflict_score<=4 AND top1_sim>=0.7) AS testprox, count(*) AS rows FROM conf""",
+    f"""{CONFLICT_EDGES}, {CONFLICT_SQL} SELECT count(*) FILTER (top10_test_frac>=0.2 AND top10_same_label_frac>=0.4 AND conflict_score<=2.5 AND top1_sim>=0.3) AS strict,
+     count(*) FILTER (top10_test_frac>=0.1 AND top10_same_label_frac>=0.3 AND conflict_score<=3 AND top1_sim>=0.25) AS medium,
+     count(*) FILTER (top10_test_frac>=0.2 AND conflict_score<=4 AND top1_sim>=0.25) AS testprox,
+     count(*) FILTER (top10_test_frac>=0.2 AND top10_same_label_frac>=0.8 AND conflict_score<=2 AND top1_sim>=0.75) AS published_strict, count(*) AS rows FROM conf""",
 )
 def _(spark, d):
-    from sievecrest.functions.risk import candidate_filter
-
     conf = rnd(N.label_conflicts(conflict_edges(spark, d), ["train", "myval", "test"]))
     args = [F.col(c) for c in ("top10_test_frac", "top10_same_label_frac", "conflict_score", "top1_sim")]
-    return conf.agg(*[F.count_if(candidate_filter(k, *args)).alias(k) for k in ("strict", "medium", "testprox")], F.count(F.lit(1)).alias("rows"))
+    cuts = {"strict": (0.2, 0.4, 2.5, 0.3), "medium": (0.1, 0.3, 3.0, 0.25), "testprox": (0.2, None, 4.0, 0.25), "published_strict": "strict"}
+    return conf.agg(*[F.count_if(candidate_filter(c, *args)).alias(k) for k, c in cuts.items()], F.count(F.lit(1)).alias("rows"))
 
 
 @query(

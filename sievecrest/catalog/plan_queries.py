@@ -14,12 +14,14 @@ from sievecrest.operators import neighbours as N
 from sievecrest.operators import probes as PB
 from sievecrest.operators.filters import matched_rules
 from sievecrest.operators.metrics import best_threshold, eval_summary
+from sievecrest.operators.ordering import global_row_number
 from sievecrest.plans import audits as A
 from sievecrest.plans import ladders as LD
 from sievecrest.plans import protocol as PR
 from sievecrest.plans import validation as VL
 from sievecrest.plans import views as V
 from sievecrest.plans.views import with_views
+from sievecrest.session import cut_lineage
 
 MAN = with_views("manifest")
 
@@ -55,19 +57,51 @@ def _(spark, d):
     return rnd(C.cluster_label_stats(V.table(spark, d, "documents").select(k.alias("cluster"))))
 
 
-@query("pca_neighbours")
+@query(
+    "pca_neighbours",
+    f"""{MAN}, n AS (SELECT count(*) FILTER (source='test') AS q, count(*) FILTER (source='train') AS r FROM manifest)
+    SELECT (q*least(r,5))::BIGINT AS edges, q AS queries, 0::BIGINT AS out_of_order, true AS variance_kept, true AS uncorrelated FROM n""",
+)
 def _(spark, d):
+    """Edges of the projected space, and what PCA promises: uncorrelated axes that keep most of the variance 16 axes can."""
     m = V.manifest(spark, d)
-    fit = m.where("source = 'train'")
-    z = C.standardise(m, fit)
-    z = C.project(z, z.where("source = 'train'"), 16)
-    return N.cosine_knn(z.where("source = 'test'"), z.where("source = 'train'"), 5)
-
-
-@query("kmeans_clusters")
+    z = C.standardise(m, m.where("source = 'train'"))
+    p = C.project(z, z.where("source = 'train'"), 16)
+    edges = N.cosine_knn(p.where("source = 'test'"), p.where("source = 'train'"), 5)
+    train = p.where("source = 'train'").select(*[F.col("embedding")[i].alias(f"x{i}") for i in range(16)])
+    variances = [F.var_pop(f"x{i}") for i in range(16)]
+    falling = F.lit(True)
+    for a, b in zip(variances, variances[1:]):
+        falling = falling & (a >= b - 1e-9)
+    apart = F.abs(F.covar_pop("x0", "x1")) + F.abs(F.covar_pop("x0", "x7")) + F.abs(F.covar_pop("x3", "x12")) < 1e-6
+    whole = z.where("source = 'train'").select(*[F.var_pop(F.col("embedding")[i]).alias(f"v{i}") for i in range(64)])
+    total = whole.select(sum(F.col(f"v{i}") for i in range(64)).alias("t")).scalar()
+    facts = train.agg((falling & (sum(variances) >= total * 16 / 64)).alias("variance_kept"), apart.alias("uncorrelated"))
+    per = edges.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("rank") < 1, 1).otherwise(0)).alias("low"),
+                                        (F.max_by("cosine_sim", "rank") > F.max_by("cosine_sim", -F.col("rank"))).cast("int").alias("bad"))
+    counts = per.agg(F.sum("n").alias("edges"), F.count(F.lit(1)).alias("queries"), F.sum(F.col("low") + F.col("bad")).alias("out_of_order"))
+    return counts.crossJoin(facts)
+
+
+@query("kmeans_clusters", f"{MAN} SELECT count(*) AS rows, 0::BIGINT AS not_at_nearest, true AS within_k, true AS less_spread FROM manifest")
 def _(spark, d):
-    m = V.manifest(spark, d)
-    return C.cluster_sizes(C.kmeans_labels(m, m.where("source = 'train'"), 12))
+    """Every row is in the cluster of its nearest centre, and clusters are tighter than the whole."""
+    m = V.manifest(spark, d).select("sample_id", "source", F.col("embedding").cast("array<double>").alias("embedding"))
+    got = cut_lineage(C.kmeans_labels(m, m, 12, seeds=(42, 43)).select("sample_id", "cluster", "embedding"))
+    axes = got.select("cluster", F.posexplode("embedding").alias("p", "x"))
+    centres = axes.groupBy("cluster", "p").agg(F.avg("x").alias("c")).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("c"))
+    packed = centres.agg(F.collect_list(F.struct("cluster", F.transform("c", lambda s: s["c"]).alias("c")))).scalar()
+    near = F.transform(
+        "_c", lambda k: F.struct(F.aggregate(F.zip_with(k["c"], F.col("embedding"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("dist"), k["cluster"].alias("cluster"))
+    )
+    placed = got.withColumn("_c", packed).select("cluster", near.alias("near"))
+    own = F.filter("near", lambda k: k["cluster"] == F.col("cluster"))[0]["dist"]
+    out = placed.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(own > F.array_min("near")["dist"] + 0.05).alias("not_at_nearest"),
+        (F.count_distinct("cluster") <= 12).alias("within_k"), F.sum(own).alias("inside"),
+    )
+    spread = axes.groupBy("p").agg(F.var_pop("x").alias("v"), F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("v") * F.col("n"))).scalar()
+    return out.select("rows", "not_at_nearest", "within_k", (F.col("inside") < spread).alias("less_spread"))
 
 
 @query("test_like_validation_sets")
@@ -94,13 +128,14 @@ def _(spark, d):
 @query("perceptron_probe")
 def _(spark, d):
     m = V.manifest(spark, d)
-    out = PB.mlp_probe(m.where("source = 'train'"), m.where("source IN ('myval', 'extra')"), (16,), max_iter=20)
+    out = PB.mlp_probe(m.where("source = 'train'"), m.where("source IN ('myval', 'extra')"))
     return best_threshold(out.select("source", "prob_pos", "label"), "prob_pos", "label", ["source"])
 
 
 @query("perceptron_sweep")
 def _(spark, d):
-    return PB.mlp_sweep(V.manifest(spark, d).where("source = 'train'"), [(8,), (16,)], [0.03], max_iter=10)
+    m = V.manifest(spark, d)
+    return PB.mlp_sweep(m.where("source = 'train'"), m.where("source = 'myval'"), [(8,), (16,)], (20, 60), (None, 0.03), (42,))
 
 
 @query(
@@ -177,21 +212,38 @@ def _(spark, d):
     return rnd(_verifier(spark, d)[0].select("id", "weak_label", "alt_model_pos_frac", "verifier_fp_score", "verifier_rank"))
 
 
-RULES_SQL = """hit AS (SELECT 'inferred_ids' AS rule, * FROM vr WHERE id IN (6,22) UNION ALL SELECT 'risk_top2', * FROM vr WHERE rk<=2 UNION ALL SELECT 'risk_top3', * FROM vr WHERE rk<=3 UNION ALL SELECT 'risk_top5', * FROM vr WHERE rk<=5
-   UNION ALL SELECT 'top5_pos_zero_and_second_neg', * FROM vr WHERE t5<=0 AND sec=0 UNION ALL SELECT 'strict_consensus_neg', * FROM vr WHERE t5<=0 AND coalesce(tr,1)<=0.1 AND sec=0 AND prob<0.9
-   UNION ALL SELECT 'alt_majority_negative_high_risk', * FROM vr WHERE coalesce(alt,1)<=0.5 AND risk>=0.75),
-  names AS (SELECT unnest(['inferred_ids','risk_top2','risk_top3','risk_top5','top5_pos_zero_and_second_neg','strict_consensus_neg','alt_majority_negative_high_risk']) AS rule)"""
+RULES_SQL = """hit AS (SELECT 'every_third_id' AS rule, * FROM vr WHERE id%3=0 UNION ALL SELECT 'riskiest_ten', * FROM vr WHERE rk<=10
+   UNION ALL SELECT 'neighbours_mostly_negative', * FROM vr WHERE t5<=0.4 UNION ALL SELECT 'models_and_second_doubt', * FROM vr WHERE alt<=0.5 AND sec=0
+   UNION ALL SELECT 'never', * FROM vr WHERE prob>2),
+  names AS (SELECT unnest(['every_third_id','riskiest_ten','neighbours_mostly_negative','models_and_second_doubt','never']) AS rule)"""
+
+
+def _rules():
+    return {
+        "every_third_id": F.col("id") % 3 == 0,
+        "riskiest_ten": F.col("fp_risk_rank") <= 10,
+        "neighbours_mostly_negative": F.col("top5_pos_frac") <= 0.4,
+        "models_and_second_doubt": (F.col("alt_model_pos_frac") <= 0.5) & (F.col("second_label") == 0),
+        "never": F.col("prob_pos") > 2,
+    }
 
 
 @query(
     "rule_summary",
-    f"""{VER}, {RULES_SQL} SELECT n.rule, count(h.id) AS n_selected, count(h.id) FILTER (weak='inferred_fp') AS inferred_hits, count(h.id) FILTER (weak='one_of_three_fp') AS open_hits,
-    coalesce(string_agg(h.id::VARCHAR, ',' ORDER BY vrank),'') AS selected_ids, round(avg(risk),6) AS mean_fp_risk, round(avg(prob),6) AS mean_prob, round(avg(alt),6) AS mean_alt_pos_frac FROM names n LEFT JOIN hit h USING (rule) GROUP BY n.rule""",
+    f"""{VER}, {RULES_SQL}, s AS (SELECT n.rule, count(h.id) AS n_selected, count(h.id) FILTER (weak='inferred_fp') AS inferred_hits, count(h.id) FILTER (weak='one_of_three_fp') AS open_hits,
+    avg(risk) AS mr, avg(prob) AS mp, avg(alt) AS ma FROM names n LEFT JOIN hit h USING (rule) GROUP BY n.rule)
+    SELECT rule, n_selected, inferred_hits, open_hits, round(mr,6) AS mean_fp_risk, round(mp,6) AS mean_prob, round(ma,6) AS mean_alt_pos_frac,
+    (row_number() OVER (ORDER BY inferred_hits DESC, open_hits, n_selected, round(mr,9) NULLS LAST, rule))::INT AS place FROM s""",
 )
 def _(spark, d):
     feats, _ = _verifier(spark, d)
     known = {"inferred": feats.where("weak_label = 'inferred_fp'"), "open": feats.where("weak_label = 'one_of_three_fp'")}
-    return rnd(A.rule_summary(feats, R.audit_rules([6, 22]), known))
+    return rnd(A.rule_summary(feats, _rules(), known))
+
+
+@query("rule_ids", f"{VER}, {RULES_SQL} SELECT rule, row_number() OVER (PARTITION BY rule ORDER BY vrank) AS place, id FROM hit")
+def _(spark, d):
+    return A.rule_ids(_verifier(spark, d)[0], _rules())
 
 
 @query(
@@ -200,7 +252,7 @@ def _(spark, d):
 )
 def _(spark, d):
     feats, current = _verifier(spark, d)
-    rules = R.audit_rules([6, 22])
+    rules = _rules()
     return LD.zeroed_candidates(current, matched_rules(feats, rules), list(rules))
 
 
@@ -348,12 +400,11 @@ def _(spark, d):
 
 @query(
     "sorted_run_report",
-    """SELECT o_orderkey AS run, o_orderpriority AS priority, m AS metric FROM (SELECT *, CASE WHEN o_orderkey%7<>0 THEN o_totalprice END AS m FROM orders) ORDER BY o_orderpriority, m DESC NULLS LAST, o_orderkey LIMIT 500""",
+    """SELECT o_orderkey AS run, o_orderpriority AS priority, m AS metric, row_number() OVER (ORDER BY o_orderpriority, m DESC NULLS LAST, o_orderkey) AS place FROM (SELECT *, CASE WHEN o_orderkey%7<>0 THEN o_totalprice END AS m FROM orders)""",
 )
 def _(spark, d):
-    from sievecrest.operators.ordering import sorted_rows
-
     o = V.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("metric")
     )
-    return sorted_rows(o, [("priority", "asc"), ("metric", "desc"), ("run", "asc")], 500)
+    order = [F.col("priority").asc_nulls_last(), F.col("metric").desc_nulls_last(), F.col("run").asc_nulls_last()]
+    return global_row_number(o, order, "place")

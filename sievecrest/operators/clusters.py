@@ -46,7 +46,7 @@ def project(df: DataFrame, fit_on: DataFrame, components: int, vector: str = "em
 
 
 def kmeans_labels(
-    df: DataFrame, fit_on: DataFrame, k: int, seeds: Sequence[int] = (42, 43, 44), vector: str = "embedding", name: str = "cluster", max_iter: int = 50
+    df: DataFrame, fit_on: DataFrame, k: int, seeds: Sequence[int] = tuple(range(42, 52)), vector: str = "embedding", name: str = "cluster", max_iter: int = 50
 ) -> DataFrame:
     """Cluster of every row; the model with the lowest training cost over several seeds is used."""
     train = cut_lineage(fit_on.select(array_to_vector(F.col(vector)).alias("_v")))

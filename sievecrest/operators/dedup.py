@@ -13,7 +13,6 @@ from sievecrest.functions.hashing import chunks, hamming, pieces
 from sievecrest.functions.vectors import correlation_distance
 from sievecrest.session import cut_lineage
 
-HOT_KEY_ROWS = 2000
 # The distance limits of the two match rules.
 COLOR_LIMIT = 10
 STRICT_CORR = 0.08
@@ -70,48 +69,43 @@ def match_reason(p: Column, d: Column, a: Column, c: Column, corr: Column, stric
 HASHES = ("idx", "ahash", "dhash", "phash", "chash")
 
 
-def hash_pairs(
-    later: DataFrame, earlier: DataFrame, strict: int = 4, loose: int = 8, positional: bool = False, hot_rows: int = HOT_KEY_ROWS,
-    ordered: bool = True,
-) -> DataFrame:
+def hash_pairs(later: DataFrame, earlier: DataFrame, strict: int = 4, loose: int = 8, positional: bool = False, ordered: bool = True) -> DataFrame:
     """(later_idx, earlier_idx, ord): pairs that share a chunk and pass the hash part of a match rule.
 
-    A chunk held by more than ``hot_rows`` rows is not joined on alone. Both rules need the two
-    hashes within ``loose`` bits of each other, so two matching rows agree on one of ``loose + 1``
-    slices of the *other* hash; hot chunks are joined on (chunk, slice), which cuts the group without
+    No chunk is joined on alone. Both rules need the two hashes within ``max(strict, loose)`` bits of
+    each other, so two matching rows agree on one of that many slices plus one of the *other* hash;
+    the join key is (chunk, slice number, slice), which cuts a chunk that many rows share without
     losing a pair. Every pair comes out once, at its first shared key. ``ordered=False`` also pairs a
     left row with right rows that come after it.
     """
     keys_of = _chunk_tables("phash", "dhash")
     cols = list(HASHES)
-    l_keys = later.select(*cols, F.explode(keys_of).alias("_k"))
-    e_keys = earlier.select(*cols, F.explode(keys_of).alias("_k"))
-    load = l_keys.unionByName(e_keys).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    hot = load.where(F.col("_n") > hot_rows).select("_k").withColumn("_hot", F.lit(True))
-    l_tag = l_keys.join(hot, "_k", "left")
-    e_tag = e_keys.join(hot, "_k", "left")
-    parts = loose + 1
-
-    def sliced(df: DataFrame) -> DataFrame:
-        other = F.when(F.col("_k.kind") == "p", pieces(F.col("dhash"), parts)).otherwise(pieces(F.col("phash"), parts))
-        cold = F.array(F.struct(F.lit(-1).alias("no"), F.lit(0).cast("bigint").alias("value")))
-        many = F.transform(other, lambda v, i: F.struct(i.alias("no"), v.alias("value")))
-        return df.select(*cols, "_k", F.explode(F.when(F.col("_hot"), many).otherwise(cold)).alias("_s"))
-
-    a, b = sliced(l_tag).alias("a"), sliced(e_tag).alias("b")
+    parts = max(strict, loose) + 1
+
+    def other_slices(h_p: Column, h_d: Column, kind: Column) -> Column:
+        return F.when(kind == "p", pieces(h_d, parts)).otherwise(pieces(h_p, parts))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        rows = df.select(*cols, F.explode(keys_of).alias("_k"))
+        slices = other_slices(F.col("phash"), F.col("dhash"), F.col("_k.kind"))
+        return rows.select(*cols, "_k", F.posexplode(slices).alias("_no", "_slice"))
+
+    a, b = keyed(later).alias("a"), keyed(earlier).alias("b")
     order = shared_chunk_order(F.col("a.phash"), F.col("a.dhash"), F.col("b.phash"), F.col("b.dhash"), positional)
     mine = F.concat(chunks(F.col("a.phash")), chunks(F.col("a.dhash")))
     first_key = (F.when(order < 4, "p").otherwise("d") == F.col("a._k.kind")) & (
         F.element_at(mine, order + 1) == F.col("a._k.chunk")
     )
-    equal = F.when(
-        F.col("a._k.kind") == "p",
-        F.zip_with(pieces(F.col("a.dhash"), parts), pieces(F.col("b.dhash"), parts), lambda x, y: x == y),
-    ).otherwise(F.zip_with(pieces(F.col("a.phash"), parts), pieces(F.col("b.phash"), parts), lambda x, y: x == y))
-    first_slice = (F.col("a._s.no") == -1) | (F.array_position(equal, True) == F.col("a._s.no") + 1)
+    equal = F.zip_with(
+        other_slices(F.col("a.phash"), F.col("a.dhash"), F.col("a._k.kind")),
+        other_slices(F.col("b.phash"), F.col("b.dhash"), F.col("a._k.kind")),
+        lambda x, y: x == y,
+    )
+    first_slice = F.array_position(equal, True) == F.col("a._no") + 1
     in_order = F.col("a.idx") > F.col("b.idx") if ordered else F.col("a.idx") != F.col("b.idx")
+    same_key = (F.col("a._k") == F.col("b._k")) & (F.col("a._no") == F.col("b._no")) & (F.col("a._slice") == F.col("b._slice"))
     return (
-        a.join(b, (F.col("a._k") == F.col("b._k")) & (F.col("a._s") == F.col("b._s")) & in_order)
+        a.join(b, same_key & in_order)
         .where(hamming_match("a", "b", strict, loose) & first_key & first_slice)
         .select(F.col("a.idx").alias("later_idx"), F.col("b.idx").alias("earlier_idx"), order.alias("ord"))
     )
@@ -161,17 +155,16 @@ def _leader_round(rows: DataFrame, strict: int, loose: int) -> tuple[DataFrame,
     return leaders, gone
 
 
-def resolve_first_wins(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def resolve_first_wins(edges: DataFrame) -> DataFrame:
     """Rows to drop: those with a kept earlier neighbour, in dependency order.
 
     ``edges`` are (later_idx, earlier_idx) matches. Each round keeps rows that wait for nobody, drops
-    their later neighbours and forgets edges of decided rows; rounds follow the longest chain.
+    their later neighbours and forgets edges of decided rows. At least the smallest open row is
+    decided in a round, so it ends; rounds follow the longest chain.
     """
     live = cut_lineage(edges.select("later_idx", "earlier_idx").distinct())
     dropped = None
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         waiting = live.select(F.col("later_idx").alias("idx")).distinct()
         kept = live.select(F.col("earlier_idx").alias("idx")).distinct().join(waiting, "idx", "left_anti")
         gone = live.join(kept.withColumnRenamed("idx", "earlier_idx"), "earlier_idx", "left_semi").select(
@@ -185,36 +178,33 @@ def resolve_first_wins(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
                 decided.withColumnRenamed("idx", "earlier_idx"), "earlier_idx", "left_anti"
             )
         )
-    else:
-        raise RuntimeError("first-wins resolution did not settle")
     if dropped is None:
         return edges.select(F.col("later_idx").alias("idx")).limit(0)
     return cut_lineage(dropped)
 
 
 def deduplicate(
-    df: DataFrame, strict: int = 4, loose: int = 8, positional: bool = False, hot_rows: int = HOT_KEY_ROWS, leader_rounds: int = 3
+    df: DataFrame, strict: int = 4, loose: int = 8, positional: bool = False, leader_rounds: int = 1
 ) -> DataFrame:
     """Every row with ``status`` (kept or removed), ``duplicate_of`` (idx) and ``duplicate_reason``.
 
     ``df`` needs idx (processing order), digest, the four hashes and the feature vector. Equals the
-    one-by-one loop: keep a row unless its digest was kept or a kept earlier candidate matches it.
+    one-by-one loop: keep a row unless its digest was kept or a kept earlier candidate matches it. A
+    row without a digest is nobody's exact copy. Leader rounds take large groups of near copies off
+    first, in linear time; they do not change the result.
     """
     base = cut_lineage(df.select(*HASHES, "digest", "feature"))
-    firsts = exact_duplicates(base).select("digest", F.col("first_idx").alias("_first"))
-    tagged = cut_lineage(base.select("idx", "digest").join(firsts, "digest"))
+    firsts = exact_duplicates(base.where(F.col("digest").isNotNull())).select("digest", F.col("first_idx").alias("_first"))
+    tagged = base.select("idx", "digest").join(firsts, "digest", "left")
+    tagged = cut_lineage(tagged.withColumn("_first", F.coalesce("_first", "idx")))
     reps = base.join(tagged.where(F.col("idx") == F.col("_first")).select("idx"), "idx", "left_semi")
-    keys = reps.select(F.explode(_chunk_tables("phash", "dhash")).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
     open_rows, dropped = reps, []
-    if not positional and keys.where(F.col("n") > hot_rows).limit(1).count():
-        for _ in range(leader_rounds):
-            leaders, gone = _leader_round(open_rows, strict, loose)
-            gone = cut_lineage(gone)
-            dropped.append(gone)
-            open_rows = cut_lineage(
-                open_rows.join(leaders, "idx", "left_anti").join(gone, "idx", "left_anti")
-            )
-    edges = matched_pairs(hash_pairs(open_rows, open_rows, strict, loose, positional, hot_rows), open_rows, strict, loose)
+    for _ in range(0 if positional else leader_rounds):
+        leaders, gone = _leader_round(open_rows, strict, loose)
+        gone = cut_lineage(gone)
+        dropped.append(gone)
+        open_rows = cut_lineage(open_rows.join(leaders, "idx", "left_anti").join(gone, "idx", "left_anti"))
+    edges = matched_pairs(hash_pairs(open_rows, open_rows, strict, loose, positional), open_rows, strict, loose)
     dropped.append(resolve_first_wins(edges))
     gone = dropped[0]
     for more in dropped[1:]:
@@ -227,7 +217,7 @@ def deduplicate(
     kept_rows = base.join(state.where(is_first & ~F.col("_gone")).select("idx"), "idx", "left_semi")
     lost_firsts = base.join(state.where(is_first & F.col("_gone")).select("idx"), "idx", "left_semi")
     # Compare each dropped image once; its copies then pick among its matches those before them.
-    pairs = hash_pairs(lost_firsts, kept_rows, strict, loose, positional, hot_rows, ordered=False)
+    pairs = hash_pairs(lost_firsts, kept_rows, strict, loose, positional, ordered=False)
     matches = matched_pairs(pairs, base, strict, loose).withColumnRenamed("later_idx", "_first")
     first = (
         state.where(F.col("_gone")).select("idx", "_first").join(matches, "_first")

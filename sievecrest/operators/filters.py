@@ -78,7 +78,7 @@ def keep_lines(lines: Column, min_score: float) -> Column:
 
 
 def matched_rules(df: DataFrame, rules: Mapping[str, Column], name: str = "rule") -> DataFrame:
-    """One row per (row, rule it satisfies)."""
+    """One row per (row, rule it satisfies); ``rules`` maps names to conditions, and a NULL condition is not met."""
     hits = F.array_compact(F.array(*[F.when(mask, F.lit(rule)) for rule, mask in rules.items()]))
     return df.withColumn(name, F.explode(hits))
 

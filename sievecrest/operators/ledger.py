@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievecrest.functions.scores import bayes_prior_correct
 from sievecrest.operators.metrics import best_threshold, f1_from_counts
 from sievecrest.operators.ordering import running_max
+from sievecrest.session import cut_lineage
 
 
 def running_best(df: DataFrame, epoch: str = "epoch", score: str = "val_f1", patience: int | None = None, run: str | None = None) -> DataFrame:
@@ -71,7 +72,7 @@ def parse_settings(text: Column) -> Column:
 
 def ledger_progress(df: DataFrame, order: str, metric: str, group: str) -> DataFrame:
     """Running best of a metric in entry order within each group of runs."""
-    seen = running_max(df, order, metric, [group], "_before")
+    seen = running_max(cut_lineage(df), order, metric, [group], "_before")
     return seen.select(
         *df.columns,
         F.greatest(metric, "_before").alias("best_so_far"),

@@ -75,14 +75,22 @@ def f1_at(df: DataFrame, score: str, label: str, threshold: Column | float, by:
 
 
 def score_cells(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per (by, distinct score): row count, positives and negatives."""
-    return df.groupBy(*by, F.col(score).alias("score")).agg(
+    """One row per (by, distinct score): row count, positives and negatives.
+
+    Rows without a score (see ``unscored_rows``) are no candidates and count nowhere.
+    """
+    return df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col(label) == 1).alias("pos"),
         F.count_if(F.col(label) == 0).alias("neg"),
     )
 
 
+def unscored_rows(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows that a sweep leaves out because they have no score."""
+    return df.groupBy(*by).agg(F.count_if(F.col(score).isNull()).alias("unscored"))
+
+
 DEFAULT_CUTS = (0.0, 0.5, 1.0)
 
 
@@ -298,15 +306,32 @@ def distribution_report(df: DataFrame, score: str, by: Sequence[str] = ()) -> Da
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 50, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Equal-width counts and densities; the last bin includes its upper edge."""
+    """Counts and densities of all ``bins``, empty ones included; the last includes its upper edge.
+
+    Bin i begins at the edge ``low + i * (high - low) / bins`` as a double; the bin found by division
+    is put right by one step where that edge lies on the other side of the value.
+    """
     by = list(by)
     v = F.col(value)
-    width = (high - low) / bins
-    slot = F.least(F.floor((v - low) / width), F.lit(bins - 1)).cast("int")
+    span = high - low
+
+    def edge(i: Column) -> Column:
+        return F.lit(low) + i * F.lit(span) / F.lit(bins)
+
+    guess = F.least(F.floor((v - low) * bins / span), F.lit(bins - 1))
+    slot = F.when(v < edge(guess), guess - 1).when((guess < bins - 1) & (v >= edge(guess + 1)), guess + 1).otherwise(guess)
     inside = df.where((v >= low) & (v <= high))
-    counts = inside.groupBy(*by, slot.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    whole = Window.partitionBy(*by)
-    return counts.withColumn("density", F.col("count") / (F.sum("count").over(whole) * F.lit(width)))
+    counts = inside.groupBy(*by, slot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    every = groups.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_bin"))
+    on = F.col("bin") == F.col("_bin")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    whole = Window.partitionBy(*[f"_g{i}" for i in range(len(by))])
+    n = F.coalesce("count", F.lit(0))
+    density = n / (F.sum(n).over(whole) * F.lit(span / bins))
+    filled = every.join(counts, on, "left")
+    return filled.select(*[F.col(f"_g{i}").alias(c) for i, c in enumerate(by)], F.col("_bin").alias("bin"), n.alias("count"), density.alias("density"))
 
 
 def rank_correlation(df: DataFrame, key: str, metric: str, truth: str) -> DataFrame:

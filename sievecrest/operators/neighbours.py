@@ -81,11 +81,13 @@ def cosine_knn(
 
     Queries and references are hashed to the rows and columns of a grid and each grid cell is one
     co-grouped block product in NumPy that emits only its own top ``k`` per query; a limit-aware
-    window merges the cells. Cells hash on the id, so a hot label, source or copy group spreads
+    window merges the cells. Rows without a vector have no neighbours and are none; vectors of another
+    length than most are an error of the caller. Cells hash on the id, so a hot label, source or copy group spreads
     over all of them, memory a task is bounded by ``cell_rows``, and no pair list is ever produced.
     Equal similarities (to 12 digits) rank by reference id.
     """
     spark = queries.sparkSession
+    queries, refs = queries.where(F.col(vector).isNotNull()), refs.where(F.col(vector).isNotNull())
     rows, cols = _grid(queries.count(), refs.count(), cell_rows, spark.sparkContext.defaultParallelism)
     q = queries.select(F.col(id_col).alias("qid"), l2_normalise(F.col(vector)).alias("qvec"))
     r = refs.select(F.col(id_col).alias("rid"), l2_normalise(F.col(vector)).alias("rvec"))
@@ -121,37 +123,70 @@ def cosine_knn(
     )
 
 
+def sign_tables(n_refs: int, min_sim: float, miss: float = 0.01) -> tuple[int, int]:
+    """Bits a table and tables, so that random vectors rarely meet and a pair at ``min_sim`` is missed with ``miss``.
+
+    Two vectors at angle a agree in the sign of a random projection with probability 1 - a / pi. Bits
+    grow with the number of references, about 64 random ones to a bucket.
+    """
+    bits = min(24, max(8, math.ceil(math.log2(max(1, n_refs) / 64))))
+    together = (1.0 - math.acos(min_sim) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(miss) / math.log(max(1e-12, 1.0 - together))))
+
+
+def _sign_keys(dims: int, bits: int, tables: int, seed: int):
+    planes = np.random.default_rng(seed).standard_normal((dims, bits * tables))
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def keys(vectors: pd.Series) -> pd.Series:
+        above = np.stack(vectors.to_numpy()) @ planes > 0
+        return pd.Series(list(above.reshape(-1, tables, bits) @ weights))
+
+    return keys
+
+
+def sign_candidates(left: DataFrame, right: DataFrame, min_sim: float, seed: int = 11) -> DataFrame:
+    """(l, r): pairs of (l, u) and (r, u) rows that share a bucket of sign bits in some table, each once."""
+    first = right.select(F.size("u").alias("n")).first()
+    if first is None:
+        return left.select("l").crossJoin(right.select("r")).limit(0)
+    bits, tables = sign_tables(right.count(), min_sim)
+    keys = _sign_keys(first["n"], bits, tables, seed)
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        rows = cut_lineage(df.select(name, keys("u").alias(f"_{name}")))
+        return rows.select(name, f"_{name}", F.posexplode(f"_{name}").alias("_no", "_key"))
+
+    met = keyed(left, "l").join(keyed(right, "r"), ["_no", "_key"])
+    agree = F.array_position(F.zip_with("_l", "_r", lambda a, b: a == b), True)
+    return met.where(agree == F.col("_no") + 1).select("l", "r")
+
+
 def approx_knn(
-    queries: DataFrame, refs: DataFrame, k: int, min_sim: float, id_col: str = "sample_id", vector: str = "embedding",
-    tables: int = 6, bucket: float = 1.0, seed: int = 11,
+    queries: DataFrame, refs: DataFrame, k: int, min_sim: float, id_col: str = "sample_id", vector: str = "embedding", seed: int = 11
 ) -> DataFrame:
-    """LSH neighbours above a similarity: random projections on unit vectors, ``cos = 1 - d^2 / 2``.
+    """Neighbours at or above a similarity through sign bits of random projections; reported similarities are exact.
 
-    Copies are settled before the similarity join. Equal references tie and rank by id, so a vector
-    needs only its ``k`` smallest ids; equal queries share one answer. The join therefore sees each
-    distinct vector once and a group of copies never multiplies with another.
+    Copies are settled before candidates are formed. Equal references tie and rank by id, so a vector
+    needs only its ``k`` smallest ids; equal queries share one answer. Buckets therefore hold each
+    distinct vector once and a group of copies never multiplies with another. Rows without a vector
+    have no neighbours.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    q = queries.select(F.col(id_col).alias("query_id"), l2_normalise(F.col(vector)).alias("u"))
-    r = refs.select(F.col(id_col).alias("ref_id"), l2_normalise(F.col(vector)).alias("u"))
-    q_first = q.groupBy("u").agg(F.min("query_id").alias("q_rep"))
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("query_id"), l2_normalise(F.col(vector)).alias("u"))
+    r = refs.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("ref_id"), l2_normalise(F.col(vector)).alias("u"))
+    q_first = cut_lineage(q.groupBy("u").agg(F.min("query_id").alias("l")))
     r_ids = cut_lineage(top_per_group(r, ["u"], [F.col("ref_id").asc()], k, "ref_id", "_copy"))
-    r_first = r_ids.where(F.col("_copy") == 1).select(F.col("ref_id").alias("r_rep"), "u")
-    left = q_first.select("q_rep", array_to_vector("u").alias("v"))
-    right = r_first.select("r_rep", array_to_vector("u").alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed)
-    joined = lsh.fit(right).approxSimilarityJoin(left, right, math.sqrt(2.0 * (1.0 - min_sim)), "d")
-    pairs = joined.select(
-        F.col("datasetA.q_rep").alias("q_rep"), F.col("datasetB.r_rep").alias("r_rep"), (1.0 - F.col("d") * F.col("d") / 2.0).alias("cosine_sim")
-    )
-    pairs = top_per_group(pairs, ["q_rep"], [F.col("cosine_sim").desc(), F.col("r_rep").asc()], k, "r_rep", "_near").drop("_near")
-    copies = r_ids.join(r_first, "u").select("r_rep", "ref_id")
-    best = top_per_group(
-        pairs.join(copies, "r_rep"), ["q_rep"], [F.col("cosine_sim").desc(), F.col("ref_id").asc()], k, "ref_id", "rank"
-    )
-    owners = q.join(q_first, "u").select("query_id", "q_rep")
-    return owners.join(best, "q_rep").select("query_id", "rank", "ref_id", "cosine_sim")
+    r_first = r_ids.where(F.col("_copy") == 1).select(F.col("ref_id").alias("r"), "u")
+    met = sign_candidates(q_first, r_first, min_sim, seed)
+    both = met.join(q_first.withColumnRenamed("u", "lu"), "l").join(r_first.withColumnRenamed("u", "ru"), "r")
+    sim = F.round(dot(F.col("lu"), F.col("ru")), 12)
+    pairs = both.select("l", "r", sim.alias("cosine_sim")).where(F.col("cosine_sim") >= min_sim)
+    pairs = top_per_group(pairs, ["l"], [F.col("cosine_sim").desc(), F.col("r").asc()], k, "r", "_near").drop("_near")
+    copies = r_ids.join(r_first, "u").select("r", "ref_id")
+    best = top_per_group(pairs.join(copies, "r"), ["l"], [F.col("cosine_sim").desc(), F.col("ref_id").asc()], k, "ref_id", "rank")
+    owners = q.join(q_first, "u").select("query_id", "l")
+    return owners.join(best, "l").select("query_id", "rank", "ref_id", "cosine_sim")
 
 
 def with_ref_columns(edges: DataFrame, refs: DataFrame, cols: Sequence[str], id_col: str = "sample_id") -> DataFrame:

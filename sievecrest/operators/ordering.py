@@ -4,8 +4,8 @@ Three ways, by what the order is made of:
 
 * hash order (``seeded_*``): md5 keys are uniform, so the leading hex digits cut every group, hot
   or not, into equal slices;
-* value order with totals (``running_totals``): rows collapse to distinct values first, then
-  quantile bounds from a sketch cut the values into even ranges;
+* value order with totals (``running_totals``): rows collapse to distinct values first, then a
+  range layout cuts the values into as many parts as their number calls for;
 * row order with ties (``global_row_number``): Spark's range partitioner over the full sort key,
   written once so that both readers of the layout see the same one.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sievecrest.session import cut_lineage
 
 HASH_DIGITS = 4
-RANGES = 256  # a power of two: the bound search halves it
+RANGE_ROWS = 1 << 20  # rows a task of a range layout should hold
 
 
 def seeded_key(id_col: str | Column, seed: int) -> Column:
@@ -68,106 +68,72 @@ def seeded_row_number(
     return out.drop("_key", "_slice", "_in", "_oslice", "_offset", "_gsize", *[f"_g{i}" for i in range(len(by))])
 
 
-def quantile_bounds(df: DataFrame, value: str, ranges: int = RANGES) -> Column:
-    """Scalar subquery: ``ranges - 1`` ascending cut points of a numeric column."""
-    points = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))
-    return df.agg(F.expr(f"percentile_approx(CAST(`{value}` AS DOUBLE), array({points}), 10000)")).scalar()
+def range_layout(rows: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """``rows`` (a written table) cut into ranges of ``keys`` by Spark's range partitioner, with ``_part``.
+
+    There are as many ranges as shuffle partitions, or as rows call for if these are more. The layout
+    is written, so that all its readers see the same one.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+    return cut_lineage(rows.repartitionByRange(parts, *keys).select("*", F.spark_partition_id().alias("_part")))
 
 
-def range_index(value: Column, bounds: Column, ranges: int = RANGES) -> Column:
-    """How many bounds lie below ``value``: a binary search written as a fold over step sizes."""
-    steps = []
-    step = ranges // 2
-    while step:
-        steps.append(step)
-        step //= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda low, width: low + F.when(F.element_at(bounds, low + width) < value, width).otherwise(F.lit(0)),
+def _with_earlier(laid: DataFrame, by: Sequence[str], found: dict) -> DataFrame:
+    """Attach to each row what the ranges before its own amount to inside ``by``: name -> (aggregate, fold of aggregates)."""
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = laid.groupBy(*by, "_part").agg(*[agg.alias(f"_a_{name}") for name, (agg, _) in found.items()])
+    shifts = per_part.select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)],
+        F.col("_part").alias("_opart"),
+        *[fold(F.col(f"_a_{name}")).over(before).alias(name) for name, (_, fold) in found.items()],
     )
+    on = F.col("_part") == F.col("_opart")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return laid.join(shifts, on).drop("_opart", *[f"_g{i}" for i in range(len(by))])
 
 
 def running_totals(
-    cells: DataFrame,
-    value: str,
-    totals: Sequence[str],
-    by: Sequence[str] = (),
-    descending: bool = True,
-    prefix: str = "cum_",
+    cells: DataFrame, value: str, totals: Sequence[str], by: Sequence[str] = (), descending: bool = True, prefix: str = "cum_"
 ) -> DataFrame:
     """Inclusive running sums of ``totals`` in ``value`` order inside ``by``.
 
-    ``cells`` holds one row per (by, value). Values are cut into even ranges; each range is summed
-    on its own and shifted by the totals of the ranges before it (at most ``RANGES`` rows a group).
+    ``cells`` is a written table with one row per (by, value). It is laid out in ranges of
+    (by, value); each range is summed on its own and shifted by the totals of the ranges before it.
     """
     by = list(by)
-    names = [f"_g{i}" for i in range(len(by))]
-    bounded = cells.select("*", quantile_bounds(cells, value).alias("_bounds"))
-    ranged = bounded.select(
-        *cells.columns, F.coalesce(range_index(F.col(value).cast("double"), F.col("_bounds")), F.lit(0)).alias("_range")
-    )
-    order = F.col("_range").desc() if descending else F.col("_range").asc()
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(t).alias(f"_s{i}") for i, t in enumerate(totals)])
-    shifts = per_range.select(
-        *[F.col(c).alias(n) for c, n in zip(by, names)],
-        F.col("_range").alias("_orange"),
-        *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in range(len(totals))],
-    )
-    on = F.col("_range") == F.col("_orange")
-    for c, n in zip(by, names):
-        on = on & F.col(c).eqNullSafe(F.col(n))
     value_order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
-    inside = Window.partitionBy(*by, "_range").orderBy(value_order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.select("*", *[F.sum(t).over(inside).alias(f"_w{i}") for i, t in enumerate(totals)])
-    return summed.join(shifts, on).select(
-        *cells.columns, *[(F.col(f"_w{i}") + F.col(f"_o{i}")).alias(prefix + t) for i, t in enumerate(totals)]
+    laid = range_layout(cells, [*[F.col(c).asc_nulls_first() for c in by], value_order])
+    shifted = _with_earlier(laid, by, {f"_o{i}": (F.sum(t), F.sum) for i, t in enumerate(totals)})
+    inside = Window.partitionBy(*by, "_part").orderBy(value_order).rowsBetween(Window.unboundedPreceding, 0)
+    return shifted.select(
+        *cells.columns,
+        *[(F.sum(t).over(inside) + F.coalesce(F.col(f"_o{i}"), F.lit(0))).alias(prefix + t) for i, t in enumerate(totals)],
     )
 
 
-def running_max(
-    df: DataFrame, order: str, value: str, by: Sequence[str] = (), name: str = "best_before", ranges: int = RANGES
-) -> DataFrame:
-    """Largest ``value`` of the rows before each row, in (unique, numeric) ``order`` inside ``by``.
+def running_max(df: DataFrame, order: str, value: str, by: Sequence[str] = (), name: str = "best_before") -> DataFrame:
+    """Largest ``value`` of the rows before each row, in (unique) ``order`` inside ``by``; ``df`` is a written table.
 
-    Cut into even ranges of the order like ``running_totals``, so a group that holds a third of the
+    Laid out in ranges of (by, order) like ``running_totals``, so a group that holds a third of the
     rows is not one window.
     """
     by = list(by)
-    names = [f"_g{i}" for i in range(len(by))]
-    bounded = df.select("*", quantile_bounds(df, order, ranges).alias("_bounds"))
-    ranged = bounded.select(
-        *df.columns, F.coalesce(range_index(F.col(order).cast("double"), F.col("_bounds"), ranges), F.lit(0)).alias("_range")
-    )
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    peaks = ranged.groupBy(*by, "_range").agg(F.max(value).alias("_m")).select(
-        *[F.col(c).alias(n) for c, n in zip(by, names)], F.col("_range").alias("_orange"), F.max("_m").over(before).alias("_earlier")
-    )
-    on = F.col("_range") == F.col("_orange")
-    for c, n in zip(by, names):
-        on = on & F.col(c).eqNullSafe(F.col(n))
-    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = ranged.select("*", F.max(value).over(inside).alias("_here"))
-    return seen.join(peaks, on).select(*df.columns, F.greatest("_here", "_earlier").alias(name))
-
+    laid = range_layout(df, [*[F.col(c).asc_nulls_first() for c in by], F.col(order).asc_nulls_first()])
+    shifted = _with_earlier(laid, by, {"_earlier": (F.max(value), F.max)})
+    inside = Window.partitionBy(*by, "_part").orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    return shifted.select(*df.columns, F.greatest(F.max(value).over(inside), "_earlier").alias(name))
 
-GROUP_LIMIT = 1000  # largest n for which Spark itself cuts a ranked group before its shuffle
 
+def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, id_col: str, name: str = "rank", salts: int = 256) -> DataFrame:
+    """First ``n`` rows per group with their rank, one way for every ``n``.
 
-def top_per_group(
-    df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, id_col: str, name: str = "rank", salts: int = 256
-) -> DataFrame:
-    """First ``n`` rows per group with their rank.
-
-    Small ``n``: Spark limits every group map-side. Larger ``n``: groups are first cut to ``n`` inside
-    hash salts of the id, so no task ever sorts a whole hot group.
+    Groups are first cut to ``n`` inside hash salts of the id, then inside the group, so no task ever
+    sorts a whole hot group: its last task gets at most ``n`` rows a salt.
     """
-    rows = df
-    if n > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(id_col), F.lit(salts))
-        part = Window.partitionBy(*by, "_salt").orderBy(*order)
-        rows = df.withColumn("_salt", salt).withColumn("_pre", F.row_number().over(part)).where(F.col("_pre") <= n).drop("_salt", "_pre")
+    part = Window.partitionBy(*by, "_salt").orderBy(*order)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts))).withColumn("_pre", F.row_number().over(part))
+    rows = salted.where(F.col("_pre") <= n).drop("_salt", "_pre")
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)
 
 

@@ -6,15 +6,15 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievecrest.functions.scores import clamp, sigmoid
 from sievecrest.operators.clusters import standardise
+from sievecrest.operators.metrics import best_threshold, f1_at
 from sievecrest.session import cut_lineage
 
 
@@ -70,23 +70,37 @@ def mlp_probe(
 
 
 def mlp_sweep(
-    train: DataFrame, hidden: Sequence[Sequence[int]], steps: Sequence[float], vector: str = "embedding", label: str = "label", seed: int = 42, max_iter: int = 30, parallelism: int = 4
+    train: DataFrame, val: DataFrame, hidden: Sequence[Sequence[int]], iterations: Sequence[int] = (60,), steps: Sequence[float | None] = (None,),
+    seeds: Sequence[int] = (42,), vector: str = "embedding", label: str = "label",
 ) -> DataFrame:
-    """Grid of perceptron settings ranked by validation F1: (hidden, step_size, val_f1)."""
+    """Perceptron settings judged on ``val``: (hidden, iterations, step_size, seed, f1_at_half, threshold, best_f1).
+
+    A step size takes plain gradient descent, which uses it; without one the solver is l-bfgs, which
+    has none. Settings are fitted one after the other, each a distributed job on the written rows;
+    the best thresholds of all settings come from one sweep.
+    """
     spark = train.sparkSession
-    train = train.where(F.col(label).isNotNull())
+    train, val = train.where(F.col(label).isNotNull()), val.where(F.col(label).isNotNull())
     dims = train.select(F.size(vector)).first()[0]
-    data = cut_lineage(
-        standardise(train, train, vector).select(array_to_vector(F.col(vector)).alias("_v"), F.col(label).cast("double").alias("_y"))
-    )
-    mlp = MultilayerPerceptronClassifier(featuresCol="_v", labelCol="_y", seed=seed, maxIter=max_iter, solver="l-bfgs")
-    grid = ParamGridBuilder().addGrid(mlp.layers, [[dims, *h, 2] for h in hidden]).addGrid(mlp.stepSize, list(steps)).build()
-    judge = MulticlassClassificationEvaluator(labelCol="_y", metricName="fMeasureByLabel", metricLabel=1.0)
-    model = TrainValidationSplit(estimator=mlp, estimatorParamMaps=grid, evaluator=judge, trainRatio=0.8, seed=seed, parallelism=parallelism).fit(data)
-    rows = [
-        (",".join(str(x) for x in p[mlp.layers][1:-1]), float(p[mlp.stepSize]), float(m)) for p, m in zip(grid, model.validationMetrics)
-    ]
-    return spark.createDataFrame(rows, "hidden string, step_size double, val_f1 double").orderBy(F.desc("val_f1"), "hidden")
+    y = F.col(label).cast("double").alias("_y")
+    fit = cut_lineage(standardise(train, train, vector).select(array_to_vector(F.col(vector)).alias("_v"), y))
+    judge = cut_lineage(standardise(val, train, vector).select(array_to_vector(F.col(vector)).alias("_v"), F.col(label).alias("label")))
+    settings = [(tuple(h), n, step, seed) for h in hidden for n in iterations for step in steps for seed in seeds]
+    scored = None
+    for i, (layers, n, step, seed) in enumerate(settings):
+        solver = {"solver": "l-bfgs"} if step is None else {"solver": "gd", "stepSize": float(step)}
+        mlp = MultilayerPerceptronClassifier(
+            layers=[dims, *layers, 2], featuresCol="_v", labelCol="_y", seed=seed, maxIter=n, probabilityCol="_prob",
+            rawPredictionCol="_raw", predictionCol="_pred", **solver,
+        )
+        part = mlp.fit(fit).transform(judge).select(F.lit(i).alias("setting"), vector_to_array("_prob")[1].alias("prob_pos"), "label")
+        scored = part if scored is None else scored.unionByName(part)
+    scored = cut_lineage(scored)
+    half = f1_at(scored, "prob_pos", "label", 0.5, ["setting"]).select("setting", F.col("f1").alias("f1_at_half"))
+    best = best_threshold(scored, "prob_pos", "label", ["setting"])
+    rows = [(i, ",".join(map(str, h)), n, step, seed) for i, (h, n, step, seed) in enumerate(settings)]
+    named = spark.createDataFrame(rows, "setting int, hidden string, iterations int, step_size double, seed int")
+    return named.join(half, "setting").join(best, "setting").drop("setting").orderBy(F.desc("best_f1"), "hidden", "iterations", "step_size", "seed")
 
 
 def temperature_calibrated(p: Column, temperature: float, eps: float = 1e-7) -> Column:

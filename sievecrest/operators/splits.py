@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievecrest.operators.ordering import seeded_key, seeded_row_number, top_per_group
+from sievecrest.operators.ordering import global_row_number, seeded_key, seeded_row_number, top_per_group
 from sievecrest.session import cut_lineage
 
 
@@ -43,7 +43,8 @@ def stratified_group_split(
 ) -> DataFrame:
     """Whole groups go to validation per label until their running size reaches the target.
 
-    Works on the group-size table; rows only meet it in the final equi-join.
+    Works on the group-size table; rows only meet it in the final equi-join. A NULL group or label is
+    a group or label of its own.
     """
     _ratio(ratio, "group split ratio")
     sizes = df.groupBy(label, group).agg(F.count(F.lit(1)).alias("_n"))
@@ -51,21 +52,27 @@ def stratified_group_split(
     if strict:
         ok = F.assert_true(F.col("_groups") >= 2, F.lit("group split needs two groups per label"))
         per_label = per_label.where(ok.isNull())
-    ordered = sizes.join(per_label, label).withColumn("_key", seeded_key(F.col(group), seed))
+    per_label = per_label.withColumnRenamed(label, "_l")
+    ordered = sizes.join(per_label, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+    ordered = ordered.withColumn("_key", seeded_key(F.coalesce(F.col(group).cast("string"), F.lit("")), seed))
     # Sum of earlier groups in key order, sliced like the row ranks: the group table may be long too.
     ordered = ordered.withColumn("_slice", F.substring("_key", 1, 4))
     slice_sum = ordered.groupBy(label, "_slice").agg(F.sum("_n").alias("_sn"))
     before_slice = Window.partitionBy(label).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = slice_sum.withColumn("_shift", F.coalesce(F.sum("_sn").over(before_slice), F.lit(0))).drop("_sn")
+    shifts = slice_sum.select(
+        F.col(label).alias("_l"), F.col("_slice").alias("_os"), F.coalesce(F.sum("_sn").over(before_slice), F.lit(0)).alias("_shift")
+    )
     inside = Window.partitionBy(label, "_slice").orderBy("_key", group).rowsBetween(Window.unboundedPreceding, -1)
     chosen = (
         ordered.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(shifts, [label, "_slice"])
+        .join(shifts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_slice") == F.col("_os")))
         .withColumn("_target", F.greatest(F.lit(1), F.bround(F.col("_total") * ratio)))
         .withColumn(role, F.when(F.col("_shift") + F.col("_in") < F.col("_target"), "val").otherwise("train"))
         .select(label, group, role)
     )
-    return df.join(chosen, [label, group])
+    named = chosen.select(F.col(label).alias("_l"), F.col(group).alias("_g"), role)
+    same = df[label].eqNullSafe(F.col("_l")) & df[group].eqNullSafe(F.col("_g"))
+    return df.join(named, same).drop("_l", "_g")
 
 
 def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int, seed: int, fold: str = "fold") -> DataFrame:
@@ -146,9 +153,9 @@ def stratified_take(df: DataFrame, id_col: str, label: str, score: str, n: int)
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) / labels))
     top = top.withColumn("_quota", quota).withColumn("_lead", (F.col("_rn") <= F.col("_quota")).cast("int"))
     lead = top.agg(F.sum("_lead")).scalar()
-    # The rest is filled from one list of at most labels x n rows, taken by a distributed top-k.
-    rest = top.where(F.col("_lead") == 0).orderBy(*order).limit(n).withColumn("_taken", lead)
-    rest = rest.withColumn("_r", F.row_number().over(Window.orderBy(*order))).where(F.col("_r") <= n - F.col("_taken"))
+    # The rest is filled from one list of at most labels x n rows, ranked over a range layout.
+    rest = global_row_number(top.where(F.col("_lead") == 0), order, "_r").withColumn("_taken", lead)
+    rest = rest.where(F.col("_r") <= n - F.col("_taken"))
     keep = [c for c in df.columns]
     return top.where(F.col("_lead") == 1).select(*keep).unionByName(rest.select(*keep))
 
@@ -187,9 +194,10 @@ def cluster_stratified_take(
     keep = list(df.columns)
     picked_rows = picked.select(*keep)
     got = picked.agg(F.count(F.lit(1))).scalar()
-    rest = known.join(picked.select(id_col), id_col, "left_anti").select(*keep).orderBy(*order).limit(n)
-    rest = rest.withColumn("_got", got).withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    return picked_rows.unionByName(rest.where(F.col("_r") <= n - F.col("_got")).select(*keep))
+    left = known.join(picked.select(id_col), id_col, "left_anti")
+    rest = global_row_number(left.select(id_col, score), order, "_r").withColumn("_got", got)
+    fill_ids = rest.where(F.col("_r") <= n - F.col("_got")).select(id_col)
+    return picked_rows.unionByName(known.join(fill_ids, id_col, "left_semi").select(*keep))
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Multi-step audit plans: each is one lazily evaluated DataFrame built from the operators."""
+"""Multi-step audit plans built from the operators; steps that rank rows write narrow tables as they are planned."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sievecrest.functions import risk as R
 from sievecrest.operators.filters import matched_rules
 from sievecrest.operators.metrics import grouped_rank_correlation
-from sievecrest.operators.ordering import average_ranks, global_row_number
+from sievecrest.operators.ordering import average_ranks, global_row_number, running_totals
+from sievecrest.session import cut_lineage
 
 
 def consensus_scores(
@@ -67,13 +68,13 @@ def verifier_features(risk: DataFrame, likeness: DataFrame, votes: DataFrame, we
     return global_row_number(scored, order, "verifier_rank")
 
 
-def rule_summary(features: DataFrame, rules: dict, known: dict[str, DataFrame], max_ids: int = 200) -> DataFrame:
-    """Per rule: rows selected, ids, hits in known id sets and mean evidence; empty rules stay.
+def rule_summary(features: DataFrame, rules: dict, known: dict[str, DataFrame]) -> DataFrame:
+    """Per rule: rows selected, hits in known id sets and mean evidence; empty rules stay.
 
-    Ids are listed from the top ``max_ids`` of a rule (a limit per rule before the shuffle); the
-    whole selection is ``matched_rules``.
+    ``place`` orders rules by the hits in the known sets (most of the first, then fewest of the
+    others), then by fewest rows and least mean risk. The ids of a rule, all of them and in rank
+    order, are rows of ``rule_ids``.
     """
-    names = list(rules)
     hits = matched_rules(features, rules)
     for name, ids in known.items():
         hits = hits.join(ids.select("id").distinct().withColumn(f"_{name}", F.lit(True)), "id", "left")
@@ -82,15 +83,25 @@ def rule_summary(features: DataFrame, rules: dict, known: dict[str, DataFrame],
         *[F.count(f"_{name}").alias(f"{name}_hits") for name in known],
         F.avg("fp_risk_score").alias("mean_fp_risk"), F.avg("prob_pos").alias("mean_prob"), F.avg("alt_model_pos_frac").alias("mean_alt_pos_frac"),
     )
-    listed = hits.withColumn("_rn", F.row_number().over(Window.partitionBy("rule").orderBy("verifier_rank", "id"))).where(F.col("_rn") <= max_ids)
-    lists = listed.groupBy("rule").agg(F.array_sort(F.collect_list(F.struct("_rn", F.col("id").cast("string").alias("id")))).alias("_l"))
-    every = features.sparkSession.createDataFrame([(n,) for n in names], "rule string")
-    out = every.join(facts, "rule", "left").join(lists, "rule", "left")
-    zero = ["n_selected", *[f"{n}_hits" for n in known]]
-    return out.select(
-        "rule", *[F.coalesce(c, F.lit(0)).alias(c) for c in zero],
-        F.coalesce(F.array_join("_l.id", ","), F.lit("")).alias("selected_ids"), "mean_fp_risk", "mean_prob", "mean_alt_pos_frac",
+    every = features.sparkSession.createDataFrame([(n,) for n in rules], "rule string")
+    counts = ["n_selected", *[f"{n}_hits" for n in known]]
+    out = every.join(facts, "rule", "left").select(
+        "rule", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], "mean_fp_risk", "mean_prob", "mean_alt_pos_frac"
     )
+    first, *others = [f"{n}_hits" for n in known]
+    order = [F.col(first).desc(), *[F.col(c).asc() for c in others], F.col("n_selected").asc(), F.col("mean_fp_risk").asc_nulls_last(), F.col("rule").asc()]
+    return out.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def rule_ids(features: DataFrame, rules: dict) -> DataFrame:
+    """(rule, place, id): every id a rule selects, in verifier rank order.
+
+    The verifier rank is unique, so a rule's place is the number of its rows up to that rank; ranks
+    are summed range by range and no rule is ordered in one task.
+    """
+    hits = cut_lineage(matched_rules(features, rules).select("rule", "id", "verifier_rank").withColumn("one", F.lit(1).cast("bigint")))
+    placed = running_totals(hits, "verifier_rank", ["one"], ["rule"], descending=False)
+    return placed.select("rule", F.col("cum_one").alias("place"), "id")
 
 
 def embedding_agreement(base: DataFrame, second: DataFrame, third: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +17,15 @@ from sievecrest.session import cut_lineage
 
 
 def test_like_scores(
-    manifest: DataFrame, fit_sources: Sequence[str], sources: Sequence[str], components: int = 64, clusters: int = 24, top_k: int = 10
+    manifest: DataFrame, fit_sources: Sequence[str], sources: Sequence[str], components: int = 64, clusters: int = 24, top_k: int = 10,
+    exclude: str | None = None, find: Callable[[DataFrame, DataFrame, int], DataFrame] = N.cosine_knn,
 ) -> DataFrame:
     """Every row with its cluster, cluster test share, anchor similarities and test-like score.
 
     Standardise and project on the fit sources, normalise, then compare with the test anchors by
-    exact neighbours, by the anchor centroid and by cluster. The normalised features, the placed rows
+    neighbours, by the anchor centroid and by cluster. ``exclude`` names a flag of test rows that are no
+    anchors. ``find`` is the neighbour search: exact by default, or ``approx_knn`` at some similarity for
+    tables too large for it; rows without a neighbour then have likeness 0. The normalised features, the placed rows
     and the scored rows are each read by several consumers, so each is written once.
     """
     fit = manifest.where(F.col("source").isin(*fit_sources))
@@ -30,11 +33,11 @@ def test_like_scores(
     moved = C.project(moved, moved.where(F.col("source").isin(*fit_sources)), components)
     features = cut_lineage(moved.withColumn("embedding", l2_normalise(F.col("embedding"))))
     anchors = features.where("source = 'test'")
-    if "is_not_stone" in features.columns:
-        anchors = anchors.where(~F.col("is_not_stone"))
-    like = N.test_likeness(N.cosine_knn(features, anchors, top_k), top_k).withColumnRenamed("query_id", "sample_id")
+    if exclude:
+        anchors = anchors.where(~F.coalesce(F.col(exclude), F.lit(False)))
+    like = N.test_likeness(find(features, anchors, top_k), top_k).withColumnRenamed("query_id", "sample_id")
     placed = C.kmeans_labels(features, features.where(F.col("source").isin(*fit_sources)), clusters)
-    placed = cut_lineage(N.centroid_similarity(placed, anchors).drop("embedding").join(like, "sample_id"))
+    placed = cut_lineage(N.centroid_similarity(placed, anchors).drop("embedding").join(like, "sample_id", "left").na.fill(0.0, ["topk_mean", "topk_max"]))
     share = C.cluster_summary(placed, sources).select("cluster", F.col("test_fraction").alias("cluster_test_fraction"))
     scored = placed.join(share, "cluster").withColumn(
         "test_like_score", R.test_like_score(F.col("topk_mean"), F.col("centroid_cos"), F.col("cluster_test_fraction"))

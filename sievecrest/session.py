@@ -29,21 +29,42 @@ def build_session(app: str = "sievecrest", cores: str = "*", **conf: str) -> Spa
     return spark
 
 
+_MADE: list[str] = []
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder named by ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only where it is unset and everything runs in one process (tests, benches) a temporary folder
+    takes its place; on a cluster a machine's own folder would be incomplete for all others.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(named)
         return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievecrest-ckpt-"))
-    return os.path.dirname(spark.sparkContext.getCheckpointDir().rstrip("/"))
+    if context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sievecrest-ckpt-"))
+    return os.path.dirname(context.getCheckpointDir().rstrip("/"))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, never reused folder below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every scratch folder made so far; call it when no table built on them is needed any more."""
+    deleted = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        deleted += path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return deleted
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

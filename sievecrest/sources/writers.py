@@ -41,8 +41,10 @@ def write_id_list(df: DataFrame, path: str, id_col: str = "id") -> None:
 
 
 def write_summary(df: DataFrame, path: str) -> None:
-    """A one-row summary as one JSON object."""
-    df.limit(1).coalesce(1).write.mode("errorifexists").json(path)
+    """A one-row summary as one JSON object; more rows than one are an error, none of them is dropped."""
+    if len(df.limit(2).collect()) > 1:
+        raise ValueError("a summary has one row")
+    df.coalesce(1).write.mode("errorifexists").json(path)
 
 
 def json_summary(df: DataFrame, name: str = "summary") -> DataFrame:

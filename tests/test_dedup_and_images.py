@@ -88,11 +88,11 @@ def loop(rows):
     return result
 
 
-@pytest.mark.parametrize("hot, limit", [(0.0, 2000), (0.6, 15)])
-def test_first_wins_equals_the_loop(spark, hot, limit):
+@pytest.mark.parametrize("hot, rounds", [(0.0, 1), (0.6, 0), (0.6, 2)])
+def test_first_wins_equals_the_loop(spark, hot, rounds):
     rows = make_rows(220, 7, hot)
     want = loop(rows)
-    got = D.deduplicate(spark.createDataFrame(rows, SCHEMA), hot_rows=limit).collect()
+    got = D.deduplicate(spark.createDataFrame(rows, SCHEMA), leader_rounds=rounds).collect()
     assert len(got) == len(rows)
     for r in got:
         status, of, reason = want[r["idx"]]

@@ -66,6 +66,6 @@ def test_copies_in_the_approximate_join(spark):
     df = spark.createDataFrame(
         [(i, [1.0, 0.0] if i % 3 == 0 else [float(i % 7 + 1), float(i % 5)]) for i in range(90)], "sample_id bigint, embedding array<double>"
     )
-    near = {(e["query_id"], e["rank"]): e["ref_id"] for e in N.approx_knn(df, df, 4, 0.9999, tables=10).collect()}
+    near = {(e["query_id"], e["rank"]): e["ref_id"] for e in N.approx_knn(df, df, 4, 0.9999).collect()}
     exact = {(e["query_id"], e["rank"]): e["ref_id"] for e in N.cosine_knn(df, df, 4).collect()}
     assert [near[(0, k)] for k in range(1, 5)] == [exact[(0, k)] for k in range(1, 5)] == [0, 3, 5, 6]
