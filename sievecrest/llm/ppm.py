@@ -12,11 +12,12 @@ by the packed window. Counts with longer contexts sum to those with shorter ones
 that a longer context knew are known to the shorter one and exclusion is a subtraction of sums.
 
 Windows (and words, for the base score) are many. The most frequent ones, at most ``HEAD`` of either
-kind by a count taken first, are broadcast as hash tables; a text's other windows and words are joined
-with their table by Spark. Nothing is dropped, and no key with many rows reaches a join.
+kind by a count taken first, are broadcast and looked up in hash tables; a text's other windows and
+words are joined with their table by Spark. Nothing is dropped, and no key with many rows reaches a
+join. A text that a task meets again refers to the first row that has it there.
 
 A text begins after ``ORDER`` start bytes and ends with an end byte; neither occurs in UTF-8. Words
-are keyed by their 64-bit hash.
+are keyed by 63 bits of their hash with the sign bit set, so one column holds keys of both kinds.
 
 Nulls and ties: a null text is an empty one, scored by its end alone; equal texts score alike; equal
 rows are separate rows; without any training text every byte and token has its smallest probability;
@@ -38,12 +39,11 @@ from pyspark.sql import functions as F
 from sievecrest.llm.common import segments, small_batches, text_bytes
 from sievecrest.session import cut_lineage
 
-ORDER = 6
+ORDER = 5
 START, END = b"\xfe", b"\xff"
 SYMBOLS = 255  # all bytes but the start byte
 HEAD = 1 << 20
 PART = 1 << 22
-WINDOW, WORD, TEXT = 0, 1, 2
 _EMPTY = np.iinfo(np.int64).min
 
 
@@ -72,20 +72,17 @@ def window_codes(part: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]
 
 
 def word_keys(words) -> np.ndarray:
+    """Negative keys; those of windows are not negative."""
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(w) for w in words], np.uint64).view(np.int64)
+    return (np.array([digest(w) for w in words], np.uint64) | np.uint64(1 << 63)).view(np.int64)
 
 
-END_KEY = int(word_keys([b""])[0])
-
-
-def _rows(kind: int, keys: np.ndarray, trained: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
-    kinds = np.full(len(keys), kind, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (kinds, keys, trained, found)], ["kind", "key", "trained", "found"])
+def _rows(keys: np.ndarray, trained: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, trained, found)], ["key", "trained", "found"])
 
 
 def count_keys(rows: DataFrame) -> DataFrame:
-    """(kind, key, trained, found) of all windows and words: occurrences in training texts and in all."""
+    """(key, trained, found) of all windows and words: occurrences in training texts and in all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, out in _buffers(batches):
@@ -98,14 +95,13 @@ def count_keys(rows: DataFrame) -> DataFrame:
                 words[b""] = len(some)
                 if some:
                     n = np.array(list(words.values()), np.int64)
-                    yield _rows(WORD, word_keys(words), n * learn, n)
+                    yield _rows(word_keys(words), n * learn, n)
                 for part in segments([framed(d) for d in some], PART, ORDER):
                     keys, n = np.unique_counts(np.sort(window_codes(part)[1]))
-                    yield _rows(WINDOW, keys, n * learn, n)
+                    yield _rows(keys, n * learn, n)
 
-    schema = "kind int, key long, trained long, found long"
-    counted = rows.select("text", "held_out").mapInArrow(count, schema)
-    return counted.groupBy("kind", "key").agg(F.sum("trained").alias("trained"), F.sum("found").alias("found"))
+    counted = rows.select("text", "held_out").mapInArrow(count, "key long, trained long, found long")
+    return counted.groupBy("key").agg(F.sum("trained").alias("trained"), F.sum("found").alias("found"))
 
 
 def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[bool]]]:
@@ -133,7 +129,7 @@ def _suffix(key: Column, n_bytes: int) -> Column:
 
 def window_scores(counts: DataFrame) -> DataFrame:
     """(key, found, value) of every window: log10 of the probability of its last byte after the others."""
-    windows = counts.where(F.col("kind") == WINDOW).select("key", "trained", "found")
+    windows = counts.where(F.col("key") >= 0)
     level: dict[int, DataFrame] = {ORDER: windows.where("trained > 0").select("key", F.col("trained").alias("c"))}
     for k in range(ORDER - 1, -1, -1):
         up = level[k + 1]
@@ -178,9 +174,13 @@ def window_scores(counts: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Open-addressed table from long keys to doubles, filled and read in whole arrays."""
+    """Open-addressed table from long keys to doubles, filled and read in whole arrays.
+
+    It travels as its keys and values; every Python worker fills its own table.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.given = keys, values
         self.bits = max(4, int(np.ceil(np.log2(max(1, 2 * len(keys))))))
         self.keys = np.full(1 << self.bits, _EMPTY, np.int64)
         self.values = np.zeros(1 << self.bits)
@@ -195,6 +195,9 @@ class Lookup:
             stay[put] = False
             left, at = left[stay], (at[stay] + 1) & ((1 << self.bits) - 1)
 
+    def __reduce__(self):
+        return Lookup, self.given
+
     def _home(self, keys: np.ndarray) -> np.ndarray:
         mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -251,79 +254,69 @@ def score_texts(df: DataFrame, id_col: str, text_col: str, out_col: Column, head
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(out_col, F.lit(False)).alias("held_out")
     )
     counts = cut_lineage(count_keys(rows))
-    words = counts.where(F.col("kind") == WORD).select("key", "found", F.col("trained").alias("value"))
+    words = counts.where(F.col("key") < 0).select("key", "found", F.col("trained").cast("double").alias("value"))
     sums = words.agg(F.sum("value").alias("n"), F.count_if(F.col("value") > 0).alias("v")).first()
     train_tokens, vocabulary = int(sums["n"] or 0), int(sums["v"] or 0)
     windows = cut_lineage(window_scores(counts))
     below = train_tokens + 0.1 * (vocabulary + 1)
-    tables = rows.sparkSession.sparkContext.broadcast((frequent_table(windows, head), frequent_table(words, head)))
+    tables = rows.sparkSession.sparkContext.broadcast((frequent_table(windows, head), frequent_table(words, head // 2)))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window_table, word_table = tables.value
-        task, sent = TaskContext.get().partitionId(), set()
+        next_row = TaskContext.get().partitionId() << 33
+        first_row: dict[int, int] = {}  # of a text in this task
         for batch in batches:
             docs = text_bytes(batch.column(1))
-            hashes = np.array([xxhash.xxh3_128_intdigest(d.lower()) for d in docs], object)
-            t1 = np.array([h >> 64 for h in hashes], np.uint64).view(np.int64)
-            t2 = np.array([h & (2**64 - 1) for h in hashes], np.uint64).view(np.int64)
-            fresh = np.zeros(len(docs), bool)  # the first row of a text in a task reports its rare windows and words
-            for i, h in enumerate(hashes):
-                if h not in sent:
-                    sent.add(h)
-                    fresh[i] = True
-            total, known, base, value = (np.zeros(len(docs)) for _ in range(4))
-            rare: list[tuple[int, tuple]] = []
-
-            def look(kind: int, table: Lookup, owner: np.ndarray, keys: np.ndarray, n: np.ndarray):
+            row = np.arange(next_row, next_row + len(docs))
+            next_row += len(docs)
+            same = np.array([first_row.setdefault(xxhash.xxh3_128_intdigest(d), r) for d, r in zip(docs, row.tolist())], np.int64)
+            fresh = same == row
+            known, base, value = (np.zeros(len(docs)) for _ in range(3))
+            rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def look(table: Lookup, owner: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 found, hit = table.find(keys)
                 miss = ~hit & fresh[owner]
-                rare.append((kind, _tail(owner[miss], keys[miss], n[miss])))
+                rare.append(_tail(owner[miss], keys[miss], n[miss]))
                 return found, hit
 
+            def total(owner: np.ndarray, weights: np.ndarray) -> np.ndarray:
+                return np.bincount(owner, weights=weights, minlength=len(docs))
+
             for part in segments([framed(d) for d in docs], PART, ORDER):
                 owner, keys = window_codes(part)
-                found, _ = look(WINDOW, window_table, owner, keys, np.ones(len(keys), np.int64))
-                value += np.bincount(owner, weights=found, minlength=len(docs))
+                value += total(owner, look(window_table, owner, keys, np.ones(len(keys), np.int64))[0])
             bags = [Counter(d.lower().split()) for d in docs]
             for bag in bags:
                 bag[b""] = 1
             owner = np.repeat(np.arange(len(docs)), [len(b) for b in bags])
             n = np.concatenate([np.fromiter(b.values(), np.int64, len(b)) for b in bags])
-            keys = word_keys(w for b in bags for w in b)
-            found, hit = look(WORD, word_table, owner, keys, n)
-            total += np.bincount(owner, weights=n, minlength=len(docs))
-            known += np.bincount(owner, weights=n * (hit & (found > 0)), minlength=len(docs))
-            base += np.bincount(owner, weights=np.where(hit, n * np.log10((found + 0.1) / below), 0.0), minlength=len(docs))
-            yield _scored(batch, task, t1, t2, total, known, base, value)
-            for kind, (owner, keys, n) in rare:
+            found, hit = look(word_table, owner, word_keys(w for b in bags for w in b), n)
+            known += total(owner, n * (hit & (found > 0)))
+            base += total(owner, np.where(hit, n * np.log10((found + 0.1) / below), 0.0))
+            tokens = total(owner, n).astype(np.int64)
+            yield _scored(batch, row, same, tokens, known.astype(np.int64), base, value)
+            for owner, keys, n in rare:
                 if len(keys):
-                    yield _rare(batch, kind, task, t1[owner], t2[owner], keys, n)
+                    yield _rare(batch, row[owner], keys, n)
 
     schema = (
-        f"kind int, doc_id {id_type}, held_out boolean, t1 long, t2 long, task int, key long, n long, "
+        f"doc_id {id_type}, held_out boolean, row long, same long, key long, n long, "
         "n_tokens long, n_known long, base double, value double"
     )
     found = cut_lineage(rows.mapInArrow(score, schema))
-    log_base = F.log10((F.coalesce(F.col("c"), F.lit(0)) + 0.1) / F.lit(below))
-    rare_words = found.where(F.col("kind") == WORD).select("t1", "t2", "task", "key", "n").join(
-        words.select("key", F.col("value").alias("c")), "key"
-    )
-    rare_windows = found.where(F.col("kind") == WINDOW).select("t1", "t2", "task", "key", "n").join(
-        windows.select("key", F.col("value").alias("v")), "key"
-    )
-    more = rare_words.select(
-        "t1", "t2", "task", (F.col("n") * log_base).alias("base"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), F.lit(0.0).alias("value")
-    ).unionByName(
-        rare_windows.select(
-            "t1", "t2", "task", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("n") * F.col("v")).alias("value")
-        )
+    known_values = windows.select("key", F.col("value").alias("v")).unionByName(words.select("key", F.col("value").alias("v")))
+    rare = found.where(F.col("key").isNotNull()).select("row", "key", "n").join(known_values, "key")
+    is_word, n = F.col("key") < 0, F.col("n")
+    more = rare.groupBy("row").agg(
+        F.sum(F.when(is_word, n * F.log10((F.col("v") + 0.1) / F.lit(below))).otherwise(0.0)).alias("more_base"),
+        F.sum(F.when(is_word & (F.col("v") > 0), n).otherwise(0)).alias("more_known"),
+        F.sum(F.when(is_word, 0.0).otherwise(n * F.col("v"))).alias("more_value"),
     )
-    # Each task that met a text reports the same sums for it: add up inside a task, then take one.
-    by_task = more.groupBy("t1", "t2", "task").agg(*[F.sum(c).alias(f"more_{c}") for c in ("base", "known", "value")])
-    once = by_task.groupBy("t1", "t2").agg(*[F.max(f"more_{c}").alias(f"more_{c}") for c in ("base", "known", "value")])
-    texts = found.where(F.col("kind") == TEXT).join(once, ["t1", "t2"], "left")
-    return texts.select(
+    texts = found.where(F.col("key").isNull()).drop("row", "key", "n")
+    whole = texts.join(more.withColumnRenamed("row", "same"), "same", "left")
+    return whole.select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -334,21 +327,17 @@ def score_texts(df: DataFrame, id_col: str, text_col: str, out_col: Column, head
     )
 
 
-_FIELDS = ["kind", "doc_id", "held_out", "t1", "t2", "task", "key", "n", "n_tokens", "n_known", "base", "value"]
+_FIELDS = ["doc_id", "held_out", "row", "same", "key", "n", "n_tokens", "n_known", "base", "value"]
 
 
-def _scored(batch: pa.RecordBatch, task: int, t1, t2, total, known, base, value) -> pa.RecordBatch:
-    n = len(t1)
-    none = pa.nulls(n, pa.int64())
-    columns = [pa.array(np.full(n, TEXT, np.int32)), batch.column(0), batch.column(2), pa.array(t1), pa.array(t2)]
-    columns += [pa.array(np.full(n, task, np.int32)), none, none]
-    columns += [pa.array(c.astype(np.int64)) for c in (total, known)] + [pa.array(base), pa.array(value)]
-    return pa.RecordBatch.from_arrays(columns, _FIELDS)
+def _scored(batch: pa.RecordBatch, row, same, tokens, known, base, value) -> pa.RecordBatch:
+    none = pa.nulls(len(row), pa.int64())
+    columns = [pa.array(row), pa.array(same), none, none, *map(pa.array, (tokens, known, base, value))]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], _FIELDS)
 
 
-def _rare(batch: pa.RecordBatch, kind: int, task: int, t1, t2, keys, n) -> pa.RecordBatch:
+def _rare(batch: pa.RecordBatch, row, keys, n) -> pa.RecordBatch:
     size = len(keys)
-    columns = [pa.array(np.full(size, kind, np.int32)), pa.nulls(size, batch.column(0).type), pa.nulls(size, pa.bool_())]
-    columns += [pa.array(t1), pa.array(t2), pa.array(np.full(size, task, np.int32)), pa.array(keys), pa.array(n)]
-    columns += [pa.nulls(size, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-    return pa.RecordBatch.from_arrays(columns, _FIELDS)
+    empty = [pa.nulls(size, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+    columns = [pa.nulls(size, batch.column(0).type), pa.nulls(size, pa.bool_()), pa.array(row), pa.nulls(size, pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(keys), pa.array(n), *empty], _FIELDS)
