@@ -21,6 +21,8 @@ from sievecrest.session import cut_lineage
 
 K = 128
 SHINGLE = 5
+CHUNK_ROWS = 2000
+MAX_CHUNKS = 1 << 17
 _SPAN = float(2**64)
 _LOWEST = -float(2**63)
 
@@ -96,48 +98,76 @@ def merge_groups(df: DataFrame, keys: list[str], sketch_col: str, k: int = K, sa
     )
 
 
-def fingerprint_edits(df: DataFrame, id_col: str, text_col: str, k: int = K) -> DataFrame:
-    """Sketch every text, and the text whose last third gives way to the start of the next one.
+def _in_order(b: Column, doc_id: Column, h: Column) -> Column:
+    """Whether key ``b`` is at or before (doc_id, h): larger ids first, null ids last, then smaller hashes."""
+    tie = b["doc_id"].eqNullSafe(doc_id) & (b["h"] <= h)
+    return tie | F.coalesce(b["doc_id"] > doc_id, doc_id.isNull() & b["doc_id"].isNotNull())
 
-    The next text is that of the next smaller id (for rows equal in id, of the next text hash; a
-    repeated row is followed by its copy); the last row is followed by the first. The order is made
-    of (id, hash, length) alone; texts move once, by that key, and only the needed start of a text
-    moves again.
+
+def _chunk_of(bounds: Column, doc_id: Column, h: Column) -> Column:
+    """How many chunk starts are at or before a key, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in range(17, -1, -1)])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda low, width: F.when(
+            (low + width <= F.size(bounds)) & _in_order(F.get(bounds, low + width - 1), doc_id, h), low + width
+        ).otherwise(low),
+    )
+
+
+def with_next_text(df: DataFrame, id_col: str, text_col: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(doc_id, text, sk, next_text, next_sk): every text beside that of the next smaller id.
+
+    Rows equal in id follow in the order of text hashes, a repeated row is followed by its copy, and
+    the last row by the first. The order is made of (id, hash) alone and cut into chunks of about
+    ``chunk_rows`` rows, at most ``MAX_CHUNKS``. Texts move once, to their chunk; the first text of a
+    chunk also goes to the one before it, to be the last row's next.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).select(
         "doc_id", "text", F.xxhash64("text").alias("h")
     )
-    keys = rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("text")).alias("n_chars"))
+    keys = rows.select("doc_id", "h").distinct()
     order = cut_lineage(global_row_number(keys, [F.col("doc_id").desc_nulls_last(), F.col("h").asc()], "at"))
-    total = order.agg(F.count(F.lit(1))).scalar()
-    after = order.select(
-        F.col("doc_id").alias("to_id"),
-        F.col("h").alias("to_h"),
-        "copies",
-        F.floor(F.col("n_chars") / 3).cast("int").alias("take"),
-        (F.col("at") % total + 1).alias("next_at"),
-    ).join(order.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("at").alias("next_at")), "next_at")
-
-    same = Window.partitionBy("doc_id", "h").orderBy("doc_id", "h")
-    held = rows.select("doc_id", "h", "text", sketch(F.col("text"), k).alias("sk")).withColumn("copy", F.row_number().over(same))
-    starts = held.where("copy = 1").join(after, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("h") == F.col("next_h"))).select(
-        "to_id", "to_h", "copies", "take", F.expr("substring(text, 1, take)").alias("start"), F.col("sk").alias("next_sk")
+    size = max(chunk_rows, -(-order.count() // MAX_CHUNKS))
+    starts = order.where((F.col("at") - 1) % size == 0)
+    bounds = cut_lineage(starts.agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "h"))).alias("bounds"))).scalar()
+
+    placed = rows.withColumn("_b", bounds)
+    placed = placed.withColumn("chunk", _chunk_of(F.col("_b"), F.col("doc_id"), F.col("h")))
+    start = F.get("_b", F.col("chunk") - 1)
+    is_start = start["doc_id"].eqNullSafe(F.col("doc_id")) & (start["h"] == F.col("h"))
+    wraps = F.col("chunk") == 1
+    own = F.struct(F.col("chunk"), F.lit(False).alias("extra"), F.lit(False).alias("wrap"))
+    before = F.struct(
+        F.when(wraps, F.size("_b")).otherwise(F.col("chunk") - 1).alias("chunk"), F.lit(True).alias("extra"), wraps.alias("wrap")
+    )
+    sent = placed.select("doc_id", "text", "h", F.explode(F.when(is_start, F.array(own, before)).otherwise(F.array(own))).alias("to"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = sent.select("doc_id", "text", "h", "to.*").repartition(parts, "chunk").withColumn("sk", sketch(F.col("text")))
+    follow = Window.partitionBy("chunk").orderBy("wrap", F.col("doc_id").desc_nulls_last(), F.col("h").asc(), "extra")
+    return (
+        met.select("doc_id", "text", "sk", "extra", F.lead("text").over(follow).alias("next_text"), F.lead("sk").over(follow).alias("next_sk"))
+        .where(~F.col("extra"))
+        .drop("extra")
     )
-    met = held.join(starts, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
-    last = F.col("copy") == F.col("copies")
-    own_start = F.expr("substring(text, 1, take)")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - take)"), F.when(last, F.col("start")).otherwise(own_start))
-    both = _once(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), sketch(e, k).alias("sk")))
-    near_next = F.when(last, resemblance(F.col("sk"), F.col("next_sk"), k)).otherwise(1.0)
-    done = met.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sk", both.alias("e"), near_next.alias("near_next"))
+
+
+def fingerprint_edits(df: DataFrame, id_col: str, text_col: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Sketch every text, and the text whose last third gives way to the start of the next one."""
+    met = with_next_text(df, id_col, text_col, chunk_rows)
+    take = F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(F.substring("text", 1, F.length("text") - take), F.substring("next_text", 1, take))
+    both = _once(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), sketch(e).alias("sk")))
+    done = met.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sk", "next_sk", both.alias("e"))
     return done.select(
         "doc_id",
         "n_chars",
         F.col("e.sha").alias("edited_sha256"),
         encode(F.col("sk")).alias("fingerprint"),
         encode(F.col("e.sk")).alias("edited_fingerprint"),
-        resemblance(F.col("sk"), F.col("e.sk"), k).alias("near_edited"),
-        "near_next",
-        distinct_shingles(F.col("sk"), k).alias("distinct_shingles"),
-        containment(F.col("sk"), F.col("e.sk"), k).alias("contained_in_edited"),
+        resemblance(F.col("sk"), F.col("e.sk")).alias("near_edited"),
+        resemblance(F.col("sk"), F.col("next_sk")).alias("near_next"),
+        distinct_shingles(F.col("sk")).alias("distinct_shingles"),
+        containment(F.col("sk"), F.col("e.sk")).alias("contained_in_edited"),
     )

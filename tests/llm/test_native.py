@@ -83,9 +83,9 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-@pytest.fixture(scope="module")
-def edited(spark):
-    rows = fingerprints.fingerprint_edits(table(spark, TEXTS), "doc_id", "text", k=64).collect()
+@pytest.fixture(scope="module", params=[1, 3, 2000])
+def edited(spark, request):
+    rows = fingerprints.fingerprint_edits(table(spark, TEXTS), "doc_id", "text", request.param).collect()
     return sorted(rows, key=lambda r: -r.doc_id)
 
 
@@ -123,5 +123,23 @@ def test_sketches_merge_like_their_texts(spark):
     assert got.j == pytest.approx(5 / 15) and got.c == pytest.approx(0.5) and got.n == 10
 
 
+@pytest.mark.parametrize("chunk_rows", [1, 7, 2000])
+def test_next_texts_across_chunks(spark, chunk_rows):
+    rows = [(i * 7 % 101, f"text {i}") for i in range(60)] + [(3, "text x")] * 3 + [(None, "a"), (None, "b")]
+    got = fingerprints.with_next_text(table(spark, rows), "doc_id", "text", chunk_rows).select("doc_id", "text", "next_text").collect()
+    assert len(got) == len(rows)
+    ids = {t: (i is None, -(i or 0)) for i, t in rows}
+    following = {}
+    for r in got:
+        following.setdefault(r.text, []).append(r.next_text)
+    assert sorted(n for ns in following.values() for n in ns) == sorted(t for _, t in rows)  # a cycle through all rows
+    for t, ns in following.items():
+        steps = [n for n in ns if n != t]
+        assert len(steps) <= 1 or len(rows) == 1
+        for n in steps:  # nothing lies between, but for the step from the last row to the first
+            between = [u for u in ids if ids[t] < ids[u] < ids[n]]
+            assert not between and (ids[n] >= ids[t] or (ids[n], ids[t]) == (min(ids.values()), max(ids.values())))
+
+
 def test_fingerprints_of_an_empty_table(spark):
     assert fingerprints.fingerprint_edits(table(spark, []), "doc_id", "text").count() == 0
