@@ -23,6 +23,7 @@ from __future__ import annotations
 import html as html_refs
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -274,68 +275,89 @@ def induce_wrappers(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
     return chosen.groupBy("host").applyInPandas(induce, "host string, wrapper string")
 
 
-def align_pages(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """``pages`` without html, with the ``blocks`` that may be content: wrapper node (-1: none), text and its hash.
+def _content_blocks(page: str | None, wrapper: Node) -> list[tuple[int, int, str]]:
+    """(wrapper node, or -1; hash; text) of the blocks of a page that may be content.
 
     If a page has text in an article (else in a main) element, these are the blocks inside; else all
     but those mostly made of links.
     """
-    joined = small_batches(pages).join(wrappers, "host", "left").select("page_id", "url", "host", "html", "wrapper")
-    block = pa.struct([("node", pa.int32()), ("hash", pa.int64()), ("text", pa.string())])
+    tree, blocks = parse_page(page or "")
+    reach = max((main for _, _, _, main in blocks), default=0)
+    number = {id(p): w.id for w, p in match_trees(wrapper, tree)[1]}
+    return [
+        (number.get(id(node), -1), xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - 2**63, text)
+        for node, text, links, main in blocks
+        if main == reach and (main or 2 * links <= len(text))
+    ]
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, Node] = {}
-        for batch in batches:
-            out = []
-            for page, wrapper in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                tree, blocks = parse_page(page or "")
-                if wrapper not in loaded:
-                    if len(loaded) >= 256:
-                        loaded.clear()
-                    loaded[wrapper] = load_tree(wrapper) if wrapper else Node("")
-                reach = max((main for _, _, _, main in blocks), default=0)
-                number = {id(p): w.id for w, p in match_trees(loaded[wrapper], tree)[1]}
-                out.append(
-                    [
-                        {
-                            "node": number.get(id(node), -1),
-                            "hash": xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - 2**63,
-                            "text": text,
-                        }
-                        for node, text, links, main in blocks
-                        if main == reach and (main or 2 * links <= len(text))
-                    ]
-                )
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(block))], ["page_id", "url", "host", "blocks"])
 
-    id_type = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {id_type}, url string, host string, blocks array<struct<node int, hash long, text string>>"
-    return joined.mapInArrow(align, schema)
+class _Trees:
+    """Wrapper trees by their text, a bounded number at a time."""
+
+    def __init__(self, limit: int = 256):
+        self.limit, self.held = limit, {}
+
+    def get(self, text: str | None) -> Node:
+        if text not in self.held:
+            if len(self.held) >= self.limit:
+                self.held.clear()
+            self.held[text] = load_tree(text) if text else Node("")
+        return self.held[text]
 
 
-def constant_texts(aligned: DataFrame, min_pages: int = MIN_PAGES, share: float = CONSTANT_SHARE) -> DataFrame:
-    """(host, constants): texts of wrapper nodes that nearly all pages of the host have there."""
-    sizes = aligned.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    places = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["hash"].alias("hash"))))
-    found = aligned.select("host", F.explode(places).alias("place")).groupBy("host", "place").agg(F.count(F.lit(1)).alias("n"))
-    constant = found.where(F.col("place.node") >= 0).join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
-    return constant.groupBy("host").agg(F.collect_list("place").alias("constants"))
+def constant_texts(pages: DataFrame, wrappers: DataFrame, min_pages: int = MIN_PAGES, share: float = CONSTANT_SHARE) -> DataFrame:
+    """(host, nodes, hashes): texts of wrapper nodes that nearly all pages of the host have there.
+
+    Each batch sums up its pages before the shuffle; node -2 counts the pages themselves.
+    """
+    joined = small_batches(pages).join(wrappers, "host").select("host", "html", "wrapper")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = _Trees()
+        for batch in batches:
+            found: Counter[tuple[str, int, int]] = Counter()
+            for host, page, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
+                places = {(host, node, digest) for node, digest, _ in _content_blocks(page, trees.get(wrapper)) if node >= 0}
+                found.update(places)
+                found[host, -2, 0] += 1
+            rows = [*zip(*found), found.values()] if found else [[]] * 4
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(r), k) for r, k in zip(rows, kinds)], ["host", "node", "hash", "n"])
+
+    counted = joined.mapInArrow(count, "host string, node int, hash long, n long")
+    summed = cut_lineage(counted.groupBy("host", "node", "hash").agg(F.sum("n").alias("n")))
+    sizes = summed.where(F.col("node") == -2).select("host", F.col("n").alias("pages")).where(F.col("pages") >= min_pages)
+    constant = summed.where(F.col("node") >= 0).join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
+    return constant.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("hash").alias("hashes"))
 
 
 def extract_main_text(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, text, n_chars, n_blocks, n_template) of every page."""
+    """(page_id, url, text, n_chars, n_blocks, n_template) of every page.
+
+    Pages are read once to pick exemplars, once to count and once to extract; what is kept in between
+    is a wrapper and its constants a host.
+    """
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     pages = pages.withColumn("host", host_of(F.col("url")))
     wrappers = cut_lineage(induce_wrappers(pages))
-    aligned = cut_lineage(align_pages(pages, wrappers))
-    known = aligned.join(constant_texts(aligned), "host", "left")
-    none = F.array().cast("array<struct<node:int,hash:bigint>>")
-    ready = known.select("page_id", "url", "blocks", F.coalesce("constants", none).alias("constants"))
-    content = F.filter(
-        "blocks",
-        lambda b: ~F.array_contains(F.col("constants"), F.struct(b["node"].alias("node"), b["hash"].alias("hash"))),
-    )
-    text = F.array_join(F.transform(content, lambda b: b["text"]), "\n")
-    return ready.select(
-        "page_id", "url", text.alias("text"), F.size("blocks").alias("n_blocks"), F.size("constants").alias("n_template")
-    ).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_template")
+    templates = cut_lineage(wrappers.join(constant_texts(pages, wrappers), "host", "left"))
+    joined = small_batches(pages).join(templates, "host").select("page_id", "url", "html", "wrapper", "nodes", "hashes")
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = _Trees()
+        for batch in batches:
+            texts, blocks, dropped = [], [], []
+            for page, wrapper, nodes, hashes in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                constant = set(zip(nodes or (), hashes or ()))
+                found = _content_blocks(page, trees.get(wrapper))
+                kept = [text for node, digest, text in found if (node, digest) not in constant]
+                texts.append("\n".join(kept))
+                blocks.append(len(found))
+                dropped.append(len(found) - len(kept))
+            counts = [pa.array([len(t) for t in texts], pa.int64()), pa.array(blocks, pa.int32()), pa.array(dropped, pa.int32())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(texts, pa.string()), *counts], ["page_id", "url", "text", "n_chars", "n_blocks", "n_template"]
+            )
+
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    return joined.mapInArrow(extract, f"page_id {id_type}, url string, text string, n_chars long, n_blocks int, n_template int")
