@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from sievecrest.llm.common import small_batches
 from sievecrest.llm.vocab import load_ranks
 
-BUFFER_CHARS = 1 << 22
+BUFFER_CHARS = 1 << 23
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
 _NONE = np.iinfo(np.int32).max
 
@@ -46,6 +46,7 @@ class MergeTable:
         self.tokens = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.decimals = [str(i).encode() for i in range(self.size)]
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = sorted(
             (ranks[token[:i]] * self.size + ranks[token[i:]], rank)
@@ -72,16 +73,16 @@ class MergeTable:
         return [self.ranks[p] for p in parts]
 
 
-def replay_merges(words: list[bytes], table: MergeTable) -> list[np.ndarray]:
+def replay_merges(words: list[bytes], table: MergeTable) -> list[list[int]]:
     """Ids of every word."""
-    out: list[np.ndarray | None] = [None] * len(words)
+    out: list[list[int]] = [[]] * len(words)
     rest = []
     for i, word in enumerate(words):
         whole = table.ranks.get(word)
         if whole is None:
             rest.append(i)
         else:
-            out[i] = np.array([whole], np.int32)
+            out[i] = [whole]
     if not rest:
         return out
     lengths = np.array([len(words[i]) for i in rest])
@@ -140,10 +141,12 @@ def replay_merges(words: list[bytes], table: MergeTable) -> list[np.ndarray]:
             low = touched[pair[touched] < rank]
             odd[owner[low]] = True
     kept = np.flatnonzero(alive)
-    cut = np.searchsorted(owner[kept], np.arange(len(rest) + 1))
-    ids = token[kept]
+    cut = np.searchsorted(owner[kept], np.arange(len(rest) + 1)).tolist()
+    ids = token[kept].tolist()
     for j, i in enumerate(rest):
-        out[i] = np.array(table.step_by_step(words[i]), np.int32) if odd[j] else ids[cut[j] : cut[j + 1]]
+        out[i] = ids[cut[j] : cut[j + 1]]
+    for j in np.flatnonzero(odd):
+        out[rest[j]] = table.step_by_step(words[rest[j]])
     return out
 
 
@@ -156,7 +159,7 @@ class CorpusEncoder:
         self.table = MergeTable(ranks)
         self.find = regex.compile(pattern).findall
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[np.ndarray]]:
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The chunk numbers of every text, and the ids of every distinct chunk."""
         chunk_of: dict[str, int] = {}
         number = chunk_of.setdefault
@@ -164,10 +167,10 @@ class CorpusEncoder:
         word_of: dict[str, int] = {}
         chunks = [[word_of.setdefault(w, len(word_of)) for w in self.find(c)] for c in chunk_of]
         ids = replay_merges([w.encode("utf-8", "surrogatepass") for w in word_of], self.table)
-        return texts_in_chunks, [ids[c[0]] if len(c) == 1 else np.concatenate([ids[w] for w in c]) for c in chunks]
+        return texts_in_chunks, [ids[c[0]] if len(c) == 1 else [i for w in c for i in ids[w]] for c in chunks]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.table.tokens.__getitem__, ids.tolist()))
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.table.tokens.__getitem__, ids))
 
 
 _ENCODERS: dict[tuple[str, str], CorpusEncoder] = {}
@@ -206,13 +209,12 @@ def round_trip_digests(df: DataFrame, id_col: str, text_col: str, path: str, pat
     return _encoded(df, id_col, text_col, path, pattern, schema, _digest_columns)
 
 
-def _ids_column(coder: CorpusEncoder, texts: list[list[int]], chunks: list[np.ndarray]) -> list[pa.Array]:
-    none = np.zeros(0, np.int32)
-    return [pa.array([np.concatenate([none, *(chunks[c] for c in t)]) for t in texts], pa.list_(pa.int32()))]
+def _ids_column(coder: CorpusEncoder, texts: list[list[int]], chunks: list[list[int]]) -> list[pa.Array]:
+    return [pa.array([[i for c in t for i in chunks[c]] for t in texts], pa.list_(pa.int32()))]
 
 
-def _digest_columns(coder: CorpusEncoder, texts: list[list[int]], chunks: list[np.ndarray]) -> list[pa.Array]:
-    digits = [" ".join(map(str, ids.tolist())).encode() for ids in chunks]
+def _digest_columns(coder: CorpusEncoder, texts: list[list[int]], chunks: list[list[int]]) -> list[pa.Array]:
+    digits = [b" ".join(map(coder.table.decimals.__getitem__, ids)) for ids in chunks]
     plain = [coder.decode(ids) for ids in chunks]
     sizes = np.array([len(ids) for ids in chunks], np.int64)
     counts = [int(sizes[t].sum()) if t else 0 for t in texts]
