@@ -311,10 +311,11 @@ def _(spark, d):
 @query(
     "ensemble_search",
     f"""{LONG}, m AS (SELECT DISTINCT model AS m FROM scored_long),
-    c2 AS (SELECT a.m AS x, b.m AS y FROM m a JOIN m b ON a.m<b.m), c3 AS (SELECT x,y,b.m AS z FROM c2 JOIN m b ON y<b.m),
-    cc AS (SELECT x||' + '||y AS ensemble, 2 AS n_models, [x,y] AS mem FROM c2 UNION ALL SELECT x||' + '||y||' + '||z, 3, [x,y,z] FROM c3),
+    c2 AS (SELECT a.m AS x, b.m AS y FROM m a JOIN m b ON a.m<b.m), c3 AS (SELECT x,y,b.m AS z FROM c2 JOIN m b ON y<b.m), c4 AS (SELECT x,y,z,b.m AS w FROM c3 JOIN m b ON z<b.m), c5 AS (SELECT x,y,z,w,b.m AS v FROM c4 JOIN m b ON w<b.m),
+    cc AS (SELECT x||' + '||y AS ensemble, 2 AS n_models, [x,y] AS mem FROM c2 UNION ALL SELECT x||' + '||y||' + '||z, 3, [x,y,z] FROM c3
+      UNION ALL SELECT x||' + '||y||' + '||z||' + '||w, 4, [x,y,z,w] FROM c4 UNION ALL SELECT x||' + '||y||' + '||z||' + '||w||' + '||v, 5, [x,y,z,w,v] FROM c5),
     pr AS (SELECT id, max(label) AS label, max(grp%2) AS dataset, map_from_entries(list((model, prob) ORDER BY model)) AS p FROM scored_long GROUP BY id),
-    e AS (SELECT dataset::VARCHAR||'|'||ensemble AS k, dataset, ensemble, n_models, label, (p[mem[1]]+p[mem[2]]+CASE WHEN n_models=3 THEN p[mem[3]] ELSE 0e0 END)/n_models AS prob_pos FROM pr, cc),
+    e AS (SELECT dataset::VARCHAR||'|'||ensemble AS k, dataset, ensemble, n_models, label, (p[mem[1]]+p[mem[2]]+CASE WHEN n_models>2 THEN p[mem[3]] ELSE 0e0 END+CASE WHEN n_models>3 THEN p[mem[4]] ELSE 0e0 END+CASE WHEN n_models>4 THEN p[mem[5]] ELSE 0e0 END)/n_models AS prob_pos FROM pr, cc),
     cells AS (SELECT k, prob_pos AS score, count(*) FILTER (label=1) AS pos, count(*) FILTER (label=0) AS neg FROM e GROUP BY ALL),
     cand AS (SELECT k, score, sum(pos) AS pos, sum(neg) AS neg FROM (SELECT * FROM cells UNION ALL SELECT k, t, 0, 0 FROM (SELECT DISTINCT k FROM cells),(VALUES (0e0),(0.5e0),(1e0)) c(t)) GROUP BY ALL),
     cums AS (SELECT k, score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY k)-sum(pos) OVER w AS fn FROM cand WINDOW w AS (PARTITION BY k ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
@@ -325,7 +326,7 @@ def _(spark, d):
 )
 def _(spark, d):
     df = V.scored_long(spark, d).withColumn("dataset", F.col("grp") % 2)
-    out = P.ensemble_search(df, "dataset", "id", "label", 2, 3)
+    out = P.ensemble_search(df, "dataset", "id", "label")
     return out.select(
         "dataset", "ensemble", "n_models", *[F.round(c, 6).alias(c) for c in ("prob_mean", "f1_at_0_5", "best_f1")]
     )

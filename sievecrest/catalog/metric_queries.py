@@ -227,6 +227,21 @@ def _(spark, d):
     return rounded(M.histogram(V.scored(spark, d), "prob_pos", ["label"]), "density")
 
 
+@query(
+    "distribution_at_best_threshold",
+    f"""{with_views('scored')}, o AS (SELECT label, prob_pos FROM scored WHERE id%2=0), d AS (SELECT prob_pos AS p FROM scored WHERE id%2=1),
+    c AS (SELECT t, (SELECT count(*) FROM o WHERE prob_pos>=t AND label=1) AS tp, (SELECT count(*) FROM o WHERE prob_pos>=t AND label=0) AS fp, (SELECT count(*) FROM o WHERE prob_pos<t AND label=1) AS fn
+      FROM (SELECT DISTINCT prob_pos AS t FROM o UNION SELECT unnest([0e0,0.5e0,1e0]))),
+    b AS (SELECT t AS threshold FROM c ORDER BY CASE WHEN tp=0 THEN 0e0 ELSE 2e0*(tp::DOUBLE/greatest(1,tp+fp))*(tp::DOUBLE/greatest(1,tp+fn))/(tp::DOUBLE/greatest(1,tp+fp)+tp::DOUBLE/greatest(1,tp+fn)) END DESC, t LIMIT 1)
+    SELECT count(*) AS n, count(*) FILTER (p>=0.5) AS pos_at_0_5, round(max(threshold),6) AS threshold, count(*) FILTER (p>=threshold) AS pos_at_best,
+      round(count(*) FILTER (p>=0.5)/(count(*) FILTER (p<0.5))::DOUBLE,6) AS ratio_at_0_5, round(count(*) FILTER (p>=threshold)/nullif(count(*) FILTER (p<threshold),0)::DOUBLE,6) AS ratio_at_best FROM d, b""",
+)
+def _(spark, d):
+    df = V.scored(spark, d)
+    out = M.distribution_at_threshold(df.where("id % 2 = 1"), "prob_pos", df.where("id % 2 = 0"), "label")
+    return rounded(out.select("n", "pos_at_0_5", "threshold", "pos_at_best", "ratio_at_0_5", "ratio_at_best"), "threshold", "ratio_at_0_5", "ratio_at_best")
+
+
 RUNS_SQL = f"""{with_views('scored')}, runs AS (SELECT grp AS run, id%3 AS ds, avg(label) AS truth,
     count(*) FILTER (prob_pos>=0.5)::DOUBLE/count(*) AS metric, avg(prob_pos) AS pm FROM scored GROUP BY ALL)"""
 

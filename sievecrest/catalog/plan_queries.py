@@ -286,17 +286,24 @@ def _(spark, d):
     return LD.risk_ladder(current.where("id % 11 = 0"), ranked, [5, 10, 15, 20, 25])
 
 
+def _view_sql(name: str, dims: str) -> str:
+    """Positive share among the five nearest labelled rows by some of the dimensions."""
+    return f"""{name} AS (SELECT id, avg((l=1)::INT) AS share FROM (SELECT q.sample_id AS id, r.label AS l, row_number() OVER (PARTITION BY q.sample_id
+      ORDER BY round(list_cosine_similarity(q.embedding[{dims}], r.embedding[{dims}]),12) DESC, r.sample_id) AS rank
+      FROM (SELECT * FROM manifest WHERE source='test') q, (SELECT * FROM manifest WHERE label IS NOT NULL) r) WHERE rank<=5 GROUP BY id)"""
+
+
 @query(
     "embedding_agreement",
-    f"""{VER}, a AS (SELECT *, (id%7)/6e0 AS s5, CASE WHEN id%3<>0 THEN (id%4)/3e0 END AS c5 FROM vr)
+    f"""{VER}, {_view_sql("second", "1:32")}, {_view_sql("third", "33:64")}, a AS (SELECT vr.*, s.share AS s5, c.share AS c5 FROM vr LEFT JOIN second s USING (id) LEFT JOIN third c USING (id))
     SELECT id, round(((1-s5)+(1-coalesce(c5,0.5e0)))/2,6) AS two_way_negative, round(((1-coalesce(t5,0.5e0))+(1-s5)+(1-coalesce(c5,0.5e0)))/3,6) AS three_way_negative,
     coalesce(t5<=0.2 AND s5<=0.2 AND c5<=0.2,false) AS strong_negative, coalesce((s5>=0.6 AND t5<=0.2) OR (s5<=0.2 AND t5>=0.6),false) AS disagrees FROM a""",
 )
 def _(spark, d):
-    feats, current = _verifier(spark, d)
-    i = F.col("id")
-    second = current.select("id", (i % 7 / F.lit(6.0)).alias("top5_pos_frac"))
-    third = current.select("id", F.when(i % 3 != 0, i % 4 / F.lit(3.0)).alias("top5_pos_frac"))
+    feats, _ = _verifier(spark, d)
+    m = V.manifest(spark, d)
+    views = [m.withColumn("embedding", F.slice("embedding", start, 32)) for start in (1, 33)]
+    second, third = (A.neighbour_shares(v.where("source = 'test'"), v.where("label IS NOT NULL")) for v in views)
     out = A.embedding_agreement(feats, second, third)
     return rnd(out.select("id", "two_way_negative", "three_way_negative", "strong_negative", "disagrees"))
 

@@ -125,13 +125,31 @@ def _(spark, d):
     return out.select("href", PG.item_id(F.col("href"), F.col("href")).alias("item"))
 
 
+ORIGIN = "regexp_extract(url,'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)',1)"
+IMAGE_SQL = f"""imgs AS (SELECT page_id, 0 AS pos, {ORIGIN}||'/img/'||(page_id%97)||'.jpg?s=1' AS src, 'Picture '||page_id AS alt, (page_id%300)::INT AS width, 90 AS height FROM pages
+  UNION ALL SELECT page_id, 1, 'https://cdn.example.org/logo.png', '', 0, 0 FROM pages WHERE page_id%2=0)"""
+
+
+def _pages_with_images(spark, d):
+    """The pages with image tags made of their own columns before the end."""
+    p = F.col("page_id")
+    photo = F.format_string('<IMG class="x"\n src="/img/%d.jpg?s=1" alt=\'Picture %d\' width="%dpx" height="90">', p % 97, p, p % 300)
+    logo = F.when(p % 2 == 0, '<img src="https://cdn.example.org/logo.png"/><img alt="no source">').otherwise("")
+    return V.table(spark, d, "pages").withColumn("html", F.concat("html", photo, logo))
+
+
+@query("page_images", f"WITH {IMAGE_SQL} SELECT page_id, pos, src, alt, width, height FROM imgs")
+def _(spark, d):
+    return PG.page_images(_pages_with_images(spark, d))
+
+
 @query(
     "crawl_summary",
-    f"""WITH {LINK_SQL} SELECT (SELECT count(*) FROM pages) AS page_count, (SELECT count(DISTINCT href) FROM links) AS item_count, 0::BIGINT AS image_count,
-    concat('{{"page_count":',(SELECT count(*) FROM pages),',"item_count":',(SELECT count(DISTINCT href) FROM links),',"image_count":0}}') AS summary""",
+    f"""WITH {LINK_SQL}, {IMAGE_SQL}, n AS (SELECT (SELECT count(*) FROM pages) AS page_count, (SELECT count(DISTINCT href) FROM links) AS item_count, (SELECT count(DISTINCT src) FROM imgs) AS image_count)
+    SELECT *, concat('{{"page_count":',page_count,',"item_count":',item_count,',"image_count":',image_count,'}}') AS summary FROM n""",
 )
 def _(spark, d):
-    pages = V.table(spark, d, "pages")
+    pages = _pages_with_images(spark, d)
     items = PG.page_links(pages).select("href").distinct()
     return PG.crawl_summary(pages.select("page_id"), items, PG.page_images(pages))
 

@@ -30,13 +30,9 @@ def contains_any(text: Column, words: Sequence[str], case_sensitive: bool = Fals
     """Whether the normalised text contains any normalised keyword."""
     import re
 
-    hit = F.lit(False)
-    for w in words:
-        plain = re.sub(r"[\s|\-_/\\]+", "", w)
-        plain = plain if case_sensitive else plain.lower()
-        if plain:
-            hit = hit | F.contains(text, F.lit(plain))
-    return hit
+    plain = [re.sub(r"[\s|\-_/\\]+", "", w) for w in words]
+    quoted = [rf"\Q{w if case_sensitive else w.lower()}\E" for w in plain if w]
+    return text.rlike("|".join(quoted)) if quoted else F.lit(False)
 
 
 def lines_to_text(lines: Column, min_score: float = 0.0) -> Column:

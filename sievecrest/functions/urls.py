@@ -11,15 +11,17 @@ CONTENT_SUFFIXES = ("jpg", "jpeg", "png", "webp")
 
 
 def _escape(path: Column) -> Column:
-    """Percent-encode what a browser would in a path; already encoded text is kept."""
+    """Percent-encode what a browser would in a path; already encoded text, and so most paths, are kept whole."""
     chars = F.filter(F.split(path, ""), lambda c: c != "")
-    plain = r"^[!#-;=?-_a-z|~%&\[\]\\^]$"
-    return F.array_join(
+    allowed = r"[!#-;=?-_a-z|~%&\[\]\\^]"
+    plain = f"^{allowed}$"
+    encoded = F.array_join(
         F.transform(
             chars, lambda c: F.when(c.rlike(plain), c).otherwise(F.regexp_replace(F.url_encode(c), r"^\+$", "%20"))
         ),
         "",
     )
+    return F.when(path.rlike(f"^{allowed}*$"), path).otherwise(encoded)
 
 
 def _clean_path(path: Column) -> Column:

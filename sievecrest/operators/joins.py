@@ -44,12 +44,27 @@ def label_votes(ids: DataFrame, labels: DataFrame, key: str = "id", model: str =
     )
 
 
-def baseline_diff(baseline: DataFrame, candidate: DataFrame, by: Sequence[str] = (), key: str = "id", n: int = 25) -> DataFrame:
+def require_same_ids(baseline: DataFrame, candidate: DataFrame, by: Sequence[str] = (), key: str = "id") -> None:
+    """Error if a candidate set lacks ids of the baseline or has others; both sides of an inner join would hide it."""
+    ids = baseline.select(F.col(key).alias("_id")).distinct()
+    groups = candidate.select(*by).distinct() if by else candidate.sparkSession.range(1).select()
+    want = groups.join(ids)
+    mine = candidate.select(*by, F.col(key).alias("_id")).distinct()
+    on = [*by, "_id"]
+    lacking, other = want.join(mine, on, "left_anti").count(), mine.join(ids, "_id", "left_anti").count()
+    if lacking or other:
+        raise ValueError(f"candidate and baseline ids differ: {lacking} missing, {other} unknown")
+
+
+def baseline_diff(baseline: DataFrame, candidate: DataFrame, by: Sequence[str] = (), key: str = "id", n: int = 25, same_ids: bool = False) -> DataFrame:
     """Positives, differences and flips of candidate labels against a baseline, with example ids.
 
+    ``same_ids`` makes differing id sets an error instead of comparing the common ids.
     The example lists come from a top-n per flip direction, so no group's ids are gathered whole.
     """
     by = list(by)
+    if same_ids:
+        require_same_ids(baseline, candidate, by, key)
     joined = candidate.select(key, *by, F.col("label").alias("_c")).join(
         baseline.select(key, F.col("label").alias("_b")), key
     )

@@ -305,6 +305,26 @@ def distribution_report(df: DataFrame, score: str, by: Sequence[str] = ()) -> Da
     return base.withColumn("_p", packed).select("n", "mean", "std", "pos_at_0_5", "_p.*")
 
 
+def distribution_at_threshold(
+    df: DataFrame, score: str, other: DataFrame, label: str, by: Sequence[str] = (), other_score: str | None = None
+) -> DataFrame:
+    """``distribution_report`` with the best F1 threshold of another (labelled) table applied to this one.
+
+    Adds the threshold, the positives at it and the share of positives among negatives at 0.5 and there.
+    """
+    by = list(by)
+    best = best_threshold(other, other_score or score, label, by).select(*by, "threshold")
+    cut = df.join(best, by) if by else df.withColumn("threshold", best.select("threshold").scalar())
+    called = F.count_if(F.col(score) >= F.col("threshold"))
+    at = cut.where(F.col(score).isNotNull()).groupBy(*by).agg(
+        F.max("threshold").alias("threshold"), called.alias("pos_at_best"),
+        F.try_divide(F.count_if(F.col(score) >= 0.5), F.count_if(F.col(score) < 0.5)).alias("ratio_at_0_5"),
+        F.try_divide(called, F.count(F.lit(1)) - called).alias("ratio_at_best"),
+    )
+    report = distribution_report(df, score, by)
+    return report.join(at, by) if by else report.crossJoin(at)
+
+
 def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = 50, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Counts and densities of all ``bins``, empty ones included; the last includes its upper edge.
 

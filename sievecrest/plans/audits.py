@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievecrest.functions import risk as R
 from sievecrest.operators.filters import matched_rules
 from sievecrest.operators.metrics import grouped_rank_correlation
+from sievecrest.operators.neighbours import cosine_knn, with_ref_columns
 from sievecrest.operators.ordering import average_ranks, global_row_number, running_totals
 from sievecrest.session import cut_lineage
 
@@ -104,6 +105,12 @@ def rule_ids(features: DataFrame, rules: dict) -> DataFrame:
     return placed.select("rule", F.col("cum_one").alias("place"), "id")
 
 
+def neighbour_shares(queries: DataFrame, refs: DataFrame, k: int = 5, find=cosine_knn) -> DataFrame:
+    """(id, top5_pos_frac): positive share among the ``k`` nearest labelled rows of one backbone."""
+    edges = with_ref_columns(find(queries, refs, k), refs, ["label"])
+    return edges.groupBy(F.col("query_id").alias("id")).agg(F.avg((F.col("ref_label") == 1).cast("int")).alias("top5_pos_frac"))
+
+
 def embedding_agreement(base: DataFrame, second: DataFrame, third: DataFrame) -> DataFrame:
     """Join top-5 positive shares of two more embeddings to the base table and rate their agreement."""
     cols = {"top5_pos_frac": "top5"}
