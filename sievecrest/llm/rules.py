@@ -2,7 +2,7 @@
 
 A rule is a predicate on lazily computed features of one text. On a bounded sample
 (``SAMPLE_ROWS`` rows, a parameter) every rule is timed and its rejections are counted, on the
-executors; only one row a rule comes back. The rules are then ordered by rejections per second of
+executors; only two short arrays a row come back. The rules are then ordered by rejections per second of
 cost, and each text runs down that list until one rejects it. A text is kept if no rule rejects it,
 so the order changes the cost and never the verdict.
 
@@ -101,31 +101,38 @@ RULES: dict[str, Callable[[Features], bool]] = {
 BASE = ("too_few_words", "repeated_windows")
 
 
-def measure_rules(df: DataFrame, text_col: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(rule, seconds, rejected, seen) of each rule on a sample; the texts stay on the executors."""
+def measure_rules(df: DataFrame, text_col: str) -> DataFrame:
+    """(seconds, rejected) of every rule, as two arrays a text; the texts stay on the executors."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, rejected, seen = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0), 0
         for batch in batches:
+            spent, rejected = [], []
             for text in text_bytes(batch.column(0)):
-                seen += 1
-                for name, rule in RULES.items():
+                seconds, hits = [], []
+                for rule in RULES.values():
                     features = Features(text)  # a rule pays for all it asks
                     began = time.perf_counter()
-                    rejected[name] += rule(features)
-                    spent[name] += time.perf_counter() - began
-        rows = [[*spent], [*spent.values()], [*rejected.values()], [seen] * len(spent)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["rule", "seconds", "rejected", "seen"])
+                    hits.append(rule(features))
+                    seconds.append(time.perf_counter() - began)
+                spent.append(seconds)
+                rejected.append(hits)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(spent, pa.list_(pa.float64())), pa.array(rejected, pa.list_(pa.bool_()))], ["seconds", "rejected"]
+            )
 
-    sample = small_batches(df).select(F.col(text_col).alias("text")).limit(sample_rows)
-    found = sample.mapInArrow(measure, "rule string, seconds double, rejected long, seen long")
-    return found.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("seconds", "rejected", "seen")])
+    return small_batches(df).select(F.col(text_col).alias("text")).mapInArrow(measure, "seconds array<double>, rejected array<boolean>")
 
 
 def order_rules(df: DataFrame, text_col: str, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections per second on the sample, best first."""
-    gain = {r["rule"]: r["rejected"] / max(r["seconds"], 1e-9) for r in measure_rules(df, text_col, sample_rows).collect()}
-    return sorted(RULES, key=lambda name: -gain.get(name, 0.0))
+    """Rule names by rejections per second on the first ``sample_rows`` texts that Spark meets, best first.
+
+    ``take`` runs one partition and further ones only while rows are missing; a row is two short arrays.
+    """
+    seen = measure_rules(df, text_col).take(sample_rows)
+    gain = {
+        name: sum(r["rejected"][i] for r in seen) / max(sum(r["seconds"][i] for r in seen), 1e-9) for i, name in enumerate(RULES)
+    }
+    return sorted(RULES, key=lambda name: -gain[name])
 
 
 def rejecting_rule(features: Features, order: list[str]) -> str | None:
