@@ -42,27 +42,30 @@ def best_epoch(df: DataFrame, epoch: str = "epoch", score: str = "val_f1", run:
 
 
 def epoch_selection(
-    df: DataFrame, train_pi: Column | float, target_pi: Column | float, search_threshold: bool = True, correct: bool = True, patience: int | None = 6
+    df: DataFrame, train_pi: Column | float, target_pi: Column | float, search_threshold: bool = True, correct: bool = True, patience: int | None = 6,
+    run: str | None = None,
 ) -> DataFrame:
     """Per epoch: threshold from the search subset, F1 on the selection subset, running best and stop.
 
-    ``df`` has epoch, id, prob, label and subset ('search' or 'select').
+    ``df`` has epoch, id, prob, label and subset ('search' or 'select'); ``run`` names a column that
+    keeps several histories apart.
     """
+    keys = [*([run] if run else []), "epoch"]
     prob = bayes_prior_correct(F.col("prob"), train_pi, target_pi) if correct else F.col("prob")
     scored = df.withColumn("_p", prob)
     if search_threshold:
-        found = best_threshold(scored.where("subset = 'search'"), "_p", "label", ["epoch"])
+        found = best_threshold(scored.where("subset = 'search'"), "_p", "label", keys)
     else:
-        found = scored.select("epoch").distinct().withColumn("threshold", F.lit(0.5)).withColumn("best_f1", F.lit(None).cast("double"))
-    held = scored.where("subset = 'select'").join(found, "epoch")
+        found = scored.select(*keys).distinct().withColumn("threshold", F.lit(0.5)).withColumn("best_f1", F.lit(None).cast("double"))
+    held = scored.where("subset = 'select'").join(found, keys)
     called = F.col("_p") >= F.col("threshold")
-    counts = held.groupBy("epoch", "threshold", F.col("best_f1").alias("search_f1")).agg(
+    counts = held.groupBy(*keys, "threshold", F.col("best_f1").alias("search_f1")).agg(
         F.count_if(called & (F.col("label") == 1)).alias("tp"),
         F.count_if(called & (F.col("label") == 0)).alias("fp"),
         F.count_if(~called & (F.col("label") == 1)).alias("fn"),
     )
     table = counts.withColumn("val_f1", f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn"))).drop("tp", "fp", "fn")
-    return running_best(table, "epoch", "val_f1", patience)
+    return running_best(table, "epoch", "val_f1", patience, run=run)
 
 
 def parse_settings(text: Column) -> Column:

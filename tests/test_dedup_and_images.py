@@ -177,3 +177,14 @@ def test_empty_foreground_and_mask(spark):
     df = spark.createDataFrame([([0, 0, 0, 0],)], "px array<int>")
     row = df.select(G.foreground_bbox(F.col("px"), F.lit(2)).alias("b"), G.mask_bbox(F.col("px"), F.lit(2), F.lit(2)).alias("m")).first()
     assert row["b"] is None and tuple(row["m"]) == (0, 0, 1, 1)
+
+
+def test_pixel_statistics_of_image_files(spark, image_root):
+    """Channel moments, white ratio and box come from PNG files through the pixel planes."""
+    imgs = RD.read_images(spark, image_root)
+    whole = I.pixel_planes(imgs, ("name",))
+    assert {(r["w"], r["h"], len(r["r"])) for r in whole.collect()} == {(30, 20, 600)}
+    stats = I.channel_moments(I.channel_sums(I.pixel_planes(imgs, ("name",), 224), {"red": "r", "blue": "b"}), ("red", "blue")).first()
+    raw = np.array([r["r"] for r in whole.collect()])
+    assert stats["n_images"] == 6 and stats["n_pixels"] == 6 * 224 * 224
+    assert stats["mean_red"] == pytest.approx(raw.mean(), abs=0.5) and 0 < stats["std_red"] <= raw.std() + 1

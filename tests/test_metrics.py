@@ -125,3 +125,14 @@ def test_temperature_fit_finds_the_minimum(spark):
     rows = [(1 / (1 + np.exp(-3.0 * z)), int(rng.random() < 1 / (1 + np.exp(-z)))) for z in (rng.gauss(0, 1.5) for _ in range(4000))]
     df = spark.createDataFrame([(float(p), y) for p, y in rows], "p double, y int").cache()
     assert M.fit_temperature(df, "p", "y") == pytest.approx(3.0, abs=0.4)
+
+
+def test_epoch_selection_keeps_runs_apart(spark):
+    from sievecrest.operators.ledger import epoch_selection
+
+    rows = [(run, e, i, ((i * 37 + e * 11 + len(run)) % 100) / 100, i % 2, "search" if i % 3 else "select") for run in ("a", "bb") for e in range(1, 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "run string, epoch int, id int, prob double, label int, subset string")
+    both = {(r.run, r.epoch): (r.threshold, r.val_f1, r.best_so_far) for r in epoch_selection(df, 0.5, 0.5, run="run").collect()}
+    for run in ("a", "bb"):
+        for r in epoch_selection(df.where(df.run == run).drop("run"), 0.5, 0.5).collect():
+            assert both[run, r.epoch] == (r.threshold, r.val_f1, r.best_so_far)
