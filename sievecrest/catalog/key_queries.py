@@ -224,7 +224,7 @@ def _(spark, d):
 @query(
     "gate_saturation",
     f"""{with_views('scored')}, r AS (SELECT grp AS run, max(prob_pos) AS cluster, quantile_cont(prob_pos,0.995) AS top FROM scored GROUP BY 1)
-    SELECT count(*) AS runs, count(*) FILTER (cluster>=0.99 AND top>=0.98) AS passing, count(*) FILTER (cluster>=0.999 AND top>=0.999) AS saturated FROM r""",
+    SELECT count(*) AS runs, count(*) FILTER (cluster>=0.99 AND top>=0.98) AS passing, count(*) FILTER (cluster>=0.996 AND top>=0.99) AS saturated FROM r""",
 )
 def _(spark, d):
     from sievecrest.operators.metrics import exact_percentiles
@@ -234,7 +234,7 @@ def _(spark, d):
     return runs.agg(
         F.count(F.lit(1)).alias("runs"),
         F.count_if(R.gate(F.col("cluster"), F.col("top"), 0.99, 0.98)).alias("passing"),
-        F.count_if(R.gate(F.col("cluster"), F.col("top"), 0.999, 0.999)).alias("saturated"),
+        F.count_if(R.gate(F.col("cluster"), F.col("top"), 0.996, 0.99)).alias("saturated"),
     )
 
 

@@ -39,19 +39,19 @@ def _(spark, d):
     return RD.read_prefixed(spark, path, "cust")
 
 
-@query("id_list_text", "SELECT DISTINCT user_id::VARCHAR AS id FROM events WHERE event_type='error'")
+@query("id_list_text", "SELECT DISTINCT user_id::VARCHAR AS id FROM events")
 def _(spark, d):
     path = scratch_path(spark, "ids")
-    rows = V.table(spark, d, "events").where("event_type = 'error'")
+    rows = V.table(spark, d, "events")
     WR.write_id_list(rows.select(F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("  ")).alias("id")), path)
     return RD.read_id_list(spark, path)
 
 
-@query("number_list_text", "SELECT DISTINCT l_partkey::INT AS number FROM lineitem WHERE l_returnflag='R'")
+@query("number_list_text", "SELECT DISTINCT l_partkey::INT AS number FROM lineitem")
 def _(spark, d):
     path = scratch_path(spark, "numbers")
     k = F.col("l_partkey")
-    WR.write_id_list(V.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.when(k % 2 == 0, F.format_string("%06d.jpg", k)).otherwise(k.cast("string")).alias("id")).distinct(), path)
+    WR.write_id_list(V.table(spark, d, "lineitem").select(F.when(k % 2 == 0, F.format_string("%06d.jpg", k)).otherwise(k.cast("string")).alias("id")).distinct(), path)
     return RD.read_number_list(spark, path)
 
 
@@ -124,7 +124,7 @@ def _(spark, d):
 def _(spark, d):
     kind = F.col("l_linenumber") % 4
     name = F.when(kind == 0, "best.pt").when(kind == 1, "soup3.pt").when(kind == 2, "train_args.json").otherwise("last.pt")
-    files = V.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("out/run"), "l_partkey", F.lit("/"), name).alias("path")).distinct()
+    files = V.table(spark, d, "lineitem").select(F.concat(F.lit("out/run"), "l_partkey", F.lit("/"), name).alias("path")).distinct()
     return RD.discover_artifacts(files).select("tag")
 
 

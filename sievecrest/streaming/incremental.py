@@ -24,7 +24,7 @@ def with_markers(inputs: DataFrame, results: DataFrame, key: str = "id") -> Data
 
 
 def _read_done(spark: SparkSession, path: str, key: str, key_type: T.DataType) -> DataFrame:
-    schema = T.StructType([T.StructField(key, key_type), T.StructField("batch", T.LongType())])
+    schema = T.StructType([T.StructField(key, key_type), T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
     try:
         return spark.read.schema(schema).parquet(path)
     except Exception as e:
@@ -35,26 +35,30 @@ def _read_done(spark: SparkSession, path: str, key: str, key_type: T.DataType) -
 
 def score_new_files(
     spark: SparkSession, folder: str, schema: T.StructType, output: str, checkpoint: str, score: Callable[[DataFrame], DataFrame],
-    key: str = "id", pattern: str = "*.parquet",
+    key: str = "id", pattern: str = "*.parquet", buckets: int = 32,
 ) -> DataFrame:
     """Score what arrived since the last call and return all output rows.
 
     The file source's checkpoint remembers finished files; an id seen in an earlier batch is skipped,
     and ids without a result leave a marker row. A batch writes its own ``batch=N`` folder in
-    overwrite mode, so a batch that is run again after a failure replaces its own rows.
+    overwrite mode, so a batch that is run again after a failure replaces its own rows. Output lies in
+    key-hash buckets, and a batch reads only the earlier output of the buckets its keys fall into.
     """
     key_type = schema[key].dataType
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
     def step(batch: DataFrame, batch_id: int) -> None:
-        done = _read_done(batch.sparkSession, output, key, key_type)
+        touched = [r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        done = _read_done(batch.sparkSession, output, key, key_type).where(F.col("bucket").isin(touched))
         fresh = unseen(batch, done.where(F.col("batch") != batch_id), key).dropDuplicates([key])
-        rows = with_markers(fresh, score(fresh), key)
-        rows.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        rows = with_markers(fresh, score(fresh), key).withColumn("bucket", bucket)
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{output}/batch={batch_id}")
 
     run = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(output)
+    return spark.read.parquet(output).drop("bucket")
 
 
 def running_channel_sums(
