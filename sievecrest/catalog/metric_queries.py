@@ -345,11 +345,30 @@ def _(spark, d):
     return rounded(M.temperature_nll(V.scored(spark, d), "prob_pos", "label", [0.5, 1.0, 2.0, 4.0, 8.0]), "nll")
 
 
-@query("temperature_fit")
+def _fit_sql(rounds: int = 4, points: int = 25) -> str:
+    """Grids that narrow around the best point, one pair of CTEs a round."""
+    nll = "avg(-ln(CASE WHEN label=1 THEN c ELSE 1-c END))"
+    scaled = "least(greatest(1/(1+exp(-(x/t))),1e-7),1-1e-7)"
+    parts = ["b0 AS (SELECT 0.1e0 AS low, 10e0 AS high)"]
+    for i in range(1, rounds + 1):
+        step = f"((high-low)/{points - 1})"
+        parts.append(
+            f"g{i} AS (SELECT low, high, {step} AS step, low + k*{step} AS t FROM b{i - 1}, (SELECT unnest(range({points}))::DOUBLE AS k)), "
+            f"n{i} AS (SELECT t, min(low) AS low, min(high) AS high, min(step) AS step, {nll} AS nll FROM (SELECT *, {scaled} AS c FROM lg, g{i}) GROUP BY t), "
+            f"b{i} AS (SELECT greatest(low, t-step) AS low, least(high, t+step) AS high, t AS best FROM n{i} ORDER BY nll, t LIMIT 1)"
+        )
+    both = f"(SELECT 1e0 AS t UNION ALL SELECT best FROM b{rounds})"
+    return ", ".join(parts) + f" SELECT round(t,6) AS temperature, round({nll},6) AS nll FROM (SELECT *, {scaled} AS c FROM lg, {both}) GROUP BY t"
+
+
+@query(
+    "temperature_fit",
+    f"""{with_views('scored')}, q AS (SELECT label, least(greatest(prob_pos,1e-7),1-1e-7) AS p FROM scored), lg AS (SELECT label, ln(p/(1-p)) AS x FROM q), {_fit_sql()}""",
+)
 def _(spark, d):
     df = V.scored(spark, d)
     t = M.fit_temperature(df, "prob_pos", "label")
-    return M.temperature_nll(df, "prob_pos", "label", [1.0, t])
+    return rounded(M.temperature_nll(df, "prob_pos", "label", [1.0, t]), "temperature", "nll")
 
 
 @query(

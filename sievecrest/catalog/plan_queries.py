@@ -13,7 +13,6 @@ from sievecrest.operators import joins as J
 from sievecrest.operators import neighbours as N
 from sievecrest.operators import probes as PB
 from sievecrest.operators.filters import matched_rules
-from sievecrest.operators.metrics import best_threshold, eval_summary
 from sievecrest.operators.ordering import global_row_number
 from sievecrest.plans import audits as A
 from sievecrest.plans import ladders as LD
@@ -104,38 +103,95 @@ def _(spark, d):
     return out.select("rows", "not_at_nearest", "within_k", (F.col("inside") < spread).alias("less_spread"))
 
 
-@query("test_like_validation_sets")
-def _(spark, d):
+SETS = """pool AS (SELECT * FROM manifest WHERE source IN ('train','myval') AND label IS NOT NULL), n AS (SELECT count(*) AS pool, least(count(*),60) AS few FROM pool)"""
+
+
+def _validation(spark, d):
     sources = ["train", "myval", "test", "extra"]
     scored = VL.test_like_scores(V.manifest(spark, d), sources, sources, components=16, clusters=12)
-    return VL.validation_sets(scored, ["train", "myval"], 60).select("kind", "sample_id", "label", "cluster", "test_like_score", "sample_weight")
+    return scored, VL.validation_sets(scored, ["train", "myval"], 60)
 
 
-@query("validation_build_summary")
+@query(
+    "test_like_validation_sets",
+    f"""{MAN}, {SETS} SELECT kind, CASE WHEN kind='weighted' THEN pool ELSE few END AS rows, CASE WHEN kind='weighted' THEN pool ELSE few END AS ids, true AS best_of_label, true AS weights_in_range
+    FROM n, (VALUES ('top'),('cluster'),('weighted')) k(kind)""",
+)
 def _(spark, d):
-    sources = ["train", "myval", "test", "extra"]
-    scored = VL.test_like_scores(V.manifest(spark, d), sources, sources, components=16, clusters=12)
-    return VL.build_summary(scored, VL.validation_sets(scored, ["train", "myval"], 60))
+    """Sizes of the sets, their ids, weights within 0 and 1, and that no better row of a label was left out of ``top``."""
+    scored, sets = _validation(spark, d)
+    sets = cut_lineage(sets.select("kind", "sample_id", "label", "test_like_score", "sample_weight"))
+    worst = sets.where("kind = 'top'").groupBy("label").agg(F.min("test_like_score").alias("worst"))
+    pool = sets.where("kind = 'weighted'").join(sets.where("kind = 'top'").select("sample_id"), "sample_id", "left_anti")
+    better = pool.join(worst, "label").where(F.col("test_like_score") > F.col("worst") + 1e-12).agg(F.count(F.lit(1))).scalar()
+    out = sets.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("sample_id").alias("ids"),
+        F.coalesce(F.min(F.col("sample_weight").between(0, 1)), F.lit(True)).alias("weights_in_range"),
+    )
+    return out.withColumn("best_of_label", better == 0)
 
 
-@query("logistic_probe_sweep")
+@query(
+    "validation_build_summary",
+    f"""{MAN}, {SETS}, f AS (SELECT count(*) AS feature_rows, count(*) FILTER (source='test') AS anchor_rows FROM manifest)
+    SELECT feature_rows, anchor_rows, few AS top_rows, few AS cluster_rows, pool AS weighted_rows, true AS clusters_within_k, true AS json_agrees FROM f, n""",
+)
 def _(spark, d):
-    m = V.manifest(spark, d)
-    out = PB.logistic_probe(m.where("source = 'train'"), m.where("source IN ('myval', 'extra')"), [0.1, 1.0])
-    return eval_summary(out.select("source", "C", "prob_pos", "label"), "prob_pos", "label", ["source", "C"])
+    scored, sets = _validation(spark, d)
+    out = VL.build_summary(scored, sets)
+    size = {k: F.col("set_rows")[k].alias(f"{k}_rows") for k in ("top", "cluster", "weighted")}
+    agrees = F.get_json_object("summary", "$.set_rows.top").cast("long") == F.col("set_rows")["top"]
+    return out.select("feature_rows", "anchor_rows", *size.values(), (F.col("clusters") <= 12).alias("clusters_within_k"), agrees.alias("json_agrees"))
 
 
-@query("perceptron_probe")
+@query(
+    "logistic_probe_sweep",
+    f"""{MAN} SELECT source, c AS "C", count(*) AS n, count(*) FILTER (label=1) AS positives, true AS in_range, CASE WHEN source='train' THEN true END AS below_prior_loss
+    FROM manifest, (VALUES (0.1e0),(1e0)) v(c) WHERE source IN ('train','myval','extra') AND label IS NOT NULL GROUP BY source, c""",
+)
 def _(spark, d):
-    m = V.manifest(spark, d)
-    out = PB.mlp_probe(m.where("source = 'train'"), m.where("source IN ('myval', 'extra')"))
-    return best_threshold(out.select("source", "prob_pos", "label"), "prob_pos", "label", ["source"])
+    """Every labelled row is scored, and on its training rows a probe's balanced loss is below that of no features."""
+    m = V.manifest(spark, d).where("label IS NOT NULL")
+    out = PB.logistic_probe(m.where("source = 'train'"), m.where("source IN ('train', 'myval', 'extra')"), [0.1, 1.0])
+    y, p = F.col("label"), F.col("prob_pos")
+    loss = (F.avg(F.when(y == 1, -F.log(p))) + F.avg(F.when(y == 0, -F.log(1 - p)))) / 2
+    return out.groupBy("source", "C").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(y == 1).alias("positives"), F.min((p > 0) & (p < 1)).alias("in_range"),
+        F.when(F.col("source") == "train", loss < F.log(F.lit(2.0))).alias("below_prior_loss"),
+    )
+
+
+def _planted(spark, d):
+    """The manifest with a label that a linear cut of the vector decides."""
+    side = F.col("embedding")[0] + F.col("embedding")[1] > 0
+    return V.manifest(spark, d).where("label IS NOT NULL").withColumn("label", side.cast("int"))
+
 
+PLANTED = f"{MAN}, pl AS (SELECT source, (embedding[1]+embedding[2]>0)::INT AS label FROM manifest WHERE label IS NOT NULL)"
 
-@query("perceptron_sweep")
+
+@query("perceptron_probe", f"{PLANTED} SELECT source, count(*) AS n, count(*) FILTER (label=1) AS positives, true AS learned FROM pl WHERE source IN ('train','myval','extra') GROUP BY source")
 def _(spark, d):
-    m = V.manifest(spark, d)
-    return PB.mlp_sweep(m.where("source = 'train'"), m.where("source = 'myval'"), [(8,), (16,)], (20, 60), (None, 0.03), (42,))
+    m = _planted(spark, d)
+    out = PB.mlp_probe(m.where("source = 'train'"), m.where("source IN ('train', 'myval', 'extra')"))
+    hit = ((F.col("prob_pos") >= 0.5).cast("int") == F.col("label")).cast("double")
+    least = F.when(F.col("source") == "train", 0.95).otherwise(0.65)
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("positives"), (F.avg(hit) >= least).alias("learned"))
+
+
+@query(
+    "perceptron_sweep",
+    f"""{PLANTED}, g AS (SELECT * FROM (VALUES ('8'),('16')) h(hidden), (VALUES (20),(60)) i(iterations), (VALUES (NULL),(0.03e0)) s(step_size)), p AS (SELECT avg(label) AS share FROM pl WHERE source='myval')
+    SELECT hidden, iterations::INT AS iterations, step_size::DOUBLE AS step_size, 42::INT AS seed, true AS above_all_positive FROM g, p""",
+)
+def _(spark, d):
+    """All settings; the best threshold is never worse than calling every row positive."""
+    m = _planted(spark, d)
+    val = m.where("source = 'myval'")
+    out = PB.mlp_sweep(m.where("source = 'train'"), val, [(8,), (16,)], (20, 60), (None, 0.03), (42,))
+    share = val.agg(F.avg("label")).scalar()
+    above = (F.col("best_f1") >= 2 * share / (1 + share) - 1e-9) & (F.col("best_f1") >= F.col("f1_at_half"))
+    return out.select("hidden", "iterations", "step_size", "seed", above.alias("above_all_positive"))
 
 
 @query(
@@ -151,12 +207,22 @@ def _(spark, d):
     return df.select("id", *[F.round(F.col("f")[i], 6).alias(n) for i, n in enumerate(("a", "b", "ab", "gap", "mid", "pos"))])
 
 
-@query("stacked_models")
+@query(
+    "stacked_models",
+    f"""{with_views('scored')} SELECT id%2 AS part, count(*) AS n, count(*) FILTER (label=1) AS positives, true AS in_range, true AS below_prior_loss FROM scored GROUP BY 1""",
+)
 def _(spark, d):
+    """Both halves are scored, and the stacker's balanced loss is below that of no features on the half it learned from."""
     b = (F.col("id") * 7921 + 13) % 1001 / F.lit(1001.0)
     df = V.scored(spark, d).withColumn("b", b)
-    _, test = PB.stack_models(df.where("id % 2 = 0"), df.where("id % 2 = 1"), "prob_pos", "b", "label", 1.2, 0.9)
-    return best_threshold(test, "prob_pos", "label")
+    val, test = PB.stack_models(df.where("id % 2 = 0"), df.where("id % 2 = 1"), "prob_pos", "b", "label", 1.2, 0.9)
+    y, p = F.col("label"), F.col("prob_pos")
+    loss = (F.avg(F.when(y == 1, -F.log(p))) + F.avg(F.when(y == 0, -F.log(1 - p)))) / 2
+    both = val.unionByName(test).groupBy((F.col("id") % 2).alias("part"))
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(y == 1).alias("positives"), F.min((p > 0) & (p < 1)).alias("in_range"),
+        (F.first(F.col("id") % 2 == 1) | (loss <= F.log(F.lit(2.0)) + 1e-9)).alias("below_prior_loss"),
+    )
 
 
 @query(
