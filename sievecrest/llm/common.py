@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The six ASCII white-space bytes; words are runs of anything else.
 SPACE_CHARS = " \t\n\v\f\r"
-WORD_SQL = "[^\\\\x20\\\\x09-\\\\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 256
 
 

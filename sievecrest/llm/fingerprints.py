@@ -15,13 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievecrest.llm.common import WORD_SQL
+from sievecrest.llm.common import WORD
 from sievecrest.operators.ordering import global_row_number
 from sievecrest.session import cut_lineage
 
 K = 128
 SHINGLE = 5
-CHUNK_ROWS = 2000
+CHUNK_ROWS = 500
 MAX_CHUNKS = 1 << 17
 _SPAN = float(2**64)
 _LOWEST = -float(2**63)
@@ -34,7 +34,7 @@ def _once(value: Column, use) -> Column:
 
 def sketch(text: Column, k: int = K) -> Column:
     """Ascending array of at most ``k`` hashes."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_SQL.replace("\\\\", "\\")), F.lit(0))
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
     def hashes(w: Column) -> Column:
         rolling = F.transform(
@@ -127,7 +127,7 @@ def with_next_text(df: DataFrame, id_col: str, text_col: str, chunk_rows: int =
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).select(
         "doc_id", "text", F.xxhash64("text").alias("h")
     )
-    keys = rows.select("doc_id", "h").distinct()
+    keys = cut_lineage(rows.select("doc_id", "h").distinct())  # read again by the range partitioner
     order = cut_lineage(global_row_number(keys, [F.col("doc_id").desc_nulls_last(), F.col("h").asc()], "at"))
     size = max(chunk_rows, -(-order.count() // MAX_CHUNKS))
     starts = order.where((F.col("at") - 1) % size == 0)
