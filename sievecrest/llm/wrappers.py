@@ -2,9 +2,10 @@
 
 Pages of a host share a template. For each host the block trees of a few pages (``EXEMPLARS``, a
 parameter) are aligned by simple tree matching and grown into one wrapper tree. Every page of the
-host is then aligned to it, and Spark counts over all pages of the host how often a text stands in a
-wrapper node: a text found there in at least ``CONSTANT_SHARE`` of the pages is template, what varies
-is content. Hosts with fewer than ``MIN_PAGES`` pages have no constants.
+host is then aligned to it, and Spark counts over the distinct page contents of the host how often a
+text stands in a wrapper node: a text found there in at least ``CONSTANT_SHARE`` of them is template if
+the pages that have it vary elsewhere; what varies is content. Hosts with fewer than ``MIN_PAGES``
+distinct contents have no constants.
 
 Elements that hold menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
 reader comments by their tag, role or class are left out beforehand, and if a page marks its article
@@ -15,7 +16,7 @@ other fold into one tree node, so trees stay small however long a page is; nodes
 ``MAX_DEPTH`` count as their ancestor there.
 
 Nulls and ties: a null html is an empty page with an empty text; a null or odd url belongs to the
-nameless host; repeated pages are separate rows; an empty table gives no rows.
+nameless host; repeated pages are separate rows, counted as one page; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -257,6 +259,14 @@ def load_tree(text: str) -> Node:
     return build(json.loads(text))
 
 
+def _preorder(tree: Node) -> Iterator[Node]:
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += reversed(node.kids)
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
 
@@ -275,22 +285,26 @@ def induce_wrappers(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
     return chosen.groupBy("host").applyInPandas(induce, "host string, wrapper string")
 
 
-def _content_blocks(page: str | None, wrapper: Node) -> list[tuple[int, int, str]]:
-    """(wrapper node, or -1; hash; text) of the blocks of a page that may be content.
+def _content_blocks(page: str | None) -> tuple[Node, list[tuple[Node, int, str]]]:
+    """The block tree of a page and the (node, hash, text) of its blocks that may be content.
 
     If a page has text in an article (else in a main) element, these are the blocks inside; else all
     but those mostly made of links.
     """
     tree, blocks = parse_page(page or "")
     reach = max((main for _, _, _, main in blocks), default=0)
-    number = {id(p): w.id for w, p in match_trees(wrapper, tree)[1]}
-    return [
-        (number.get(id(node), -1), xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - 2**63, text)
+    return tree, [
+        (node, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - 2**63, text)
         for node, text, links, main in blocks
         if main == reach and (main or 2 * links <= len(text))
     ]
 
 
+def _places(wrapper: Node, tree: Node) -> dict[int, int]:
+    """Wrapper node of every aligned node of a tree, by its identity."""
+    return {id(p): w.id for w, p in match_trees(wrapper, tree)[1]}
+
+
 class _Trees:
     """Wrapper trees by their text, a bounded number at a time."""
 
@@ -305,42 +319,112 @@ class _Trees:
         return self.held[text]
 
 
-def constant_texts(pages: DataFrame, wrappers: DataFrame, min_pages: int = MIN_PAGES, share: float = CONSTANT_SHARE) -> DataFrame:
-    """(host, nodes, hashes): texts of wrapper nodes that nearly all pages of the host have there.
+def page_contents(pages: DataFrame) -> DataFrame:
+    """(host, page, first, shapes): every distinct content of a host once, however many rows have it.
 
-    Each batch sums up its pages before the shuffle; node -2 counts the pages themselves.
+    ``page`` is the hash of the texts of the content blocks; ``first`` has the least block tree with this
+    content and node number, hash and characters of each block; ``shapes`` are all its block trees.
     """
-    joined = small_batches(pages).join(wrappers, "host").select("host", "html", "wrapper")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for host, page in zip(*(c.to_pylist() for c in batch.columns)):
+                tree, blocks = _content_blocks(page)
+                number = {id(n): i for i, n in enumerate(_preorder(tree))}
+                hashes = [digest for _, digest, _ in blocks]
+                content = xxhash.xxh64_intdigest(np.array(hashes, np.int64).tobytes()) - 2**63
+                rows.append((host, content, dump_tree(tree), [number[id(n)] for n, _, _ in blocks], hashes, [len(t) for _, _, t in blocks]))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "page", "shape", "nodes", "hashes", "chars"])
+
+    schema = "host string, page long, shape string, nodes array<int>, hashes array<long>, chars array<int>"
+    found = small_batches(pages).select("host", "html").mapInArrow(read, schema)
+    first = F.min(F.struct("shape", "nodes", "hashes", "chars")).alias("first")
+    return found.groupBy("host", "page").agg(first, F.collect_set("shape").alias("shapes"))
+
+
+def _aligned(contents: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(host, nodes, hashes, chars) of every content: its distinct texts in wrapper nodes."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = _Trees()
         for batch in batches:
-            found: Counter[tuple[str, int, int]] = Counter()
-            for host, page, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
-                places = {(host, node, digest) for node, digest, _ in _content_blocks(page, trees.get(wrapper)) if node >= 0}
-                found.update(places)
-                found[host, -2, 0] += 1
-            rows = [*zip(*found), found.values()] if found else [[]] * 4
-            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(r), k) for r, k in zip(rows, kinds)], ["host", "node", "hash", "n"])
-
-    counted = joined.mapInArrow(count, "host string, node int, hash long, n long")
-    summed = cut_lineage(counted.groupBy("host", "node", "hash").agg(F.sum("n").alias("n")))
-    sizes = summed.where(F.col("node") == -2).select("host", F.col("n").alias("pages")).where(F.col("pages") >= min_pages)
-    constant = summed.where(F.col("node") >= 0).join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
-    return constant.groupBy("host").agg(F.collect_list("node").alias("nodes"), F.collect_list("hash").alias("hashes"))
+            placed: dict[tuple[str, str], list[int]] = {}
+            out: list[list] = []
+            for _, wrapper, shape, nodes, hashes, chars in zip(*(c.to_pylist() for c in batch.columns)):
+                if (wrapper, shape) not in placed:
+                    tree = load_tree(shape)
+                    places = _places(trees.get(wrapper), tree)
+                    placed[wrapper, shape] = [places.get(id(n), -1) for n in _preorder(tree)]
+                place = placed[wrapper, shape]
+                size: Counter[tuple[int, int]] = Counter()
+                for node, digest, n in zip(nodes, hashes, chars):
+                    size[place[node], digest] += n
+                out.append([[k[0] for k in size], [k[1] for k in size], list(size.values())])
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            columns = [pa.array([row[i] for row in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["host", "nodes", "hashes", "chars"])
+
+    joined = contents.join(wrappers, "host").select("host", "wrapper", "first.*")
+    return joined.mapInArrow(align, "host string, nodes array<int>, hashes array<long>, chars array<int>")
+
+
+def constant_texts(contents: DataFrame, wrappers: DataFrame, min_pages: int = MIN_PAGES, share: float = CONSTANT_SHARE) -> DataFrame:
+    """(host, nodes, hashes): texts of wrapper nodes that nearly all distinct contents of the host have there."""
+    aligned = cut_lineage(_aligned(contents, wrappers))
+    sizes = aligned.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    each = aligned.select("host", F.explode(F.arrays_zip("nodes", "hashes")).alias("at")).select("host", "at.nodes", "at.hashes")
+    texts = each.where("nodes >= 0").groupBy("host", "nodes", "hashes").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    common = texts.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
+    return _by_host(_outweighed(aligned, cut_lineage(_by_host(common))))
+
+
+def _by_host(texts: DataFrame) -> DataFrame:
+    return texts.groupBy("host").agg(F.collect_list("nodes").alias("nodes"), F.collect_list("hashes").alias("hashes"))
+
+
+def _outweighed(aligned: DataFrame, common: DataFrame) -> DataFrame:
+    """(host, nodes, hashes) of the common texts beside which their pages vary.
+
+    Copies with small edits share all but a few words, and what they share is their article. So the text
+    in which the contents with a common text differ, over all of them, must be longer than what is common
+    to one of them on average.
+    """
+    joined = aligned.join(common.withColumnsRenamed({"nodes": "in_nodes", "hashes": "in_hashes"}), "host")
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple[str, int, int], list[int]] = {}
+            for host, nodes, hashes, chars, in_nodes, in_hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                among = set(zip(in_nodes, in_hashes))
+                shared = [(k, n) for *k, n in zip(nodes, hashes, chars) if tuple(k) in among]
+                same = sum(n for _, n in shared)
+                for (node, digest), _ in shared:
+                    row = sums.setdefault((host, node, digest), [0, 0, 0])
+                    row[0], row[1], row[2] = row[0] + 1, row[1] + same, row[2] + sum(chars) - same
+            rows = [(*k, *v) for k, v in sums.items()]
+            kinds = (pa.string(), pa.int32(), *[pa.int64()] * 4)
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "nodes", "hashes", "n", "same", "varied"])
+
+    weighed = joined.mapInArrow(weigh, "host string, nodes int, hashes long, n long, same long, varied long")
+    total = weighed.groupBy("host", "nodes", "hashes").agg(*[F.sum(c).alias(c) for c in ("n", "same", "varied")])
+    return total.where("varied > same / n")
 
 
 def extract_main_text(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_template) of every page.
 
     Pages are read once to pick exemplars, once to count and once to extract; what is kept in between
-    is a wrapper and its constants a host.
+    are the block hashes of distinct contents, and a wrapper and its constants a host.
     """
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     pages = pages.withColumn("host", host_of(F.col("url")))
     wrappers = cut_lineage(induce_wrappers(pages))
-    templates = cut_lineage(wrappers.join(constant_texts(pages, wrappers), "host", "left"))
+    contents = cut_lineage(page_contents(pages))
+    templates = cut_lineage(wrappers.join(constant_texts(contents, wrappers), "host", "left"))
     joined = small_batches(pages).join(templates, "host").select("page_id", "url", "html", "wrapper", "nodes", "hashes")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,8 +433,9 @@ def extract_main_text(df: DataFrame, id_col: str, url_col: str, html_col: str) -
             texts, blocks, dropped = [], [], []
             for page, wrapper, nodes, hashes in zip(*(c.to_pylist() for c in batch.columns[2:])):
                 constant = set(zip(nodes or (), hashes or ()))
-                found = _content_blocks(page, trees.get(wrapper))
-                kept = [text for node, digest, text in found if (node, digest) not in constant]
+                tree, found = _content_blocks(page)
+                place = _places(trees.get(wrapper), tree) if constant else {}
+                kept = [text for node, digest, text in found if (place.get(id(node), -1), digest) not in constant]
                 texts.append("\n".join(kept))
                 blocks.append(len(found))
                 dropped.append(len(found) - len(kept))

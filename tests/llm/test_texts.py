@@ -296,6 +296,25 @@ def test_pages_with_and_without_a_marked_article(spark):
     assert wrappers.extract_main_text(df.where("page_id < 0"), "page_id", "url", "html").count() == 0
 
 
+def extracted(spark, pages):
+    """Texts of (host, html) pages in order."""
+    rows = [(i, f"http://{host}/", html) for i, (host, html) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [r.text for r in wrappers.extract_main_text(df, "page_id", "url", "html").orderBy("page_id").collect()]
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    same = "<h1>Same</h1>" + "".join(f"<p>Paragraph {k} of the one article" for k in range(6))
+    whole = wrappers._content_blocks(same)[1]
+    whole = "\n".join(text for _, _, text in whole)
+    other = [f"<h1>Title {i}</h1><p>Text {i} of its own<p>Write to us" for i in range(11)]
+    edited = [same.replace("Same", f"Same {i}") for i in range(2)]
+    got = extracted(spark, [*[("one", same)] * 20, *[("many", same)] * 190, *[("many", o) for o in other], *[("near", e) for e in edited]])
+    assert got[:210] == [whole] * 210
+    assert got[210:221] == [f"Title {i}\nText {i} of its own" for i in range(11)]
+    assert got[221:] == [whole.replace("Same", f"Same {i}") for i in range(2)]
+
+
 def test_tree_matching_is_the_best_ordered_match():
     def tree(spec):
         node = wrappers.Node(spec[0])
