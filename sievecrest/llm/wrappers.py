@@ -1,11 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host share a template. For each host the block trees of a few pages (``EXEMPLARS``, a
-parameter) are aligned by simple tree matching and grown into one wrapper tree. Every page of the
-host is then aligned to it, and Spark counts over the distinct page contents of the host how often a
-text stands in a wrapper node: a text found there in at least ``CONSTANT_SHARE`` of them is template if
-the pages that have it vary elsewhere; what varies is content. Hosts with fewer than ``MIN_PAGES``
-distinct contents have no constants.
+Pages of a host share a template. The distinct block trees of a host are aligned by simple tree matching
+and grown into one wrapper tree. Every page of the host is then aligned to it, and Spark counts over the
+distinct page contents of the host how often a text stands in a wrapper node: a text found there in two
+contents at least, and in at least ``CONSTANT_SHARE`` of those that have the node, is template if the
+pages that have it vary elsewhere; what varies is content.
 
 Elements that hold menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
 reader comments by their tag, role or class are left out beforehand, and if a page marks its article
@@ -31,14 +30,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievecrest.llm.common import small_batches
 from sievecrest.session import cut_lineage
 
-EXEMPLARS = 8
-MIN_PAGES = 10
+GROUPS = 64
 CONSTANT_SHARE = 0.9
 MAX_DEPTH = 200
 
@@ -271,18 +269,25 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
 
 
-def induce_wrappers(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
-    """(host, wrapper) from at most ``exemplars`` pages of each host, the first in hash order."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64("html"), "html")
-    chosen = pages.select("host", "html").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= exemplars)
+def induce_wrappers(contents: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """(host, wrapper) from all distinct block trees of each host.
 
-    def induce(rows: pd.DataFrame) -> pd.DataFrame:
-        trees = [parse_page(h or "")[0] for h in rows.sort_values("nth")["html"]]
-        for tree in trees[1:]:
-            grow_wrapper(trees[0], tree)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [dump_tree(trees[0])]})
+    The trees of a host are dealt to ``groups`` by their hash, each group grows a wrapper in the order of
+    the trees, and these are grown into one.
+    """
+    shapes = contents.select("host", F.explode("shapes").alias("tree")).distinct()
+    dealt = shapes.withColumn("part", F.pmod(F.xxhash64("tree"), F.lit(groups)).cast("int"))
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        texts = sorted(rows["tree"])
+        wrapper = load_tree(texts[0])
+        for text in texts[1:]:
+            grow_wrapper(wrapper, load_tree(text))
+        return rows.iloc[:1].assign(tree=dump_tree(wrapper))
 
-    return chosen.groupBy("host").applyInPandas(induce, "host string, wrapper string")
+    parts = dealt.groupBy("host", "part").applyInPandas(grow, "host string, tree string, part int")
+    whole = parts.groupBy("host").applyInPandas(grow, "host string, tree string, part int")
+    return whole.select("host", F.col("tree").alias("wrapper"))
 
 
 def _content_blocks(page: str | None) -> tuple[Node, list[tuple[Node, int, str]]]:
@@ -371,13 +376,13 @@ def _aligned(contents: DataFrame, wrappers: DataFrame) -> DataFrame:
     return joined.mapInArrow(align, "host string, nodes array<int>, hashes array<long>, chars array<int>")
 
 
-def constant_texts(contents: DataFrame, wrappers: DataFrame, min_pages: int = MIN_PAGES, share: float = CONSTANT_SHARE) -> DataFrame:
-    """(host, nodes, hashes): texts of wrapper nodes that nearly all distinct contents of the host have there."""
+def constant_texts(contents: DataFrame, wrappers: DataFrame, share: float = CONSTANT_SHARE) -> DataFrame:
+    """(host, nodes, hashes): texts that nearly all distinct contents with their wrapper node have there."""
     aligned = cut_lineage(_aligned(contents, wrappers))
-    sizes = aligned.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    slots = aligned.select("host", F.explode(F.array_distinct("nodes")).alias("nodes")).groupBy("host", "nodes").agg(F.count(F.lit(1)).alias("pages"))
     each = aligned.select("host", F.explode(F.arrays_zip("nodes", "hashes")).alias("at")).select("host", "at.nodes", "at.hashes")
     texts = each.where("nodes >= 0").groupBy("host", "nodes", "hashes").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    common = texts.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
+    common = texts.join(slots, ["host", "nodes"]).where(F.col("n") >= share * F.col("pages"))
     return _by_host(_outweighed(aligned, cut_lineage(_by_host(common))))
 
 
@@ -417,13 +422,13 @@ def _outweighed(aligned: DataFrame, common: DataFrame) -> DataFrame:
 def extract_main_text(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_template) of every page.
 
-    Pages are read once to pick exemplars, once to count and once to extract; what is kept in between
-    are the block hashes of distinct contents, and a wrapper and its constants a host.
+    Pages are read once to count and once to extract; what is kept in between are the block trees and
+    block hashes of distinct contents, and a wrapper and its constants a host.
     """
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     pages = pages.withColumn("host", host_of(F.col("url")))
-    wrappers = cut_lineage(induce_wrappers(pages))
     contents = cut_lineage(page_contents(pages))
+    wrappers = cut_lineage(induce_wrappers(contents))
     templates = cut_lineage(wrappers.join(constant_texts(contents, wrappers), "host", "left"))
     joined = small_batches(pages).join(templates, "host").select("page_id", "url", "html", "wrapper", "nodes", "hashes")
 

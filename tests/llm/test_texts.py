@@ -315,6 +315,17 @@ def test_copies_of_a_page_are_one_page(spark):
     assert got[221:] == [whole.replace("Same", f"Same {i}") for i in range(2)]
 
 
+def test_every_layout_and_any_two_pages_show_their_template(spark):
+    def page(kind, i):
+        return f"<div class={kind}><h1>{kind} {i}</h1><div><p>Text {i} of its own, as long as it is</div><div class=end>Write to {kind}</div></div>"
+
+    pages = [("two", page("a", i)) for i in range(2)]
+    pages += [("half", page("ab"[i % 2], i)) for i in range(20)] + [("half", page("a", 0))] * 30
+    pages += [("rest", page("a" if i < 40 else "c", i)) for i in range(43)]
+    html = [h for _, h in pages]
+    assert extracted(spark, pages) == ["\n".join(t for _, _, t in wrappers._content_blocks(h)[1][:2]) for h in html]
+
+
 def test_tree_matching_is_the_best_ordered_match():
     def tree(spec):
         node = wrappers.Node(spec[0])
