@@ -7,8 +7,10 @@ contents at least, and in at least ``CONSTANT_SHARE`` of those that have the nod
 pages that have it vary elsewhere; what varies is content.
 
 Elements that hold menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-reader comments by their tag, role or class are left out beforehand, and if a page marks its article
-(or main) element, only blocks inside count. Elsewhere, blocks mostly made of links are menus.
+reader comments are left out beforehand: by tag or role anywhere, by a whole class in a main or article
+element and for headings, paragraphs and the like, elsewhere by the last word of a class or id. If a page
+marks its main or article element, only the blocks inside those with the most text count. Elsewhere,
+blocks mostly made of links are menus.
 
 A block is the text between two borders of block elements. Siblings of one kind that follow each
 other fold into one tree node, so trees stay small however long a page is; nodes deeper than
@@ -60,6 +62,11 @@ _DROP_NAMES = frozenset(
 )
 _KEEP_NAMES = frozenset("content article main post entry story body".split())
 _COMMENT_NAMES = frozenset("comment comments commentlist reply replies disqus".split())
+_LAYOUT = frozenset(
+    "area articles bar block bottom box buttons col column container content entries form icons inner item items left link links "
+    "list outer panel posts right row section stories top wrap wrapper".split()
+)
+_TEXT_TAGS = frozenset("a b blockquote caption code dd dt em figcaption h1 h2 h3 h4 h5 h6 i li p pre strong td th".split())
 _CLOSES = {
     "li": ("li", frozenset(("ul", "ol", "menu"))),
     "dt": ("dt dd", frozenset(("dl",))),
@@ -91,12 +98,19 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html_refs.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(raw)}
 
 
-def _names(attributes: dict[str, str]) -> set[str]:
-    return set(re.findall(r"[a-z]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+def _says(attributes: dict[str, str], names: frozenset[str]) -> bool:
+    """Whether the last word of a class or id is one of the names, but for words of layout behind it."""
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        runs = re.findall(r"[a-z]+", token)
+        while len(runs) > 1 and runs[-1] in _LAYOUT:
+            runs.pop()
+        if runs and runs[-1] in names:
+            return True
+    return False
 
 
-def _dropped(tag: str, attributes: dict[str, str], inside: int) -> bool:
-    """Whether an element is left out with all it holds. ``inside``: 1 in a main element, 2 in an article."""
+def _dropped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element is left out with all it holds. ``inside``: in a main or article element."""
     if tag in ("html", "body", "main"):
         return False
     if tag in _DROP_TAGS or (tag == "header" and not inside):
@@ -108,27 +122,32 @@ def _dropped(tag: str, attributes: dict[str, str], inside: int) -> bool:
         return True
     if attributes.get("role", "").lower() in _DROP_ROLES:
         return True
-    names = _names(attributes)
-    if names & _COMMENT_NAMES:
+    if inside or tag in _TEXT_TAGS:
+        names = set(attributes.get("class", "").lower().split())
+        return bool(names & _COMMENT_NAMES or (names & _DROP_NAMES and not names & _KEEP_NAMES))
+    if _says(attributes, _COMMENT_NAMES):
         return True
-    return bool(names & _DROP_NAMES or (not inside and "header" in names)) and not names & _KEEP_NAMES
+    return _says(attributes, _DROP_NAMES | {"header"}) and not _says(attributes, _KEEP_NAMES)
 
 
 def parse_page(page: str) -> tuple[Node, list[tuple[Node, str, int, int]]]:
-    """The folded block tree and its blocks: (node, text, characters inside links, main element it is in)."""
+    """The folded block tree and its blocks: (node, text, characters inside links, region).
+
+    A region is an outermost main or article element: 0 for none, else numbered from 1, articles negative.
+    """
     root = Node("")
-    # Open elements: tag, node, left out, inside (0 none, 1 main, 2 article), link, depth of nodes.
+    # Open elements: tag, node, left out, region, link, depth of nodes.
     stack: list[tuple[str, Node, bool, int, bool, int]] = [("", root, False, 0, False, 0)]
     blocks: list[tuple[Node, str, int, int]] = []
     words: list[str] = []
-    linked = 0
+    linked = regions = 0
 
     def border() -> None:
         nonlocal linked
         text = " ".join("".join(words).split())
         if text:
-            _, node, _, inside, _, _ = stack[-1]
-            blocks.append((node, text, min(linked, len(text)), inside))
+            _, node, _, region, _, _ = stack[-1]
+            blocks.append((node, text, min(linked, len(text)), region))
         words.clear()
         linked = 0
 
@@ -179,13 +198,16 @@ def parse_page(page: str) -> tuple[Node, list[tuple[Node, str, int, int]]]:
             if tag == "body":
                 close(("head",), frozenset())
             border()
-        _, node, left_out, inside, link, depth = stack[-1]
-        left_out = left_out or _dropped(tag, attributes, inside)
-        marked = tag == "article" or "articleBody" in attributes.get("itemprop", "")
-        inside = 2 if marked else max(inside, int(tag == "main" or attributes.get("role", "").lower() == "main"))
+        _, node, left_out, region, link, depth = stack[-1]
+        left_out = left_out or _dropped(tag, attributes, bool(region))
+        if not region and not left_out:
+            main = tag == "main" or attributes.get("role", "").lower() == "main"
+            if main or tag == "article" or "articleBody" in attributes.get("itemprop", ""):
+                regions += 1
+                region = regions if main else -regions
         if tag in _BLOCK and not left_out and depth < MAX_DEPTH:
             node, depth = node.child(".".join([tag, *sorted(set(attributes.get("class", "").split()))])), depth + 1
-        stack.append((tag, node, left_out, inside, link or tag == "a", depth))
+        stack.append((tag, node, left_out, region, link or tag == "a", depth))
     border()
     return root, blocks
 
@@ -293,15 +315,20 @@ def induce_wrappers(contents: DataFrame, groups: int = GROUPS) -> DataFrame:
 def _content_blocks(page: str | None) -> tuple[Node, list[tuple[Node, int, str]]]:
     """The block tree of a page and the (node, hash, text) of its blocks that may be content.
 
-    If a page has text in an article (else in a main) element, these are the blocks inside; else all
-    but those mostly made of links.
+    If a page has text in main or article elements, these are all blocks of its mains, or those of its
+    articles beside them, whichever has the element with the most text outside links; else all blocks but
+    those mostly made of links.
     """
     tree, blocks = parse_page(page or "")
-    reach = max((main for _, _, _, main in blocks), default=0)
+    size: Counter[int] = Counter()
+    for _, text, links, region in blocks:
+        if region:
+            size[region] += len(text) - links
+    best = max(size, key=lambda r: (size[r], r), default=0)
     return tree, [
         (node, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - 2**63, text)
-        for node, text, links, main in blocks
-        if main == reach and (main or 2 * links <= len(text))
+        for node, text, links, region in blocks
+        if (region * best > 0 if best else 2 * links <= len(text))
     ]
 
 

@@ -326,6 +326,23 @@ def test_every_layout_and_any_two_pages_show_their_template(spark):
     assert extracted(spark, pages) == ["\n".join(t for _, _, t in wrappers._content_blocks(h)[1][:2]) for h in html]
 
 
+def test_names_of_headings_and_small_marked_parts_lose_no_text():
+    def texts(page):
+        return [text for _, _, text in wrappers._content_blocks(page)[1]]
+
+    body = '<h2 id="social-impact">A</h2><h2 id="related-work">B</h2><p id="notice-period">C</p><div class="share-price">D</div>'
+    assert texts(f"<article>{body}</article>") == texts(f"<main>{body}</main>") == texts(body) == ["A", "B", "C", "D"]
+    noise = '<div class="x cookie">E</div><div role=navigation>F</div><aside>G</aside><ul class=comments><li>H</ul>'
+    assert texts(f"<article>{body}{noise}</article>") == ["A", "B", "C", "D"]
+    outside = '<div class="cookie-notice">I</div><div id="site-footer">J</div><div class="sidebar-left">K</div><div id="post-comments">L</div>'
+    assert texts(body + outside) == ["A", "B", "C", "D"]
+    main, cards = "<h1>Title</h1><p>Long text of the page, longer than cards", "<article>Card 1</article><article>Card 2</article>"
+    assert texts(f"<main>{main}</main>{cards}") == ["Title", "Long text of the page, longer than cards"]
+    assert texts(f"<main>{main}{cards}</main>")[:2] == ["Title", "Long text of the page, longer than cards"]
+    assert texts("<main><h1>Title</h1><article>Whole text</article></main>") == ["Title", "Whole text"]
+    assert texts(f"<main>Hint</main><article>{main}</article>") == ["Title", "Long text of the page, longer than cards"]
+
+
 def test_tree_matching_is_the_best_ordered_match():
     def tree(spec):
         node = wrappers.Node(spec[0])
