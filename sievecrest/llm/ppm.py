@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from sievecrest.llm.common import segments, small_batches, text_bytes
 from sievecrest.session import cut_lineage
 
-ORDER = 5
+ORDER = 6
 START, END = b"\xfe", b"\xff"
 SYMBOLS = 255  # all bytes but the start byte
 HEAD = 1 << 20

@@ -229,7 +229,7 @@ def brute_ppm(train, text, order):
     return total
 
 
-@pytest.mark.parametrize("head", [1 << 20, 40])
+@pytest.mark.parametrize("head", [1 << 20, 40, 0])
 def test_scores_match_a_walk_over_contexts(spark, head):
     texts = [*[t for t in ODD if t != "a" * 3000], *noise(8, 60, "abab cdc\n"), *noise(9, 10), "abab cdc abab", "abab cdc abab"]
     df = table(spark, texts)
@@ -250,6 +250,16 @@ def test_scores_match_a_walk_over_contexts(spark, head):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(brute_ppm(train, t, ppm.ORDER))
 
 
+def test_six_bytes_of_context_decide(spark):
+    texts = ["xbcdefg", "ybcdefh", "xbcdefg", "xbcdefh"]
+    df = table(spark, texts)
+    out = F.col("doc_id") >= 2
+    got = {r.doc_id: r.score for r in ppm.score_texts(df, "doc_id", "text", out, 0).collect()}
+    train = [t.encode() for t in texts[:2]]
+    assert [got[i] for i in range(4)] == [pytest.approx(brute_ppm(train, t.encode(), 6)) for t in texts]
+    assert got[2] > got[3]  # equal with five
+
+
 def test_scoring_without_training_or_rows(spark):
     df = table(spark, ["ab", None])
     got = ppm.score_texts(df, "doc_id", "text", F.lit(True)).orderBy("doc_id").collect()
