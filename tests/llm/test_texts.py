@@ -387,6 +387,14 @@ def test_licenses_in_texts(spark):
     assert licenses.scan_licenses(table(spark, []), "doc_id", "text").count() == 0
 
 
+def test_neighbouring_licenses_are_told_apart():
+    known = licenses.Templates(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        assert known.scan(f"Before {text} After".encode(), 0.8)[0][:2] == (name, 1.0)
+    names = [[f[0] for f in known.scan(t, 0.8)] for t in (b"Released under the BSD License", b"Licensed under CC BY 4.0", b"Released under the Zlib License")]
+    assert names == [["BSD-notice"], ["CC-BY-4.0-notice"], []]
+
+
 def test_patience_alignment_is_an_alignment_and_close_to_the_longest():
     rnd = random.Random(11)
     for _ in range(50):
