@@ -53,3 +53,18 @@ def segments(docs: list[bytes], limit: int, overlap: int) -> Iterator[list[tuple
                 break
     if held:
         yield held
+
+
+def text_buffers(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, list[str]]]:
+    """First columns and texts (second column, null as empty) of successive rows of about ``limit`` characters."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            keys.append(batch.column(0).slice(i, 1))
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size >= limit:
+                yield pa.concat_arrays(keys), texts
+                keys, texts, size = [], [], 0
+    if texts:
+        yield pa.concat_arrays(keys), texts

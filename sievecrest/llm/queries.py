@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievecrest.llm import bpe, fingerprints, langid, licenses, packing, ppm, rules, sharding, simhash, vocab, wrappers
+from sievecrest.llm import (
+    alignment, bpe, fingerprints, langid, licenses, packing, ppm, rules, sharding, simhash, vocab, wordbpe, wrappers,
+)
 from sievecrest.llm.common import read_table
 from sievecrest.session import scratch_path
 
@@ -85,6 +87,17 @@ def op10_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs, "doc_id", "text", ranks, public_tokenizers.PATTERN)
 
 
+def op11_identity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_corpus(docs, "doc_id", "text", first, second)
+
+
+def op12_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return wordbpe.round_trip_digests(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": op1_virtual_slots,
     "op2_ppm_scores": op2_ppm_scores,
@@ -96,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_anchor_simhash": op8_anchor_simhash,
     "op9_bloom_language_id": op9_bloom_language_id,
     "op10_merge_replay": op10_merge_replay,
+    "op11_identity_alignment": op11_identity_alignment,
+    "op12_speculative_bpe": op12_speculative_bpe,
 }
 
 ORACLE: dict[str, str] = {
