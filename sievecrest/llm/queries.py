@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievecrest.llm import (
-    alignment, bpe, fingerprints, langid, licenses, packing, ppm, rules, sharding, simhash, vocab, wordbpe, wrappers,
+    alignment, bpe, fingerprints, langid, licenses, packing, phrases, ppm, rules, sharding, simhash, vocab, wordbpe, wrappers,
 )
 from sievecrest.llm.common import read_table
 from sievecrest.session import scratch_path
@@ -98,6 +98,11 @@ def op12_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.round_trip_digests(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_prefix_free_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "text", "lang")
+    return phrases.collocations(docs, "text", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_virtual_slots": op1_virtual_slots,
     "op2_ppm_scores": op2_ppm_scores,
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_merge_replay": op10_merge_replay,
     "op11_identity_alignment": op11_identity_alignment,
     "op12_speculative_bpe": op12_speculative_bpe,
+    "op13_prefix_free_phrases": op13_prefix_free_phrases,
 }
 
 ORACLE: dict[str, str] = {
@@ -140,5 +146,47 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad[1] OR bad[2] AS base_failed,
   NOT list_bool_or(bad) AS kept FROM v
+""",    "op13_prefix_free_phrases": r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), w AS (
+  SELECT p, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM pieces
+), f1 AS (
+  SELECT lang, w AS phrase, count(*) AS f, 1 AS m FROM w GROUP BY ALL
+), seen AS (
+  SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5
+  FROM w WINDOW o AS (PARTITION BY p ORDER BY i)
+), f2 AS (SELECT lang, w || ' ' || w2 AS phrase, count(*) AS f, 2 AS m FROM seen WHERE w2 IS NOT NULL GROUP BY ALL
+), f3 AS (SELECT lang, w || ' ' || w2 || ' ' || w3 AS phrase, count(*) AS f, 3 AS m FROM seen WHERE w3 IS NOT NULL GROUP BY ALL
+), f4 AS (SELECT lang, w || ' ' || w2 || ' ' || w3 || ' ' || w4 AS phrase, count(*) AS f, 4 AS m
+  FROM seen WHERE w4 IS NOT NULL GROUP BY ALL
+), f5 AS (SELECT lang, w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 AS phrase, count(*) AS f, 5 AS m
+  FROM seen WHERE w5 IS NOT NULL GROUP BY ALL
+), known AS (
+  SELECT lang, phrase, f, m, string_split(phrase, ' ') AS ws FROM (
+    FROM f1 UNION ALL FROM f2 UNION ALL FROM f3 UNION ALL FROM f4 UNION ALL FROM f5) WHERE f >= 100
+), total AS (
+  SELECT lang, sum(f)::HUGEINT AS n FROM f1 GROUP BY lang
+), cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(ws[:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail
+  FROM known, unnest(range(1, m)) AS u(k) WHERE m > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN known x ON x.lang = c.lang AND x.phrase = head JOIN known y ON y.lang = c.lang AND y.phrase = tail
+  JOIN total t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, part, max(f) AS f FROM (
+    SELECT lang, f, array_to_string(ws[i:j], ' ') AS part
+    FROM known, (VALUES (1, 2), (2, 3), (3, 4), (4, 5), (1, 3), (2, 4), (3, 5), (1, 4), (2, 5)) AS v(i, j)
+    WHERE j <= m AND j - i + 1 < m) GROUP BY ALL
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+  n::BIGINT AS n, score::BIGINT AS score
+FROM scored s LEFT JOIN longer g ON g.lang = s.lang AND g.part = s.phrase
+WHERE g.f IS NULL OR 100 * g.f < 100 * a QUALIFY rank <= 2000
 """,
 }

@@ -166,10 +166,9 @@ def plain_alignment(texts):
 
 
 @pytest.mark.parametrize("head", [0, 5, alignment.HEAD])
-def test_alignment_equals_a_plain_one(spark, sf, head, monkeypatch):
+def test_alignment_equals_a_plain_one(spark, sf, head):
     texts = ODD + noise(6, 60) + noise(7, 60, "aaab ", 30) + noise(8, 20, "日本é🙂 \t") + ["the cat sat"] * 40
     texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").orderBy("doc_id").limit(60).collect()]
-    monkeypatch.setattr(alignment, "PART_CHARS", 2000)
     got = alignment.align_corpus(table(spark, texts).repartition(5), "doc_id", "text", BYTES, PIECES, head)
     found = {r.doc_id: tuple(r)[1:] for r in got.collect()}
     assert len(found) == len(texts)
