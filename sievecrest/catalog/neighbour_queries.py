@@ -78,6 +78,21 @@ def _(spark, d):
     return rnd(N.approx_knn(q, r.unionByName(copies).unionByName(near), 10, 0.95))
 
 
+@query(
+    "approx_knn_recall",
+    f"""{with_views("manifest")}, v AS (SELECT sample_id AS id, embedding::DOUBLE[] AS v FROM manifest),
+    s AS (SELECT a.id, round(list_dot_product(a.v,b.v)/(sqrt(list_dot_product(a.v,a.v))*sqrt(list_dot_product(b.v,b.v))),12) AS sim, b.id AS ref
+      FROM v a, v b QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY sim DESC, ref)<=10)
+    SELECT count(*) AS expected, true AS enough FROM s WHERE sim>=0.7e0""",
+)
+def _(spark, d):
+    """All rows against all rows in cells of 256 rows; at least nine in ten of the exact neighbours are found."""
+    m = V.manifest(spark, d).select("sample_id", "embedding")
+    exact = N.cosine_knn(m, m, 10).where("cosine_sim >= 0.7")
+    found = N.approx_knn(m, m, 10, 0.7, cell_rows=256)
+    return N.neighbour_recall(found, exact).select("expected", (F.col("recall") >= 0.9).alias("enough"))
+
+
 EVIDENCE_COLS = ", ".join(
     [f"round(avg((ref_label=1)::INT) FILTER (rank<={c}),6) AS top{c}_pos_frac" for c in (5, 10, 20)]
     + [

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,9 @@ from sievecrest.session import cut_lineage
 
 CELL_ROWS = 16384
 MAX_TASKS = 20000
+BUCKET_ROWS = 4096
+TASK_PAIRS = 500_000_000
+ALL = 1 << 62
 
 
 def _grid(n_queries: int, n_refs: int, cell_rows: int, parallelism: int) -> tuple[int, int]:
@@ -129,7 +133,7 @@ def sign_tables(n_refs: int, min_sim: float, miss: float = 0.01) -> tuple[int, i
     Two vectors at angle a agree in the sign of a random projection with probability 1 - a / pi. Bits
     grow with the number of references, about 64 random ones to a bucket.
     """
-    bits = min(24, max(8, math.ceil(math.log2(max(1, n_refs) / 64))))
+    bits = min(48, max(8, math.ceil(math.log2(max(1, n_refs) / 64))))
     together = (1.0 - math.acos(min_sim) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log(max(1e-12, 1.0 - together))))
 
@@ -146,42 +150,182 @@ def _sign_keys(dims: int, bits: int, tables: int, seed: int):
     return keys
 
 
-def sign_candidates(left: DataFrame, right: DataFrame, min_sim: float, seed: int = 11) -> DataFrame:
-    """(l, r): pairs of (l, u) and (r, u) rows that share a bucket of sign bits in some table, each once."""
-    first = right.select(F.size("u").alias("n")).first()
-    if first is None:
-        return left.select("l").crossJoin(right.select("r")).limit(0)
+_CELL = ("_c1", "_c2", "_c3", "_c4")
+
+
+def _bucket_sizes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(_no, _key, nl, nr) of the buckets that both sides enter."""
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.posexplode("_keys").alias("_no", "_key")).groupBy("_no", "_key").agg(F.count(F.lit(1)).alias(name))
+
+    return sizes(left, "nl").join(sizes(right, "nr"), ["_no", "_key"])
+
+
+def _hot_homes(rows: DataFrame, hot: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(id, _home): rows of hot buckets under the least of their hot buckets, and (_hot, _home): homes met in each."""
+    member = rows.select(name, F.posexplode("_keys").alias("_no", "_key")).join(hot, ["_no", "_key"]).select(name, "_hot")
+    homes = member.groupBy(name).agg(F.min("_hot").alias("_home"))
+    met = member.join(homes, name).select("_hot", "_home").distinct()
+    return cut_lineage(homes), cut_lineage(met)
+
+
+def hot_grid(left: DataFrame, right: DataFrame, hot: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells for the rows of hot buckets: left and right ids with their cell, and the blocks cut into cells.
+
+    Every row lives in one home, the least of the hot buckets it lies in, so the homes of a side are
+    disjoint. Two homes are compared when some hot bucket holds rows of both: all pairs of all hot
+    buckets lie in such blocks, and each pair in one block only, in however many tables it meets. A
+    block is cut into a grid of cells of about ``cell_rows`` rows a side.
+    """
+    l_home, l_met = _hot_homes(left, hot, "l")
+    r_home, r_met = _hot_homes(right, hot, "r")
+    blocks = l_met.withColumnRenamed("_home", "_hl").join(r_met.withColumnRenamed("_home", "_hr"), "_hot").select("_hl", "_hr").distinct()
+    count = F.count(F.lit(1))
+    n_l = l_home.groupBy(F.col("_home").alias("_hl")).agg(count.alias("nl"))
+    n_r = r_home.groupBy(F.col("_home").alias("_hr")).agg(count.alias("nr"))
+    side = F.lit(cell_rows)
+    blocks = cut_lineage(
+        blocks.join(n_l, "_hl").join(n_r, "_hr")
+        .withColumn("_rows", F.ceil(F.col("nl") / side)).withColumn("_cols", F.ceil(F.col("nr") / side))
+    )
+    spread_l = l_home.withColumnRenamed("_home", "_hl").join(blocks, "_hl").select(
+        "l", F.col("_hl").alias("_c1"), F.col("_hr").alias("_c2"), F.pmod(F.xxhash64("l"), F.col("_rows")).alias("_c3"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cols") - 1)).alias("_c4"),
+    )
+    spread_r = r_home.withColumnRenamed("_home", "_hr").join(blocks, "_hr").select(
+        "r", F.col("_hl").alias("_c1"), F.col("_hr").alias("_c2"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1)).alias("_c3"), F.pmod(F.xxhash64("r"), F.col("_cols")).alias("_c4"),
+    )
+    return spread_l, spread_r, blocks
+
+
+def _block_top_k(queries: np.ndarray, refs: np.ndarray, k: int, min_sim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, reference, similarity): up to ``k`` references of every query at ``min_sim`` or above.
+
+    Equal similarities (to 12 digits) rank by position; ``refs`` come in the order of their ids.
+    """
+    found = []
+    step = max(1, (1 << 22) // len(refs))
+    for start in range(0, len(queries), step):
+        sims = queries[start : start + step] @ refs.T
+        least = np.full((len(sims), 1), min_sim)
+        if len(refs) > k:
+            np.maximum(least, np.partition(sims, len(refs) - k, axis=1)[:, len(refs) - k, None], out=least)
+        q, r = np.nonzero(sims >= least - 2e-12)
+        sim = np.round(sims[q, r], 12)
+        real = sim >= min_sim
+        q, r, sim = q[real], r[real], sim[real]
+        order = np.lexsort((r, -sim, q))
+        q, r, sim = q[order], r[order], sim[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        found.append((q[nth < k] + start, r[nth < k], sim[nth < k]))
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    return vectors.flatten().to_numpy().reshape(len(vectors), -1)
+
+
+def cell_neighbours(cells: DataFrame, k: int, min_sim: float, tasks: int) -> DataFrame:
+    """(l, r, cosine_sim): the top ``k`` of every left row inside every cell.
+
+    ``cells`` has the four cell columns, l (null for a right row), r (null for a left row) and u. Equal
+    cells lie together in a partition; one at a time is held, as two matrices.
+    """
+    keys = [F.col(c) for c in _CELL]
+    laid = cells.repartition(tasks, *keys).sortWithinPartitions(*keys, F.col("l").isNull(), "r")
+
+    def joined(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        n = len(table) - table.column("l").null_count
+        if not 0 < n < len(table):
+            return None
+        vectors = table.column("u").chunk(0)
+        q, r, sim = _block_top_k(_matrix(vectors.slice(0, n)), _matrix(vectors.slice(n)), k, min_sim)
+        ids = [table.column("l").chunk(0).take(pa.array(q)), table.column("r").chunk(0).take(pa.array(r + n))]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(sim)], ["l", "r", "cosine_sim"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                key = tuple(keys[a].tolist()) if b > a else last
+                if held and key != last and (out := joined(held)) is not None:
+                    yield out
+                held = held + [batch.slice(a, b - a)] if key == last else [batch.slice(a, b - a)]
+                last = key
+        if held and (out := joined(held)) is not None:
+            yield out
+
+    types = {f.name: f.dataType.simpleString() for f in cells.schema}
+    return laid.mapInArrow(work, f"l {types['l']}, r {types['r']}, cosine_sim double")
+
+
+def bucket_neighbours(
+    left: DataFrame, right: DataFrame, k: int, min_sim: float, seed: int = 11, cell_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """(l, r, cosine_sim): up to ``k`` references r of each (l, u) row among the (r, u) rows that share a bucket.
+
+    A bucket of at most ``cell_rows`` rows a side is one cell; its rows are moved once a table. Larger
+    buckets are hot: their rows leave the tables and are compared in the grid of ``hot_grid``, once
+    whatever the number of tables. No cell compares more than about ``cell_rows`` squared pairs, a task
+    about ``TASK_PAIRS``, and none emits more than ``k`` pairs a query; no pair list is made.
+    """
+    spark = left.sparkSession
+    first = right.select(F.size("u").alias("n")).first() or left.select(F.size("u").alias("n")).first()
     bits, tables = sign_tables(right.count(), min_sim)
-    keys = _sign_keys(first["n"], bits, tables, seed)
+    keys = _sign_keys(first["n"] if first else 1, bits, tables, seed)
+    left, right = (cut_lineage(df.select(name, "u", keys("u").alias("_keys"))) for df, name in ((left, "l"), (right, "r")))
+    buckets = cut_lineage(_bucket_sizes(left, right))
+    is_hot = F.greatest("nl", "nr") > cell_rows
+    hot = cut_lineage(buckets.where(is_hot).select("_no", "_key", F.monotonically_increasing_id().alias("_hot")))
+    spread_l, spread_r, blocks = hot_grid(left, right, hot, cell_rows)
+
+    def cells(rows: DataFrame, name: str, other: DataFrame, spread: DataFrame) -> DataFrame:
+        no_other = F.lit(None).cast(other.schema["r" if name == "l" else "l"].dataType)
+        ids = [F.col("l"), no_other.alias("r")] if name == "l" else [no_other.alias("l"), F.col("r")]
+        cold = rows.select(name, "u", F.posexplode("_keys").alias("_no", "_key")).join(hot, ["_no", "_key"], "left_anti").select(
+            F.lit(-1).cast("long").alias("_c1"), F.col("_no").cast("long").alias("_c2"), F.col("_key").alias("_c3"),
+            F.lit(0).cast("long").alias("_c4"), *ids, "u",
+        )
+        return cold.unionByName(spread.join(rows, name).select(*_CELL, *ids, "u"))
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        rows = cut_lineage(df.select(name, keys("u").alias(f"_{name}")))
-        return rows.select(name, f"_{name}", F.posexplode(f"_{name}").alias("_no", "_key"))
+    both = cells(left, "l", right, spread_l).unionByName(cells(right, "r", left, spread_r))
+    pairs = F.sum(F.col("nl") * F.col("nr")).alias("n")
+    work = (buckets.where(~is_hot).agg(pairs).first()["n"] or 0) + (blocks.agg(pairs).first()["n"] or 0)
+    tasks = min(MAX_TASKS, max(spark.sparkContext.defaultParallelism, math.ceil(work / TASK_PAIRS)))
+    near = cell_neighbours(both, k, min_sim, tasks)
+    # A pair that met in several tables was compared in each; digits may differ with the block.
+    return near.groupBy("l", "r").agg(F.max("cosine_sim").alias("cosine_sim"))
 
-    met = keyed(left, "l").join(keyed(right, "r"), ["_no", "_key"])
-    agree = F.array_position(F.zip_with("_l", "_r", lambda a, b: a == b), True)
-    return met.where(agree == F.col("_no") + 1).select("l", "r")
+
+def sign_candidates(left: DataFrame, right: DataFrame, min_sim: float, seed: int = 11) -> DataFrame:
+    """(l, r): all pairs of (l, u) and (r, u) rows at ``min_sim`` or above that share a bucket in some table."""
+    return bucket_neighbours(left, right, ALL, min_sim, seed).select("l", "r")
 
 
 def approx_knn(
-    queries: DataFrame, refs: DataFrame, k: int, min_sim: float, id_col: str = "sample_id", vector: str = "embedding", seed: int = 11
+    queries: DataFrame, refs: DataFrame, k: int, min_sim: float, id_col: str = "sample_id", vector: str = "embedding", seed: int = 11,
+    cell_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Neighbours at or above a similarity through sign bits of random projections; reported similarities are exact.
 
     Copies are settled before candidates are formed. Equal references tie and rank by id, so a vector
     needs only its ``k`` smallest ids; equal queries share one answer. Buckets therefore hold each
-    distinct vector once and a group of copies never multiplies with another. Rows without a vector
-    have no neighbours.
+    distinct vector once and a group of copies never multiplies with another; a bucket of many distinct
+    near vectors is compared in bounded cells (``bucket_neighbours``). Rows without a vector have no
+    neighbours.
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("query_id"), l2_normalise(F.col(vector)).alias("u"))
     r = refs.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("ref_id"), l2_normalise(F.col(vector)).alias("u"))
     q_first = cut_lineage(q.groupBy("u").agg(F.min("query_id").alias("l")))
     r_ids = cut_lineage(top_per_group(r, ["u"], [F.col("ref_id").asc()], k, "ref_id", "_copy"))
     r_first = r_ids.where(F.col("_copy") == 1).select(F.col("ref_id").alias("r"), "u")
-    met = sign_candidates(q_first, r_first, min_sim, seed)
-    both = met.join(q_first.withColumnRenamed("u", "lu"), "l").join(r_first.withColumnRenamed("u", "ru"), "r")
-    sim = F.round(dot(F.col("lu"), F.col("ru")), 12)
-    pairs = both.select("l", "r", sim.alias("cosine_sim")).where(F.col("cosine_sim") >= min_sim)
+    pairs = bucket_neighbours(q_first, r_first, k, min_sim, seed, cell_rows)
     pairs = top_per_group(pairs, ["l"], [F.col("cosine_sim").desc(), F.col("r").asc()], k, "r", "_near").drop("_near")
     copies = r_ids.join(r_first, "u").select("r", "ref_id")
     best = top_per_group(pairs.join(copies, "r"), ["l"], [F.col("cosine_sim").desc(), F.col("ref_id").asc()], k, "ref_id", "rank")
@@ -189,6 +333,15 @@ def approx_knn(
     return owners.join(best, "l").select("query_id", "rank", "ref_id", "cosine_sim")
 
 
+def neighbour_recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row (expected, found, recall): how many of the exact neighbour pairs an approximate search returned."""
+    pair = ["query_id", "ref_id"]
+    met = exact.select(*pair).join(found.select(*pair).distinct().withColumn("_hit", F.lit(1)), pair, "left")
+    return met.agg(F.count(F.lit(1)).alias("expected"), F.count("_hit").alias("found")).withColumn(
+        "recall", F.when(F.col("expected") > 0, F.col("found") / F.col("expected"))
+    )
+
+
 def with_ref_columns(edges: DataFrame, refs: DataFrame, cols: Sequence[str], id_col: str = "sample_id") -> DataFrame:
     """Attach ``ref_*`` columns to neighbour edges."""
     meta = refs.select(F.col(id_col).alias("ref_id"), *[F.col(c).alias(f"ref_{c}") for c in cols])

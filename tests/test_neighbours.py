@@ -69,3 +69,67 @@ def test_copies_in_the_approximate_join(spark):
     near = {(e["query_id"], e["rank"]): e["ref_id"] for e in N.approx_knn(df, df, 4, 0.9999).collect()}
     exact = {(e["query_id"], e["rank"]): e["ref_id"] for e in N.cosine_knn(df, df, 4).collect()}
     assert [near[(0, k)] for k in range(1, 5)] == [exact[(0, k)] for k in range(1, 5)] == [0, 3, 5, 6]
+
+
+def clustered(seed, n=1500, dims=24, spread=0.12):
+    """A third of the vectors crowd round one centre, all distinct; the rest are far apart or near pairs."""
+    rnd = np.random.default_rng(seed)
+    x = rnd.standard_normal((n, dims))
+    x[: n // 3] = rnd.standard_normal(dims) + spread * rnd.standard_normal((n // 3, dims))
+    x[-n // 6 :] = x[-n // 3 : -n // 6] + 0.05 * rnd.standard_normal((n // 6, dims))
+    return x
+
+
+def as_rows(spark, x, kind="bigint"):
+    ids = [i if kind == "bigint" else f"v{i:05d}" for i in range(len(x))]
+    return spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], f"sample_id {kind}, embedding array<double>")
+
+
+@pytest.mark.parametrize("cell_rows", [60, 4096])
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_hot_buckets_lose_no_neighbours(spark, cell_rows, kind):
+    x = clustered(3)
+    df = as_rows(spark, x, kind).repartition(5)
+    exact = N.cosine_knn(df, df, 8).where("cosine_sim >= 0.9").cache()
+    near = N.approx_knn(df, df, 8, 0.9, cell_rows=cell_rows).cache()
+    report = N.neighbour_recall(near, exact).first()
+    assert report.expected > 4000 and report.recall >= 0.98
+    counted = near.groupBy("query_id").count()
+    assert counted.where("count > 8").isEmpty() and counted.count() == len(x)
+    # Where an answer is complete it is the exact one, ranks and similarities included.
+    both = near.join(exact, ["query_id", "rank", "ref_id"])
+    assert both.count() >= 0.97 * report.expected
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    number = {r.sample_id: i for i, r in enumerate(df.orderBy("sample_id").collect())}
+    for e in near.limit(300).collect():
+        assert e.cosine_sim == pytest.approx(unit[number[e.query_id]] @ unit[number[e.ref_id]], abs=1e-11)
+
+
+def test_cells_stay_small_and_cover_each_pair_once(spark):
+    """A hot bucket becomes cells of bounded size; rows of several hot buckets are compared once."""
+    rnd = np.random.default_rng(1)
+    left = spark.createDataFrame([(i, [[7, 9][int(i % 4 == 0)], 5]) for i in range(900)], "l bigint, _keys array<bigint>")
+    right = spark.createDataFrame([(i, [int(rnd.choice([7, 9])), 5 if i < 400 else 6]) for i in range(500)], "r bigint, _keys array<bigint>")
+    hot = spark.createDataFrame([(0, 7, 1), (0, 9, 2), (1, 5, 3)], "_no int, _key bigint, _hot bigint")
+    l, r, blocks = N.hot_grid(left, right, hot, 50)
+    cells = l.groupBy(*N._CELL).count().union(r.groupBy(*N._CELL).count())
+    assert cells.agg({"count": "max"}).first()[0] < 110
+    met = l.join(r, list(N._CELL)).select("l", "r")
+    want = left.selectExpr("l", "posexplode(_keys) AS (no, key)").join(right.selectExpr("r", "posexplode(_keys) AS (no, key)"), ["no", "key"])
+    want = want.select("l", "r").distinct()
+    assert met.count() == met.distinct().count() and want.join(met, ["l", "r"], "left_anti").isEmpty()
+    assert blocks.count() == 4
+
+
+def test_top_k_of_a_block_keeps_ties_by_position():
+    q = np.array([[1.0, 0.0]])
+    r = np.array([[0.0, 1.0], [1.0, 0.0], [1.0, 0.0], [0.6, 0.8], [1.0, 0.0]])
+    got = N._block_top_k(q, r, 2, 0.5)
+    assert got[1].tolist() == [1, 2] and N._block_top_k(q, r, 9, 0.5)[1].tolist() == [1, 2, 4, 3]
+    assert len(N._block_top_k(q, r[:1], 1, 0.5)[0]) == 0
+
+
+def test_approximate_neighbours_of_nothing(spark):
+    df = as_rows(spark, clustered(1, 12))
+    assert N.approx_knn(df, df.limit(0), 3, 0.9).count() == 0
+    assert N.approx_knn(df.limit(0), df, 3, 0.9).count() == 0
