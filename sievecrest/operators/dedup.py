@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievecrest.functions.hashing import chunks, hamming, pieces
 from sievecrest.functions.vectors import correlation_distance
+from sievecrest.operators.components import first_wins
 from sievecrest.session import cut_lineage
 
 # The distance limits of the two match rules.
@@ -156,31 +157,12 @@ def _leader_round(rows: DataFrame, strict: int, loose: int) -> tuple[DataFrame,
 
 
 def resolve_first_wins(edges: DataFrame) -> DataFrame:
-    """Rows to drop: those with a kept earlier neighbour, in dependency order.
+    """(idx,) of rows to drop: those with a kept earlier neighbour.
 
-    ``edges`` are (later_idx, earlier_idx) matches. Each round keeps rows that wait for nobody, drops
-    their later neighbours and forgets edges of decided rows. At least the smallest open row is
-    decided in a round, so it ends; rounds follow the longest chain.
+    ``edges`` are (later_idx, earlier_idx) matches. Components are settled one by one in order, all at
+    once (``components.first_wins``); rounds grow with the logarithm of the longest chain.
     """
-    live = cut_lineage(edges.select("later_idx", "earlier_idx").distinct())
-    dropped = None
-    while not live.isEmpty():
-        waiting = live.select(F.col("later_idx").alias("idx")).distinct()
-        kept = live.select(F.col("earlier_idx").alias("idx")).distinct().join(waiting, "idx", "left_anti")
-        gone = live.join(kept.withColumnRenamed("idx", "earlier_idx"), "earlier_idx", "left_semi").select(
-            F.col("later_idx").alias("idx")
-        ).distinct()
-        # one written table a round: the rows dropped in it stay a cheap function of its edges
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        decided = gone.unionByName(kept)
-        live = cut_lineage(
-            live.join(gone.withColumnRenamed("idx", "later_idx"), "later_idx", "left_anti").join(
-                decided.withColumnRenamed("idx", "earlier_idx"), "earlier_idx", "left_anti"
-            )
-        )
-    if dropped is None:
-        return edges.select(F.col("later_idx").alias("idx")).limit(0)
-    return cut_lineage(dropped)
+    return first_wins(edges.select(F.col("later_idx").alias("later"), F.col("earlier_idx").alias("earlier")))[0]
 
 
 def deduplicate(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -92,27 +94,88 @@ def combination_table(models: DataFrame, name: str = "model", low: int = 2, high
     )
 
 
+def combination_cells(
+    rows: DataFrame, dataset: str, label: str, probs: str, combos: Sequence[tuple[int, ...]]
+) -> DataFrame:
+    """(dataset, combo, score, n, pos, neg): score cells of the mean over every combination of model columns.
+
+    ``probs`` is an array with one probability a model; ``combos`` are ascending positions in it. Sums
+    of a block of rows are shared along a prefix tree of the combinations, one vector addition each, in
+    member order; the block leaves as cells of its distinct scores, so no row is repeated per
+    combination. A row without one of the members' probabilities has no score there.
+    """
+    order = sorted(range(len(combos)), key=lambda i: combos[i])
+
+    def block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        groups = batch.column(0).dictionary_encode()
+        group = groups.indices.fill_null(len(groups.dictionary)).to_numpy()
+        names = pa.concat_arrays([groups.dictionary, pa.nulls(1, groups.dictionary.type)])
+        flat = batch.column(2).flatten()
+        known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+        values = flat.to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+        truth = batch.column(1).to_numpy(zero_copy_only=False)
+        pos, neg = (truth == 1).astype(np.int64), (truth == 0).astype(np.int64)
+        path: list[tuple[int, np.ndarray, np.ndarray]] = []  # members chosen so far with sum and rows that have all
+        made: list[list[np.ndarray]] = []
+        size = 0
+        for i in order:
+            same = 0
+            while same < min(len(path), len(combos[i])) and path[same][0] == combos[i][same]:
+                same += 1
+            del path[same:]
+            for m in combos[i][same:]:
+                before = path[-1][1:] if path else (0.0, np.ones(len(batch), bool))
+                path.append((m, before[0] + values[:, m], before[1] & known[:, m]))
+            at = np.flatnonzero(path[-1][2])
+            score = path[-1][1][at] / len(combos[i])
+            at = at[by := np.lexsort((score, group[at]))]
+            score = score[by]
+            if not len(at):
+                continue
+            first = np.flatnonzero(np.append(True, (group[at][1:] != group[at][:-1]) | (score[1:] != score[:-1])))
+            counts = [np.diff(np.append(first, len(at))), np.add.reduceat(pos[at], first), np.add.reduceat(neg[at], first)]
+            made.append([group[at][first], np.full(len(first), i, np.int32), score[first], *counts])
+            size += len(first)
+            if size >= 1 << 20:
+                yield packed(names, made)
+                made, size = [], 0
+        if made:
+            yield packed(names, made)
+
+    def packed(names: pa.Array, made: list[list[np.ndarray]]) -> pa.RecordBatch:
+        group, *rest = (np.concatenate(c) for c in zip(*made))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(group)), *map(pa.array, rest)], [dataset, "combo", "score", "n", "pos", "neg"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield from block(batch)
+
+    group_type = rows.schema[dataset].dataType.simpleString()
+    cells = rows.select(dataset, F.col(label).cast("double").alias("label"), probs).mapInArrow(
+        work, f"`{dataset}` {group_type}, combo int, score double, n long, pos long, neg long"
+    )
+    return cells.groupBy(dataset, "combo", "score").agg(*[F.sum(c).alias(c) for c in ("n", "pos", "neg")])
+
+
 def ensemble_search(
     probs: DataFrame, dataset: str, key: str, label: str, low: int = 2, high: int = 5, model: str = "model", prob: str = "prob"
 ) -> DataFrame:
     """F1 at 0.5, best F1 and threshold of the mean probability of every model combination.
 
-    Each row first gathers its few model probabilities into a map (one shuffle by id); combinations
-    are scored from that map and combined map-side into score cells, from which every figure comes.
+    Each row first gathers its few model probabilities into an array (one shuffle by id); blocks of
+    rows become score cells of all combinations (``combination_cells``), from which every figure comes.
+    Model names are configuration: few, and listed by the driver.
     """
-    combos = combination_table(probs.select(model), model, low, high).select("ensemble", "n_models", "members")
-    packed = combos.agg(F.collect_list(F.struct("ensemble", "n_models", "members")).alias("c")).scalar()
+    models = sorted(r[0] for r in probs.select(model).where(F.col(model).isNotNull()).distinct().collect())
+    combos = model_combinations(models, low, high)
+    place = {m: i for i, m in enumerate(models)}
     rows = probs.groupBy(dataset, key).agg(
         F.max(label).alias(label), F.map_from_entries(F.collect_list(F.struct(model, prob))).alias("_p")
     )
-    fanned = rows.withColumn("_c", F.explode(packed))
-    total = F.aggregate(F.col("_c.members"), F.lit(0.0), lambda a, m: a + F.col("_p")[m])
-    scored = fanned.select(
-        dataset, label, F.col("_c.ensemble").alias("ensemble"), F.col("_c.n_models").alias("n_models"),
-        (total / F.col("_c.n_models")).alias("prob_pos"),
-    )
-    by = [dataset, "ensemble", "n_models"]
-    cells = cut_lineage(score_cells(scored, "prob_pos", label, by))
+    rows = rows.select(dataset, label, F.array(*[F.col("_p")[m].cast("double") for m in models]).cast("array<double>").alias("_v"))
+    cells = cut_lineage(combination_cells(rows, dataset, label, "_v", [tuple(place[m] for m in c) for c in combos]))
+    by = [dataset, "combo"]
     at = F.col("score") >= 0.5
 
     def at_half(called, c: str):
@@ -122,4 +185,8 @@ def ensemble_search(
         (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("prob_mean"),
         f1_from_counts(at_half(at, "pos"), at_half(at, "neg"), at_half(~at, "pos")).alias("f1_at_0_5"),
     )
-    return base.join(best_from_cells(cells, by).withColumnRenamed("threshold", "best_threshold"), by)
+    found = base.join(best_from_cells(cells, by).withColumnRenamed("threshold", "best_threshold"), by)
+    listed = [F.struct(F.lit(" + ".join(c)).alias("ensemble"), F.lit(len(c)).alias("n_models")) for c in combos]
+    names = F.array(*listed).cast("array<struct<ensemble:string,n_models:int>>")
+    named = found.withColumn("_c", F.get(names, F.col("combo")))
+    return named.select(dataset, "_c.*", "prob_mean", "f1_at_0_5", "best_threshold", "best_f1")
