@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievecrest.operators.images import channel_sums
+from sievecrest.session import cut_lineage
 
 
 def unseen(inputs: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
@@ -23,42 +25,46 @@ def with_markers(inputs: DataFrame, results: DataFrame, key: str = "id") -> Data
     return found.unionByName(none, allowMissingColumns=True)
 
 
-def _read_done(spark: SparkSession, path: str, key: str, key_type: T.DataType) -> DataFrame:
-    schema = T.StructType([T.StructField(key, key_type), T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _state_provider(spark: SparkSession, provider: str | None) -> Iterator[None]:
+    """State store of the streams started inside the block; the session's own stands again after it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    if provider:
+        spark.conf.set(key, provider)
     try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def score_new_files(
     spark: SparkSession, folder: str, schema: T.StructType, output: str, checkpoint: str, score: Callable[[DataFrame], DataFrame],
-    key: str = "id", pattern: str = "*.parquet", buckets: int = 32,
+    key: str = "id", pattern: str = "*.parquet", provider: str | None = ROCKSDB,
 ) -> DataFrame:
     """Score what arrived since the last call and return all output rows.
 
-    The file source's checkpoint remembers finished files; an id seen in an earlier batch is skipped,
-    and ids without a result leave a marker row. A batch writes its own ``batch=N`` folder in
-    overwrite mode, so a batch that is run again after a failure replaces its own rows. Output lies in
-    key-hash buckets, and a batch reads only the earlier output of the buckets its keys fall into.
+    The checkpoint remembers finished files and, in its state store, one entry for each id ever seen; an
+    id that comes again, in the same batch or a later one, is skipped, and no earlier output is read.
+    Output and checkpoint belong together. A batch's inputs and scores are written once each to the
+    shared scratch folder, so ``score`` runs once a batch; ids without a result leave a marker row. A
+    batch replaces its own ``batch=N`` folder, so one that is run again after a failure gives the same
+    rows. RocksDB keeps the ids of a store on disk; ``provider=None`` keeps the session's choice.
     """
-    key_type = schema[key].dataType
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    arrived = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        touched = [r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
-        done = _read_done(batch.sparkSession, output, key, key_type).where(F.col("bucket").isin(touched))
-        fresh = unseen(batch, done.where(F.col("batch") != batch_id), key).dropDuplicates([key])
-        rows = with_markers(fresh, score(fresh), key).withColumn("bucket", bucket)
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{output}/batch={batch_id}")
-
-    run = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(output).drop("bucket")
+        fresh = cut_lineage(batch)
+        scored = cut_lineage(score(fresh))
+        with_markers(fresh, scored, key).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+
+    writer = arrived.dropDuplicates([key]).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    with _state_provider(spark, provider):
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(output)
 
 
 def running_channel_sums(
