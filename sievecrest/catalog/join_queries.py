@@ -130,14 +130,14 @@ def _(spark, d):
 
 @query(
     "alias_index",
-    """WITH n AS (SELECT DISTINCT concat('u', user_id, CASE WHEN event_type='click' AND user_id%4=0 THEN '.png' ELSE '.jpeg' END) AS name FROM events WHERE user_id%2=0 OR event_type='view'),
+    """WITH n AS (SELECT DISTINCT concat('u', user_id, CASE WHEN event_type='click' AND user_id%4=0 THEN '.png' ELSE '.jpeg' END) AS name FROM events),
     p AS (SELECT name, concat('img/',name) AS path, regexp_replace(name,'\\.[^.]+$','') AS st FROM n),
     u AS (SELECT st, min(path) AS path FROM p GROUP BY st HAVING count(*)=1),
     a AS (SELECT concat(st,e) AS name, path FROM u, (SELECT unnest(['.jpg','.jpeg','.png','.bmp','.webp','.tif','.tiff']) AS e))
     SELECT name, path FROM p UNION ALL SELECT name, path FROM a WHERE name NOT IN (SELECT name FROM p)""",
 )
 def _(spark, d):
-    ev = V.table(spark, d, "events").where("user_id % 2 = 0 OR event_type = 'view'")
+    ev = V.table(spark, d, "events")
     ext = F.when((F.col("event_type") == "click") & (F.col("user_id") % 4 == 0), ".png").otherwise(".jpeg")
     names = ev.select(F.concat(F.lit("u"), "user_id", ext).alias("name")).distinct()
     return J.alias_index(names.withColumn("path", F.concat(F.lit("img/"), "name")))
@@ -153,13 +153,13 @@ def _(spark, d):
     return J.mask_index(ids, _assets(spark, d))
 
 
-MASKS_SQL = "masks AS (SELECT l_orderkey AS stem, l_linenumber AS mask_no FROM lineitem WHERE l_returnflag='A'), markers AS (SELECT DISTINCT l_orderkey AS stem FROM lineitem WHERE l_returnflag='R' AND l_orderkey%2=0)"
+MASKS_SQL = "masks AS (SELECT l_orderkey AS stem, l_linenumber AS mask_no FROM lineitem WHERE l_returnflag<>'R'), markers AS (SELECT DISTINCT l_orderkey AS stem FROM lineitem WHERE l_returnflag='R')"
 
 
 def _masks(spark, d):
     li = V.table(spark, d, "lineitem")
-    masks = li.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("stem"), F.col("l_linenumber").alias("mask_no"))
-    markers = li.where("l_returnflag = 'R' AND l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("stem"))
+    masks = li.where("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("stem"), F.col("l_linenumber").alias("mask_no"))
+    markers = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("stem"))
     return masks, markers, V.table(spark, d, "orders").select(F.col("o_orderkey").alias("stem"))
 
 
@@ -251,11 +251,11 @@ def _(spark, d):
 
 @query(
     "instance_pooling",
-    """WITH i AS (SELECT l_orderkey AS id, l_discount*10 AS prob FROM lineitem WHERE l_returnflag='A')
+    """WITH i AS (SELECT l_orderkey AS id, l_discount*10 AS prob FROM lineitem)
     SELECT o_orderkey AS id, round(coalesce(p,0e0),6) AS prob_pos, coalesce(n,0) AS instances FROM orders LEFT JOIN (SELECT id, avg(prob) AS p, count(*) AS n FROM i GROUP BY 1) ON id=o_orderkey""",
 )
 def _(spark, d):
-    inst = V.table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("id"), (F.col("l_discount") * 10).alias("prob"))
+    inst = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_discount") * 10).alias("prob"))
     out = P.pool_instances(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), inst)
     return out.withColumn("prob_pos", F.round("prob_pos", 6))
 

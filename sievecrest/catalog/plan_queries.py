@@ -427,14 +427,14 @@ def _(spark, d):
 def _protocol(spark, d):
     labels = V.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     ev = V.scored(spark, d)
-    extra = ev.where("id % 4 = 0").select(F.concat(F.lit("x"), "id").alias("id"), "label", F.col("grp").alias("group"))
+    extra = ev.select(F.concat(F.lit("x"), "id").alias("id"), "label", F.col("grp").alias("group"))
     skips = labels.where("id % 17 = 0")
     return PR.split_protocol(labels, seed=42, skips=skips, sample_ratio=0.9, extra=extra, extra_weight=0.5, extra_val_ratio=0.2, target_ratio=1.5)
 
 
 PROTO = f"""{with_views('scored')}, b0 AS (SELECT doc_id::VARCHAR AS id, quality AS label FROM labels WHERE doc_id%17<>0),
   b1 AS (SELECT id, label FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('42:',id)), id) AS rn, count(*) OVER () AS n FROM b0) WHERE rn<=round_even(n*0.9e0,0)),
-  x AS (SELECT 'x'||id AS id, label, grp AS g FROM scored WHERE id%4=0), xg AS (SELECT label, g, count(*) AS n FROM x GROUP BY ALL),
+  x AS (SELECT 'x'||id AS id, label, grp AS g FROM scored), xg AS (SELECT label, g, count(*) AS n FROM x GROUP BY ALL),
   xo AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY label ORDER BY md5(concat('53:',g)), g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before, greatest(1,round_even(sum(n) OVER (PARTITION BY label)*0.2e0,0)) AS target FROM xg),
   xs AS (SELECT x.id, x.label, before<target AS held FROM x JOIN xo USING (label, g)),
   v AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('49:',id)), id) AS rn, count(*) OVER (PARTITION BY label) AS sz FROM xs WHERE held),

@@ -118,7 +118,7 @@ def _(spark, d):
 
 @query(
     "artifact_discovery",
-    """WITH f AS (SELECT concat('out/run', l_partkey, '/', CASE l_linenumber%4 WHEN 0 THEN 'best.pt' WHEN 1 THEN 'soup3.pt' WHEN 2 THEN 'train_args.json' ELSE 'last.pt' END) AS path, l_partkey AS p FROM lineitem WHERE l_returnflag='R')
+    """WITH f AS (SELECT concat('out/run', l_partkey, '/', CASE l_linenumber%4 WHEN 0 THEN 'best.pt' WHEN 1 THEN 'soup3.pt' WHEN 2 THEN 'train_args.json' ELSE 'last.pt' END) AS path, l_partkey AS p FROM lineitem)
     SELECT DISTINCT replace(path,'out/','') AS tag FROM f WHERE (path LIKE '%/best.pt' OR path LIKE '%/soup3.pt') AND p IN (SELECT p FROM f WHERE path LIKE '%json')""",
 )
 def _(spark, d):
