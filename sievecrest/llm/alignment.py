@@ -22,9 +22,10 @@ an id count as best; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from sievecrest.llm.packing import text_parts
 from sievecrest.llm.wordbpe import byte_characters
 from sievecrest.session import cut_lineage
 
-BUFFER_CHARS = 1 << 21
+BUFFER_CHARS = 1 << 22
 PART_CHARS = 1 << 20
 HEAD = 1 << 18
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
@@ -48,25 +49,32 @@ _ODD = 1 << 32  # a pair's key is A's id times this plus B's id
 Vocabulary = tuple[list[bytes], Callable[[list[str]], list[list[int]]]]
 
 
-def byte_level_vocabulary(path: str) -> Callable[[], Vocabulary]:
-    """A byte-level vocabulary file of the ``tokenizers`` library; special strings are plain text."""
+def byte_level_vocabulary(path: str, pattern: str) -> Callable[[], Vocabulary]:
+    """A byte-level vocabulary file of the ``tokenizers`` library; special strings are plain text.
 
-    def load() -> Vocabulary:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use the cores
-        from tokenizers import Tokenizer
+    Where ids follow the order of the merges, as they must here, they are the ranks that ``tiktoken``
+    takes, which encodes short chunks several times faster; ``pattern`` is the file's word pattern.
+    """
 
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
-        own.no_truncation()
-        own.no_padding()
+    def load() -> Vocabulary:
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocab, step = spec["model"]["vocab"], spec["pre_tokenizer"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if made != sorted(made) or step["type"] != "ByteLevel" or step["add_prefix_space"] or not step.get("use_regex", True):
+            raise ValueError("expected plain byte-level words and ids in the order of the merges")
         byte_of = {c: b for b, c in enumerate(byte_characters())}
-        size = own.get_vocab_size(with_added_tokens=True)
-        tokens = [b""] * size
-        for text, i in own.get_vocab(with_added_tokens=True).items():
-            tokens[i] = bytes(map(byte_of.__getitem__, text)) if all(c in byte_of for c in text) else text.encode()
+        special = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in special}
+        tokens = [b""] * (max([*ranks.values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        own = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
         def encode(chunks: list[str]) -> list[list[int]]:
-            return [e.ids for e in own.encode_batch(chunks, add_special_tokens=False)]
+            return list(map(own.encode_ordinary, chunks))
 
         return tokens, encode
 
@@ -112,47 +120,44 @@ class Aligner:
 
     def align(self, chunks: list[str]):
         """(faithful, n_a, n_b, n_groups, group texts, link keys and their cuts) of the chunks."""
-        ids_a, ids_b = self.encode_a(chunks), self.encode_b(chunks)
         n = len(chunks)
-        good = np.array(
-            [
-                bool(a)
-                and b"".join(map(self.a_bytes.__getitem__, a)) == (raw := c.encode("utf-8", "surrogatepass"))
-                and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-                for c, a, b in zip(chunks, ids_a, ids_b)
-            ],
-            bool,
-        ) if n else np.zeros(0, bool)
-        ids_a = [a if g else [] for a, g in zip(ids_a, good)]
-        ids_b = [b if g else [] for b, g in zip(ids_b, good)]
-        n_a, n_b = (np.array([len(i) for i in ids], np.int64) for ids in (ids_a, ids_b))
-        flat_a = np.array([i for ids in ids_a for i in ids], np.int64)
-        flat_b = np.array([i for ids in ids_b for i in ids], np.int64)
+        raw = [c.encode("utf-8", "surrogatepass") for c in chunks]
+        ids_a, ids_b = self.encode_a(chunks), self.encode_b(chunks)
+        good = _gives_back(ids_a, self.a_bytes, raw) & _gives_back(ids_b, self.b_bytes, raw)
+        if not good.all():
+            ids_a, ids_b = ([i if g else [] for i, g in zip(ids, good)] for ids in (ids_a, ids_b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, n) for ids in (ids_a, ids_b))
+        list_a, list_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        flat_a, flat_b = np.array(list_a, np.int64), np.array(list_b, np.int64)
         ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
         owner_a = np.repeat(np.arange(n), n_a)
-        ends = np.union1d(ends_a, ends_b)
+        # B's ends that are A's too, and the two sorted lists merged.
+        met = ends_a[np.minimum(np.searchsorted(ends_a, ends_b), len(ends_a) - 1)] == ends_b if len(ends_a) else np.zeros(0, bool)
+        common = ends_b[met]
+        ends = np.sort(np.concatenate([ends_a, ends_b[~met]]), kind="stable")
         at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         keys = flat_a[at_a] * _ODD + flat_b[at_b]
-        link_owner = owner_a[at_a]
-        link_cuts = np.searchsorted(link_owner, np.arange(n + 1))
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        last_a, last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
-        n_groups = np.bincount(owner_a[last_a], minlength=n) if n else np.zeros(0, np.int64)
-        first_a, first_b = np.append(0, last_a[:-1] + 1), np.append(0, last_b[:-1] + 1)
-        single = (first_a == last_a) & (first_b == last_b)
-        mapped = single & (self.same[flat_a[last_a]] == flat_b[last_b]) if len(common) else np.zeros(0, bool)
-        list_a, list_b = flat_a.tolist(), flat_b.tolist()
-        texts = [
-            self.pair_text[list_a[ea]]
-            if fast
-            else ",".join(map(str, list_a[sa : ea + 1])) + "|" + ",".join(map(str, list_b[sb : eb + 1]))
-            for fast, sa, ea, sb, eb in zip(mapped.tolist(), first_a.tolist(), last_a.tolist(), first_b.tolist(), last_b.tolist())
-        ]
+        link_cuts = np.searchsorted(owner_a[at_a], np.arange(n + 1))
+        last_a, last_b = np.searchsorted(ends_a, common), np.flatnonzero(met)
+        n_groups = np.bincount(owner_a[last_a], minlength=n)
+        first_a, first_b = np.append(0, last_a[:-1] + 1)[: len(common)], np.append(0, last_b[:-1] + 1)[: len(common)]
+        head = flat_a[last_a]
+        mapped = (first_a == last_a) & (first_b == last_b) & (self.same[head] == flat_b[last_b])
+        texts = list(map(self.pair_text.__getitem__, head.tolist()))
+        odd = np.flatnonzero(~mapped)
+        for at, sa, ea, sb, eb in zip(*(x.tolist() for x in (odd, first_a[odd], last_a[odd] + 1, first_b[odd], last_b[odd] + 1))):
+            texts[at] = ",".join(map(str, list_a[sa:ea])) + "|" + ",".join(map(str, list_b[sb:eb]))
         cuts = np.append(0, np.cumsum(n_groups)).tolist()
-        groups = [";".join(texts[cuts[i] : cuts[i + 1]]).encode() for i in range(n)]
+        groups = [(texts[a] if b - a == 1 else ";".join(texts[a:b])).encode() for a, b in zip(cuts, cuts[1:])]
         return good, n_a, n_b, n_groups, groups, keys, link_cuts
 
 
+def _gives_back(ids: list[list[int]], tokens: list[bytes], raw: list[bytes]) -> np.ndarray:
+    """Whether the tokens of each chunk join to its bytes; all at once where nothing is amiss."""
+    got = [b"".join(map(tokens.__getitem__, i)) for i in ids]
+    return np.ones(len(raw), bool) if got == raw and all(ids) else np.array([bool(i) and g == r for i, g, r in zip(ids, got, raw)], bool)
+
+
 _ALIGNERS: dict[str, Aligner] = {}
 
 
@@ -184,12 +189,13 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list
         yield pa.concat_arrays(keys), parts, docs
 
 
-def _tally(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (owner, key) in order and how often each stands."""
-    order = np.lexsort((keys, owner))
-    owner, keys = owner[order], keys[order]
-    first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
-    return owner[first], keys[first], np.diff(np.append(first, len(keys)))
+def _tally(owner: np.ndarray, place: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (owner, keys[place]) in order and how often each stands."""
+    names, number = np.unique(keys, return_inverse=True)
+    packed = np.sort(owner * len(names) + number[place]) if len(place) else place
+    first = np.flatnonzero(np.append(True, packed[1:] != packed[:-1])[: len(packed)])
+    width = max(1, len(names))
+    return packed[first] // width, names[packed[first] % width] if len(first) else first, np.diff(np.append(first, len(packed)))
 
 
 def align_documents(df: DataFrame, id_col: str, text_col: str, first, second, name: str) -> DataFrame:
@@ -243,8 +249,7 @@ def _aligned_rows(own: Aligner, ids: pa.Array, parts: list[tuple[int, str]], n_d
     owner = np.repeat(np.concatenate(owners) if owners else chunk_list, sizes[chunk_list])
     # Positions in ``keys`` of every chunk's links, one chunk after the other.
     within = np.arange(len(owner)) - np.repeat(np.cumsum(sizes[chunk_list]) - sizes[chunk_list], sizes[chunk_list])
-    linked = keys[np.repeat(cuts[:-1][chunk_list], sizes[chunk_list]) + within]
-    owner, linked, times = _tally(owner, linked)
+    owner, linked, times = _tally(owner, np.repeat(cuts[:-1][chunk_list], sizes[chunk_list]) + within, keys)
     a, b = linked // _ODD, linked % _ODD
     same = own.same[a] == b if len(a) else np.zeros(0, bool)
     names = ["doc_id", "row", *_COUNTS, "groups_sha256", "same_ids", "same_n", "odd_keys", "odd_n"]
@@ -364,8 +369,10 @@ def score_links(aligned: DataFrame, size: int, head: int = HEAD) -> DataFrame:
     )
 
 
-def align_corpus(df: DataFrame, id_col: str, text_col: str, byte_path: str, piece_path: str, head: int = HEAD) -> DataFrame:
+def align_corpus(
+    df: DataFrame, id_col: str, text_col: str, byte_path: str, pattern: str, piece_path: str, head: int = HEAD
+) -> DataFrame:
     """Align a table of texts under a byte-level file (A) and a sentencepiece model (B), and score its links."""
-    first, second = byte_level_vocabulary(byte_path), piece_vocabulary(piece_path)
+    first, second = byte_level_vocabulary(byte_path, pattern), piece_vocabulary(piece_path)
     aligned = cut_lineage(align_documents(df, id_col, text_col, first, second, f"{byte_path}|{piece_path}"))
     return score_links(aligned, len(first()[0]), head)

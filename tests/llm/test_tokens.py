@@ -14,6 +14,7 @@ from sievecrest.llm import alignment, wordbpe
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
+PATTERN = public_tokenizers.PATTERN
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
     None, "", " ", "\n\n", "a", "don't  stop\t\n now", "é" * 3, "日本語 テキスト 🙂🙂", "a" * 3000, " " * 500, "x　y \x85 z\x1cw",
@@ -169,7 +170,7 @@ def plain_alignment(texts):
 def test_alignment_equals_a_plain_one(spark, sf, head):
     texts = ODD + noise(6, 60) + noise(7, 60, "aaab ", 30) + noise(8, 20, "日本é🙂 \t") + ["the cat sat"] * 40
     texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").orderBy("doc_id").limit(60).collect()]
-    got = alignment.align_corpus(table(spark, texts).repartition(5), "doc_id", "text", BYTES, PIECES, head)
+    got = alignment.align_corpus(table(spark, texts).repartition(5), "doc_id", "text", BYTES, PATTERN, PIECES, head)
     found = {r.doc_id: tuple(r)[1:] for r in got.collect()}
     assert len(found) == len(texts)
     for i, want in enumerate(plain_alignment(texts)):
@@ -177,7 +178,7 @@ def test_alignment_equals_a_plain_one(spark, sf, head):
 
 
 def test_alignment_of_long_texts_in_parts():
-    own = alignment.Aligner(alignment.byte_level_vocabulary(BYTES)(), alignment.piece_vocabulary(PIECES)())
+    own = alignment.Aligner(alignment.byte_level_vocabulary(BYTES, PATTERN)(), alignment.piece_vocabulary(PIECES)())
     texts = ["word salad, " * 400, "x" * 5000 + " y" * 300, "é" * 700]
     whole = [(i, " " + t) for i, t in enumerate(texts)]
     parts = [(i, p) for i, t in whole for p in alignment.text_parts(t, 97)]
@@ -190,7 +191,7 @@ def test_alignment_of_long_texts_in_parts():
 
 
 def test_alignment_of_nothing(spark):
-    got = alignment.align_corpus(table(spark, ["a"]).limit(0), "doc_id", "text", BYTES, PIECES)
+    got = alignment.align_corpus(table(spark, ["a"]).limit(0), "doc_id", "text", BYTES, PATTERN, PIECES)
     assert got.count() == 0 and got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    blank = alignment.align_corpus(table(spark, [None, ""]), "doc_id", "text", BYTES, PIECES).collect()
+    blank = alignment.align_corpus(table(spark, [None, ""]), "doc_id", "text", BYTES, PATTERN, PIECES).collect()
     assert [tuple(r)[1:] for r in blank] == [(0, 0, 0, 0, 0, 0, "")] * 2
