@@ -26,6 +26,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,11 @@ from pyspark.sql import functions as F
 
 from sievecrest.llm.common import small_batches, text_buffers
 
-BUFFER_CHARS = 1 << 22
+BUFFER_CHARS = 1 << 23
+KNOWN_CHUNKS = 1 << 19
+_SCAN = 48  # bytes up to which a scan for the next merge beats a queue of merges
+#: Characters that normalising leaves as they are but for lower-casing one by one.
+_PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+").fullmatch
 _END = 256  # symbol after the last byte of a word
 _WIDTH = 257
 _NEVER = np.iinfo(np.int64).max
@@ -81,6 +86,7 @@ class WordTable:
             symbols[token] = [*found, _END] if ends else found
         if min(self.of_byte.min(), self.of_last.min()) < 0:
             raise ValueError("the vocabulary lacks a single byte, inside or at the end of a word")
+        self.byte_ids, self.last_ids = self.of_byte.tolist(), self.of_last.tolist()
         self._grow_trie({t: s for t, s in symbols.items() if made[t] < 0 or self._whole()[t]})
 
     def _whole(self) -> np.ndarray:
@@ -159,7 +165,26 @@ class WordTable:
 
     def merge_exactly(self, word: bytes) -> list[int]:
         """One word by the merges themselves: always the leftmost pair of least rank."""
-        ids = [int(self.of_byte[b]) for b in word[:-1]] + [int(self.of_last[word[-1]])]
+        ids = [self.byte_ids[b] for b in word[:-1]]
+        ids.append(self.last_ids[word[-1]])
+        if len(ids) > _SCAN:
+            return self._merge_queued(ids)
+        rank_of, never = self.merge_of.get, (_NEVER, -1)
+        ranks = [rank_of(p, never) for p in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least is never:
+                break
+            at = ranks.index(least)
+            ids[at : at + 2] = [least[1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank_of((ids[at], ids[at + 1]), never)
+            if at:
+                ranks[at - 1] = rank_of((ids[at - 1], ids[at]), never)
+        return ids
+
+    def _merge_queued(self, ids: list[int]) -> list[int]:
         after, before = list(range(1, len(ids))) + [-1], list(range(-1, len(ids) - 1))
         queue: list[tuple[int, int, int, int, int]] = []
 
@@ -237,32 +262,46 @@ class WordEncoder:
         self.byte_of = {c: b for b, c in enumerate(byte_characters())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.known: dict[str, list[int]] = {}  # ids of chunks met in earlier buffers
         self.strings = [""] * (max([*model["vocab"].values(), *self.special.values()]) + 1)
         for text, i in [*model["vocab"].items(), *self.special.items()]:
             self.strings[i] = text
 
     def _words(self, chunk: str) -> list[bytes]:
-        if chunk.isascii() and chunk.isprintable():
-            return [w.encode() for w in self.find(chunk.lower())]
+        if _PLAIN(chunk):
+            low = chunk.lower()
+            return [low.encode()] if low.isalpha() else [w.encode() for w in self.find(low)]
         marked = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(chunk)) if chunk else []
         return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in marked]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The chunk numbers of every text, and the ids of every distinct chunk."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin and end."""
         chunk_of: dict[str, int] = {}
         texts_in_chunks = [[chunk_of.setdefault(c, len(chunk_of)) for c in t.split(" ")] if t else [] for t in texts]
+        if len(self.known) > KNOWN_CHUNKS:
+            self.known.clear()
+        fresh = [c for c in chunk_of if c not in self.known]
         word_of: dict[bytes, int] = {}
-        chunks: list[list[int]] = []  # numbers of words; specials as -1 - id
-        for chunk in chunk_of:
+        parsed: list[list[int]] = []  # numbers of words; specials as -1 - id
+        for chunk in fresh:
             found: list[int] = []
             for part in self.at_special.split(chunk) if self.special else [chunk]:
                 if part in self.special:
                     found.append(-1 - self.special[part])
                 elif part:
                     found += [word_of.setdefault(w, len(word_of)) for w in self._words(part)]
-            chunks.append(found)
+            parsed.append(found)
         ids, _ = self.table.encode_words(list(word_of))
-        return texts_in_chunks, [[i for w in c for i in (ids[w] if w >= 0 else [-1 - w])] for c in chunks]
+        made = (ids[c[0]] if len(c) == 1 and c[0] >= 0 else [i for w in c for i in (ids[w] if w >= 0 else [-1 - w])] for c in parsed)
+        self.known.update(zip(fresh, made))
+        chunks = [self.known[c] for c in chunk_of]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        flat = np.fromiter(chain.from_iterable(chunks), np.uint32, int(sizes.sum()))
+        order = np.fromiter(chain.from_iterable(texts_in_chunks), np.int64, sum(map(len, texts_in_chunks)))
+        lengths = sizes[order]
+        ends = np.append(0, np.cumsum(lengths))
+        at = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[order] - ends[:-1], lengths)
+        return flat[at], ends[np.append(0, np.cumsum(list(map(len, texts_in_chunks))))]
 
     def decode(self, ids: Sequence[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
@@ -305,19 +344,17 @@ def round_trip_digests(df: DataFrame, id_col: str, text_col: str, path: str) ->
     return _encoded(df, id_col, text_col, path, schema, _digest_columns)
 
 
-def _ids_column(coder: WordEncoder, texts: list[list[int]], chunks: list[list[int]]) -> list[pa.Array]:
-    return [pa.array([[i for c in t for i in chunks[c]] for t in texts], pa.list_(pa.int32()))]
+def _ids_column(coder: WordEncoder, ids: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))]
 
 
-def _digest_columns(coder: WordEncoder, texts: list[list[int]], chunks: list[list[int]]) -> list[pa.Array]:
-    sizes = np.array([len(ids) for ids in chunks], np.int64)
-    packed = [np.array(ids, "<u4").tobytes() for ids in chunks]
-    plain = [coder.decode(ids).encode() for ids in chunks]
-    counts = [int(sizes[t].sum()) if t else 0 for t in texts]
-    said = [hashlib.sha256(b"".join(map(packed.__getitem__, t))).hexdigest() for t in texts]
-    # A chunk without tokens adds no separator.
-    decoded = [hashlib.sha256(b" ".join(filter(None, map(plain.__getitem__, t)))).hexdigest() for t in texts]
-    return [pa.array(counts, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())]
+def _digest_columns(coder: WordEncoder, ids: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+    packed = memoryview(ids.astype("<u4").tobytes())
+    flat = ids.tolist()
+    pairs = list(zip(cuts.tolist(), cuts[1:].tolist()))
+    said = [hashlib.sha256(packed[4 * a : 4 * b]).hexdigest() for a, b in pairs]
+    decoded = [hashlib.sha256(coder.decode(flat[a:b]).encode()).hexdigest() for a, b in pairs]
+    return [pa.array(np.diff(cuts)), pa.array(said, pa.string()), pa.array(decoded, pa.string())]
 
 
 def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, schema: str, columns) -> DataFrame:
