@@ -1,11 +1,12 @@
 """Phrases that occur more often than their parts suggest, counted by prefix-free parsing.
 
-Pieces of text are cut where their own content says so: at every pair of words whose hash falls into
-one of ``TRIGGER`` classes, or after ``MOST_WORDS`` words. A chunk runs on for as many words as the
-longest phrase needs beyond its own end, and says how many of its words it owns; phrases belong to
-the chunk that owns their first word, so every occurrence is counted once, overlaps included. Equal
-text gives equal chunks wherever it stands: copies and shared passages collapse to one row of a
-dictionary with its frequency, and phrases are counted inside distinct chunks, weighted by it.
+Texts are cut where their own content says so: at every pair of words whose hash falls into one of
+``TRIGGER`` classes, or after ``MOST_WORDS`` words. A chunk runs on within its last piece for as many
+words as the longest phrase needs beyond its own end, and says how many of its words it owns; phrases
+belong to the chunk that owns their first word, so every occurrence is counted once, overlaps
+included. Equal text gives equal chunks wherever it stands: copies and shared passages collapse to one
+row of a dictionary with its frequency, and phrases are counted inside distinct chunks, weighted by it.
+The dictionary is packed once into blocks of numbered words, which all rounds of counting read.
 
 Phrases grow by a word a round. No phrase is frequent unless both phrases without its first and its
 last word are, so a round counts only those whose parts pass a bitmap of the last round's frequent
@@ -34,27 +35,28 @@ from sievecrest.session import cut_lineage
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-TRIGGER = 16
-MOST_WORDS = 64
-BUFFER_CHARS = 1 << 22
+TRIGGER = 32
+MOST_WORDS = 128
+BUFFER_CHARS = 1 << 23
 CHUNK_ROWS = 10_000
+BLOCK_ROWS = 2
 MAP_BITS = 26
 SALTS = 16
 UNKNOWN = "und"
 _BREAKS = bytes.maketrans(b".,;:!?\n\v\f\r\t", b"\n" * 10 + b" ")
-_SEPARATOR, _EMPTY = 0, 1
+_PIECE, _TEXT, _EMPTY = 0, 1, 2  # numbers of the end of a piece, the end of a text and of no word
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def _words(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, and the number of each word in order with the number of its line."""
-    number_of = {b"\n": _SEPARATOR, b"": _EMPTY}
-    found = [number_of.setdefault(w, len(number_of)) for w in data.replace(b"\n", b" \n ").split(b" ")]
-    numbers = np.array(found, np.int64)
-    line = np.cumsum(numbers == _SEPARATOR)
+def _words(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, and for each word in order its number, its piece (ended by \\n or \\r) and its text (by \\r)."""
+    number_of = {b"\n": _PIECE, b"\r": _TEXT, b"": _EMPTY}
+    tokens = data.replace(b"\n", b" \n ").replace(b"\r", b" \r ").split(b" ")
+    numbers = np.array([number_of.setdefault(w, len(number_of)) for w in tokens], np.int64)
+    piece, text = np.cumsum(numbers < _EMPTY), np.cumsum(numbers == _TEXT)
     kept = numbers > _EMPTY
-    return list(number_of), numbers[kept], line[kept]
+    return list(number_of), numbers[kept], piece[kept], text[kept]
 
 
 def _hashes(words: list[bytes], seed: int) -> np.ndarray:
@@ -66,27 +68,32 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def parse(data: bytes, longest: int = LONGEST) -> dict[tuple[bytes, int], int]:
-    """Chunks of lower-cased text with the words they own, and how often each stands there."""
-    words, numbers, piece = _words(data.translate(_BREAKS))
+def parse(texts: list[bytes], longest: int = LONGEST) -> dict[tuple[bytes, int], int]:
+    """Chunks of lower-cased texts with the words they own, and how often each stands there.
+
+    A chunk has its words between single spaces and a line break between its pieces.
+    """
+    words, numbers, piece, text = _words(b"\r".join(t.translate(_BREAKS) for t in texts))
     n = len(numbers)
     out: dict[tuple[bytes, int], int] = {}
     if not n:
         return out
-    first = np.append(True, piece[1:] != piece[:-1])
+    starts = np.append(True, text[1:] != text[:-1])
     h = _hashes(words, 0)[numbers]
-    starts = first.copy()
     starts[1:] |= _mixed(h[:-1] * _FACTOR + h[1:]) % np.uint64(TRIGGER) == 0
     at = np.arange(n)
     since = at - np.maximum.accumulate(np.where(starts, at, 0))
     begin = np.flatnonzero(since % MOST_WORDS == 0)
     end = np.append(begin[1:], n)
-    firsts = np.flatnonzero(first)
-    piece_end = np.append(firsts[1:], n)[np.searchsorted(firsts, begin, "right") - 1]
+    heads = np.append(True, piece[1:] != piece[:-1])
+    firsts = np.flatnonzero(heads)
+    piece_end = np.append(firsts[1:], n)[np.searchsorted(firsts, end - 1, "right") - 1]
     reach = np.minimum(end + longest - 1, piece_end)
-    flat = [words[i] for i in numbers.tolist()]
+    broken = [b"\n " + w for w in words]
+    flat = [broken[i] if f else words[i] for i, f in zip(numbers.tolist(), heads.tolist())]
     for b, e, r in zip(begin.tolist(), end.tolist(), reach.tolist()):
-        key = (b" ".join(flat[b:r]), e - b)
+        chunk = b" ".join(flat[b:r])
+        key = (chunk[2:] if chunk[:2] == b"\n " else chunk, e - b)
         out[key] = out.get(key, 0) + 1
     return out
 
@@ -115,7 +122,7 @@ def chunk_dictionary(df: DataFrame, text_col: str, lang_col: str, longest: int =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_language(batches):
             for name, texts in held.items():
-                found = parse(b"\n".join(t.encode("utf-8", "surrogatepass").lower() for (t,) in texts), longest)
+                found = parse([t.encode("utf-8", "surrogatepass").lower() for (t,) in texts], longest)
                 columns = [
                     pa.array([name] * len(found), pa.string()),
                     pa.array([c for c, _ in found], pa.binary()).cast(pa.string()),
@@ -145,43 +152,68 @@ def _grown(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def count_phrases(chunks: DataFrame, size: int, parts: np.ndarray | None = None) -> DataFrame:
+_BLOCK = ["lang", "words", "numbers", "heads", "weights"]
+
+
+def chunk_blocks(chunks: DataFrame) -> DataFrame:
+    """Distinct chunks of a language packed into blocks that every round of counting reads.
+
+    A block has its distinct words, and for each word in order its number (32 bits), whether a piece
+    begins there (8 bits) and the frequency of the chunk that owns it (64 bits; 0 for words beyond).
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_language(batches):
+            for name, rows in held.items():
+                words, numbers, piece, row = _words("\r".join(r[0] for r in rows).encode("utf-8", "surrogatepass"))
+                own, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64)
+                place = np.arange(len(numbers)) - np.searchsorted(row, row)
+                weights = np.where(place < own[row], weight[row], 0)
+                heads = np.append(True, piece[1:] != piece[:-1])
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (numbers.astype("<u4"), heads.astype("u1"), weights.astype("<i8"))]
+                listed = pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), listed, *blobs], _BLOCK)
+
+    schema = "lang string, words array<string>, numbers binary, heads binary, weights binary"
+    return chunks.select("lang", "chunk", "own", "n").mapInArrow(work, schema)
+
+
+def count_phrases(blocks: DataFrame, size: int, parts: np.ndarray | None = None) -> DataFrame:
     """(lang, phrase, n) of all phrases of ``size`` words whose two shorter parts pass the bitmap ``parts``."""
-    shared = None if parts is None else chunks.sparkSession.sparkContext.broadcast(parts)  # at most 2^MAP_BITS bits
-
-    def gather(name: str, rows: list[tuple], bitmap: np.ndarray | None) -> pa.RecordBatch:
-        words, numbers, row = _words("\n".join(r[0] for r in rows).encode("utf-8", "surrogatepass"))
-        own, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64)
-        n = len(numbers)
-        at = np.arange(n)
-        place = at - np.searchsorted(row, row)
-        good = place < own[row]
-        whole = max(0, n - size + 1)
-        good[whole:] = False
-        good[:whole] &= row[:whole] == row[size - 1 :]
-        if bitmap is not None:
-            h = _grown(_hashes(words, _seed(name))[numbers], size - 1)
+    shared = None if parts is None else blocks.sparkSession.sparkContext.broadcast(parts)  # at most 2^MAP_BITS bits
+
+    def count(name: str, words: list[str], numbers: np.ndarray, heads: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+        piece = np.cumsum(heads)
+        whole = max(0, len(numbers) - size + 1)
+        good = weights[:whole] > 0
+        good &= piece[:whole] == piece[size - 1 :]
+        if shared is not None:
+            bitmap = shared.value
+            h = _grown(_hashes([w.encode("utf-8", "surrogatepass") for w in words], _seed(name))[numbers], size - 1)
             spot = _places(h, len(bitmap) * 8)
             held = (bitmap[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0
-            good[:-1] &= held[:-1] & held[1:]
-        at = at[good]
+            good &= held[:whole] & held[1 : whole + 1]
+        at = np.flatnonzero(good)
         key = numbers[at]
-        for j in range(1, size):
+        for j in range(1, size - 1):
             key = np.unique(key * len(words) + numbers[at + j], return_inverse=True)[1]
+        if size > 1:
+            key = key * len(words) + numbers[at + size - 1]
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
         total = np.zeros(len(first), np.int64)
-        np.add.at(total, back, weight[row[at]])
-        flat = numbers.tolist()
-        phrases = [b" ".join([words[i] for i in flat[p : p + size]]) for p in at[first].tolist()]
-        columns = [pa.array([name] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(total)]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
+        np.add.at(total, back, weights[at])
+        columns = [np.array(words, object)[numbers[at[first] + j]].tolist() for j in range(size)]
+        phrases = columns[0] if size == 1 else list(map(" ".join, zip(*columns)))
+        made = [pa.array([name], pa.string()).take(pa.array(np.zeros(len(first), np.int64))), pa.array(phrases, pa.string()), pa.array(total)]
+        return pa.RecordBatch.from_arrays(made, ["lang", "phrase", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_language(batches):
-            for name, rows in held.items():
-                yield gather(name, rows, None if shared is None else shared.value)
+        for batch in batches:
+            for name, words, numbers, heads, weights in zip(*(c.to_pylist() for c in batch.columns)):
+                arrays = np.frombuffer(numbers, "<u4").astype(np.int64), np.frombuffer(heads, "u1"), np.frombuffer(weights, "<i8")
+                yield count(name, words, *arrays)
 
-    found = chunks.select("lang", "chunk", "own", "n").mapInArrow(work, "lang string, phrase string, n long")
+    found = blocks.select(*_BLOCK).mapInArrow(work, "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
@@ -199,7 +231,8 @@ def phrase_bitmap(phrases: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(spot >> 5), pa.array(1 << (spot & 31))], ["word", "bit"])
 
     marked = phrases.select("lang", "phrase").mapInArrow(work, "word long, bit long")
-    held = marked.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2^(MAP_BITS - 5) rows
+    with arrow_rows(phrases.sparkSession, CHUNK_ROWS):
+        held = marked.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2^(MAP_BITS - 5) rows
     out = np.zeros(bits // 32, "<u4")
     out[held.column("word").to_numpy()] = held.column("bits").to_numpy().astype(np.uint32)
     return out.view(np.uint8)
@@ -224,10 +257,12 @@ def collocations(
     with arrow_rows(spark, BATCH_ROWS):  # whole texts may be long
         chunks = cut_lineage(chunk_dictionary(df, text_col, lang_col, longest))
     with arrow_rows(spark, CHUNK_ROWS):
-        words = cut_lineage(count_phrases(chunks, 1))
+        blocks = cut_lineage(chunk_blocks(chunks))
+    with arrow_rows(spark, BLOCK_ROWS):
+        words = cut_lineage(count_phrases(blocks, 1))
         levels = [cut_lineage(words.where(F.col("n") >= min_count))]
         for size in range(2, longest + 1):
-            found = count_phrases(chunks, size, phrase_bitmap(levels[-1], size - 1))
+            found = count_phrases(blocks, size, phrase_bitmap(levels[-1], size - 1))
             levels.append(cut_lineage(found.where(F.col("n") >= min_count)))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     known = levels[0].withColumn("size", F.lit(1))

@@ -75,12 +75,13 @@ def test_every_phrase_belongs_to_one_chunk(longest, trigger, most, monkeypatch):
     rows = corpus(3)
     got = Counter()
     for text, _ in rows:
-        for (chunk, own), n in phrases.parse((text or "").encode().lower(), longest).items():
-            ws = chunk.decode().split(" ")
+        for (chunk, own), n in phrases.parse([(text or "").encode().lower()], longest).items():
+            ws = [(w, k) for k, piece in enumerate(chunk.decode().split(" \n ")) for w in piece.split(" ")]
             assert 0 < own <= len(ws) <= own + longest - 1 and own <= most
             for m in range(1, longest + 1):
                 for i in range(min(own, len(ws) - m + 1)):
-                    got["x", tuple(ws[i : i + m])] += n
+                    if ws[i][1] == ws[i + m - 1][1]:
+                        got["x", tuple(w for w, _ in ws[i : i + m])] += n
     assert got == plain_counts([(t, "x") for t, _ in rows], longest)
 
 
