@@ -23,7 +23,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,19 +46,18 @@ MAP_BITS = 26
 SALTS = 16
 UNKNOWN = "und"
 _BREAKS = bytes.maketrans(b".,;:!?\n\v\f\r\t", b"\n" * 10 + b" ")
-_PIECE, _TEXT, _EMPTY = 0, 1, 2  # numbers of the end of a piece, the end of a text and of no word
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def _words(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def _words(data: bytes) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, and for each word in order its number, its piece (ended by \\n or \\r) and its text (by \\r)."""
-    number_of = {b"\n": _PIECE, b"\r": _TEXT, b"": _EMPTY}
-    tokens = data.replace(b"\n", b" \n ").replace(b"\r", b" \r ").split(b" ")
-    numbers = np.array([number_of.setdefault(w, len(number_of)) for w in tokens], np.int64)
-    piece, text = np.cumsum(numbers < _EMPTY), np.cumsum(numbers == _TEXT)
-    kept = numbers > _EMPTY
-    return list(number_of), numbers[kept], piece[kept], text[kept]
+    spaced = data.replace(b"\n", b" \n ").replace(b"\r", b" \r ")
+    tokens = pc.split_pattern(pa.array([spaced], pa.binary()), b" ").values.dictionary_encode()
+    words, numbers = tokens.dictionary, tokens.indices.to_numpy()
+    ends, text_ends, nothing = (numbers == pc.index(words, pa.scalar(w, pa.binary())).as_py() for w in (b"\n", b"\r", b""))
+    kept = ~(ends | text_ends | nothing)
+    return words, numbers[kept].astype(np.int64), np.cumsum(ends | text_ends)[kept], np.cumsum(text_ends)[kept]
 
 
 def _hashes(words: list[bytes], seed: int) -> np.ndarray:
@@ -79,6 +80,7 @@ def parse(texts: list[bytes], longest: int = LONGEST) -> dict[tuple[bytes, int],
     if not n:
         return out
     starts = np.append(True, text[1:] != text[:-1])
+    words = words.to_pylist()
     h = _hashes(words, 0)[numbers]
     starts[1:] |= _mixed(h[:-1] * _FACTOR + h[1:]) % np.uint64(TRIGGER) == 0
     at = np.arange(n)
@@ -171,7 +173,7 @@ def chunk_blocks(chunks: DataFrame) -> DataFrame:
                 weights = np.where(place < own[row], weight[row], 0)
                 heads = np.append(True, piece[1:] != piece[:-1])
                 blobs = [pa.array([x.tobytes()], pa.binary()) for x in (numbers.astype("<u4"), heads.astype("u1"), weights.astype("<i8"))]
-                listed = pa.array([[w.decode("utf-8", "surrogatepass") for w in words]], pa.list_(pa.string()))
+                listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), listed, *blobs], _BLOCK)
 
     schema = "lang string, words array<string>, numbers binary, heads binary, weights binary"
@@ -182,36 +184,37 @@ def count_phrases(blocks: DataFrame, size: int, parts: np.ndarray | None = None)
     """(lang, phrase, n) of all phrases of ``size`` words whose two shorter parts pass the bitmap ``parts``."""
     shared = None if parts is None else blocks.sparkSession.sparkContext.broadcast(parts)  # at most 2^MAP_BITS bits
 
-    def count(name: str, words: list[str], numbers: np.ndarray, heads: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    def count(name: str, words: pa.StringArray, numbers: np.ndarray, heads: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
         piece = np.cumsum(heads)
         whole = max(0, len(numbers) - size + 1)
         good = weights[:whole] > 0
         good &= piece[:whole] == piece[size - 1 :]
         if shared is not None:
             bitmap = shared.value
-            h = _grown(_hashes([w.encode("utf-8", "surrogatepass") for w in words], _seed(name))[numbers], size - 1)
+            h = _grown(_hashes(words.cast(pa.binary()).to_pylist(), _seed(name))[numbers], size - 1)
             spot = _places(h, len(bitmap) * 8)
             held = (bitmap[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0
             good &= held[:whole] & held[1 : whole + 1]
         at = np.flatnonzero(good)
-        key = numbers[at]
-        for j in range(1, size - 1):
-            key = np.unique(key * len(words) + numbers[at + j], return_inverse=True)[1]
-        if size > 1:
-            key = key * len(words) + numbers[at + size - 1]
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        total = np.zeros(len(first), np.int64)
-        np.add.at(total, back, weights[at])
-        columns = [np.array(words, object)[numbers[at[first] + j]].tolist() for j in range(size)]
-        phrases = columns[0] if size == 1 else list(map(" ".join, zip(*columns)))
-        made = [pa.array([name], pa.string()).take(pa.array(np.zeros(len(first), np.int64))), pa.array(phrases, pa.string()), pa.array(total)]
-        return pa.RecordBatch.from_arrays(made, ["lang", "phrase", "n"])
+        code, seen = pd.factorize(numbers[at])
+        for j in range(1, size):
+            code, seen = pd.factorize(code * len(words) + numbers[at + j])
+        total = np.zeros(len(seen), np.int64)
+        np.add.at(total, code, weights[at])
+        first = np.empty(len(seen), np.int64)
+        first[code[::-1]] = at[::-1]
+        columns = [words.take(pa.array(numbers[first + j])) for j in range(size)]
+        phrases = columns[0] if size == 1 else pc.binary_join_element_wise(*columns, " ")
+        names = pa.array([name], pa.string()).take(pa.array(np.zeros(len(first), np.int64)))
+        return pa.RecordBatch.from_arrays([names, phrases, pa.array(total)], ["lang", "phrase", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, words, numbers, heads, weights in zip(*(c.to_pylist() for c in batch.columns)):
-                arrays = np.frombuffer(numbers, "<u4").astype(np.int64), np.frombuffer(heads, "u1"), np.frombuffer(weights, "<i8")
-                yield count(name, words, *arrays)
+            for i in range(len(batch)):
+                name, words, numbers, heads, weights = (c[i] for c in batch.columns)
+                arrays = (np.frombuffer(b.as_py(), t) for b, t in ((numbers, "<u4"), (heads, "u1"), (weights, "<i8")))
+                numbers, heads, weights = arrays
+                yield count(name.as_py(), words.values, numbers.astype(np.int64), heads, weights)
 
     found = blocks.select(*_BLOCK).mapInArrow(work, "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
