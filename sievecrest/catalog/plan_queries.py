@@ -161,6 +161,18 @@ def _(spark, d):
     )
 
 
+@query(
+    "logistic_probe_shares",
+    """SELECT user_id%4 AS part, c AS "C", count(*) AS n, round(avg((value>=5)::INT),3) AS prob_pos FROM events, (VALUES (1e5),(1e6)) v(c) GROUP BY ALL""",
+)
+def _(spark, d):
+    """With one column a group and hardly a penalty, a probe's probability is the group's share of positives."""
+    ev = V.table(spark, d, "events").select((F.col("user_id") % 4).alias("part"), (F.col("value") >= 5).cast("int").alias("label"))
+    ev = ev.withColumn("embedding", F.array(*[(F.col("part") == i).cast("double") for i in range(4)]))
+    out = PB.logistic_probe(ev, ev, [1e5, 1e6], balanced=False)
+    return out.groupBy("part", "C").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("prob_pos"), 3).alias("prob_pos"))
+
+
 def _planted(spark, d):
     """The manifest with a label that a linear cut of the vector decides."""
     side = F.col("embedding")[0] + F.col("embedding")[1] > 0

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievecrest.operators.batched import kmeans_together, nearest_centre
 from sievecrest.session import cut_lineage
 
 
@@ -48,15 +48,14 @@ def project(df: DataFrame, fit_on: DataFrame, components: int, vector: str = "em
 def kmeans_labels(
     df: DataFrame, fit_on: DataFrame, k: int, seeds: Sequence[int] = tuple(range(42, 52)), vector: str = "embedding", name: str = "cluster", max_iter: int = 50
 ) -> DataFrame:
-    """Cluster of every row; the model with the lowest training cost over several seeds is used."""
-    train = cut_lineage(fit_on.select(array_to_vector(F.col(vector)).alias("_v")))
+    """Cluster of every row; the run with the lowest training cost over several seeds is used.
+
+    All runs share their passes over the rows (``batched.kmeans_together``).
+    """
+    train = cut_lineage(fit_on.select(F.col(vector).cast("array<double>").alias("_v")))
     k = max(2, min(k, train.count()))
-    best = None
-    for seed in seeds:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_v", predictionCol=name).fit(train)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best.transform(df.withColumn("_v", array_to_vector(F.col(vector)))).drop("_v")
+    centres, _, _ = kmeans_together(train, k, seeds, max_iter)
+    return df.withColumn(name, nearest_centre(centres, F.col(vector).cast("array<double>")))
 
 
 def cluster_summary(

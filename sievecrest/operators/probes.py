@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievecrest.functions.scores import clamp, sigmoid
+from sievecrest.operators.batched import Network, Solver, descent, fit_networks, lbfgs, probabilities
 from sievecrest.operators.clusters import standardise
 from sievecrest.operators.metrics import best_threshold, f1_at
 from sievecrest.session import cut_lineage
@@ -33,69 +33,57 @@ def logistic_probe(
     """Probabilities of ``others`` under an L2 logistic probe for every C: rows + (C, prob_pos).
 
     Standardised on the training rows; penalty ``1 / (C * n)`` on the mean loss. Training rows are
-    checkpointed once for all fits.
+    written once; every pass over them serves the fits of all C, and one pass scores all of them.
     """
     train = train.where(F.col(label).isNotNull())
     fit = balanced_weight(train, label) if balanced else train.withColumn("weight", F.lit(1.0))
-    fit = standardise(fit, train, vector).select(array_to_vector(F.col(vector)).alias("_v"), F.col(label).cast("double").alias("_y"), "weight")
+    fit = standardise(fit, train, vector).select(F.col(vector).alias("_v"), F.col(label).cast("double").alias("_y"), F.col("weight").cast("double"))
     fit = cut_lineage(fit)
-    n = fit.count()
-    score = standardise(others, train, vector).withColumn("_v", array_to_vector(F.col(vector)))
-    out = None
-    for c in c_values:
-        lr = LogisticRegression(
-            featuresCol="_v", labelCol="_y", weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-            maxIter=200, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
-        )
-        part = lr.fit(fit).transform(score).withColumn("prob_pos", vector_to_array("_prob")[1]).withColumn("C", F.lit(float(c)))
-        part = part.drop("_v", "_prob", "_raw", "_pred")
-        out = part if out is None else out.unionByName(part)
-    return out
+    n = max(1, fit.count())
+    networks = [Network(fit.select(F.size("_v")).first()[0])] * len(c_values)
+    starts = [networks[0].start(None)] * len(c_values)
+    fitted, _ = fit_networks(fit, networks, starts, [lambda x: lbfgs(x, 200)] * len(c_values), [1.0 / (c * n) for c in c_values])
+    scored = standardise(others, train, vector).withColumn("_p", probabilities(networks, fitted, vector))
+    named = F.arrays_zip(F.array(*[F.lit(float(c)) for c in c_values]).alias("C"), F.col("_p").alias("prob_pos"))
+    kept = [c for c in others.columns if c not in ("prob_pos", "C")]
+    return scored.withColumn("_s", F.explode(named)).select(*kept, "_s.prob_pos", "_s.C")
 
 
 def mlp_probe(
     train: DataFrame, others: DataFrame, hidden: Sequence[int] = (32,), vector: str = "embedding", label: str = "label", seed: int = 42, max_iter: int = 60
 ) -> DataFrame:
-    """Probabilities of ``others`` under a small multilayer perceptron."""
+    """Probabilities of ``others`` under a small network with sigmoid hidden layers."""
     train = train.where(F.col(label).isNotNull())
-    dims = train.select(F.size(vector)).first()[0]
-    fit = cut_lineage(
-        standardise(train, train, vector).select(array_to_vector(F.col(vector)).alias("_v"), F.col(label).cast("double").alias("_y"))
-    )
-    mlp = MultilayerPerceptronClassifier(
-        layers=[dims, *hidden, 2], featuresCol="_v", labelCol="_y", seed=seed, maxIter=max_iter, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred"
-    )
-    score = standardise(others, train, vector).withColumn("_v", array_to_vector(F.col(vector)))
-    return mlp.fit(fit).transform(score).withColumn("prob_pos", vector_to_array("_prob")[1]).drop("_v", "_prob", "_raw", "_pred")
+    fit = cut_lineage(standardise(train, train, vector).select(F.col(vector).alias("_v"), F.col(label).cast("double").alias("_y"), F.lit(1.0).alias("weight")))
+    network = Network(fit.select(F.size("_v")).first()[0], hidden)
+    fitted, _ = fit_networks(fit, [network], [network.start(seed)], [lambda x: lbfgs(x, max_iter)], [0.0])
+    return standardise(others, train, vector).withColumn("prob_pos", probabilities([network], fitted, vector)[0])
 
 
 def mlp_sweep(
     train: DataFrame, val: DataFrame, hidden: Sequence[Sequence[int]], iterations: Sequence[int] = (60,), steps: Sequence[float | None] = (None,),
     seeds: Sequence[int] = (42,), vector: str = "embedding", label: str = "label",
 ) -> DataFrame:
-    """Perceptron settings judged on ``val``: (hidden, iterations, step_size, seed, f1_at_half, threshold, best_f1).
+    """Network settings judged on ``val``: (hidden, iterations, step_size, seed, f1_at_half, threshold, best_f1).
 
     A step size takes plain gradient descent, which uses it; without one the solver is l-bfgs, which
-    has none. Settings are fitted one after the other, each a distributed job on the written rows;
-    the best thresholds of all settings come from one sweep.
+    has none. All settings are fitted together, every pass over the written rows serving each of them;
+    one pass scores them and one sweep finds their thresholds.
     """
     spark = train.sparkSession
     train, val = train.where(F.col(label).isNotNull()), val.where(F.col(label).isNotNull())
-    dims = train.select(F.size(vector)).first()[0]
-    y = F.col(label).cast("double").alias("_y")
-    fit = cut_lineage(standardise(train, train, vector).select(array_to_vector(F.col(vector)).alias("_v"), y))
-    judge = cut_lineage(standardise(val, train, vector).select(array_to_vector(F.col(vector)).alias("_v"), F.col(label).alias("label")))
+    fit = cut_lineage(standardise(train, train, vector).select(F.col(vector).alias("_v"), F.col(label).cast("double").alias("_y"), F.lit(1.0).alias("weight")))
+    dims = fit.select(F.size("_v")).first()[0]
     settings = [(tuple(h), n, step, seed) for h in hidden for n in iterations for step in steps for seed in seeds]
-    scored = None
-    for i, (layers, n, step, seed) in enumerate(settings):
-        solver = {"solver": "l-bfgs"} if step is None else {"solver": "gd", "stepSize": float(step)}
-        mlp = MultilayerPerceptronClassifier(
-            layers=[dims, *layers, 2], featuresCol="_v", labelCol="_y", seed=seed, maxIter=n, probabilityCol="_prob",
-            rawPredictionCol="_raw", predictionCol="_pred", **solver,
-        )
-        part = mlp.fit(fit).transform(judge).select(F.lit(i).alias("setting"), vector_to_array("_prob")[1].alias("prob_pos"), "label")
-        scored = part if scored is None else scored.unionByName(part)
-    scored = cut_lineage(scored)
+    networks = [Network(dims, h) for h, *_ in settings]
+    starts = [n.start(seed) for n, (*_, seed) in zip(networks, settings)]
+
+    def solver(n: int, step: float | None) -> Callable[[np.ndarray], Solver]:
+        return lambda x: lbfgs(x, n) if step is None else descent(x, n, step)
+
+    fitted, _ = fit_networks(fit, networks, starts, [solver(n, step) for _, n, step, _ in settings], [0.0] * len(settings))
+    judge = standardise(val, train, vector).select(F.col(label).alias("label"), probabilities(networks, fitted, vector).alias("_p"))
+    scored = cut_lineage(judge.select("label", F.posexplode("_p").alias("setting", "prob_pos")))
     half = f1_at(scored, "prob_pos", "label", 0.5, ["setting"]).select("setting", F.col("f1").alias("f1_at_half"))
     best = best_threshold(scored, "prob_pos", "label", ["setting"])
     rows = [(i, ",".join(map(str, h)), n, step, seed) for i, (h, n, step, seed) in enumerate(settings)]
