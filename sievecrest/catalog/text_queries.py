@@ -51,6 +51,28 @@ def _(spark, d):
     return TL.keyword_labels(V.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", ["the ", "ment", "tion"], ["und", "que"])
 
 
+OPENINGS = """k AS (SELECT array_to_string(string_split(text,' ')[1:2],' ') AS keyword, min(item_id)%2 AS label FROM benchmark GROUP BY 1)"""
+
+
+def _openings(spark, d):
+    """The first two words of every benchmark item, with a label."""
+    words = F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("keyword")
+    return V.table(spark, d, "benchmark").groupBy(words).agg((F.min("item_id") % 2).alias("label"))
+
+
+@query("keyword_table_labels", f"WITH {OPENINGS} SELECT doc_id, keyword, label FROM documents, k WHERE contains(text, keyword)")
+def _(spark, d):
+    return TL.table_keyword_labels(V.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", _openings(spark, d))
+
+
+@query(
+    "keyword_table_detection",
+    f"{TXT}, {OPENINGS} SELECT DISTINCT doc_id FROM texts, (SELECT lower(regexp_replace(keyword,'[\\s|\\-_/\\\\]+','','g')) AS w FROM k) WHERE score>=0.4 AND w<>'' AND contains({NORM},w)",
+)
+def _(spark, d):
+    return TL.table_keyword_images(V.texts(spark, d), "doc_id", _openings(spark, d), 0.4)
+
+
 @query(
     "keyword_label_conflicts",
     """WITH w AS (SELECT * FROM (VALUES ('the ',1),('ment',1),('tion',1),('und',0),('que',0)) v(keyword,label)), h AS (SELECT doc_id, label FROM documents, w WHERE contains(text, keyword))
