@@ -153,10 +153,10 @@ def stratified_take(df: DataFrame, id_col: str, label: str, score: str, n: int)
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) / labels))
     top = top.withColumn("_quota", quota).withColumn("_lead", (F.col("_rn") <= F.col("_quota")).cast("int"))
     lead = top.agg(F.sum("_lead")).scalar()
-    # The rest is filled from one list of at most labels x n rows, cut to n inside hash salts first.
-    rest = top.where(F.col("_lead") == 0).withColumn("_all", F.lit(0))
-    rest = top_per_group(rest, ["_all"], order, n, id_col, "_r").withColumn("_taken", lead)
-    rest = rest.where(F.col("_r") <= n - F.col("_taken"))
+    # The rest is filled from one list of at most labels x n rows; each task hands on its first n only.
+    first = Window.partitionBy(F.lit(0)).orderBy(*order)
+    rest = top.where(F.col("_lead") == 0).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= n)
+    rest = rest.withColumn("_taken", lead).where(F.col("_r") <= n - F.col("_taken"))
     keep = [c for c in df.columns]
     return top.where(F.col("_lead") == 1).select(*keep).unionByName(rest.select(*keep))
 
