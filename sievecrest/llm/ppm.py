@@ -7,9 +7,11 @@ occurrences; a follower seen c times keeps c - 1/2) is paid and the next shorter
 with every byte the longer context knew left out. Below order 0 all bytes not yet seen are equally likely.
 
 The probability of a byte depends on it and the ``ORDER`` bytes before it alone, so a text's score is
-a sum over its windows of ``ORDER + 1`` bytes, and the trie lives in tables: a level per order, keyed
-by the packed window. Counts with longer contexts sum to those with shorter ones, hence the bytes
-that a longer context knew are known to the shorter one and exclusion is a subtraction of sums.
+a sum over its windows of ``ORDER + 1`` bytes, and the trie is a table of distinct packed windows with
+their counts. Counts with longer contexts sum to those with shorter ones, hence the bytes that a
+longer context knew are known to the shorter one and exclusion is a subtraction of sums. One shuffle
+brings windows together whose contexts end in the same ``SPLIT`` bytes: all longer contexts that a
+window can fall back to lie there. The few shorter ones are tables of their own.
 
 Windows (and words, for the base score) are many. The most frequent ones, at most ``HEAD`` of either
 kind by a count taken first, are broadcast and looked up in hash tables; a text's other windows and
@@ -42,6 +44,8 @@ from sievecrest.session import cut_lineage
 ORDER = 6
 START, END = b"\xfe", b"\xff"
 SYMBOLS = 255  # all bytes but the start byte
+SPLIT = 3  # contexts from this many bytes on are settled beside each other
+GROUP_ROWS = 1 << 19
 HEAD = 1 << 20
 PART = 1 << 22
 _EMPTY = np.iinfo(np.int64).min
@@ -127,50 +131,150 @@ def _suffix(key: Column, n_bytes: int) -> Column:
     return key.bitwiseAND(F.lit((1 << (8 * n_bytes)) - 1).cast("long"))
 
 
+def _mask(n_bytes: int) -> int:
+    return (1 << (8 * n_bytes)) - 1
+
+
+class Trie:
+    """Levels ``ORDER`` down to ``SPLIT`` of all contexts that end in some set of ``SPLIT`` bytes.
+
+    ``keys`` are the distinct trained windows, ``counts`` their occurrences and ``low`` the occurrences
+    of their last ``SPLIT`` bytes anywhere: what their followers count one order below the split.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: np.ndarray):
+        order = np.argsort(keys)
+        entries, counts, low = keys[order], counts[order], low[order]
+        self.levels = {}
+        for k in range(ORDER, SPLIT - 1, -1):
+            if k > SPLIT:
+                shorter, to = np.unique(entries & _mask(k), return_inverse=True)
+                short_counts = np.bincount(to, weights=counts, minlength=len(shorter)).astype(np.int64)
+                short_low = np.zeros(len(shorter), np.int64)
+                short_low[to] = low
+                below = short_counts[to]
+            else:
+                below = low
+            first = np.flatnonzero(np.append(True, np.diff(entries >> 8) != 0)) if len(entries) else np.zeros(0, np.int64)
+            figures = [np.add.reduceat(c, first) if len(first) else c for c in (counts, np.ones_like(counts), below)]
+            self.levels[k] = entries, counts, entries[first] >> 8, figures
+            if k > SPLIT:
+                entries, counts, low = shorter, short_counts, short_low
+
+    @staticmethod
+    def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return place, table[place] == keys
+
+    def values(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window: log10 probability so far, whether it is complete, and what the shortest context here excludes."""
+        value, done = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        left_out = [np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)]  # occurrences, followers
+        for k in range(ORDER, SPLIT - 1, -1):
+            entries, counts, contexts, (n, q, below) = self.levels[k]
+            at, known = self._at(contexts, (keys >> 8) & _mask(k))
+            place, hit = self._at(entries, keys & _mask(k + 1))
+            some = np.flatnonzero(known & ~done)
+            n_left = n[at[some]] - left_out[0][some]
+            q_left = q[at[some]] - left_out[1][some]
+            follows_ = hit[some]
+            top = np.where(follows_, 2 * counts[place[some]] - 1, q_left)
+            paid = top > 0
+            value[some[paid]] += np.log10(top[paid] / (2 * n_left[paid]))
+            done |= hit
+            left_out = [np.where(known, f[at] if len(f) else 0, 0) for f in (below, q)]
+        return value, done, *left_out
+
+
+def deep_values(windows: DataFrame) -> DataFrame:
+    """(key, found, value, done, low, q, low_c) of (key, trained, found, low_c): the orders from ``SPLIT`` on.
+
+    All windows whose contexts share their last ``SPLIT`` bytes meet in one partition, side by side, so a
+    task holds ``GROUP_ROWS`` distinct windows and the rest of the last such group at a time.
+    """
+    tail = _suffix(F.shiftright("key", 8), SPLIT)
+    near = windows.withColumn("tail", tail).repartition("tail").sortWithinPartitions("tail")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def groups(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            key, trained, found, low, end = (np.concatenate(c) for c in zip(*held))
+            cut = len(key) if last else int(np.searchsorted(end, end[-1]))
+            held, size = ([] if last else [[c[cut:] for c in (key, trained, found, low, end)]]), len(key) - cut
+            key, trained, found, low = key[:cut], trained[:cut], found[:cut], low[:cut]
+            seen = trained > 0
+            value, done, below, q = Trie(key[seen], trained[seen], low[seen]).values(key)
+            columns = [key, found, value, done, below, q, low]
+            for at in range(0, cut, 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], _DEEP)
+
+        limit = GROUP_ROWS
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
+            if size >= limit:
+                yield from groups(False)
+                limit = max(GROUP_ROWS, 2 * size)  # a group larger than that is not looked at batch by batch
+        if held:
+            yield from groups(True)
+
+    schema = "key long, found long, value double, done boolean, low long, q long, low_c long"
+    return near.select("key", "trained", "found", "low_c", "tail").mapInArrow(score, schema)
+
+
+_DEEP = ["key", "found", "value", "done", "low", "q", "low_c"]
+
+
 def window_scores(counts: DataFrame) -> DataFrame:
-    """(key, found, value) of every window: log10 of the probability of its last byte after the others."""
+    """(key, found, value) of every window: log10 of the probability of its last byte after the others.
+
+    Orders from ``SPLIT`` on are settled where their contexts meet; the tables of the shorter ones are
+    small (their keys have at most ``SPLIT`` bytes) and joined.
+    """
     windows = counts.where(F.col("key") >= 0)
-    level: dict[int, DataFrame] = {ORDER: windows.where("trained > 0").select("key", F.col("trained").alias("c"))}
-    for k in range(ORDER - 1, -1, -1):
-        up = level[k + 1]
-        level[k] = cut_lineage(up.groupBy(_suffix(F.col("key"), k + 1).alias("key")).agg(F.sum("c").alias("c")))
+    low = F.col("key").alias("_key"), F.col("c").alias("low_c")
+    level: dict[int, DataFrame] = {}
+    trained = windows.where("trained > 0").select(_suffix(F.col("key"), SPLIT).alias("key"), F.col("trained").alias("c"))
+    for k in range(SPLIT - 1, -1, -1):
+        up = trained if k == SPLIT - 1 else level[k + 1].select(_suffix(F.col("key"), k + 1).alias("key"), "c")
+        level[k] = cut_lineage(up.groupBy("key").agg(F.sum("c").alias("c")))
     contexts: dict[int, DataFrame] = {}
-    for k in range(ORDER, -1, -1):
+    for k in range(SPLIT - 1, -1, -1):
         known = level[k]
         if k:  # what the followers of this context count in the next shorter one
-            lower = level[k - 1].select(F.col("key").alias("_low"), F.col("c").alias("low_c"))
-            known = known.join(lower, _suffix(F.col("key"), k) == F.col("_low"))
+            known = known.join(level[k - 1].select(*low), _suffix(F.col("key"), k) == F.col("_key"))
         else:
             known = known.withColumn("low_c", F.lit(0).cast("long"))
-        contexts[k] = known.groupBy(F.shiftright("key", 8).alias("ctx")).agg(
-            F.sum("c").alias("n"), F.count(F.lit(1)).alias("q"), F.sum("low_c").alias("low")
+        known = known.groupBy(F.shiftright("key", 8).alias("_ctx")).agg(
+            F.struct(F.sum("c").alias("n"), F.count(F.lit(1)).alias("q"), F.sum("low_c").alias("low")).alias(f"ctx{k}")
         )
-    contexts[ORDER] = cut_lineage(contexts[ORDER])
-    top = contexts[ORDER].select(F.col("ctx"), "n", "q")
-    seen = windows.where("trained > 0").withColumn("ctx", F.shiftright("key", 8)).join(top, "ctx")
-    seen = seen.select("key", "found", F.log10(follows(F.col("trained"), F.col("n"))).alias("value"))
-
-    rest = windows.where("trained = 0").select("key", "found")
-    for k in range(ORDER, -1, -1):
-        table = contexts[k].select(F.col("ctx").alias("_ctx"), F.struct("n", "q", "low").alias(f"ctx{k}"))
-        rest = rest.join(table, _suffix(F.shiftright("key", 8), k) == F.col("_ctx"), "left").drop("_ctx")
-        if k < ORDER:
+        contexts[k] = cut_lineage(known)
+    lows = level[SPLIT - 1].select(*low)
+    windows = windows.join(lows, _suffix(F.col("key"), SPLIT) == F.col("_key"), "left")
+    rows = deep_values(windows.select("key", "trained", "found", F.coalesce("low_c", F.lit(0)).alias("low_c")))
+    rows = rows.withColumn(f"ctx{SPLIT}", F.struct("low", "q"))
+    rows = rows.withColumn(f"c{SPLIT - 1}", F.when(F.col("low_c") > 0, F.col("low_c")))
+    for k in range(SPLIT - 1, -1, -1):
+        rows = rows.join(contexts[k], _suffix(F.shiftright("key", 8), k) == F.col("_ctx"), "left").drop("_ctx")
+        if k < SPLIT - 1:
             table = level[k].select(F.col("key").alias("_key"), F.col("c").alias(f"c{k}"))
-            rest = rest.join(table, _suffix(F.col("key"), k + 1) == F.col("_key"), "left").drop("_key")
-    value, done = F.lit(0.0), F.lit(False)
-    for k in range(ORDER, -1, -1):
-        here, above = F.col(f"ctx{k}"), F.col(f"ctx{k + 1}") if k < ORDER else None
-        n, q = here["n"], here["q"]
-        if above is not None:
-            n = n - F.coalesce(above["low"], F.lit(0))
-            q = q - F.coalesce(above["q"], F.lit(0))
-        hit = F.col(f"c{k}") if k < ORDER else F.lit(None).cast("long")
+            rows = rows.join(table, _suffix(F.col("key"), k + 1) == F.col("_key"), "left").drop("_key")
+    value, done = F.col("value"), F.col("done")
+    for k in range(SPLIT - 1, -1, -1):
+        here, above, hit = F.col(f"ctx{k}"), F.col(f"ctx{k + 1}"), F.col(f"c{k}")
+        n = here["n"] - F.coalesce(above["low"], F.lit(0))
+        q = here["q"] - F.coalesce(above["q"], F.lit(0))
         step = F.when(done | here.isNull(), 0.0).when(hit.isNotNull(), F.log10(follows(hit, n)))
         value = value + step.when(q > 0, F.log10(q / (2 * n))).otherwise(0.0)
         done = done | hit.isNotNull()
     symbols = F.lit(SYMBOLS) - F.coalesce(F.col("ctx0.q"), F.lit(0))
     value = value + F.when(done, 0.0).otherwise(-F.log10(F.greatest(symbols, F.lit(1))))
-    return seen.unionByName(rest.select("key", "found", value.alias("value")))
+    return rows.select("key", "found", value.alias("value"))
 
 
 class Lookup:
