@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from sievecrest.catalog.base import query
 from sievecrest.functions import scores as S
 from sievecrest.operators import metrics as M
+from sievecrest.operators.cells import CellStore
 from sievecrest.plans import views as V
 from sievecrest.plans.views import with_views
+from sievecrest.session import scratch_path
 
 R6 = 6
 
@@ -174,9 +176,7 @@ def _(spark, d):
 LONG = with_views("scored", "scored_long")
 
 
-@query(
-    "eval_summary",
-    f"""{LONG}, src AS (SELECT model||'/'||(grp%3) AS k, model, grp%3 AS dataset, prob AS prob_pos, label FROM scored_long),
+EVAL_SQL = f"""{LONG}, src AS (SELECT model||'/'||(grp%3) AS k, model, grp%3 AS dataset, prob AS prob_pos, label FROM scored_long),
     {sweep_sql('src', by='k')},
     c AS (SELECT k, min(model) AS model, min(dataset) AS dataset, count(*) FILTER (prob_pos>=0.5 AND label=1) AS tp,
      count(*) FILTER (prob_pos>=0.5 AND label=0) AS fp, count(*) FILTER (prob_pos<0.5 AND label=1) AS fn,
@@ -184,7 +184,12 @@ LONG = with_views("scored", "scored_long")
      avg(prob_pos) AS prob_mean, stddev_pop(prob_pos) AS prob_std, quantile_cont(prob_pos,0.5) AS prob_median FROM src GROUP BY k)
     SELECT model, dataset, n, pos_true, pos_pred_at_0_5, round(prob_mean,6) AS prob_mean, round(prob_std,6) AS prob_std,
      round(prob_median,6) AS prob_median, round({F1_SQL},6) AS f1_at_0_5, round(best_f1,6) AS best_f1,
-     round(threshold,6) AS best_threshold FROM c JOIN best USING (k)""",
+     round(threshold,6) AS best_threshold FROM c JOIN best USING (k)"""
+
+
+@query(
+    "eval_summary",
+    EVAL_SQL,
 )
 def _(spark, d):
     df = V.scored_long(spark, d).withColumn("dataset", F.col("grp") % 3)
@@ -192,18 +197,46 @@ def _(spark, d):
     return rounded(out, "prob_mean", "prob_std", "prob_median", "f1_at_0_5", "best_f1", "best_threshold")
 
 
-@query(
-    "probability_distribution",
-    f"""{with_views('scored')} SELECT label, count(*) AS n, round(avg(prob_pos),6) AS mean, round(stddev_pop(prob_pos),6) AS std,
+DISTRIBUTION_SQL = f"""{with_views('scored')} SELECT label, count(*) AS n, round(avg(prob_pos),6) AS mean, round(stddev_pop(prob_pos),6) AS std,
     count(*) FILTER (prob_pos>=0.5) AS pos_at_0_5, round(quantile_cont(prob_pos,0.1),6) AS p10,
     round(quantile_cont(prob_pos,0.25),6) AS p25, round(quantile_cont(prob_pos,0.5),6) AS p50,
-    round(quantile_cont(prob_pos,0.75),6) AS p75, round(quantile_cont(prob_pos,0.9),6) AS p90 FROM scored GROUP BY label""",
+    round(quantile_cont(prob_pos,0.75),6) AS p75, round(quantile_cont(prob_pos,0.9),6) AS p90 FROM scored GROUP BY label"""
+
+
+@query(
+    "probability_distribution",
+    DISTRIBUTION_SQL,
 )
 def _(spark, d):
     out = M.distribution_report(V.scored(spark, d), "prob_pos", ["label"])
     return rounded(out, "mean", "std", "p10", "p25", "p50", "p75", "p90")
 
 
+@query("cell_store_summary", EVAL_SQL)
+def _(spark, d):
+    """Runs arrive one by one; the first comes with wrong scores, which are taken back and replaced."""
+    df = V.scored_long(spark, d).withColumn("dataset", F.col("grp") % 3)
+    store = CellStore(spark, scratch_path(spark, "score-cells"), ["model", "dataset"])
+    runs = {f"m{i}": df.where(F.col("model") == f"m{i}") for i in range(5)}
+    wrong = runs["m0"].withColumn("prob", 1 - F.col("prob"))
+    store.add(wrong, "prob", "label", "m0-wrong")
+    for name, rows in runs.items():
+        store.add(rows, "prob", "label", name)
+    store.retract(wrong, "prob", "label", "m0-undo")
+    return rounded(store.summary(), "prob_mean", "prob_std", "prob_median", "f1_at_0_5", "best_f1", "best_threshold")
+
+
+@query("cell_store_distribution", DISTRIBUTION_SQL)
+def _(spark, d):
+    """One batch a label, merged into one part before the report."""
+    df = V.scored(spark, d)
+    store = CellStore(spark, scratch_path(spark, "score-cells"), ["label"])
+    for label in (0, 1):
+        store.add(df.where(F.col("label") == label), "prob_pos", "label", f"label-{label}")
+    store.compact()
+    return rounded(store.distribution(), "mean", "std", "p10", "p25", "p50", "p75", "p90")
+
+
 @query(
     "value_distribution_overall",
     """SELECT count(*) AS n, round(avg(l_extendedprice),4) AS mean, round(stddev_pop(l_extendedprice),4) AS std,

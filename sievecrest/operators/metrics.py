@@ -218,10 +218,17 @@ def exact_percentiles(
     No group's values are gathered in one place: the two order statistics a point needs are looked
     up in the running counts of distinct values.
     """
+    cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    return percentiles_from_cells(cut_lineage(cells), value, points, by, names)
+
+
+def percentiles_from_cells(
+    cells: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = (), names: Sequence[str] | None = None
+) -> DataFrame:
+    """``exact_percentiles`` of (by, value, n) cells; callers hand in written ones."""
     by = list(by)
     names = list(names or [f"p{int(round(p * 100))}" for p in points])
-    cells = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    cells = cut_lineage(cells)
+    cells = cells.select(*by, F.col(value).alias("_v"), F.col("n").alias("_n"))
     cum = running_totals(cells, "_v", ["_n"], by=by, descending=False)
     sizes = cells.groupBy(*by).agg(F.sum("_n").alias("_size"))
     if by:
@@ -254,8 +261,13 @@ def eval_summary(df: DataFrame, score: str, label: str, by: Sequence[str]) -> Da
 
     Rows combine into score cells in one scan; every figure comes from one sweep over the cells.
     """
+    return summary_from_cells(cut_lineage(score_cells(df, score, label, by)), by)
+
+
+def summary_from_cells(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``eval_summary`` of (by, score, n, pos, neg) cells; callers hand in written ones."""
     by = list(by)
-    swept = threshold_sweep(cut_lineage(score_cells(df, score, label, by)), by)
+    swept = threshold_sweep(cells, by)
     s, n = F.col("score"), F.col("n")
     called = s >= 0.5
 
@@ -298,7 +310,28 @@ def distribution_report(df: DataFrame, score: str, by: Sequence[str] = ()) -> Da
         F.stddev_pop(score).alias("std"),
         F.count_if(F.col(score) >= 0.5).alias("pos_at_0_5"),
     )
-    pct = exact_percentiles(df, score, [0.1, 0.25, 0.5, 0.75, 0.9], by)
+    return _with_percentiles(base, exact_percentiles(df, score, DISTRIBUTION_POINTS, by), by)
+
+
+DISTRIBUTION_POINTS = (0.1, 0.25, 0.5, 0.75, 0.9)
+
+
+def distribution_from_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``distribution_report`` of (by, score, n) cells; a NULL score counts in ``n`` alone. Callers hand in written cells."""
+    by = list(by)
+    s, n = F.col("score"), F.col("n")
+    scored = F.sum(F.when(s.isNotNull(), n))
+    mean = F.sum(s * n) / scored
+    base = cells.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        mean.alias("mean"),
+        F.sqrt(F.greatest(F.sum(s * s * n) / scored - mean * mean, F.lit(0.0))).alias("std"),
+        F.coalesce(F.sum(F.when(s >= 0.5, n)), F.lit(0)).alias("pos_at_0_5"),
+    )
+    return _with_percentiles(base, percentiles_from_cells(cells.where(s.isNotNull()), "score", DISTRIBUTION_POINTS, by), by)
+
+
+def _with_percentiles(base: DataFrame, pct: DataFrame, by: list[str]) -> DataFrame:
     if by:
         return base.join(pct, by)
     packed = pct.select(F.struct(*pct.columns).alias("p")).scalar()
