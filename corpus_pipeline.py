@@ -20,9 +20,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled part of these very documents teaches."""
-    filters = langid.train_filters(docs.where(langid.training_row(F.col("doc_id"))), "text", "lang")
-    return langid.keep_identified(docs, filters, "text")
+    """Documents in a language that the labelled part of these very documents teaches.
+
+    Four fifths of the labelled documents teach, the others set the level of their language. Null texts
+    and texts without a letter go; without any labelled document all stay.
+    """
+    training = langid.training_row(F.col("doc_id"))
+    filters = langid.train_filters(docs.where(training), "text", "lang")
+    levels = langid.language_levels(docs.where(~training), filters, "text", "lang")
+    return langid.keep_identified(docs, filters, "text", levels=levels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,20 @@
 """Language identification with bit-sliced Bloom filters over n-grams.
 
-One table of ``SLOTS`` bit masks stands for a Bloom filter per language: bit *l* of a mask belongs to
+One table of bit masks stands for a Bloom filter per language: bit *l* of a mask belongs to
 the filter of language *l*. Looking an n-gram up ANDs the masks at its ``HASHES`` places and returns
 every language that contains it at once. Per text, the hits of each language are counted, the hits
 its filter's false positives explain are taken off, and the language with most hits left wins.
 
-Training counts the n-grams of every labelled training row with Spark. A language keeps the n-grams
-that make up at least ``MIN_SHARE`` of its n-gram occurrences, so it keeps at most ``1 / MIN_SHARE``
-of them whatever the corpus holds, and the filters have a fixed size.
+Training counts the n-grams of every labelled training row with Spark, and every n-gram of a language
+enters its filter: a lookup never misses a language. The masks are combined slot by slot in Spark, so
+the driver receives one mask a slot. There are ``SLOTS_A_GRAM`` slots for each n-gram of the language
+with most of them, ``MAX_SLOTS`` at most, which bounds what is sent out; beyond it the filters fill
+further, false positives grow, and the correction takes more off.
+
+As a filter of a corpus, a text stays if the share of its n-grams that are known is at least
+``MIN_SCORE`` of the mean share of held-out texts of the language found, so a language with few
+labelled rows is held to what those rows teach. A language without held-out texts rejects nothing, and
+without any labelled row all texts stay.
 
 Nulls and ties: a null text, or one without a letter, is ``und`` with score 0; rows with a null label
 do not train; a text with letters but no known n-gram gets the language with most training rows,
@@ -30,9 +37,9 @@ from sievecrest.llm.common import segments, small_batches, text_bytes
 from sievecrest.session import cut_lineage
 
 GRAM = 4
-SLOTS = 1 << 20
+SLOTS_A_GRAM = 16
+MIN_SLOTS, MAX_SLOTS = 1 << 20, 1 << 22
 HASHES = 3
-MIN_SHARE = 2e-5
 MIN_SCORE = 0.5
 PART = 1 << 20
 UNKNOWN = "und"
@@ -75,27 +82,35 @@ class Filters:
     """Languages in order of training rows, and their bit-sliced filters, 64 languages to a plane."""
 
     names: list[str]
-    planes: np.ndarray  # (ceil(languages / 64), SLOTS) uint64
+    planes: np.ndarray  # (ceil(languages / 64), slots) uint64
+
+    @classmethod
+    def empty(cls, names: list[str], most_grams: int) -> Filters:
+        """Filters for languages of at most ``most_grams`` n-grams each."""
+        slots = MIN_SLOTS
+        while slots < min(MAX_SLOTS, SLOTS_A_GRAM * most_grams):
+            slots *= 2
+        return cls(names, np.zeros((max(1, -(-len(names) // 64)), slots), np.uint64))
 
     @classmethod
     def build(cls, names: list[str], grams: dict[str, np.ndarray]) -> Filters:
-        planes = np.zeros((max(1, -(-len(names) // 64)), SLOTS), np.uint64)
+        filters = cls.empty(names, max((len(g) for g in grams.values()), default=0))
         for l, name in enumerate(names):
-            for place in cls.places(grams.get(name, np.zeros(0, np.uint32))):
-                planes[l // 64][place] |= np.uint64(1 << (l % 64))
-        return cls(names, planes)
+            for place in cls.places(grams.get(name, np.zeros(0, np.uint32)), filters.planes.shape[1]):
+                filters.planes[l // 64][place] |= np.uint64(1 << (l % 64))
+        return filters
 
     @staticmethod
-    def places(codes: np.ndarray) -> Iterator[np.ndarray]:
+    def places(codes: np.ndarray, slots: int) -> Iterator[np.ndarray]:
         for m in _MULTIPLIERS[:HASHES]:
             mixed = codes ^ (codes >> np.uint32(15))
             mixed = mixed * np.uint32(m)
-            yield (mixed ^ (mixed >> np.uint32(13))) & np.uint32(SLOTS - 1)
+            yield (mixed ^ (mixed >> np.uint32(13))) & np.uint32(slots - 1)
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
         """(planes, n): bit l set if the filter of language l holds the n-gram."""
         out = None
-        for place in self.places(codes):
+        for place in self.places(codes, self.planes.shape[1]):
             found = self.planes[:, place]
             out = found if out is None else out & found
         return out
@@ -128,14 +143,14 @@ class Filters:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         total, found = self.hits(texts)
         rate = self.false_rates()
-        real = np.clip((found - total[:, None] * rate) / (1 - rate), 0, None)
+        real = np.clip((found - total[:, None] * rate) / np.maximum(1 - rate, 1e-9), 0, None)
         best = real.argmax(axis=1)
         score = np.clip(real[np.arange(len(texts)), best] / np.maximum(total, 1), 0, 1)
         return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, letters)], np.where(letters, score, 0.0)
 
 
 def train_filters(df: DataFrame, text_col: str, lang_col: str) -> Filters:
-    """Count the n-grams of every row with a language; bring back at most 1 / MIN_SHARE a language."""
+    """Filters of all n-grams of every row with a language; what comes back is one mask a slot."""
     rows = small_batches(df).where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
@@ -154,21 +169,24 @@ def train_filters(df: DataFrame, text_col: str, lang_col: str) -> Filters:
 
     counted = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counted = cut_lineage(counted)
-    totals = counted.groupBy("lang").agg(
-        F.sum(F.when(F.col("code") >= 0, F.col("n")).otherwise(0)).alias("grams"),
-    )
-    kept = (
-        counted.join(totals, "lang")
-        .where((F.col("code") < 0) | (F.col("n") >= F.col("grams") * MIN_SHARE))
-        .groupBy("lang")
-        .agg(
-            F.max(F.when(F.col("code") < 0, F.col("n"))).alias("docs"),
-            F.collect_list(F.when(F.col("code") >= 0, F.col("code"))).alias("codes"),
-        )
-        .collect()
-    )
-    kept.sort(key=lambda r: (-r["docs"], r["lang"]))
-    return Filters.build([r["lang"] for r in kept], {r["lang"]: np.array(r["codes"], np.uint32) for r in kept})
+    is_gram = F.col("code") >= 0
+    languages = counted.groupBy("lang").agg(F.max(F.when(~is_gram, F.col("n"))).alias("docs"), F.count_if(is_gram).alias("grams"))
+    found = sorted(languages.collect(), key=lambda r: (-r["docs"], r["lang"]))
+    filters = Filters.empty([r["lang"] for r in found], max((r["grams"] for r in found), default=0))
+    number, slots = {name: l for l, name in enumerate(filters.names)}, filters.planes.shape[1]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            l = np.array([number[name] for name in batch.column(0).to_pylist()], np.int64)
+            bit = (np.uint64(1) << (l % 64).astype(np.uint64)).view(np.int64)
+            for place in Filters.places(batch.column(1).to_numpy().astype(np.uint32), slots):
+                columns = [pa.array(c) for c in (l // 64 * slots + place, bit)]
+                yield pa.RecordBatch.from_arrays(columns, ["place", "bits"])
+
+    marks = counted.where(is_gram).select("lang", "code").mapInArrow(mark, "place long, bits long")
+    masks = marks.groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    filters.planes.ravel()[masks.column(0).to_numpy()] = masks.column(1).to_numpy().view(np.uint64)
+    return filters
 
 
 def _counted(lang: str, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -191,15 +209,30 @@ def predict_languages(df: DataFrame, filters: Filters, id_col: str, text_col: st
     return rows.mapInArrow(predict, f"doc_id {id_type}, lang_pred string, score double")
 
 
-def keep_identified(df: DataFrame, filters: Filters, text_col: str, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose text is in a learned language: at least ``min_score`` of its n-grams are known in it."""
+def language_levels(df: DataFrame, filters: Filters, text_col: str, lang_col: str) -> dict[str, float]:
+    """Mean score of labelled rows (not those that trained) whose language is found, a language."""
+    rows = df.where(F.col(lang_col).isNotNull())
+    found = predict_languages(rows, filters, lang_col, text_col).where(F.col("doc_id").cast("string") == F.col("lang_pred"))
+    return {r["lang_pred"]: r["level"] for r in found.groupBy("lang_pred").agg(F.avg("score").alias("level")).collect()}
+
+
+def keep_identified(
+    df: DataFrame, filters: Filters, text_col: str, min_score: float = MIN_SCORE, levels: dict[str, float] | None = None
+) -> DataFrame:
+    """The rows whose text is in a learned language: at least ``min_score`` of its n-grams are known in it.
+
+    With ``levels``, ``min_score`` of the level of its language. Without any learned language all rows stay.
+    """
+    if not filters.names:
+        return df
     shared = df.sparkSession.sparkContext.broadcast(filters)
     at = df.columns.index(text_col)
+    limit = {name: min_score * (1.0 if levels is None else levels.get(name, 0.0)) for name in filters.names}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = shared.value.decide(text_bytes(batch.column(at)))
-            kept = [lang != UNKNOWN and score >= min_score for lang, score in zip(langs, scores)]
+            kept = [lang != UNKNOWN and score >= limit[lang] for lang, score in zip(langs, scores)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return small_batches(df).mapInArrow(keep, df.schema)

@@ -45,7 +45,7 @@ ORDER = 6
 START, END = b"\xfe", b"\xff"
 SYMBOLS = 255  # all bytes but the start byte
 SPLIT = 3  # contexts from this many bytes on are settled beside each other
-GROUP_ROWS = 1 << 19
+GROUP_ROWS = 1 << 18
 HEAD = 1 << 20
 PART = 1 << 22
 _EMPTY = np.iinfo(np.int64).min

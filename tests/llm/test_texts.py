@@ -102,6 +102,67 @@ def test_filters_return_every_language_and_masks_match_sets():
     assert filters.false_rates().max() < 1e-6
 
 
+def test_every_counted_gram_is_found_and_decisions_follow_plain_sets(spark):
+    rnd = random.Random(11)
+    words = {n: ["".join(rnd.choice(a) for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+             for n, a in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "éßøabcij"))}
+    texts, lang = [], {}
+    for i in range(120):
+        lang[i] = ("aa", "bb", "cc")[i % 3 if i % 7 else 0]
+        texts.append(" ".join(rnd.choice(words[lang[i]]) for _ in range(rnd.randint(1, 60))))
+    texts += [" ".join(rnd.choice(words[n]) for n in ("aa", "bb", "bb", "cc") * 8) for _ in range(30)]
+    df = table(spark, texts, lang)
+    filters = langid.train_filters(df, "text", "lang")
+    sets = {n: set() for n in words}
+    for i, name in lang.items():
+        plain = b" " + texts[i].encode() + b" "
+        sets[name] |= {plain[j : j + 4] for j in range(len(plain) - 3)}
+    for l, name in enumerate(filters.names):
+        codes = np.array([int.from_bytes(g, "big") for g in sets[name]], np.uint32)
+        assert ((filters.masks(codes)[0] >> np.uint64(l)) & np.uint64(1)).all()
+    assert (filters.planes == langid.Filters.build(
+        filters.names, {n: np.array([int.from_bytes(g, "big") for g in s], np.uint32) for n, s in sets.items()}
+    ).planes).all()
+    got = {r.doc_id: r for r in langid.predict_languages(df, filters, "doc_id", "text").collect()}
+    for i, text in enumerate(texts):
+        plain = b" " + text.encode() + b" "
+        grams = [plain[j : j + 4] for j in range(len(plain) - 3)]
+        share = {n: sum(g in sets[n] for g in grams) / len(grams) for n in words}
+        assert share[got[i].lang_pred] >= max(share.values()) - 0.02
+        assert got[i].score == pytest.approx(share[got[i].lang_pred], abs=0.02)
+
+
+def test_filters_grow_with_the_grams_up_to_a_bound():
+    assert langid.Filters.empty([], 0).planes.shape == (1, langid.MIN_SLOTS)
+    assert langid.Filters.empty(["a"] * 65, 100_000).planes.shape == (2, 1 << 21)
+    full = langid.Filters.build(["a", "b"], {"a": np.arange(1 << 20, dtype=np.uint32), "b": np.arange(50, dtype=np.uint32)})
+    assert full.planes.shape == (1, langid.MAX_SLOTS)
+    assert (full.masks(np.arange(1 << 20, dtype=np.uint32))[0] & np.uint64(1)).all() and full.false_rates()[0] < 0.5
+
+
+def test_a_language_is_held_to_its_own_level(spark):
+    rare, texts, lang = random.Random(2), [], {}
+    for i in range(200):
+        if i % 2:  # the same words again and again
+            texts.append(" ".join(rare.choice(["shelm", "tindo", "wurpa"]) for _ in range(20)))
+        else:  # mostly words nobody else has
+            odd = ["".join(rare.choice("bcdfgklmnprstv") for _ in range(6)) for _ in range(14)]
+            texts.append(" ".join(["gorp blint quorz"] * 2 + odd))
+        lang[i] = "yy" if i % 2 else "xx"
+    df = table(spark, texts, lang)
+    training = langid.training_row(F.col("doc_id"))
+    filters = langid.train_filters(df.where(training), "text", "lang")
+    levels = langid.language_levels(df.where(~training), filters, "text", "lang")
+    assert levels["yy"] == pytest.approx(1, abs=0.01) and levels["xx"] < 0.6
+    new = ["gorp blint quorz " + "zzyzyx wjqwjq hhjhjh", "shelm tindo " * 9, "shelm " + "jqx wjq hzh qqj " * 9, None, "12 3"]
+    kept = langid.keep_identified(table(spark, new), filters, "text", levels=levels)
+    assert {r.doc_id for r in kept.collect()} == {0, 1}
+    assert langid.keep_identified(table(spark, new), filters, "text", levels={}).count() == 3
+    none = langid.train_filters(df.where("lang is null"), "text", "lang")
+    assert langid.language_levels(df, none, "text", "lang") == {}
+    assert langid.keep_identified(table(spark, new), none, "text", levels={}).count() == len(new)
+
+
 # ---- packing
 
 
@@ -250,6 +311,18 @@ def test_scores_match_a_walk_over_contexts(spark, head):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(brute_ppm(train, t, ppm.ORDER))
 
 
+@pytest.mark.parametrize("rows", [1, 40])
+def test_windows_are_settled_a_few_groups_at_a_time(spark, monkeypatch, rows):
+    monkeypatch.setattr(ppm, "GROUP_ROWS", rows)
+    texts = [*noise(4, 40, "abab cdc\n"), *noise(5, 8), "abab cdc", "aé日本", None]
+    out = [i % 5 == 0 for i in range(len(texts))]
+    got = {r.doc_id: r.score for r in ppm.score_texts(table(spark, texts), "doc_id", "text", F.col("doc_id") % 5 == 0, 0).collect()}
+    raw = [(t or "").encode().lower() for t in texts]
+    train = [t for t, o in zip(raw, out) if not o]
+    for i, t in enumerate(raw):
+        assert got[i] == pytest.approx(brute_ppm(train, t, ppm.ORDER))
+
+
 def test_six_bytes_of_context_decide(spark):
     texts = ["xbcdefg", "ybcdefh", "xbcdefg", "xbcdefh"]
     df = table(spark, texts)
