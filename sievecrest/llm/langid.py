@@ -83,6 +83,7 @@ class Filters:
 
     names: list[str]
     planes: np.ndarray  # (ceil(languages / 64), slots) uint64
+    _rates: np.ndarray | None = None
 
     @classmethod
     def empty(cls, names: list[str], most_grams: int) -> Filters:
@@ -116,9 +117,11 @@ class Filters:
         return out
 
     def false_rates(self) -> np.ndarray:
-        shift = np.arange(64, dtype=np.uint64)
-        fill = [float(((plane >> s) & np.uint64(1)).mean()) for plane in self.planes for s in shift]
-        return np.array(fill[: len(self.names)]) ** HASHES
+        """Share of foreign n-grams each filter takes for its own; worked out once a process, the filters being done."""
+        if self._rates is None:
+            fill = [((self.planes[l // 64] >> np.uint64(l % 64)) & np.uint64(1)).mean() for l in range(len(self.names))]
+            self._rates = np.array(fill) ** HASHES
+        return self._rates
 
     def hits(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """N-grams of each text, and how many of them each language contains."""
