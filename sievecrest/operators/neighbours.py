@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,9 @@ from sievecrest.functions.vectors import dot, l2_normalise, norm
 from sievecrest.operators.ordering import top_per_group
 from sievecrest.session import cut_lineage
 
-CELL_ROWS = 16384
+CELL_ROWS = 32768
+TILE_ROWS = 65536
+BLOCK_PAIRS = 1 << 22
 MAX_TASKS = 20000
 BUCKET_ROWS = 4096
 TASK_PAIRS = 500_000_000
@@ -29,48 +31,34 @@ def _grid(n_queries: int, n_refs: int, cell_rows: int, parallelism: int) -> tupl
     """Rows and columns of the comparison grid.
 
     A grid cell never holds more than about ``cell_rows`` queries and references, and small inputs
-    are still cut into enough cells to use the cores, down to a size where a task is worth starting.
+    are still cut into enough cells to use the cores, the longer side first, down to a size where a
+    task is worth starting.
     """
     rows = max(1, math.ceil(n_queries / cell_rows))
     cols = max(1, math.ceil(n_refs / cell_rows))
-    while rows * cols < parallelism and n_refs / cols > 2048:
-        cols += 1
-    while rows * cols < parallelism and n_queries / rows > 2048:
-        rows += 1
+    while rows * cols < parallelism and max(n_queries / rows, n_refs / cols) > 2048:
+        if n_refs / cols >= n_queries / rows:
+            cols += 1
+        else:
+            rows += 1
     return rows, cols
 
 
-def _cell_top_k(k: int, id_type: T.DataType):
-    is_str = isinstance(id_type, T.StringType)
-
-    def run(_key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"query_id": q["qid"].iloc[:0], "ref_id": r["rid"].iloc[:0], "sim": np.empty(0)})
-        r = r.sort_values("rid", kind="mergesort")
-        refs = np.stack(r["rvec"].to_numpy()).astype(np.float64)
-        rids = r["rid"].to_numpy()
-        kk = min(k, len(rids))
-        out_q, out_r, out_s = [], [], []
-        qids = q["qid"].to_numpy()
-        for start in range(0, len(q), 1024):
-            block = np.stack(q["qvec"].to_numpy()[start : start + 1024]).astype(np.float64)
-            sims = np.round(block @ refs.T, 12)
-            # keep every reference tied with the k-th one: ties are settled by id in the merge
-            kth = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1 : kk]
-            for i in range(len(block)):
-                cols = np.flatnonzero(sims[i] >= kth[i])
-                order = np.lexsort((cols, -sims[i, cols]))[:kk]
-                cols = cols[order]
-                out_q.append(np.repeat(qids[start + i], kk))
-                out_r.append(rids[cols])
-                out_s.append(sims[i, cols])
-        data = {"query_id": np.concatenate(out_q), "ref_id": np.concatenate(out_r), "sim": np.concatenate(out_s)}
-        if is_str:
-            data["query_id"] = data["query_id"].astype(object)
-            data["ref_id"] = data["ref_id"].astype(object)
-        return pd.DataFrame(data)
-
-    return run
+def _grid_cells(left: DataFrame, right: DataFrame, rows: int, cols: int) -> DataFrame:
+    """Rows (l, u) and (r, u) dealt by the hash of their ids to a grid, one partition a cell: (cell columns, l, r, u)."""
+
+    def side(df: DataFrame, name: str, other: DataFrame) -> DataFrame:
+        no_other = F.lit(None).cast(other.schema["r" if name == "l" else "l"].dataType)
+        ids = [F.col("l"), no_other.alias("r")] if name == "l" else [no_other.alias("l"), F.col("r")]
+        own, n, across = ("_c1", rows, cols) if name == "l" else ("_c2", cols, rows)
+        dealt = df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(n))).withColumn(
+            "_c2" if name == "l" else "_c1", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long")))
+        )
+        none = F.lit(0).cast("long")
+        return dealt.select("_c1", "_c2", none.alias("_c3"), none.alias("_c4"), *ids, "u")
+
+    cells = side(left, "l", right).unionByName(side(right, "r", left))
+    return cells.repartitionById(rows * cols, (F.col("_c1") * cols + F.col("_c2")).cast("int"))
 
 
 def cosine_knn(
@@ -84,47 +72,22 @@ def cosine_knn(
     """Exact top-``k`` references of every query: (query_id, rank, ref_id, cosine_sim).
 
     Queries and references are hashed to the rows and columns of a grid and each grid cell is one
-    co-grouped block product in NumPy that emits only its own top ``k`` per query; a limit-aware
-    window merges the cells. Rows without a vector have no neighbours and are none; vectors of another
+    block product in NumPy that emits only its own top ``k`` per query; a limit-aware window merges
+    the cells. Rows without a vector have no neighbours and are none; vectors of another
     length than most are an error of the caller. Cells hash on the id, so a hot label, source or copy group spreads
-    over all of them, memory a task is bounded by ``cell_rows``, and no pair list is ever produced.
+    over all of them. A task holds the vectors of one cell, at most about ``cell_rows`` a side, and
+    ``BLOCK_PAIRS`` similarities at a time; no pair list is ever produced.
     Equal similarities (to 12 digits) rank by reference id.
     """
     spark = queries.sparkSession
     queries, refs = queries.where(F.col(vector).isNotNull()), refs.where(F.col(vector).isNotNull())
     rows, cols = _grid(queries.count(), refs.count(), cell_rows, spark.sparkContext.defaultParallelism)
-    q = queries.select(F.col(id_col).alias("qid"), l2_normalise(F.col(vector)).alias("qvec"))
-    r = refs.select(F.col(id_col).alias("rid"), l2_normalise(F.col(vector)).alias("rvec"))
-    q = q.withColumn("gr", F.pmod(F.xxhash64("qid"), F.lit(rows)).cast("int")).withColumn(
-        "gc", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)))
-    )
-    r = r.withColumn("gc", F.pmod(F.xxhash64("rid"), F.lit(cols)).cast("int")).withColumn(
-        "gr", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))
-    )
-    qtype = queries.schema[id_col].dataType
-    schema = T.StructType(
-        [
-            T.StructField("query_id", qtype),
-            T.StructField("ref_id", refs.schema[id_col].dataType),
-            T.StructField("sim", T.DoubleType()),
-        ]
-    )
-    # One task a cell (or a few): an explicit count keeps AQE from merging cells that are small in
-    # bytes but heavy in arithmetic.
-    tasks = min(rows * cols, MAX_TASKS)
-    q, r = q.repartition(tasks, "gr", "gc"), r.repartition(tasks, "gr", "gc")
-    parts = q.groupBy("gr", "gc").cogroup(r.groupBy("gr", "gc")).applyInPandas(_cell_top_k(k, qtype), schema)
-    if cols == 1:
-        best = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("ref_id"))
-        return parts.withColumn("rank", F.row_number().over(best)).select(
-            "query_id", "rank", "ref_id", F.col("sim").alias("cosine_sim")
-        )
-    best = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), F.col("ref_id"))
-    return (
-        parts.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "ref_id", F.col("sim").alias("cosine_sim"))
-    )
+    q = queries.select(F.col(id_col).alias("l"), l2_normalise(F.col(vector)).alias("u"))
+    r = refs.select(F.col(id_col).alias("r"), l2_normalise(F.col(vector)).alias("u"))
+    parts = cell_neighbours(_grid_cells(q, r, rows, cols), lambda a, b: _block_top_k(a, b, k, -math.inf))
+    best = Window.partitionBy("l").orderBy(F.col("cosine_sim").desc(), F.col("r"))
+    ranked = parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select(F.col("l").alias("query_id"), "rank", F.col("r").alias("ref_id"), "cosine_sim")
 
 
 def sign_tables(n_refs: int, min_sim: float, miss: float = 0.01) -> tuple[int, int]:
@@ -206,7 +169,7 @@ def _block_top_k(queries: np.ndarray, refs: np.ndarray, k: int, min_sim: float)
     Equal similarities (to 12 digits) rank by position; ``refs`` come in the order of their ids.
     """
     found = []
-    step = max(1, (1 << 22) // len(refs))
+    step = max(1, BLOCK_PAIRS // len(refs))
     for start in range(0, len(queries), step):
         sims = queries[start : start + step] @ refs.T
         least = np.full((len(sims), 1), min_sim)
@@ -224,17 +187,22 @@ def _block_top_k(queries: np.ndarray, refs: np.ndarray, k: int, min_sim: float)
 
 
 def _matrix(vectors: pa.ListArray) -> np.ndarray:
-    return vectors.flatten().to_numpy().reshape(len(vectors), -1)
+    flat = vectors.flatten().to_numpy()
+    return flat.reshape(len(vectors), len(flat) // len(vectors))
 
 
-def cell_neighbours(cells: DataFrame, k: int, min_sim: float, tasks: int) -> DataFrame:
-    """(l, r, cosine_sim): the top ``k`` of every left row inside every cell.
+def _laid_cells(cells: DataFrame, tasks: int) -> DataFrame:
+    return cells.repartition(tasks, *[F.col(c) for c in _CELL])
 
-    ``cells`` has the four cell columns, l (null for a right row), r (null for a left row) and u. Equal
-    cells lie together in a partition; one at a time is held, as two matrices.
+
+def cell_neighbours(cells: DataFrame, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """(l, r, cosine_sim): what ``near`` finds inside every cell, as positions and similarities.
+
+    ``cells`` has the four cell columns, l (null for a right row), r (null for a left row) and u, and
+    the rows of a cell in one partition. One cell at a time is held, as two matrices; right rows come
+    in the order of their ids.
     """
-    keys = [F.col(c) for c in _CELL]
-    laid = cells.repartition(tasks, *keys).sortWithinPartitions(*keys, F.col("l").isNull(), "r")
+    laid = cells.sortWithinPartitions(*[F.col(c) for c in _CELL], F.col("l").isNull(), "r")
 
     def joined(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -242,7 +210,7 @@ def cell_neighbours(cells: DataFrame, k: int, min_sim: float, tasks: int) -> Dat
         if not 0 < n < len(table):
             return None
         vectors = table.column("u").chunk(0)
-        q, r, sim = _block_top_k(_matrix(vectors.slice(0, n)), _matrix(vectors.slice(n)), k, min_sim)
+        q, r, sim = near(_matrix(vectors.slice(0, n)), _matrix(vectors.slice(n)))
         ids = [table.column("l").chunk(0).take(pa.array(q)), table.column("r").chunk(0).take(pa.array(r + n))]
         return pa.RecordBatch.from_arrays([*ids, pa.array(sim)], ["l", "r", "cosine_sim"])
 
@@ -270,15 +238,22 @@ def bucket_neighbours(
 ) -> DataFrame:
     """(l, r, cosine_sim): up to ``k`` references r of each (l, u) row among the (r, u) rows that share a bucket.
 
-    A bucket of at most ``cell_rows`` rows a side is one cell; its rows are moved once a table. Larger
+    Rows go the way that moves fewer of their copies. While a grid of tiles of ``TILE_ROWS`` rows a side
+    takes no more copies than the tables, buckets are formed inside the tiles (``tile_neighbours``).
+    For more rows, and where all pairs are wanted, they are formed by a shuffle of every table:
+    a bucket of at most ``cell_rows`` rows a side is one cell; its rows are moved once a table. Larger
     buckets are hot: their rows leave the tables and are compared in the grid of ``hot_grid``, once
     whatever the number of tables. No cell compares more than about ``cell_rows`` squared pairs, a task
     about ``TASK_PAIRS``, and none emits more than ``k`` pairs a query; no pair list is made.
     """
     spark = left.sparkSession
     first = right.select(F.size("u").alias("n")).first() or left.select(F.size("u").alias("n")).first()
-    bits, tables = sign_tables(right.count(), min_sim)
-    keys = _sign_keys(first["n"] if first else 1, bits, tables, seed)
+    dims, n_refs = first["n"] if first else 1, right.count()
+    bits, tables = sign_tables(n_refs, min_sim)
+    rows, cols = _grid(left.count(), n_refs, TILE_ROWS, spark.sparkContext.defaultParallelism)
+    if k < ALL and rows + cols <= 2 * tables:
+        return tile_neighbours(left, right, k, min_sim, rows, cols, *sign_tables(n_refs // cols, min_sim), dims, seed)
+    keys = _sign_keys(dims, bits, tables, seed)
     left, right = (cut_lineage(df.select(name, "u", keys("u").alias("_keys"))) for df, name in ((left, "l"), (right, "r")))
     buckets = cut_lineage(_bucket_sizes(left, right))
     is_hot = F.greatest("nl", "nr") > cell_rows
@@ -298,11 +273,70 @@ def bucket_neighbours(
     pairs = F.sum(F.col("nl") * F.col("nr")).alias("n")
     work = (buckets.where(~is_hot).agg(pairs).first()["n"] or 0) + (blocks.agg(pairs).first()["n"] or 0)
     tasks = min(MAX_TASKS, max(spark.sparkContext.defaultParallelism, math.ceil(work / TASK_PAIRS)))
-    near = cell_neighbours(both, k, min_sim, tasks)
+    near = cell_neighbours(_laid_cells(both, tasks), lambda a, b: _block_top_k(a, b, k, min_sim))
     # A pair that met in several tables was compared in each; digits may differ with the block.
     return near.groupBy("l", "r").agg(F.max("cosine_sim").alias("cosine_sim"))
 
 
+def _best_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to ``k`` references of every query among ``found``, each pair once."""
+    q, r, sim = (np.concatenate(part) for part in zip(*found))
+    order = np.lexsort((-sim, r, q))
+    q, r, sim = q[order], r[order], sim[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (r[1:] != r[:-1])
+    q, r, sim = q[new], r[new], sim[new]
+    order = np.lexsort((r, -sim, q))
+    q, r, sim = q[order], r[order], sim[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[kept], r[kept], sim[kept]
+
+
+def _tile_top_k(
+    queries: np.ndarray, refs: np.ndarray, k: int, min_sim: float, planes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to ``k`` references of every query among those that share a bucket with it in some table of ``planes``.
+
+    ``planes`` is tables x dims x bits. Where the buckets hold as many pairs as the tile, as in a large
+    group of near vectors, the tile is compared once instead.
+    """
+    weights = 1 << np.arange(planes.shape[2], dtype=np.int64)
+    size = 1 << planes.shape[2]
+    keys = [tuple(((v @ p > 0) @ weights).astype(np.int32) for v in (queries, refs)) for p in planes]
+    counts = [tuple(np.bincount(part, minlength=size) for part in pair) for pair in keys]
+    if sum(int(a @ b) for a, b in counts) >= len(queries) * len(refs):
+        return _block_top_k(queries, refs, k, min_sim)
+    none = np.empty(0, np.int64)
+    found, held = [(none, none, np.empty(0))], 0
+    for (q_keys, r_keys), (n_q, n_r) in zip(keys, counts):
+        q_order, r_order = np.argsort(q_keys, kind="stable"), np.argsort(r_keys, kind="stable")
+        q_end, r_end = np.cumsum(n_q), np.cumsum(n_r)
+        for key in np.flatnonzero((n_q > 0) & (n_r > 0)):
+            at_q, at_r = q_order[q_end[key] - n_q[key] : q_end[key]], r_order[r_end[key] - n_r[key] : r_end[key]]
+            a, b = queries[at_q], refs[at_r]
+            if len(a) * len(b) <= BLOCK_PAIRS and (a @ b.T).max() < min_sim - 2e-12:
+                continue
+            q, r, sim = _block_top_k(a, b, k, min_sim)
+            found.append((at_q[q], at_r[r], sim))
+            held += len(q)
+        if held > BLOCK_PAIRS:
+            found = [_best_of(found, k)]
+            held = 0
+    return _best_of(found, k)
+
+
+def tile_neighbours(
+    left: DataFrame, right: DataFrame, k: int, min_sim: float, rows: int, cols: int, bits: int, tables: int, dims: int, seed: int
+) -> DataFrame:
+    """(l, r, cosine_sim) as ``bucket_neighbours``, with the buckets of all tables formed inside the tiles of a grid.
+
+    A left row is moved once a column and a right row once a row of the grid, whatever the number of
+    tables and of rows in a bucket.
+    """
+    planes = np.random.default_rng(seed).standard_normal((tables, dims, bits))
+    return cell_neighbours(_grid_cells(left, right, rows, cols), lambda a, b: _tile_top_k(a, b, k, min_sim, planes))
+
+
 def sign_candidates(left: DataFrame, right: DataFrame, min_sim: float, seed: int = 11) -> DataFrame:
     """(l, r): all pairs of (l, u) and (r, u) rows at ``min_sim`` or above that share a bucket in some table."""
     return bucket_neighbours(left, right, ALL, min_sim, seed).select("l", "r")

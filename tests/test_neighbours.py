@@ -133,3 +133,24 @@ def test_approximate_neighbours_of_nothing(spark):
     df = as_rows(spark, clustered(1, 12))
     assert N.approx_knn(df, df.limit(0), 3, 0.9).count() == 0
     assert N.approx_knn(df.limit(0), df, 3, 0.9).count() == 0
+
+
+def test_buckets_move_rows_once_a_tile_not_once_a_table(spark, monkeypatch):
+    """Rows enter no shuffle of their own a table while a grid moves fewer copies; hot buckets add none."""
+    x = clustered(5, 600)
+    df = as_rows(spark, x)
+    monkeypatch.setattr(N, "_laid_cells", lambda *_: pytest.fail("buckets laid out table by table"))
+    near, exact = N.approx_knn(df, df, 8, 0.9, cell_rows=20), N.cosine_knn(df, df, 8).where("cosine_sim >= 0.9")
+    assert N.neighbour_recall(near, exact).first().recall >= 0.98
+    cells = N._grid_cells(df.selectExpr("sample_id AS l", "embedding AS u"), df.selectExpr("sample_id AS r", "embedding AS u"), 2, 3)
+    assert cells.count() == 600 * 3 + 600 * 2
+
+
+def test_a_cell_holds_few_similarities_at_a_time(monkeypatch):
+    """Blocks shrink with the references, so a cell's memory does not grow with the product of its sides."""
+    sizes = []
+    partition = np.partition
+    monkeypatch.setattr(N.np, "partition", lambda a, *args, **named: sizes.append(a.size) or partition(a, *args, **named))
+    x = np.random.default_rng(2).standard_normal((9000, 4))
+    q, r, _ = N._block_top_k(x[:1500], x, 3, -np.inf)
+    assert max(sizes) <= N.BLOCK_PAIRS and np.bincount(q).tolist() == [3] * 1500 and (r[::3] == np.argmax(x[:1500] @ x.T, axis=1)).all()
