@@ -41,6 +41,14 @@ def _state_provider(spark: SparkSession, provider: str | None) -> Iterator[None]
         spark.conf.set(key, before)
 
 
+def _arriving(spark: SparkSession, folder: str, schema: T.StructType, pattern: str) -> DataFrame:
+    """Stream of the Parquet files below ``folder`` whose name, or whose table folder's name, matches ``pattern``.
+
+    The path is a glob in any case: as a plain path a single file would be taken for a folder.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{pattern}}}")
+
+
 def score_new_files(
     spark: SparkSession, folder: str, schema: T.StructType, output: str, checkpoint: str, score: Callable[[DataFrame], DataFrame],
     key: str = "id", pattern: str = "*.parquet", provider: str | None = ROCKSDB,
@@ -54,7 +62,7 @@ def score_new_files(
     batch replaces its own ``batch=N`` folder, so one that is run again after a failure gives the same
     rows. RocksDB keeps the ids of a store on disk; ``provider=None`` keeps the session's choice.
     """
-    arrived = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    arrived = _arriving(spark, folder, schema, pattern)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         fresh = cut_lineage(batch)
@@ -76,8 +84,7 @@ def running_channel_sums(
     A streaming aggregate in complete mode: its state is one row. Each batch replaces the snapshot
     of its number; the newest one is returned.
     """
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    sums = channel_sums(to_pixels(stream), channels)
+    sums = channel_sums(to_pixels(_arriving(spark, folder, schema, pattern)), channels)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
