@@ -247,9 +247,10 @@ def percentiles_from_cells(
             F.max(F.when(holds_high, F.col("_v"))).alias(f"_hi_{name}"),
             F.max(pos - low).alias(f"_f_{name}"),
         ]
-        out.append(
-            (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")).alias(name)
-        )
+        low_v, high_v, f = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_f_{name}")
+        # Weighted ends with one rounding of the sum, as SQL engines interpolate: gates at a tie see the same value.
+        mixed = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low_v.cast("double"), 1.0 - f, high_v * f).cast("double")
+        out.append(F.when(low_v.isNotNull() & high_v.isNotNull(), mixed).alias(name))
     return cum.groupBy(*by).agg(*picks).select(*by, *out)
 
 
