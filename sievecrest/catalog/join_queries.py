@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievecrest.catalog.base import query
+from sievecrest.functions.vectors import round_half_up
 from sievecrest.operators import joins as J
 from sievecrest.operators import pooling as P
 from sievecrest.plans import views as V
@@ -205,7 +206,7 @@ def _(spark, d):
     e = V.manifest(spark, d)
     a = e.select(F.col("sample_id").alias("key"), F.col("embedding").alias("values"))
     b = e.select((F.col("sample_id") * 2).alias("key"), F.col("embedding").alias("values"))
-    return J.interpolate_vectors(a, b, 0.3).select("key", F.transform("values", lambda x: F.round(x, 6)).alias("vals"))
+    return J.interpolate_vectors(a, b, 0.3).select("key", round_half_up(F.col("values"), 6).alias("vals"))
 
 
 @query(

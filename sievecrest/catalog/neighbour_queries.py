@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievecrest.catalog.base import query
 from sievecrest.functions.risk import candidate_filter
-from sievecrest.functions.vectors import l2_normalise, norm
+from sievecrest.functions.vectors import l2_normalise, norm, round_half_up
 from sievecrest.operators import neighbours as N
 from sievecrest.plans import views as V
 from sievecrest.plans.views import with_views
@@ -49,7 +49,7 @@ def conflict_edges(spark, d, k=10):
 def _(spark, d):
     e = F.col("embedding")
     return V.manifest(spark, d).select(
-        "sample_id", F.round(norm(e), 6).alias("norm"), F.transform(l2_normalise(e), lambda x: F.round(x, 6)).alias("unit")
+        "sample_id", F.round(norm(e), 6).alias("norm"), round_half_up(l2_normalise(e), 6).alias("unit")
     )
 
 

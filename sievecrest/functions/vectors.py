@@ -23,6 +23,12 @@ def l2_normalise(a: Column, floor: float = 1e-8) -> Column:
     return let(F.greatest(norm(a), F.lit(floor)), lambda length: F.transform(a, lambda x: x / length))
 
 
+def round_half_up(a: Column, digits: int) -> Column:
+    """Elements scaled, rounded half away from zero and scaled back; what rounds to zero keeps its sign, as in IEEE and SQL engines."""
+    scale = F.lit(10.0**digits)
+    return F.transform(a, lambda x: F.round(F.abs(x) * scale) / scale * F.signum(x))
+
+
 def mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
