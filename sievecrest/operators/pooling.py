@@ -42,7 +42,10 @@ def pool_vectors(df: DataFrame, key: str, vector: str = "embedding") -> DataFram
 
 
 def bag_probabilities(df: DataFrame, models: int, key: str = "id", prob: str = "prob", threshold: float = 0.5) -> DataFrame:
-    """Mean over model tables (long form); ``complete`` is false where an id misses a model or repeats one."""
+    """Mean over model tables (long form); ``complete`` is false where an id misses a model or repeats one.
+
+    The mean meets the threshold to nine digits, so the order in which it was summed decides no label.
+    """
     return (
         df.groupBy(key)
         .agg(
@@ -53,7 +56,7 @@ def bag_probabilities(df: DataFrame, models: int, key: str = "id", prob: str = "
         .select(
             key,
             "prob_pos_corrected",
-            (F.col("prob_pos_corrected") >= threshold).cast("int").alias("label"),
+            (F.round("prob_pos_corrected", 9) >= threshold).cast("int").alias("label"),
             ((F.col("_models") == models) & (F.col("_rows") == models)).alias("complete"),
         )
     )
