@@ -6,10 +6,11 @@ between them are aligned in the same way; at the ends of a gap equal words are t
 share of the template's words that are aligned is its coverage. Notices of up to ``SHORT`` words differ
 from those of other licenses in a word or two, so they must stand in the text word for word.
 
-Whole texts are scanned. A template is looked for wherever its words that are rarest in the text
-occur: each occurrence proposes the window in which the template would lie, with ``SLACK`` of its
-length to either side, and windows are aligned one by one, so a notice that a text repeats, or that
-stands in a long text, still has anchors. Words are lower-case runs of letters and digits.
+Whole texts are scanned. An alignment that covers a template to the least share leaves out fewer than
+a number of its positions, so it takes one at least of that many rarest ones, whichever they are: every
+place in the text where such a position's word occurs proposes the window in which the template would
+lie, with ``SLACK`` of its length to either side. Windows are aligned one by one, so a notice that a text
+repeats, or that stands in a long text, still has anchors. Words are lower-case runs of letters and digits.
 
 Nulls and ties: a null text is an empty one and has no license; of templates with equal coverage the
 longer one wins, then the smaller name; of equal windows the first; equal rows get equal results; an
@@ -19,6 +20,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +33,6 @@ from sievecrest.llm.common import small_batches, text_bytes
 
 MIN_COVERAGE = 0.8
 SLACK = 0.25
-SEEDS = 3
 SHORT = 14  # words of a notice that must stand in a text word for word
 
 # Notices as their licenses word them.
@@ -174,7 +175,7 @@ class Templates:
                 if at is not None:
                     found.append((name, 1.0, at, at + len(template) - 1))
                 continue
-            best = max((self._window(words, template, a, b) for a, b in self._windows(where, template, len(words))), default=None)
+            best = max((self._window(words, template, a, b) for a, b in self._windows(where, template, len(words), least)), default=None)
             if best and best[0] >= least:
                 found.append((name, best[0], -best[1], best[2]))
         return sorted(found, key=lambda f: (-f[1], -len(self.words[f[0]]), f[0]))
@@ -189,11 +190,11 @@ class Templates:
         return next((a for a in starts if words[a : a + len(template)] == template), None)
 
     @staticmethod
-    def _windows(where: dict[bytes, list[int]], template: list[bytes], n: int) -> Iterator[tuple[int, int]]:
+    def _windows(where: dict[bytes, list[int]], template: list[bytes], n: int, least: float) -> Iterator[tuple[int, int]]:
         size, slack = len(template), max(2, int(SLACK * len(template)))
-        offsets = {w: j for j, w in reversed(list(enumerate(template))) if w in where}
-        rarest = sorted(offsets, key=lambda w: (len(where[w]), offsets[w]))[:SEEDS]
-        starts = sorted({max(0, i - offsets[w] - slack) for w in rarest for i in where[w]})
+        spare = size - math.ceil(least * size - 1e-9)
+        rarest = sorted(range(size), key=lambda j: (len(where.get(template[j], ())), j))[: spare + 1]
+        starts = sorted({max(0, i - j - slack) for j in rarest for i in where.get(template[j], ())})
         last = None
         for start in starts:
             if last is None or start > last + slack // 2:

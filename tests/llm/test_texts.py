@@ -480,3 +480,12 @@ def test_patience_alignment_is_an_alignment_and_close_to_the_longest():
         longest = sum(m.size for m in difflib.SequenceMatcher(None, a, b, False).get_matching_blocks())
         assert len(pairs) >= 0.7 * longest
     assert licenses.longest_increasing([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4])
+
+
+def test_license_whose_rarest_words_stand_elsewhere():
+    """Three rare words of the notice are changed and stand far away instead: the rest of the notice is found all the same."""
+    words = licenses.words_of(licenses.TEMPLATES["MIT"].encode())
+    rare = [w for w in words if words.count(w) == 1][:3]
+    text = b" ".join([*rare, *[b"filler"] * 400, *[b"changed" if w in rare else w for w in words]])
+    (found,) = licenses.Templates({"MIT": licenses.TEMPLATES["MIT"]}).scan(text, 0.8)
+    assert found[1] >= (len(words) - 3) / len(words) - 1e-9 and found[2] >= 403
