@@ -59,7 +59,7 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_path(spark, "tables")
     for m in range(5):
-        part = V.scored_long(spark, d).where(F.col("model") == f"m{m}").select("id", F.round("prob", 6).alias("prob_pos_corrected"))
+        part = V.model_scores(spark, d, m).select("id", F.round("prob", 6).alias("prob_pos_corrected"))
         WR.write_csv(part, f"{path}/m{m}", ["id", "prob_pos_corrected"])
     found = RD.discover_prob_tables(spark, path, recursive=True)
     return found.agg(

@@ -36,6 +36,12 @@ def scored_long(spark: SparkSession, folder: str, models: int = 5) -> DataFrame:
     )
 
 
+def model_scores(spark: SparkSession, folder: str, m: int) -> DataFrame:
+    """The rows of ``scored_long`` of model ``m`` alone, made without those of the others."""
+    prob = ((F.col("id") * F.lit(7919 + 2 * m) + F.lit(13 * m)) % 1001) / F.lit(1001.0)
+    return scored(spark, folder).select("id", "grp", "label", F.lit(f"m{m}").alias("model"), prob.alias("prob"))
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     slot = F.col("vec_id") % 8
     source = F.when(slot == 5, "myval").when(slot == 6, "test").when(slot == 7, "extra").otherwise("train")

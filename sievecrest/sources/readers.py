@@ -98,7 +98,7 @@ def discover_prob_tables(spark: SparkSession, folder: str, exclude: Sequence[str
     )
     out = df.select(
         "id", "prob_pos_corrected", F.col("_metadata.file_name").alias("model"),
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/[^/]*$", 1).alias("folder"),
+        F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1).alias("folder"),
     )
     return out.where(~F.col("model").isin(*exclude)) if exclude else out
 

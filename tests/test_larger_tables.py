@@ -9,6 +9,7 @@ from sievecrest.functions.vectors import round_half_up
 from sievecrest.operators import images as I
 from sievecrest.operators import metrics as M
 from sievecrest.operators import pooling as P
+from sievecrest.plans import views as V
 from sievecrest.streaming import incremental as X
 
 
@@ -54,3 +55,10 @@ def test_fingerprints_leave_in_small_batches():
 
     made = I.fingerprints(Frame(), ("id",))
     assert max(map(len, made)) <= 256 and pd.concat(made)["id"].tolist() == list(range(600))
+
+
+def test_one_models_scores_are_made_alone(spark, sf):
+    for m in (0, 4):
+        alone, all_rows = V.model_scores(spark, sf, m), V.scored_long(spark, sf).where(F.col("model") == f"m{m}")
+        assert alone.count() == all_rows.count() and alone.exceptAll(all_rows.select(alone.columns)).isEmpty()
+        assert "Generate" not in alone._jdf.queryExecution().toString()
