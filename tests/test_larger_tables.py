@@ -62,3 +62,15 @@ def test_one_models_scores_are_made_alone(spark, sf):
         alone, all_rows = V.model_scores(spark, sf, m), V.scored_long(spark, sf).where(F.col("model") == f"m{m}")
         assert alone.count() == all_rows.count() and alone.exceptAll(all_rows.select(alone.columns)).isEmpty()
         assert "Generate" not in alone._jdf.queryExecution().toString()
+
+
+def test_equal_coefficients_at_the_median_of_a_perceptual_hash():
+    """Coefficients (0, 4) and (4, 0) are equal and the median; the SQL sets the first with 1, 4 and 8 threads."""
+    px = np.array([
+        108, 147, 129, 130, 105, 108, 100, 159, 160, 116, 158, 102, 236, 115, 107, 152,
+        96, 174, 108, 116, 144, 128, 115, 96, 153, 133, 164, 90, 149, 172, 100, 148,
+        132, 121, 182, 137, 42, 124, 206, 128, 126, 128, 113, 120, 144, 94, 144, 132,
+        162, 143, 138, 62, 122, 131, 127, 166, 102, 98, 170, 66, 134, 124, 143, 113,
+    ], dtype=np.uint8)
+    rgb = np.stack([px, np.roll(px, -1), np.roll(px, -2)], axis=1).reshape(8, 8, 3)
+    assert I._finger(rgb, I._dct(32))["phash"] % 2**64 == 0xB8CD0CA7333D2A73
