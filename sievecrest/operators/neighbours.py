@@ -166,7 +166,8 @@ def hot_grid(left: DataFrame, right: DataFrame, hot: DataFrame, cell_rows: int)
 def _block_top_k(queries: np.ndarray, refs: np.ndarray, k: int, min_sim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, reference, similarity): up to ``k`` references of every query at ``min_sim`` or above.
 
-    Equal similarities (to 12 digits) rank by position; ``refs`` come in the order of their ids.
+    Equal similarities (to 12 digits) rank by position; ``refs`` come in the order of their ids. A query
+    that ties with a crowd of copies is cut to its first ``k`` before pairs are listed.
     """
     found = []
     step = max(1, BLOCK_PAIRS // len(refs))
@@ -175,7 +176,13 @@ def _block_top_k(queries: np.ndarray, refs: np.ndarray, k: int, min_sim: float)
         least = np.full((len(sims), 1), min_sim)
         if len(refs) > k:
             np.maximum(least, np.partition(sims, len(refs) - k, axis=1)[:, len(refs) - k, None], out=least)
-        q, r = np.nonzero(sims >= least - 2e-12)
+        near = sims >= least - 2e-12
+        for crowded in np.flatnonzero(np.count_nonzero(near, axis=1) > 2 * k):
+            at = np.flatnonzero(near[crowded])
+            first = np.argsort(-np.round(sims[crowded, at], 12), kind="stable")[:k]
+            near[crowded] = False
+            near[crowded, at[first]] = True
+        q, r = np.nonzero(near)
         sim = np.round(sims[q, r], 12)
         real = sim >= min_sim
         q, r, sim = q[real], r[real], sim[real]

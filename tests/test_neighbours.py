@@ -1,5 +1,7 @@
 """Exact neighbours against NumPy, over several grid shapes, and the evidence tables."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -154,3 +156,18 @@ def test_a_cell_holds_few_similarities_at_a_time(monkeypatch):
     x = np.random.default_rng(2).standard_normal((9000, 4))
     q, r, _ = N._block_top_k(x[:1500], x, 3, -np.inf)
     assert max(sizes) <= N.BLOCK_PAIRS and np.bincount(q).tolist() == [3] * 1500 and (r[::3] == np.argmax(x[:1500] @ x.T, axis=1)).all()
+
+
+def test_a_crowd_of_copies_is_not_listed_pair_by_pair():
+    """Each query ties with all references: the first ``k`` by position remain, in the memory of a block without ties."""
+    x = np.random.default_rng(4).standard_normal((3, 8))
+    refs = np.repeat(x / np.linalg.norm(x, axis=1, keepdims=True), [9, 20000, 7], axis=0)
+    tracemalloc.start()
+    try:
+        q, r, sim = N._block_top_k(np.repeat(refs[9:10], 200, axis=0), refs, 5, -np.inf)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert r.tolist() == list(range(9, 14)) * 200 and q.tolist() == np.repeat(np.arange(200), 5).tolist() and set(sim) == {1.0}
+    assert peak < 3 * 200 * len(refs) * 8
+    assert N._block_top_k(refs[:1], refs, 20020, -np.inf)[1].tolist()[:9] == list(range(9)) and len(N._block_top_k(refs[:1], refs, N.ALL, 0.999)[0]) >= 9
