@@ -6,7 +6,8 @@ words as the longest phrase needs beyond its own end, and says how many of its w
 belong to the chunk that owns their first word, so every occurrence is counted once, overlaps
 included. Equal text gives equal chunks wherever it stands: copies and shared passages collapse to one
 row of a dictionary with its frequency, and phrases are counted inside distinct chunks, weighted by it.
-The dictionary is packed once into blocks of numbered words, which all rounds of counting read.
+The dictionary is packed once into blocks of numbered words, which all rounds of counting read. Buffers,
+blocks, batches and the row groups of the blocks' files are bounded, whatever the corpus holds.
 
 Phrases grow by a word a round. No phrase is frequent unless both phrases without its first and its
 last word are, so a round counts only those whose parts pass a bitmap of the last round's frequent
@@ -39,9 +40,9 @@ MIN_COUNT = 100
 TOP = 2000
 TRIGGER = 32
 MOST_WORDS = 128
-BUFFER_CHARS = 1 << 23
+BUFFER_CHARS = 1 << 22
 CHUNK_ROWS = 10_000
-BLOCK_ROWS = 2
+BLOCK_ROWS = 1
 MAP_BITS = 26
 SALTS = 16
 UNKNOWN = "und"
@@ -154,38 +155,46 @@ def _grown(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-_BLOCK = ["lang", "words", "numbers", "heads", "weights"]
+_BLOCK = ["lang", "words", "numbers", "heads", "owned", "weights"]
+#: A row group is held whole and a page compressed whole, and by default their sizes are first looked at after 100 rows.
+_FEW_BLOCKS = {
+    "parquet.block.size": str(1 << 23), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"
+}
 
 
 def chunk_blocks(chunks: DataFrame) -> DataFrame:
     """Distinct chunks of a language packed into blocks that every round of counting reads.
 
-    A block has its distinct words, and for each word in order its number (32 bits), whether a piece
-    begins there (8 bits) and the frequency of the chunk that owns it (64 bits; 0 for words beyond).
+    A block has its distinct words, for each word in order its number (32 bits) and whether a piece
+    begins there (8 bits), and for each chunk how many words it owns and has beyond (32 bits each) and
+    its frequency (64 bits).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_language(batches):
             for name, rows in held.items():
                 words, numbers, piece, row = _words("\r".join(r[0] for r in rows).encode("utf-8", "surrogatepass"))
-                own, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64)
-                place = np.arange(len(numbers)) - np.searchsorted(row, row)
-                weights = np.where(place < own[row], weight[row], 0)
+                own, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+                owned = np.stack([own, np.bincount(row, minlength=len(rows)) - own], 1)
                 heads = np.append(True, piece[1:] != piece[:-1])
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (numbers.astype("<u4"), heads.astype("u1"), weights.astype("<i8"))]
+                parts = (numbers.astype("<u4"), heads.astype("u1"), owned.astype("<u4"), weight.astype("<i8"))
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in parts]
                 listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), listed, *blobs], _BLOCK)
 
-    schema = "lang string, words array<string>, numbers binary, heads binary, weights binary"
+    schema = "lang string, words array<string>, numbers binary, heads binary, owned binary, weights binary"
     return chunks.select("lang", "chunk", "own", "n").mapInArrow(work, schema)
 
 
 def count_phrases(blocks: DataFrame, size: int, parts: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, n) of all phrases of ``size`` words whose two shorter parts pass the bitmap ``parts``."""
+    """(lang, phrase, n) of all phrases of ``size`` words whose two shorter parts pass the bitmap ``parts``.
+
+    Counts of a block leave ``CHUNK_ROWS`` at a time, as Spark holds a batch outside its heap.
+    """
     shared = None if parts is None else blocks.sparkSession.sparkContext.broadcast(parts)  # at most 2^MAP_BITS bits
 
-    def count(name: str, words: pa.StringArray, numbers: np.ndarray, heads: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
-        piece = np.cumsum(heads)
+    def count(name: str, words: pa.StringArray, numbers: np.ndarray, heads: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+        piece = np.cumsum(heads, dtype=np.int32)
         whole = max(0, len(numbers) - size + 1)
         good = weights[:whole] > 0
         good &= piece[:whole] == piece[size - 1 :]
@@ -196,25 +205,27 @@ def count_phrases(blocks: DataFrame, size: int, parts: np.ndarray | None = None)
             held = (bitmap[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0
             good &= held[:whole] & held[1 : whole + 1]
         at = np.flatnonzero(good)
-        code, seen = pd.factorize(numbers[at])
+        code, seen = pd.factorize(numbers[at].astype(np.int64))
         for j in range(1, size):
             code, seen = pd.factorize(code * len(words) + numbers[at + j])
         total = np.zeros(len(seen), np.int64)
         np.add.at(total, code, weights[at])
         first = np.empty(len(seen), np.int64)
         first[code[::-1]] = at[::-1]
-        columns = [words.take(pa.array(numbers[first + j])) for j in range(size)]
-        phrases = columns[0] if size == 1 else pc.binary_join_element_wise(*columns, " ")
-        names = pa.array([name], pa.string()).take(pa.array(np.zeros(len(first), np.int64)))
-        return pa.RecordBatch.from_arrays([names, phrases, pa.array(total)], ["lang", "phrase", "n"])
+        for i in range(0, len(first), CHUNK_ROWS):
+            some = first[i : i + CHUNK_ROWS]
+            columns = [words.take(pa.array(numbers[some + j])) for j in range(size)]
+            phrases = columns[0] if size == 1 else pc.binary_join_element_wise(*columns, " ")
+            names = pa.array([name], pa.string()).take(pa.array(np.zeros(len(some), np.int64)))
+            yield pa.RecordBatch.from_arrays([names, phrases, pa.array(total[i : i + CHUNK_ROWS])], ["lang", "phrase", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                name, words, numbers, heads, weights = (c[i] for c in batch.columns)
-                arrays = (np.frombuffer(b.as_py(), t) for b, t in ((numbers, "<u4"), (heads, "u1"), (weights, "<i8")))
-                numbers, heads, weights = arrays
-                yield count(name.as_py(), words.values, numbers.astype(np.int64), heads, weights)
+                name, words, *blobs = (c[i] for c in batch.columns)
+                numbers, heads, owned, n = (np.frombuffer(b.as_buffer(), t) for b, t in zip(blobs, ("<u4", "u1", "<u4", "<i8")))
+                weights = np.repeat(np.stack([n, np.zeros_like(n)], 1).ravel(), owned)
+                yield from count(name.as_py(), words.values, numbers, heads, weights)
 
     found = blocks.select(*_BLOCK).mapInArrow(work, "lang string, phrase string, n long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
@@ -260,7 +271,7 @@ def collocations(
     with arrow_rows(spark, BATCH_ROWS):  # whole texts may be long
         chunks = cut_lineage(chunk_dictionary(df, text_col, lang_col, longest))
     with arrow_rows(spark, CHUNK_ROWS):
-        blocks = cut_lineage(chunk_blocks(chunks))
+        blocks = cut_lineage(chunk_blocks(chunks), _FEW_BLOCKS)
     with arrow_rows(spark, BLOCK_ROWS):
         words = cut_lineage(count_phrases(blocks, 1))
         levels = [cut_lineage(words.where(F.col("n") >= min_count))]

@@ -4,9 +4,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sievecrest.llm import phrases
+from sievecrest.session import cut_lineage
 
 A_TO_Z = {c: c + 32 for c in range(65, 91)}
 
@@ -93,6 +97,50 @@ def test_copies_share_their_chunks(spark):
     assert sum(shared.get((r.chunk, r.own)) == 51 * r.n for r in once) >= len(once) - 3 and len(shared) <= len(once) + 3
 
 
+class Frame:
+    """What mapInArrow's function makes of given batches."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, work, _schema):
+        self.made = list(work(iter(self.batches)))
+        return self
+
+    def groupBy(self, *_):
+        return self
+
+    def agg(self, _):
+        return self.made
+
+
+def test_counts_of_a_block_leave_in_small_batches(spark):
+    names = [f"w{i}" for i in range(25_000)]
+    chunks = [[" ".join(names[i : i + 100]) for i in range(0, len(names), 100)], [100] * 250, [3] * 250]
+    rows = pa.RecordBatch.from_arrays([pa.array(["en"] * 250), *map(pa.array, chunks)], ["lang", "chunk", "own", "n"])
+    blocks = phrases.chunk_blocks(Frame(rows)).made
+    assert sum(len(x.as_py()) for b in blocks for c in b.columns[2:] for x in c) <= 6 * len(names)
+    for size, n in ((1, 25_000), (3, 250 * 98)):
+        made = phrases.count_phrases(Frame(*blocks), size)
+        assert sum(map(len, made)) == n and max(map(len, made)) <= phrases.CHUNK_ROWS
+        got = {p: a for b in made for p, a in zip(b["phrase"].to_pylist(), b["n"].to_pylist())}
+        assert len(got) == n and set(got.values()) == {3}
+
+
+def test_row_groups_of_blocks_are_bounded(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(phrases, "cut_lineage", lambda df, *a: written.append(cut_lineage(df, *a)) or written[-1])
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(f"{i:x}" for i in rnd.integers(0, 1 << 28, 4000)) for _ in range(320)]
+    phrases.collocations(table(spark, [(t, "en") for t in texts]).coalesce(1), "text", "lang", longest=1)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in next(b for b in written if "numbers" in b.columns).coalesce(1).inputFiles()]
+    groups = [f.metadata.row_group(i).total_byte_size for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(groups) > 2 * 2**23 and max(groups) < 1.5 * 2**23
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     rnd = random.Random(5)
     rows = []
